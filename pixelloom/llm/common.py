@@ -40,14 +40,16 @@ def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_at = path
+    return back
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a step that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def discard(step: DataFrame) -> None:
+    """Remove a saved step that nothing reads any more."""
+    context = step.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(step.saved_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -27,6 +27,32 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
+OP8 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark
+), g AS (
+  SELECT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), lengths AS (
+  SELECT DISTINCT n FROM g
+), dg AS (
+  SELECT k, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
+), h AS (
+  SELECT DISTINCT k, i, dg.n, item FROM dg JOIN g USING (n, gram)
+), p AS (
+  SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS q FROM h) GROUP BY k
+), m AS (
+  SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (k) LEFT JOIN m USING (k)
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": OP1,
+    "op8_decontaminate": OP8,
 }
