@@ -27,7 +27,7 @@ documents, one index.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -276,6 +276,16 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GR
     return counted.join(merged_spans.join(names, "key"), "key", "left").select(F.col("key.doc_id").alias("doc_id"), "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def hit_by(shared: Broadcast) -> Callable:
+    """Whether a text (as bytes) has a window of the broadcast items."""
+
+    @F.pandas_udf("boolean")
+    def hit(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(x[1]) for x in spans(built(shared), texts.tolist())], dtype=bool)
+
+    return hit
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows in which a window of the benchmark occurs.
 
@@ -285,12 +295,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     for k, items in enumerate(benchmark_blocks(benchmark, block_bytes)):
         if k:
             docs = saved(docs, "decontaminate")
-        shared = docs.sparkSession.sparkContext.broadcast((items, span, gram))
-
-        @F.pandas_udf("boolean")
-        def hit(texts: pd.Series, shared=shared) -> pd.Series:
-            index = built(shared)
-            return pd.Series([bool(x[1]) for x in spans(index, texts.tolist())], dtype=bool)
-
+        hit = hit_by(docs.sparkSession.sparkContext.broadcast((items, span, gram)))
         docs = docs.filter(~hit(utf8(F.col("text"))))
     return docs

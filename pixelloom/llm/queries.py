@@ -14,6 +14,7 @@ from .decontaminate import find
 from .mixing import mix, word_count
 from .simhash import near_duplicates
 from .token_counts import token_counts
+from .token_records import token_records
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +48,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as checked records in order of doc_id, and read back."""
+    index = token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
         "op3_token_counts": op3_token_counts,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_decontaminate": op8_decontaminate,
+        "op10_token_records": op10_token_records,
     }
