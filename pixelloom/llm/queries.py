@@ -11,10 +11,15 @@ import public_tokenizers
 
 from .common import saved, table
 from .decontaminate import find
+from .line_dedup import line_dedup
+from .media import texts_as_media
 from .mixing import mix, word_count
+from .quality import ranked
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_records import token_records
+from .toxicity import learn, severity
+from .warc import archive
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +29,34 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes, size=F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of lines that repeat anywhere in ``documents``, removed but for the first."""
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the best unigram split of every document, over the ranks of a public vocabulary."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived, in segments and revisits, and read back."""
+    found = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image that an HTML document refers to, resolved and read back."""
+    found = texts_as_media(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("size").alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+
+
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from pairs of labelled ones that aren't held out."""
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word SimHash of every document, linked at 4 differing bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -48,6 +76,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity."""
+    docs = table(spark, sf_dir, "documents")
+    return severity(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as checked records in order of doc_id, and read back."""
     index = token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,8 +91,13 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_line_dedup": op2_line_dedup,
         "op3_token_counts": op3_token_counts,
+        "op4_warc": op4_warc,
+        "op5_media_columns": op5_media_columns,
+        "op6_quality_ranking": op6_quality_ranking,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
         "op8_decontaminate": op8_decontaminate,
+        "op9_toxicity": op9_toxicity,
         "op10_token_records": op10_token_records,
     }

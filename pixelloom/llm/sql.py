@@ -52,7 +52,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN p USING (k) LEFT JOIN m USING (k)
 """
 
+OP2 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT k, i, lines[i] AS line, ('0x' || substr(md5(lines[i]), 1, 8))::BIGINT % 2147483647 AS h, i = len(lines) AS last
+  FROM (SELECT k, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), e AS (
+  SELECT k, i, line, last OR ((h + coalesce(lag(h, 1) OVER w, 0) * 1000003 % 2147483647 + coalesce(lag(h, 2) OVER w, 0) * ((1000003::BIGINT * 1000003) % 2147483647) % 2147483647) % 2147483647) % 4 = 0 AS ends
+  FROM l WINDOW w AS (PARTITION BY k ORDER BY i)
+), n AS (
+  SELECT k, i, line, coalesce(sum(ends::INT) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e
+), c AS (
+  SELECT k, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY k, pos
+), r AS (
+  SELECT c.k, c.pos, c.lines, chunk, c.lines > 1 AND row_number() OVER (PARTITION BY chunk ORDER BY d.doc_id NULLS FIRST, md5(d.text), pos) > 1 AS gone FROM c JOIN d USING (k)
+), s AS (
+  SELECT k, sum(lines)::BIGINT AS n_lines, coalesce(sum(lines) FILTER (NOT gone), 0)::BIGINT AS n_kept, count(*) FILTER (gone) AS n_removed,
+    md5(coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_md5
+  FROM r GROUP BY k
+)
+SELECT doc_id, n_lines, n_kept, n_removed::BIGINT AS n_removed, kept_md5 FROM s JOIN d USING (k)
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
+"""
+
+OP4 = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    CASE WHEN strlen(coalesce(html, '')) >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS top
+  FROM pages
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM p
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": OP1,
+    "op2_line_dedup": OP2,
+    "op4_warc": OP4,
     "op8_decontaminate": OP8,
 }
