@@ -3,7 +3,7 @@
 Grades: 0 not toxic, 1 toxic, 2 toxic with more telling words than the median of toxic
 documents. P(grade >= k) is the logistic function of w.x - t[k] with one w for all k and
 t[1] <= t[2]; the expected severity is the sum of both. x has, for each chosen feature,
-whether it occurs, and the logarithm of the number of telling words. Features are words
+whether it occurs, whether there are telling words, and the logarithm of their number. Features are words
 and the character 4-, 5- and 6-grams of words (with a mark before and after a word), so
 unseen forms of a known stem count.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ class Severity:
 
     def __init__(self, places: dict[int, int], telling: set[int]):
         self.places, self.telling = places, telling
-        self.weights, self.thresholds = np.zeros(len(places) + 1), np.array([np.inf, np.inf])
+        self.weights, self.thresholds = np.zeros(len(places) + 2), np.array([np.inf, np.inf])
         self.known: dict[bytes, tuple[tuple[int, ...], bool]] = {}
 
     def of_word(self, word: bytes) -> tuple[tuple[int, ...], bool]:
@@ -78,19 +79,24 @@ class Severity:
                 telling += tells
         return found, telling
 
-    def fit(self, x: np.ndarray, grade: np.ndarray, rounds: int = 400) -> None:
-        """Cumulative-link likelihood with shrinkage, by accelerated gradient steps."""
+    def fit(self, x: np.ndarray, grade: np.ndarray, rounds: int = 250, shrink: float = 3e-3) -> None:
+        """Cumulative-link likelihood with shrinkage, by accelerated gradient steps.
+
+        Toxic and other rows weigh the same in sum, so 0.5 is a fair threshold for rare grades too.
+        """
         n, d = x.shape
+        weight = np.where(grade > 0, n / (2 * max(1, (grade > 0).sum())), n / (2 * max(1, (grade == 0).sum())))
         w, t = np.zeros(d), np.array([1.0, 2.0])
         m, v = np.zeros(d + 2), np.zeros(d + 2)
         for step in range(1, rounds + 1):
-            p1, p2 = (1 / (1 + np.exp(-np.clip(x @ w - c, -30, 30))) for c in t)
+            strength = x @ w.astype(np.float32)
+            p1, p2 = (1 / (1 + np.exp(-np.clip(strength.astype(np.float64) - c, -30, 30))) for c in t)
             g = np.where(grade == 0, -p1, np.where(grade == 1, 1 - p1 - p2, 1 - p2))  # of the log likelihood by w.x
             gap = np.maximum(p1 - p2, 1e-9)
             s1, s2 = p1 * (1 - p1), p2 * (1 - p2)
             g1 = np.where(grade == 0, p1, np.where(grade == 1, -s1 / gap, 0))
             g2 = np.where(grade == 1, s2 / gap, np.where(grade == 2, -(1 - p2), 0))
-            gradient = np.concatenate([x.T @ g / n - 3e-4 * w, [g1.mean(), g2.mean()]])
+            gradient = np.concatenate([(g * weight).astype(np.float32) @ x / n - shrink * w, [(g1 * weight).mean(), (g2 * weight).mean()]])
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w, t = w + move[:d], t + move[d:]
@@ -102,8 +108,9 @@ class Severity:
         s = np.zeros(len(texts))
         for k, t in enumerate(texts):
             found, telling = self.sparse(t)
-            s[k] = self.weights[sorted(found)].sum() + self.weights[-1] * np.log1p(telling)
-        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - s[:, None], -700, 700)))
+            s[k] = self.weights[sorted(found)].sum() + self.weights[-2] * (telling > 0) + self.weights[-1] * np.log1p(telling)
+        with np.errstate(over="ignore"):  # an endless threshold is chance 0
+            return 1 / (1 + np.exp(self.thresholds[None, :] - s[:, None]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Severity:
@@ -116,10 +123,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return Severity({}, set())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, CELLS), np.int32)
+        counts, cells_in = np.zeros((2, CELLS), np.int32), lru_cache(CACHE // 4)(cells_of)
         for flags, texts in blocks(batches):
             for toxic, text in zip(flags.to_pylist(), texts, strict=True):
-                cells = set().union(*map(cells_of, set(words_of(text))))
+                cells = set().union(*map(cells_in, set(words_of(text))))
                 counts[int(toxic > 0), list(cells)] += 1
         some = np.flatnonzero(counts.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], ["cell", "clean", "toxic"])
@@ -139,11 +146,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
 
     kind = rows.schema["toxic"].dataType.simpleString()
     sparse = rows.select("toxic", "text").mapInArrow(vector, f"toxic {kind}, places array<int>, telling bigint").orderBy("toxic", "telling", "places").limit(2 * sample).toPandas()
-    x = np.zeros((len(sparse), len(best) + 1), np.float32)
+    x = np.zeros((len(sparse), len(best) + 2), np.float32)
     for k, places in enumerate(sparse["places"]):
         x[k, places] = 1
     telling = sparse["telling"].to_numpy()
-    x[:, -1] = np.log1p(telling)
+    x[:, -2], x[:, -1] = telling > 0, np.log1p(telling)
     toxic = sparse["toxic"].to_numpy() > 0
     middle = np.median(telling[toxic])
     model.fit(x, np.where(toxic, np.where(telling > middle, 2, 1), 0))
