@@ -14,9 +14,9 @@ equal ids by the hash of their texts). The index, a Parquet table beside the fil
 (file, offset, length, doc_id, n_tokens) of each record, for shuffled reads.
 
 Encoding: the ids are the tokenizers library's own. A text is cut before each white-space
-character where its pattern cuts in any case (no two white-space characters in a row, only
-space and newline among them), its distinct pieces go to the library once, and are looked
-up after that; all other texts go to the library whole.
+character where its pattern cuts in any case (single spaces and newlines inside the text
+and no other white space), its distinct pieces go to the library once, and are looked up
+after that; all other texts go to the library whole.
 
 Defined cases. Null and empty texts are the end id alone. Repeated rows are repeated
 records. A null id is an empty key, read back as null. The special token's string in a text is
@@ -30,11 +30,12 @@ as its file is read.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import filterfalse
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -50,12 +51,10 @@ if TYPE_CHECKING:
 
 END_ID = 0
 #: Pieces that a worker remembers at most.
-CACHE = 400_000
+CACHE = 700_000
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
 DELTA = 0xA282EAD8
-#: White space that isn't a single space or newline.
-ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|[ \n][ \n]")
 #: A newline or none, letters, a mark or none: the pattern cuts between these parts.
 PARTS = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,!?;:]?)")
 
@@ -85,59 +84,71 @@ def unframed(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at += n + 17
 
 
+class Pieces(dict):
+    """The ids of pieces, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
+
+
 class Encoder:
     """The library's ids of a text as bytes of ``width`` each."""
 
     def __init__(self, tokenizer_file: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer: Tokenizer = Tokenizer.from_file(tokenizer_file)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.width == 2 else "I"
+        self.known = Pieces(self.piece)
         # the byte-level alphabet: printable bytes stand for themselves, others follow from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        self.space = chr(self.alphabet[32])
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = type(self.tokenizer.pre_tokenizer).__name__
         self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        self.ids = self.tokenizer.model.tokenize
+        self.marks = {m: self.whole(m) for m in ".,!?;:"}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return array(self.code, ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def piece(self, piece: str, space: str = " ") -> bytes:
+    def piece(self, piece: str) -> bytes:
         """A piece that has lost its space; one that begins with a newline never had one."""
+        if piece.isascii():
+            if piece.isalpha():  # the commonest: letters are their own alphabet
+                return self.pack([t.id for t in self.ids(self.space + piece)])
+            if piece[-1:] in self.marks and piece[:-1].isalpha():
+                return self.known[piece[:-1]] + self.marks[piece[-1]]
+        space = "" if piece.startswith("\n") else " "
         parts = PARTS.fullmatch(piece)
-        if piece.startswith("\n"):
-            space = ""
         if not parts:
             return self.whole(space + piece)
         line, word, mark = parts.groups()
         bytelike = [p.encode().decode("latin-1").translate(self.alphabet) for p in (line, space + word, mark) if p]
-        return self.pack([t.id for p in bytelike for t in self.tokenizer.model.tokenize(p)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for t in texts:
-            plain = self.by_piece and t and not ODD_SPACE.search(t) and not any(s in t for s in self.specials)
-            split.append(t.replace("\n", " \n").split(" ") if plain else None)
-        fresh: set[str] = set()
-        for pieces in split:
-            if pieces:
-                fresh.update(filterfalse(self.known.__contains__, pieces[1:]))
-        if len(self.known) + len(fresh) > CACHE:
+        return self.pack([t.id for p in bytelike for t in self.ids(p)])
+
+    def encode(self, text: str) -> bytes:
+        """All ids of a text."""
+        flat = text.replace("\n", " ")
+        # any white space but single spaces and newlines inside the text, and the library gets it whole
+        if not self.by_piece or " ".join(text.split()) != flat or any(s in text for s in self.specials):
+            return self.whole(text)
+        if len(self.known) > CACHE:
             self.known.clear()
-            fresh = {p for pieces in split if pieces for p in pieces[1:]}
-        for p in fresh:
-            self.known[p] = self.piece(p)
-        get = self.known.__getitem__
-        return [self.whole(t) if p is None else b"".join((self.piece(p[0], ""), *map(get, p[1:]))) for t, p in zip(texts, split, strict=True)]
+        first, *rest = (text if "\n" not in text else text.replace("\n", " \n")).split(" ")
+        return b"".join((self.whole(first), *map(self.known.__getitem__, rest)))
 
 
 #: The encoder that a worker has made last, by its file.
@@ -165,7 +176,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         end = own.pack([end_id])
         for keys, texts in blocks(batches):
             out = []
-            for key, ids in zip(keys.to_pylist(), own.encode([t.decode("utf-8", "replace") for t in texts]), strict=True):
+            for key, text in zip(keys.to_pylist(), texts, strict=True):
+                ids = own.encode(text.decode("utf-8", "replace"))
                 name = b"" if key is None else key.encode()
                 out.append(framed(struct.pack("<BI", own.width, len(name)) + name + ids + end))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
