@@ -1 +1 @@
-
+"""Scalar functions on colours, sizes and names, as column expressions."""

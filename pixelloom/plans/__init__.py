@@ -1 +1 @@
-
+"""Plans: corpora, options, jobs, and the registered queries."""
