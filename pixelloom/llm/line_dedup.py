@@ -16,7 +16,8 @@ replaced; all others go through.
 Scale. All on the JVM, no Python. First only hashes of chunks are shuffled, combined
 before; only chunks whose hash occurs again are shuffled with their bytes, and grouped by
 them, combined before, so a passage in a third of all documents is one row a task. Joins
-are on hashes; adaptive execution splits hot ones. What is removed is joined back by
+are by shuffle at every size, since what is repeated grows with the corpus and is never
+broadcast; adaptive execution splits hot keys. What is removed is joined back by
 document. Positions gathered in a row are those of one document.
 """
 
@@ -79,13 +80,13 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) ->
     pieces = pieces.select("doc_id", "chunk_text", "c.pos", "c.chunk", F.xxhash64("c.chunk").alias("h1"), F.hash("c.chunk").alias("h2"), F.length("c.chunk").alias("h3"))
     marks = ["h1", "h2", "h3"]
     again = saved(pieces.groupBy(*marks).count().filter("count > 1").drop("count"), "chunks-again")
-    same = saved(pieces.join(again, marks), "chunks-same")
+    same = saved(pieces.join(again.hint("merge"), marks), "chunks-same")
     place = F.struct("doc_id", "chunk_text", "pos")
     first = same.groupBy("h1", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = same.join(first, ["h1", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
+    later = same.join(first.hint("merge"), ["h1", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
     gone = saved(later.groupBy("doc_id", "chunk_text").agg(F.collect_set("pos").alias("chunk_gone")), "chunks-gone")
     gone = gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("chunk_text", "gone_text")
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("chunk_text") == F.col("gone_text")), "left")
+    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("chunk_text") == F.col("gone_text")), "left")
     kept = joined.withColumn("chunk_kept", F.when(F.col("chunk_gone").isNotNull(), F.filter(chunk_list(), lambda c: ~F.array_contains("chunk_gone", c["pos"]))))
     untouched = F.col("chunk_kept").isNull()
     n_lines = F.coalesce(F.size("chunk_lines"), F.lit(0)).cast("long")
