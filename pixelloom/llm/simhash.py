@@ -312,7 +312,7 @@ def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int
     counts = stays.groupBy("doc_id").count()
     repeated = saved(counts.filter("count > 1").select(F.col("doc_id").alias("same_id")), "simhash-repeated")
     gone = found.join(stays.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_anti").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
+    left = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
     if repeated.isEmpty():
         return left
     # rows that share an id: the smallest of each by all columns in order
