@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import colour as C
+from ..image import unpack
 from ..operators import pixels as P
+from ..operators import raster as R
+from ..sources import encode, files, stream
 from . import corpora, options, paths
 from .corpora import SIDE, read
 
@@ -189,6 +194,49 @@ def pipeline_full(spark: SparkSession, d: str) -> DataFrame:
     return P.brighten(p, 120)
 
 
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    return files.pack_pixels(corpora.pixels(spark, d))
+
+
+def exploded(change: Callable) -> Query:
+    """Packed images through an operator in arrays, exploded."""
+    return lambda spark, d: files.explode_pixels(files.mapped(packed(spark, d), change))
+
+
+def encoded(spark: SparkSession, d: str) -> DataFrame:
+    """Each image as a file of one of five formats."""
+    forms = sorted(encode.ENCODERS)
+    schema = T.StructType([T.StructField("image_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
+
+    def one(row: dict) -> tuple:
+        form = forms[row["image_id"] % len(forms)]
+        content = encode.ENCODERS[form](unpack(row).but(gamma=None))
+        content = gzip.compress(content, mtime=0) if row["image_id"] % 7 == 0 else content
+        return row["image_id"], f"{row['image_id']}.{form}", stream.with_trailing(content, f"-rotate 90 -bright {row['image_id'] % 50 + 50}") if row["image_id"] % 7 == 1 else content
+
+    return files.each(packed(spark, d), one, schema)
+
+
+def decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Images encoded in five formats, some compressed, decoded and exploded again."""
+    return files.explode_pixels(files.decode(encoded(spark, d)))
+
+
+def identify(spark: SparkSession, d: str) -> DataFrame:
+    found = files.identify(encoded(spark, d).select("path", "content"))
+    return found.select("path", "format", "status", "width", "height", "depth", F.coalesce("colors", F.lit(0)).alias("colors"), "description")
+
+
+def trailing_options(spark: SparkSession, d: str) -> DataFrame:
+    return files.options_of(encoded(spark, d).select("path", "content"))
+
+
+def job_packed(spark: SparkSession, d: str) -> DataFrame:
+    """The job of ``pipeline_full`` on packed images."""
+    job = options.parse("-clip 1,1,6,5 -rotate 90 -xzoom 150 -yzoom 200 -smooth -gray -normalize -brighten 120 -gamma 1.0 x".split()).jobs[0]
+    return files.explode_pixels(files.process(packed(spark, d), job))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "pixels": corpora.pixels,
@@ -242,5 +290,16 @@ def queries() -> dict[str, Query]:
         "sensor_name": sensor_name,
         "scalar_arithmetic": scalars,
         "pipeline_full": pipeline_full,
+        "pipeline_packed": job_packed,
+        "decode_roundtrip": decode_roundtrip,
+        "identify": identify,
+        "trailing_options": trailing_options,
+        "smooth_packed": exploded(R.smooth),
+        "halftone_packed": exploded(R.halftone),
+        "zoom_packed": exploded(lambda r: R.zoom(r, 150, 150)),
+        "clip_packed": exploded(lambda r: R.clip(r, -2, -1, 10, 10)),
+        "reduce_n": exploded(lambda r: R.reduce(r, 16)),
+        "reduce_dither": exploded(lambda r: R.reduce(r, 16, True)),
+        "dither_fs": exploded(R.dither),
     }
     return found

@@ -169,3 +169,14 @@ ORACLE_SQL = {
         f", cut AS (SELECT image_id, x - 1 AS x, y - 1 AS y, r, g, b FROM c1 WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5), rot AS (SELECT image_id, (4 - y)::INT AS x, x AS y, r, g, b FROM cut), zo AS ({zoomed('rot', 5, 6, 150, 200)}), sm AS ({smoothed('zo')}), lev AS (SELECT {PLACE}, {LEVEL} // 256 AS level FROM sm)",
     ),
 }
+BLACK_BITS = "SELECT image_id, x, y, (1 - idx) * 255 AS r, (1 - idx) * 255 AS g, (1 - idx) * 255 AS b FROM"
+ORACLE_SQL |= {
+    "pipeline_packed": ORACLE_SQL["pipeline_full"],
+    "decode_roundtrip": ORACLE_SQL["pixels"],
+    "identify": over_c1("SELECT path, form AS format, 'ok' AS status, 8 AS width, 8 AS height, 24 AS depth, 0 AS colors, path || ' is a 8x8 ' || description || ' image with depth 24' AS description FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, ['bmp', 'png', 'pnm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS form, ['BMP', 'PNG', 'portable bitmap, graymap or pixmap', 'Sun raster', 'Targa'][(image_id % 5 + 1)::INT] AS description FROM im)"),
+    "trailing_options": over_c1("SELECT image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, CASE WHEN image_id % 7 = 1 THEN '-rotate 90 -bright ' || (image_id % 50 + 50) END AS options FROM im"),
+    "smooth_packed": ORACLE_SQL["smooth_1"],
+    "halftone_packed": BLACK_BITS + f" ({ORACLE_SQL['halftone']})",
+    "zoom_packed": ORACLE_SQL["zoom_150"],
+    "clip_packed": ORACLE_SQL["clip_border"],
+}

@@ -1 +1 @@
-
+"""Sources and sinks: image files to packed rows and back."""
