@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +33,28 @@ NAMES = {
 }
 
 
+#: Names that a system's own list adds: fill it with ``read_names``.
+MORE_NAMES: dict[str, tuple[int, int, int]] = {}
+
+
+def read_names(text: str) -> dict[str, tuple[int, int, int]]:
+    """Names of a list in the usual form, "red green blue name" a line; ! begins a comment."""
+    lines = (re.fullmatch(r"\s*(\d+)\s+(\d+)\s+(\d+)\s+(.*?)\s*", x) for x in text.splitlines())
+    return {m[4].lower(): (int(m[1]), int(m[2]), int(m[3])) for m in lines if m}
+
+
+@cache
 def colour_names() -> dict[str, tuple[int, int, int]]:
-    """All names: the list, without spaces and with the other spelling of gray, and gray0 to gray100 by rule."""
+    """All names: the list, without spaces and with the other spelling of gray, gray0 to gray100 by rule, and MORE_NAMES."""
     found = {}
     for name, code in NAMES.items():
         for spelling in {name, name.replace("gray", "grey")}:
             rgb = tuple(bytes.fromhex(code))
             found[spelling] = found[spelling.replace(" ", "")] = rgb
     for percent in range(101):
-        level = int(percent * 255 / 100 + 0.5)
+        level = int(percent * 2.55 + 0.5)
         found[f"gray{percent}"] = found[f"grey{percent}"] = (level,) * 3
-    return found
+    return found | MORE_NAMES
 
 
 def names_table(spark: SparkSession) -> DataFrame:

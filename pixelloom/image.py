@@ -101,7 +101,7 @@ def pack(image_id: int | None, r: Raster) -> tuple:
     """A row of PACKED."""
     wide = r.type == RGB and r.used > 256
     data = r.pixels.astype(">u2" if wide else np.uint8).tobytes()
-    colours = [tuple(c) for c in r.palette.tolist()] if r.type != TRUE else None
+    colours = [dict(zip(COLOUR.names, c, strict=True)) for c in r.palette.tolist()] if r.type != TRUE else None
     return image_id, r.title, r.type, r.width, r.height, r.depth, r.gamma, colours, data
 
 

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..image import PACKED, pack, unpack
 from ..operators import raster as R
@@ -37,16 +39,17 @@ def scan(spark: SparkSession, path: str, stream: bool = False, pattern: str | No
     return reader.load(path).select("path", "content")
 
 
-def each(df: DataFrame, change: Callable[[pd.Series], tuple | None], schema: T.StructType) -> DataFrame:
+def each(df: DataFrame, change: Callable[[dict], tuple | None], schema: T.StructType) -> DataFrame:
     """A row at a time within Arrow batches; rows that become None are left out."""
+    kinds = to_arrow_schema(schema)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 64):
-                rows = [change(row) for row in batch.iloc[k : k + 64].to_dict("records")]
-                yield pd.DataFrame([r for r in rows if r is not None], columns=schema.names).astype(object)
+            for k in range(0, batch.num_rows, 16):  # few at a time: a row may be a large image
+                rows = [r for r in map(change, batch.slice(k, 16).to_pylist()) if r is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.types)], schema=kinds)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode(files: DataFrame, context: Context = Context()) -> DataFrame:
@@ -146,23 +149,22 @@ def write_files(rendered: DataFrame, folder: str, suffix: str = ".png") -> DataF
 
 def explode_pixels(images: DataFrame) -> DataFrame:
     """image_id, x, y, r, g, b of packed images."""
-    schema = "image_id bigint, x int, y int, r int, g int, b int"
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    names = ("image_id", "x", "y", "r", "g", "b")
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_dict("records"):
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 if row["data"] is None:
                     continue
                 r = unpack(row)
-                rgb = (r.colours16() >> 8).reshape(-1, 3)
+                rgb = (r.colours16() >> 8).reshape(-1, 3).astype(np.int32)
                 for k in range(0, len(rgb), 1 << 16):
-                    at = np.arange(k, min(len(rgb), k + (1 << 16)))
-                    part = rgb[at]
-                    yield pd.DataFrame({"image_id": row["image_id"], "x": (at % r.width).astype("int32"), "y": (at // r.width).astype("int32"), **{c: part[:, i].astype("int32") for i, c in enumerate("rgb")}})
+                    part = rgb[k : k + (1 << 16)]
+                    at = np.arange(k, k + len(part), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), row["image_id"], np.int64)), *map(pa.array, (at % np.int32(r.width), at // np.int32(r.width), *np.ascontiguousarray(part.T)))], names)
 
-    return images.select(*PACKED.names).mapInPandas(run, schema)
+    return images.select(*PACKED.names).mapInArrow(run, "image_id bigint, x int, y int, r int, g int, b int")
 
 
 def pack_pixels(pixels: DataFrame) -> DataFrame:
