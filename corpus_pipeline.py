@@ -25,12 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest id.
+    """One document of each component of SimHash links stays, that with the smallest id.
 
-    Shingles have five words here, and 64-bit fingerprints that differ in at most 4 bits
-    are those of texts that share well over 0.8 of their shingles.
+    Links stand for a similarity of 0.8 or more of 5-word shingles.
     """
-    return near_duplicates_removed(docs, shingle=5).select(*COLUMNS)
+    return near_duplicates_removed(docs, shingle=5, similarity=0.8).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ Fingerprint: a text is cut into words (runs of anything but ASCII white space, A
 lower-cased) and all its runs of SHINGLE words, joined by one space, are hashed by XXH64;
 fewer words make one shingle. A bit of the fingerprint is 1 if it is set in more than half
 of the hashes. Fingerprints with at most BITS differing bits are linked; a document's
-component is the smallest doc_id that can be reached over links.
+component is the smallest doc_id that can be reached over links. The 64 bits tell only
+very near copies from others; for a similarity of shingles (0.8, say) fingerprints of
+WORDS words are taken, whose share of differing bits follows it closely.
 
 Self-join: distinct fingerprints stand in a binary trie. Pairs of its nodes are followed
 down together, beginning with each node and itself; a pair's differing bits are added up
@@ -17,7 +19,9 @@ part in the smallest id; a component of null ids alone has the id null. An empty
 gives an empty result. ``near_duplicates_removed`` keeps the row with the component's id;
 of several rows with that id the one whose columns, compared in order, are smallest.
 
-Scale. The trie is dealt out by its first bits: fingerprints are cut into BITS + s blocks,
+Scale. Wide fingerprints are dealt out by bands of bits drawn with a fixed seed, so many
+that a pair of the similarity asked for is missed by all of them with chance MISSED; the
+64-bit ones without any loss: fingerprints are cut into BITS + s blocks,
 and two that differ in at most BITS bits agree in s of these blocks; so each fingerprint
 is sent once for every choice of s blocks, with these bits turned to the front, where the
 budget is 0. s grows with the number of fingerprints (a few dozen in a bucket on average),
@@ -44,6 +48,8 @@ from .common import BROADCAST_ROWS, discard, saved, utf8
 from .token_counts import blocks
 
 SHINGLE, BITS, SEED = 4, 4, 42
+#: Words of a wide fingerprint, and the chance that all bands miss a pair of the similarity asked for.
+WORDS, MISSED = 4, 0.02
 #: Average fingerprints in a bucket that a finer cut isn't worth.
 CROWD = 64
 #: A bucket of more is dealt out in tiles of two parts.
@@ -53,22 +59,7 @@ RUN = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    words = text.lower().split() if text else []
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    length = np.fromiter(map(len, words), np.int64, len(words))
-    end = np.cumsum(length + 1) - 1
-    begin = end - length
-    digest = xxhash.xxh64_intdigest
-    n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begin[:n].tolist(), end[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, n, RUN):
-        ones += np.unpackbits(hashes[k : k + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+    return word_of(hashes_of(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -83,6 +74,27 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(scan, f"doc_id {kind}, fp bigint")
 
 
+def hashes_of(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words; of all words if there are fewer; none without words."""
+    words = text.lower().split() if text else []
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if words else [], np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(length + 1) - 1
+    n = len(words) - shingle + 1
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip((end - length)[:n].tolist(), end[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def word_of(hashes: np.ndarray) -> int:
+    """64 bits: which are set in more than half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), RUN):
+        ones += np.unpackbits(hashes[k : k + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+
+
 def components_of(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
     """Smallest member of each component after the links a-b, from the roots so far."""
     a, b = root[a], root[b]
@@ -100,12 +112,20 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.
     return root
 
 
-def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int = BITS, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the self-join connects: places of linked values, as a forest.
 
-    values: 64-bit, sorted within each bucket, distinct there; all but the last ``free``
-    bits of a bucket's values agree. Buckets follow each other in ``bucket``.
+    values: 64-bit, sorted within each bucket; all but the last ``free`` bits of a bucket's
+    values agree. Buckets follow each other in ``bucket``. rest: further words of each
+    value, one row a word, which count as well; without them values are distinct.
     """
+
+    def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        found = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
+        for word in () if rest is None else rest:
+            found += np.bitwise_count(word[a] ^ word[b])
+        return found
+
     n = len(values)
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     lo, hi = edge[:-1], edge[1:]
@@ -134,13 +154,25 @@ def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int =
         single = (ahi - alo == 1) & (bhi - blo == 1)
         if single.any():
             a, b = alo[single], blo[single]
-            near = np.bitwise_count(values[a] ^ values[b]) <= budget
+            near = differing(a, b) <= budget
             if near.any():
                 root = components_of(n, a[near], b[near], root)
                 changes = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
             alo, ahi, blo, bhi, bits = alo[~single], ahi[~single], blo[~single], bhi[~single], bits[~single]
         if not len(alo):
             continue
+        if not depth:  # values that agree to the end: their further words tell them apart
+            n_a, n_b = ahi - alo, bhi - blo
+            size = n_a * n_b
+            for k in range(0, int(size.sum()), 1 << 20):
+                at = np.arange(k, min(int(size.sum()), k + (1 << 20)))
+                pair = np.searchsorted(np.cumsum(size), at, "right")
+                inside = at - (np.cumsum(size) - size)[pair]
+                a, b = alo[pair] + inside // n_b[pair], blo[pair] + inside % n_b[pair]
+                near = (a != b) & (differing(a, b) <= budget)
+                root = components_of(n, a[near], b[near], root)
+            changes = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
+            continue
         bit = depth - 1
         amid, own = halves(alo, ahi, bit), (alo == blo)
         bmid = np.where(own, amid, halves(blo, bhi, bit))
@@ -185,6 +217,22 @@ def spare_blocks(count: int, budget: int = BITS, crowd: int = CROWD) -> int:
     return 9
 
 
+def gathered(dealt: DataFrame, rows: int, tile: int) -> DataFrame:
+    """Rows of (way, key, fp, ...) with their tile, each bucket's tile in one task and in order."""
+    hot = saved(dealt.groupBy("way", "key").count().filter(F.col("count") > tile).withColumn("parts", F.ceil(F.col("count") / tile).cast("int")).drop("count"), "simhash-hot")
+    if hot.isEmpty():
+        placed = dealt.withColumn("tile", F.lit(0).cast("bigint"))
+    else:
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pair = dealt.join(hot, ["way", "key"], "left").withColumn("part", F.coalesce(part, F.lit(0))).withColumn("other", other)
+        low, high = F.least("part", "other").cast("bigint"), F.greatest("part", "other").cast("bigint")
+        placed = pair.select(*dealt.columns, (high * (high + 1) / 2 + low).cast("bigint").alias("tile"))
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 2_000_000))
+    return placed.repartition(tasks, "way", "key", "tile").sortWithinPartitions("way", "key", "tile", "fp")
+
+
 def links(distinct: DataFrame, count: int, budget: int = BITS, tile: int = TILE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp), enough to connect all that are linked."""
     spare = spare_blocks(count, budget)
@@ -198,23 +246,10 @@ def links(distinct: DataFrame, count: int, budget: int = BITS, tile: int = TILE)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), way, np.int32)), pa.array(key.astype(np.int64)), pa.array(fp.view(np.int64))], ["way", "key", "fp"])
 
     dealt = distinct.select("fp").mapInArrow(deal, "way int, key bigint, fp bigint")
-    crowded = saved(dealt.groupBy("way", "key").count().filter(F.col("count") > 1), "simhash-buckets")
-    # most buckets hold one fingerprint, and those that do aren't sent on
-    hot = crowded.filter(F.col("count") > tile).withColumn("parts", F.ceil(F.col("count") / tile).cast("int")).drop("count")
-    if hot.isEmpty():
-        placed = dealt.withColumn("tile", F.lit(0).cast("bigint"))
-    else:
-        hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pair = dealt.join(hot, ["way", "key"], "left").withColumn("part", F.coalesce(part, F.lit(0))).withColumn("other", other)
-        low, high = F.least("part", "other").cast("bigint"), F.greatest("part", "other").cast("bigint")
-        placed = pair.select("way", "key", "fp", (high * (high + 1) / 2 + low).cast("bigint").alias("tile"))
-    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(ways) // 2_000_000))
-    placed = placed.repartition(tasks, "way", "key", "tile").sortWithinPartitions("way", "key", "tile", "fp")
+    placed = gathered(dealt, count * len(ways), tile)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for way, group, fp in runs(batches):
+        for way, group, (fp,) in runs(batches):
             front, order = ways[way]
             values = turned(fp, order)
             at = np.lexsort((values, group))
@@ -226,18 +261,18 @@ def links(distinct: DataFrame, count: int, budget: int = BITS, tile: int = TILE)
 
 
 def runs(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Whole buckets of one way, up to ``most`` fingerprints or one bucket at a time: way, the buckets' numbers, fingerprints."""
+    """Whole buckets of one way, up to ``most`` rows or one bucket at a time: way, the buckets' numbers, the other columns."""
     held: list[np.ndarray] = []
 
     def flush(rows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for way in np.unique(rows[0]):
             part = rows[:, rows[0] == way]
             new = np.concatenate(([True], (part[1:3, 1:] != part[1:3, :-1]).any(axis=0)))
-            yield int(way), np.cumsum(new), part[3].view(np.uint64)
+            yield int(way), np.cumsum(new), part[3:].view(np.uint64)
 
     for batch in batches:
-        rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 2)])
-        held.append(rows)
+        names = ["way", "key", "tile", *[n for n in batch.schema.names if n not in ("way", "key", "tile")]]
+        held.append(np.stack([batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]))
         if sum(x.shape[1] for x in held) >= most:
             rows = np.concatenate(held, axis=1)
             change = np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0))
@@ -287,10 +322,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(printed: DataFrame, budget: int = BITS, tile: int = TILE) -> DataFrame:
-    """doc_id, fp, component_id of rows of (doc_id, fp)."""
-    distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    stars = connected(links(distinct, distinct.count(), budget, tile))
+def components(printed: DataFrame, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id of rows of (doc_id, fp), or of wide fingerprints if a similarity is given."""
+    words = [F.first(c).alias(c) for c in printed.columns if c not in ("doc_id", "fp")]
+    distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), *words), "simhash-distinct")
+    found = links(distinct, distinct.count(), budget, tile) if similarity is None else similar_links(distinct, distinct.count(), similarity, tile)
+    stars = connected(found)
     # a node that no link ends in is its own root
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = saved(rooted, "simhash-roots")
@@ -299,15 +336,92 @@ def components(printed: DataFrame, budget: int = BITS, tile: int = TILE) -> Data
     return printed.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``."""
-    printed = saved(fingerprints(docs, shingle), "simhash-prints")
-    return components(printed, budget, tile).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
+    """WORDS words: the first is the fingerprint, the others are made of the hashes mixed anew."""
+    hashes, out = hashes_of(text, shingle), []
+    for k in range(WORDS):
+        out.append(word_of(hashes))
+        hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
+        hashes ^= hashes >> np.uint64(29)
+    return out
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fp (a hash of all words) and the words of each row."""
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in blocks(batches):
+            found = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)]], ["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(scan, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    return words.withColumn("fp", F.xxhash64(*names))
+
+
+def differing_share(similarity: float) -> float:
+    """The share of bits that differ, on average, between two texts with this Jaccard similarity of shingles."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_budget(similarity: float) -> int:
+    """The bits that may differ: what a tenth of the pairs of this similarity exceed."""
+    share = differing_share(similarity)
+    return int(64 * WORDS * share + 1.3 * np.sqrt(64 * WORDS * share * (1 - share)))
+
+
+def bands(count: int, similarity: float) -> tuple[int, int]:
+    """Bits of a band, so that evenly spread fingerprints are few in a bucket, and the number of bands that a pair of this similarity misses together with chance MISSED at most."""
+    width = min(48, max(12, int(count // 8).bit_length()))
+    return width, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - differing_share(similarity)) ** width))))
+
+
+def similar_links(distinct: DataFrame, count: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """a, b: links between wide fingerprints (fp, words) with at most the budget of differing bits.
+
+    Each band of bits, drawn with a fixed seed, is the front of a trie of its own.
+    """
+    width, number = bands(count, similarity)
+    budget = wide_budget(similarity)
+    rng = np.random.default_rng(SEED)
+    places = [rng.permutation(64 * WORDS)[:width] for _ in range(number)]
+    names = [f"w{k}" for k in range(WORDS)]
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            bits = np.unpackbits(np.ascontiguousarray(np.stack(columns[1:], axis=1)).view(np.uint8), axis=1)
+            for way, at in enumerate(places):
+                key = bits[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), way, np.int32)), pa.array(key), *batch.columns], ["way", "key", "fp", *names])
+
+    dealt = distinct.select("fp", *names).mapInArrow(deal, "way int, key bigint, fp bigint, " + ", ".join(f"{n} bigint" for n in names))
+    placed = gathered(dealt, count * number, tile)
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group, (fp, *words) in runs(batches):
+            at = np.lexsort((words[0], group))
+            child, parent = trie_forest(words[0][at], group[at], 64, budget, np.stack([w[at] for w in words[1:]]))
+            fp = fp[at].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[parent])], ["a", "b"])
+
+    return placed.mapInArrow(join, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``.
+
+    With a similarity, fingerprints have WORDS words and are linked where no more bits
+    differ than in all but a tenth of the pairs of texts with that Jaccard similarity.
+    """
+    printed = saved(fingerprints(docs, shingle) if similarity is None else wide_fingerprints(docs, shingle), "simhash-prints")
+    return components(printed, budget, tile, similarity).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE) -> DataFrame:
+def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: the one whose id names it."""
-    found = saved(near_duplicates(docs, shingle, budget, tile), "simhash-found")
+    found = saved(near_duplicates(docs, shingle, budget, tile, similarity), "simhash-found")
     stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counts = stays.groupBy("doc_id").count()
     repeated = saved(counts.filter("count > 1").select(F.col("doc_id").alias("same_id")), "simhash-repeated")

@@ -3,32 +3,41 @@ from collections import namedtuple
 
 import numpy as np
 import public_tokenizers
-import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
+from pixelloom.llm.simhash import wide_budget, wide_fingerprint
 from pixelloom.llm.toxicity import learn
 from tests.llm.test_decontaminate import slow as slow_hits
 from tests.llm.test_mixing import slow_mix
-from tests.llm.test_simhash import slow_components
 
 DATA = "/root/testdata/sf0.001"
 
 
-def print_of(text):
-    words = (text or "").encode().lower().split()
-    grams = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-    hashes = np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64)
-    ones = [int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
-    return sum(1 << b for b in range(64) if 2 * ones[b] > len(hashes))
+def slow_wide_components(texts):
+    """Smallest place that links lead to; links by the bits that differ, all pairs compared."""
+    prints = [wide_fingerprint((t or "").encode(), 5) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sum((x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True)) <= wide_budget(0.8):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
 
 
 def test_run_by_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     model = learn(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
     rows = [r for r in docs.collect() if model.chances([(r.text or "").encode()])[0, 0] < 0.5]
-    found = slow_components([(r.doc_id, print_of(r.text)) for r in rows])
-    rows = [r for r, c in zip(rows, found, strict=True) if r.doc_id == c]
+    rows.sort(key=lambda r: r.doc_id)
+    found = slow_wide_components([r.text for r in rows])
+    rows = [r for k, r in enumerate(rows) if found[k] == k]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     rows = [r for r in rows if not slow_hits([(r.doc_id, r.text)], items)[0][2]]
     Row = namedtuple("Row", "doc_id text source")

@@ -90,3 +90,43 @@ def test_one_of_each_group_stays(spark, docs):
 def test_empty_table(spark, no_docs):
     assert S.near_duplicates(no_docs).count() == 0
     assert S.near_duplicates_removed(no_docs).count() == 0
+
+
+def test_copies_of_a_similarity(spark):
+    """Nearly all pairs of 0.8 and more are found, and none of 0.5 and less."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    rows, want = [], {}
+    for g in range(120):
+        text = [rng.choice(words) for _ in range(rng.choice([60, 200, 600]))]
+        rows.append((10 * g, " ".join(text)))
+        shingles = {tuple(text[i : i + 5]) for i in range(len(text) - 4)}
+        for k, share in enumerate((0.005, 0.02, 0.3), 1):
+            other = [w if rng.random() > share else rng.choice(words) for w in text]
+            more = {tuple(other[i : i + 5]) for i in range(len(other) - 4)}
+            want[(10 * g, 10 * g + k)] = len(shingles & more) / len(shingles | more)
+            rows.append((10 * g + k, " ".join(other)))
+    found = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=5, similarity=0.8).collect()}
+    near = [found[b] == found[a] for (a, b), j in want.items() if j >= 0.8]
+    far = [found[b] == found[a] for (a, b), j in want.items() if j <= 0.5]
+    assert len(near) > 100 and sum(near) / len(near) > 0.95
+    assert len(far) > 100 and not any(far)
+    assert all(c // 10 == d // 10 for d, c in found.items())
+
+
+def test_wide_forest_by_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (12, 4), dtype=np.uint64)
+    rows = [b.copy() for b in base for _ in range(9)]
+    for k, r in enumerate(rows):
+        for bit in rng.integers(64 if k % 3 else 0, 256, rng.integers(0, 30)):  # many agree in the first word
+            r[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    values = np.array(rows)
+    values = values[np.argsort(values[:, 0], kind="stable")]
+    child, parent = S.trie_forest(values[:, 0].copy(), np.zeros(len(values), int), 64, 40, values[:, 1:].T.copy())
+    got = S.components_of(len(values), child, parent, np.arange(len(values)))
+    want = np.arange(len(values))
+    near = np.array([[int(np.bitwise_count(a ^ b).sum()) <= 40 for b in values] for a in values])
+    for _ in range(len(values)):
+        want = np.array([want[near[i]].min() for i in range(len(values))])
+    assert got.tolist() == want.tolist()
