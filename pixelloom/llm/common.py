@@ -6,9 +6,13 @@ back, which cuts the lineage with files that outlive any executor.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +68,20 @@ def ascii_lower(c: Column) -> Column:
 def utf8(c: Column) -> Column:
     """The text's bytes; null is empty."""
     return F.coalesce(c.cast("binary"), F.lit("").cast("binary"))
+
+
+#: What a Python worker keeps from one task to the next, for one operator at a time.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A worker's state for ``key``; that of another operator goes, and its memory with it."""
+    if key not in _KEPT:
+        if _KEPT:
+            _KEPT.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:  # else freed memory stays with the process
+                trim(0)
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, utf8
+from .common import kept, saved, utf8
 from .token_counts import blocks
 
 SPAN, GRAM = 10, 5
@@ -200,16 +200,9 @@ def merged(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: The index that a worker has built last, by its broadcast.
-_BUILT: dict[int, Index] = {}
-
-
 def built(shared: Broadcast) -> Index:
-    key = id(shared.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Index(*shared.value)
-    return _BUILT[key]
+    """The index of the broadcast items; a worker builds it once."""
+    return kept(("index", id(shared.value)), lambda: Index(*shared.value))
 
 
 SPANS = "n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"

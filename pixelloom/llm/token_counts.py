@@ -34,15 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import kept, utf8
 
 #: Pieces of more bytes than two machine words hold are left out of the vocabulary.
 LONGEST = 16
 SHIFT = 9
 CACHE = 400_000
 BLOCK_BYTES = 8 << 20
-#: What a worker keeps from one task to the next: the model and the counts of one rank file.
-_KEPT: dict[str, tuple] = {}
 #: A lost split: no real sum of scores comes near it.
 NEVER = -(1 << 60)
 
@@ -153,10 +151,7 @@ def token_counts(docs: DataFrame, rank_file: str) -> DataFrame:
     """doc_id, n_pretokens, n_tokens of each row of (doc_id, text). Workers read ``rank_file`` where they run."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if rank_file not in _KEPT:
-            _KEPT.clear()
-            _KEPT[rank_file] = Unigram(rank_file), {}
-        model, known = _KEPT[rank_file]
+        model, known = kept(("counts", rank_file), lambda: (Unigram(rank_file), {}))
         for ids, texts in blocks(batches):
             split = [t.split() if t else [] for t in texts]
             fresh: set[bytes] = set()

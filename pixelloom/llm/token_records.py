@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, utf8
+from .common import kept, new_path, utf8
 from .token_counts import blocks
 
 if TYPE_CHECKING:
@@ -51,7 +51,7 @@ if TYPE_CHECKING:
 
 END_ID = 0
 #: Pieces that a worker remembers at most.
-CACHE = 700_000
+CACHE = 300_000
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
 DELTA = 0xA282EAD8
@@ -151,15 +151,8 @@ class Encoder:
         return b"".join((self.whole(first), *map(self.known.__getitem__, rest)))
 
 
-#: The encoder that a worker has made last, by its file.
-_KEPT: dict[str, Encoder] = {}
-
-
 def encoder(tokenizer_file: str) -> Encoder:
-    if tokenizer_file not in _KEPT:
-        _KEPT.clear()
-        _KEPT[tokenizer_file] = Encoder(tokenizer_file)
-    return _KEPT[tokenizer_file]
+    return kept(("records", tokenizer_file), lambda: Encoder(tokenizer_file))
 
 
 def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID) -> None:

@@ -31,11 +31,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, utf8
+from .common import kept, saved, utf8
 from .decontaminate import words_of
 from .token_counts import blocks
 
-SAMPLE, FEATURES, CACHE = 12_000, 768, 400_000
+SAMPLE, FEATURES, CACHE = 12_000, 768, 200_000
 #: Cells that features are hashed to.
 CELLS = 1 << 22
 #: Documents that must have a feature, and log-odds that make it telling.
@@ -57,7 +57,6 @@ class Severity:
     def __init__(self, places: dict[int, int], telling: set[int]):
         self.places, self.telling = places, telling
         self.weights, self.thresholds = np.zeros(len(places) + 2), np.array([np.inf, np.inf])
-        self.known: dict[bytes, tuple[tuple[int, ...], bool]] = {}
 
     def of_word(self, word: bytes) -> tuple[tuple[int, ...], bool]:
         cells = cells_of(word)
@@ -65,7 +64,7 @@ class Severity:
 
     def sparse(self, text: bytes | None) -> tuple[set[int], int]:
         """Places of the features that occur, and the number of telling words."""
-        words, known = words_of(text), self.known
+        words, known = words_of(text), kept(("severity", id(self)), dict)
         for w in set(words).difference(known):
             if len(known) >= CACHE:
                 known.clear()
@@ -123,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         return Severity({}, set())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cells_in = np.zeros((2, CELLS), np.int32), lru_cache(CACHE // 4)(cells_of)
+        counts, cells_in = np.zeros((2, CELLS), np.int32), lru_cache(CACHE // 8)(cells_of)
         for flags, texts in blocks(batches):
             for toxic, text in zip(flags.to_pylist(), texts, strict=True):
                 cells = set().union(*map(cells_in, set(words_of(text))))
@@ -154,7 +153,6 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     toxic = sparse["toxic"].to_numpy() > 0
     middle = np.median(telling[toxic])
     model.fit(x, np.where(toxic, np.where(telling > middle, 2, 1), 0))
-    model.known = {}
     return model
 
 
