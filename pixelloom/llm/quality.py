@@ -10,7 +10,8 @@ The labelled rows learned from are at most SAMPLE, the first by hash of doc_id,
 pairs at most PAIRS; both are parameters. Everything scored is the whole text.
 
 Defined cases. Null and empty texts have the features of a text without bytes, and a
-score. Null labels are passed over; of several labels of one id the largest counts.
+score. Null labels are passed over; of several labels of one id the largest counts, of
+several documents the smallest features.
 Without labels of both kinds, every score is 0.5. Equal texts have equal scores. Repeated
 rows stay. Other columns are left out.
 
@@ -133,7 +134,8 @@ def learn(table: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = table.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "features").orderBy("doc_id", "features").limit(2 * sample).toPandas()
+    found = table.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("features").alias("features"))
+    rows = found.orderBy("doc_id").toPandas()
     if rows.empty:
         return Ranking(np.empty((0, 1)), np.empty(0), pairs, cut)
     return Ranking(np.stack(rows["features"].to_numpy()), rows["quality"].to_numpy(), pairs, cut)

@@ -11,7 +11,7 @@ The features, weights and thresholds are learned from at most SAMPLE labelled ro
 first by hash of doc_id: a documented bound. Scores cover all documents and whole texts.
 
 Defined cases. Null and empty texts have no features. Null labels are passed over; of
-several labels of one id the largest counts. Without labels of both kinds nothing is toxic
+several labels of one id the largest counts, of several documents the smallest text. Without labels of both kinds nothing is toxic
 and every severity is 0. Repeated rows stay. ``toxic_removed`` passes all columns through.
 
 Scale. Documents are scored where they are read; nothing is shuffled but counts of the
@@ -115,7 +115,8 @@ class Severity:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Severity:
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", utf8(F.col("text")).alias("text")), "toxicity-sample")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = saved(found.select("toxic", utf8(F.col("text")).alias("text")), "toxicity-sample")
     totals = {r.toxic: r["count"] for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     bad, good = totals.get(True, 0), totals.get(False, 0)
     if not bad or not good:
@@ -144,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             yield pa.RecordBatch.from_arrays([flags, pa.array([sorted(f) for f, _ in found], pa.list_(pa.int32())), pa.array([n for _, n in found], pa.int64())], ["toxic", "places", "telling"])
 
     kind = rows.schema["toxic"].dataType.simpleString()
-    sparse = rows.select("toxic", "text").mapInArrow(vector, f"toxic {kind}, places array<int>, telling bigint").orderBy("toxic", "telling", "places").limit(2 * sample).toPandas()
+    sparse = rows.select("toxic", "text").mapInArrow(vector, f"toxic {kind}, places array<int>, telling bigint").orderBy("toxic", "telling", "places").toPandas()
     x = np.zeros((len(sparse), len(best) + 2), np.float32)
     for k, places in enumerate(sparse["places"]):
         x[k, places] = 1
