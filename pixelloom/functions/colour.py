@@ -187,6 +187,22 @@ def scale_zoom(n: Column) -> Column:
     return F.when(n < 0, (F.lit(100) * F.pow(F.lit(2.0), -n)).cast("int")).otherwise(F.floor(F.lit(100) / F.pow(F.lit(2.0), n)).cast("int"))
 
 
+def best_depth(image: Column, depths: list[int]) -> Column:
+    """The smallest depth that holds an image, else the largest there is."""
+    there = F.array(*[F.lit(d) for d in depths])
+    return F.coalesce(F.array_min(F.filter(there, lambda d: d >= image)), F.array_max(there))
+
+
+def flipped(byte: Column) -> Column:
+    """The bits of a byte in reverse."""
+    return sum((F.when(byte.bitwiseAND(F.lit(1 << k)) != 0, 128 >> k).otherwise(0) for k in range(8)), F.lit(0)).cast("int")
+
+
+def swapped32(v: Column) -> Column:
+    """The bytes of a 32-bit number in reverse."""
+    return sum((F.shiftleft(F.shiftright(v, 8 * k).bitwiseAND(F.lit(255).cast("long")), 24 - 8 * k) for k in range(4)), F.lit(0).cast("long"))
+
+
 def comment_value(comments: Column, name: str) -> Column:
     """The value of name=value in an array of comments."""
     found = F.filter(comments, lambda c: F.substring_index(c, "=", 1) == name)

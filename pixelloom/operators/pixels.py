@@ -57,6 +57,17 @@ def expand_bitmap(ipixels: DataFrame) -> DataFrame:
     return ipixels.select(*PLACE, *[value.alias(c) for c in COLOURS])
 
 
+def recolour(ipixels: DataFrame, foreground: tuple[int, int, int], background: tuple[int, int, int]) -> DataFrame:
+    """True colour of a bitmap in other inks (16 bits, meant for a display): 0 is the background."""
+    inks = {c: (int(0.5 + 65535 * (b / 65535) ** 2.2) >> 8, int(0.5 + 65535 * (f / 65535) ** 2.2) >> 8) for c, b, f in zip(COLOURS, background, foreground, strict=True)}
+    return ipixels.select(*PLACE, *[F.when(F.col("idx") == 0, b).otherwise(f).alias(c) for c, (b, f) in inks.items()])
+
+
+def first_of_name(names: DataFrame) -> DataFrame:
+    """name, position: where each name stands first in a list of (name, position)."""
+    return names.groupBy("name").agg(F.min("position").alias("position"))
+
+
 def palette_lookup(ipixels: DataFrame, palettes: DataFrame) -> DataFrame:
     """The 16-bit colours of indices. One palette an image: gathered into one row a palette, then joined by image."""
     entry = F.struct("idx", "red", "green", "blue")

@@ -185,6 +185,28 @@ def scalars(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def best_depth(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", C.best_depth(F.col("p_size"), [1, 4, 8, 16, 24]).alias("depth"))
+
+
+def goto_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return P.first_of_name(read(spark, d, "part").selectExpr("p_name as name", "p_partkey as position"))
+
+
+def bit_order(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return read(spark, d, "part").select("p_partkey", C.flipped((k % 256).cast("int")).alias("flipped"), C.swapped32((k * 7919) % 4294967296).alias("swapped"))
+
+
+def recolor_bitmap(spark: SparkSession, d: str) -> DataFrame:
+    return P.recolour(P.threshold(corpora.pixels(spark, d)), (0x8080, 0x4040, 0), (0, 0, 0x8080))
+
+
+def text_comment(spark: SparkSession, d: str) -> DataFrame:
+    notes = F.array(F.concat(F.lit("maker="), "p_brand"), F.when(F.col("p_partkey") % 3 > 0, F.concat(F.lit("image_gamma="), (F.col("p_size") / 10).cast("string"))).otherwise("image_gammas"), F.lit("image_gamma=9"))
+    return read(spark, d, "part").select("p_partkey", C.comment_value(notes, "image_gamma").alias("gamma"), C.comment_value(notes, "absent").alias("absent_note"))
+
+
 def pipeline_full(spark: SparkSession, d: str) -> DataFrame:
     """Clip, rotate, zoom, smooth, gray, normalize, brighten: a whole job in its fixed order."""
     p = P.clip(corpora.pixels(spark, d), 1, 1, 6, 5)
@@ -289,6 +311,11 @@ def queries() -> dict[str, Query]:
         "default_gamma": default_gamma,
         "sensor_name": sensor_name,
         "scalar_arithmetic": scalars,
+        "best_depth": best_depth,
+        "goto_lookup": goto_lookup,
+        "bit_order": bit_order,
+        "recolor_bitmap": recolor_bitmap,
+        "comment_value": text_comment,
         "pipeline_full": pipeline_full,
         "pipeline_packed": job_packed,
         "decode_roundtrip": decode_roundtrip,

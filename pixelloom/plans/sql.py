@@ -169,6 +169,15 @@ ORACLE_SQL = {
         f", cut AS (SELECT image_id, x - 1 AS x, y - 1 AS y, r, g, b FROM c1 WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5), rot AS (SELECT image_id, (4 - y)::INT AS x, x AS y, r, g, b FROM cut), zo AS ({zoomed('rot', 5, 6, 150, 200)}), sm AS ({smoothed('zo')}), lev AS (SELECT {PLACE}, {LEVEL} // 256 AS level FROM sm)",
     ),
 }
+INK = "floor(floor(0.5 + 65535 * pow({} / 65535.0::DOUBLE, 2.2::DOUBLE)) / 256)::INT"
+BITS = " + ".join(f"CASE WHEN (k >> {n}) & 1 = 1 THEN {128 >> n} ELSE 0 END" for n in range(8))
+ORACLE_SQL |= {
+    "best_depth": "SELECT p_partkey, CASE WHEN p_size <= 1 THEN 1 WHEN p_size <= 4 THEN 4 WHEN p_size <= 8 THEN 8 WHEN p_size <= 16 THEN 16 ELSE 24 END AS depth FROM part",
+    "goto_lookup": "SELECT p_name AS name, min(p_partkey) AS position FROM part GROUP BY 1",
+    "bit_order": f"SELECT p_partkey, ({BITS})::INT AS flipped, (v % 256 * 16777216 + v // 256 % 256 * 65536 + v // 65536 % 256 * 256 + v // 16777216)::BIGINT AS swapped FROM (SELECT p_partkey, (p_partkey % 256)::INT AS k, p_partkey * 7919 % 4294967296 AS v FROM part)",
+    "recolor_bitmap": over_c1(f"SELECT {PLACE}, " + ", ".join(f"CASE WHEN {LEVEL} // 256 < 128 THEN {INK.format(f)} ELSE {INK.format(b)} END AS {c}" for c, f, b in (("r", 0x8080, 0), ("g", 0x4040, 0), ("b", 0, 0x8080))) + " FROM c1"),
+    "comment_value": "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN (p_size / 10)::VARCHAR ELSE '9' END AS gamma, NULL::VARCHAR AS absent_note FROM part",
+}
 BLACK_BITS = "SELECT image_id, x, y, (1 - idx) * 255 AS r, (1 - idx) * 255 AS g, (1 - idx) * 255 AS b FROM"
 ORACLE_SQL |= {
     "pipeline_packed": ORACLE_SQL["pipeline_full"],
