@@ -51,7 +51,7 @@ if TYPE_CHECKING:
 
 END_ID = 0
 #: Pieces that a worker remembers at most.
-CACHE = 300_000
+CACHE = 200_000
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
 DELTA = 0xA282EAD8

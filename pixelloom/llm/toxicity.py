@@ -35,7 +35,7 @@ from .common import kept, saved, utf8
 from .decontaminate import words_of
 from .token_counts import blocks
 
-SAMPLE, FEATURES, CACHE = 12_000, 768, 200_000
+SAMPLE, FEATURES, CACHE = 12_000, 768, 120_000
 #: Cells that features are hashed to.
 CELLS = 1 << 22
 #: Documents that must have a feature, and log-odds that make it telling.
