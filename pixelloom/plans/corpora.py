@@ -45,6 +45,9 @@ def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_raster(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
     """Each text's bytes as a gray image: image_id, x, y, level. Fans out where the text is."""
     data = F.col("text").cast("binary")
-    levels = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("int"))
-    rows = read(spark, sf_dir, "documents").filter(F.length(data) > 0).select(F.col("doc_id").alias("image_id"), F.posexplode(levels).alias("i", "level"))
-    return rows.select("image_id", (F.col("i") % width).cast("int").alias("x"), F.floor(F.col("i") / width).cast("int").alias("y"), "level")
+    last = F.floor((F.length(data) - 1) / width).cast("int")
+    lines = F.transform(F.sequence(F.lit(0), last), lambda y: F.hex(F.substring(data, y * width + 1, F.lit(width))))
+    rows = read(spark, sf_dir, "documents").filter(F.length(data) > 0).select(F.col("doc_id").alias("image_id"), F.posexplode(lines).alias("y", "line"))
+    wide = rows.select("image_id", "y", "line", F.explode(F.sequence(F.lit(0), (F.length("line") / 2 - 1).cast("int"))).alias("x"))
+    level = F.conv(F.substring(F.col("line"), F.col("x") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return wide.select("image_id", "x", "y", level.alias("level"))
