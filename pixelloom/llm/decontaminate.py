@@ -27,6 +27,7 @@ documents, one index.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -202,7 +203,8 @@ def merged(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def built(shared: Broadcast) -> Index:
     """The index of the broadcast items; a worker builds it once."""
-    return kept(("index", id(shared.value)), lambda: Index(*shared.value))
+    *parts, token = shared.value
+    return kept(("index", token), lambda: Index(*parts))
 
 
 SPANS = "n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
@@ -225,7 +227,7 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GR
     texts = docs.select("doc_id", utf8(F.col("text")).alias("text"))
 
     def against(items: list[tuple[str, bytes]], keyed: DataFrame, schema: str, only_hit: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast((items, span, gram))
+        shared = spark.sparkContext.broadcast((items, span, gram, uuid.uuid4().hex))
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = built(shared)
@@ -288,6 +290,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram:
     for k, items in enumerate(benchmark_blocks(benchmark, block_bytes)):
         if k:
             docs = saved(docs, "decontaminate")
-        hit = hit_by(docs.sparkSession.sparkContext.broadcast((items, span, gram)))
+        hit = hit_by(docs.sparkSession.sparkContext.broadcast((items, span, gram, uuid.uuid4().hex)))
         docs = docs.filter(~hit(utf8(F.col("text"))))
     return docs

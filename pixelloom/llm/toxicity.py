@@ -20,6 +20,7 @@ sample's features. A worker keeps the features of CACHE words at most.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -55,7 +56,7 @@ class Severity:
     """The learned model: cell -> place in x, weights, thresholds, telling cells."""
 
     def __init__(self, places: dict[int, int], telling: set[int]):
-        self.places, self.telling = places, telling
+        self.places, self.telling, self.token = places, telling, uuid.uuid4().hex
         self.weights, self.thresholds = np.zeros(len(places) + 2), np.array([np.inf, np.inf])
 
     def of_word(self, word: bytes) -> tuple[tuple[int, ...], bool]:
@@ -64,7 +65,7 @@ class Severity:
 
     def sparse(self, text: bytes | None) -> tuple[set[int], int]:
         """Places of the features that occur, and the number of telling words."""
-        words, known = words_of(text), kept(("severity", id(self)), dict)
+        words, known = words_of(text), kept(("severity", self.token), dict)
         for w in set(words).difference(known):
             if len(known) >= CACHE:
                 known.clear()
