@@ -16,8 +16,10 @@ with both children of the other.
 Defined cases. No words (null, empty or white space alone): fingerprint zero, linked like
 any other. Equal rows and copies share a fingerprint and so a component. Null ids take no
 part in the smallest id; a component of null ids alone has the id null. An empty table
-gives an empty result. ``near_duplicates_removed`` keeps the row with the component's id;
-of several rows with that id the one whose columns, compared in order, are smallest.
+gives an empty result. ``near_duplicates_removed`` keeps exactly one row of each component,
+told apart by keys of the rows, not by ids: the row with the component's id; of several
+such rows in it the one whose columns, compared in order, are smallest. So an id that is
+null or names rows of several components stays once for each of them.
 
 Scale. Wide fingerprints are dealt out by bands of bits drawn with a fixed seed, so many
 that a pair of the similarity asked for is missed by all of them with chance MISSED; the
@@ -56,6 +58,8 @@ CROWD = 64
 TILE = 50_000
 #: Pairs of nodes that are followed at once.
 RUN = 1 << 16
+#: The key of a row, made when the rows are saved: ids may be null or name several rows.
+ROW = "simhash_row"
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -63,15 +67,24 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of each row."""
+    """doc_id (and the key, if there is one) and fp, the fingerprint as a signed long, of each row."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
             found = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(found.view(np.int64))], ["name", "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(scan, f"doc_id {kind}, fp bigint")
+    named = with_names(docs)
+    return named.mapInArrow(scan, f"name {named.schema['name'].dataType.simpleString()}, fp bigint").select("name.*", "fp")
+
+
+def with_names(docs: DataFrame) -> DataFrame:
+    """name (doc_id and the key, if there is one) and text, as bytes, of each row."""
+    return docs.select(F.struct("doc_id", *[c for c in docs.columns if c == ROW]).alias("name"), utf8(F.col("text")).alias("text"))
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
 
 
 def hashes_of(text: bytes | None, shingle: int) -> np.ndarray:
@@ -324,7 +337,12 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def components(printed: DataFrame, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id of rows of (doc_id, fp), or of wide fingerprints if a similarity is given."""
-    words = [F.first(c).alias(c) for c in printed.columns if c not in ("doc_id", "fp")]
+    return printed.join(named_components(printed, budget, tile, similarity), "fp").select("doc_id", "fp", "component_id")
+
+
+def named_components(printed: DataFrame, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+    """fp, root (the component's own fingerprint), component_id of each distinct fingerprint."""
+    words = [F.first(c).alias(c) for c in printed.columns if c not in ("doc_id", "fp", ROW)]
     distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), *words), "simhash-distinct")
     found = links(distinct, distinct.count(), budget, tile) if similarity is None else similar_links(distinct, distinct.count(), similarity, tile)
     stars = connected(found)
@@ -332,8 +350,7 @@ def components(printed: DataFrame, budget: int = BITS, tile: int = TILE, similar
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = saved(rooted, "simhash-roots")
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = named.join(by_root, "root").select("fp", "component_id")
-    return printed.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return named.join(by_root, "root").select("fp", "root", "component_id")
 
 
 def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
@@ -347,17 +364,17 @@ def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp (a hash of all words) and the words of each row."""
+    """doc_id (and the key, if there is one), fp (a hash of all words) and the words of each row."""
     names = [f"w{k}" for k in range(WORDS)]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
             found = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)]], ["name", *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    words = docs.select("doc_id", utf8(F.col("text")).alias("text")).mapInArrow(scan, f"doc_id {kind}, " + ", ".join(f"{n} bigint" for n in names))
-    return words.withColumn("fp", F.xxhash64(*names))
+    named = with_names(docs)
+    words = named.mapInArrow(scan, f"name {named.schema['name'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
+    return words.select("name.*", *names, F.xxhash64(*names).alias("fp"))
 
 
 def differing_share(similarity: float) -> float:
@@ -420,17 +437,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS,
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it."""
-    found = saved(near_duplicates(docs, shingle, budget, tile, similarity), "simhash-found")
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counts = stays.groupBy("doc_id").count()
-    repeated = saved(counts.filter("count > 1").select(F.col("doc_id").alias("same_id")), "simhash-repeated")
-    gone = found.join(stays.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_anti").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("gone_id")), "left_anti")
-    if repeated.isEmpty():
-        return left
-    # rows that share an id: the smallest of each by all columns in order
-    same = left["doc_id"].eqNullSafe(F.col("same_id"))
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    one = left.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(whole).alias("row")).select("row.*")
-    return left.join(repeated, same, "left_anti").unionByName(one)
+    """``docs`` with one row of each component, one whose id names it."""
+    rows = with_rows(docs)
+    printed = saved(fingerprints(rows, shingle) if similarity is None else wide_fingerprints(rows, shingle), "simhash-prints")
+    found = printed.join(named_components(printed, budget, tile, similarity), "fp")
+    stays = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ROW, "root"), "simhash-stays")
+    counts = stays.groupBy("root").agg(F.min(ROW).alias(ROW), F.count("*").alias("n"))
+    one = saved(counts, "simhash-counts")
+    kept = one.filter("n = 1").select(ROW)
+    repeated = one.filter("n > 1").select("root")
+    if not repeated.isEmpty():
+        # rows of a component that share its id: the smallest by all columns in order
+        same = rows.join(stays.join(repeated, "root", "left_semi").hint("merge"), ROW)
+        whole = F.struct(*[F.col(c) for c in docs.columns], F.col(ROW))
+        kept = kept.union(same.groupBy("root").agg(F.min(whole).alias("row")).select(f"row.{ROW}"))
+    return rows.join(kept.hint("merge"), ROW, "left_semi").select(*docs.columns)

@@ -130,3 +130,14 @@ def test_wide_forest_by_brute_force():
     for _ in range(len(values)):
         want = np.array([want[near[i]].min() for i in range(len(values))])
     assert got.tolist() == want.tolist()
+
+
+def test_a_row_of_each_group_stays_whatever_its_ids(spark):
+    """Null ids of unlike texts, one id in two groups, a null id beside a near copy with an id."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(5)), (7, text(6)), (None, text(6)), (8, text(7))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (7, text(6)), (8, text(7))]
+    for given in ({}, {"shingle": 5, "similarity": 0.8}):
+        kept = S.near_duplicates_removed(docs, **given)
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
