@@ -5,8 +5,12 @@ lower-cased) and all its runs of SHINGLE words, joined by one space, are hashed
 fewer words make one shingle. A bit of the fingerprint is 1 if it is set in more than half
 of the hashes. Fingerprints with at most BITS differing bits are linked; a document's
 component is the smallest doc_id that can be reached over links. The 64 bits tell only
-very near copies from others; for a similarity of shingles (0.8, say) fingerprints of
-WORDS words are taken, whose share of differing bits follows it closely.
+very near copies from others. For a similarity of shingles (0.8, say) fingerprints of
+WORDS words, made of distinct shingles, only propose: what is linked within a loose budget
+of bits is compared by the shingles' hashes, and a link is a pair whose Jaccard similarity
+is that or more. The share of differing bits says little of few shingles, so texts of FEW
+or less propose by shingles: of n, those of the n - ceil(similarity * n) + 1 smallest
+hashes, one of which any two such texts have in common.
 
 Self-join: distinct fingerprints stand in a binary trie. Pairs of its nodes are followed
 down together, beginning with each node and itself; a pair's differing bits are added up
@@ -22,8 +26,12 @@ such rows in it the one whose columns, compared in order, are smallest. So an id
 null or names rows of several components stays once for each of them.
 
 Scale. Wide fingerprints are dealt out by bands of bits drawn with a fixed seed, so many
-that a pair of the similarity asked for is missed by all of them with chance MISSED; the
-64-bit ones without any loss: fingerprints are cut into BITS + s blocks,
+that a pair of the similarity asked for is missed by all of them with chance MISSED, if it
+differs in the average number of bits. Shingles are made again for texts that have others
+proposed, one of each fingerprint, and compared group by group; a group of more than
+PART texts or PART_BYTES is dealt out in tiles. In a tile one text after another is
+compared with all by lists of the texts of each shingle, but for those of the largest
+component so far. The 64-bit ones go without any loss: fingerprints are cut into BITS + s blocks,
 and two that differ in at most BITS bits agree in s of these blocks; so each fingerprint
 is sent once for every choice of s blocks, with these bits turned to the front, where the
 budget is 0. s grows with the number of fingerprints (a few dozen in a bucket on average),
@@ -43,7 +51,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, saved, utf8
@@ -51,7 +59,13 @@ from .token_counts import blocks
 
 SHINGLE, BITS, SEED = 4, 4, 42
 #: Words of a wide fingerprint, and the chance that all bands miss a pair of the similarity asked for.
-WORDS, MISSED = 4, 0.02
+WORDS, MISSED = 4, 0.004
+#: Standard deviations of the differing bits by which a proposed pair may be off the average.
+LOOSE = 4.4
+#: Texts of so few distinct shingles are proposed by shingles.
+FEW = 32
+#: Texts, and bytes of their shingles' hashes, of a group in a part of a tile.
+PART, PART_BYTES = 2000, 16 << 20
 #: Average fingerprints in a bucket that a finer cut isn't worth.
 CROWD = 64
 #: A bucket of more is dealt out in tiles of two parts.
@@ -230,9 +244,10 @@ def spare_blocks(count: int, budget: int = BITS, crowd: int = CROWD) -> int:
     return 9
 
 
-def gathered(dealt: DataFrame, rows: int, tile: int) -> DataFrame:
-    """Rows of (way, key, fp, ...) with their tile, each bucket's tile in one task and in order."""
-    hot = saved(dealt.groupBy("way", "key").count().filter(F.col("count") > tile).withColumn("parts", F.ceil(F.col("count") / tile).cast("int")).drop("count"), "simhash-hot")
+def gathered(dealt: DataFrame, rows: int, tile: int, full: Column | None = None) -> DataFrame:
+    """Rows of (way, key, fp, ...) with their tile, each bucket's tile in one task and in order. full: how many parts a bucket fills, if not by ``tile`` rows each."""
+    filled = F.count("*") / tile if full is None else full
+    hot = saved(dealt.groupBy("way", "key").agg(F.ceil(filled).cast("int").alias("parts")).filter("parts > 1"), "simhash-hot")
     if hot.isEmpty():
         placed = dealt.withColumn("tile", F.lit(0).cast("bigint"))
     else:
@@ -335,16 +350,20 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(printed: DataFrame, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id of rows of (doc_id, fp), or of wide fingerprints if a similarity is given."""
-    return printed.join(named_components(printed, budget, tile, similarity), "fp").select("doc_id", "fp", "component_id")
+def components(printed: DataFrame, budget: int = BITS, tile: int = TILE) -> DataFrame:
+    """doc_id, fp, component_id of rows of (doc_id, fp)."""
+    distinct = distinct_prints(printed)
+    return printed.join(named_components(distinct, links(distinct, distinct.count(), budget, tile)), "fp").select("doc_id", "fp", "component_id")
 
 
-def named_components(printed: DataFrame, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
-    """fp, root (the component's own fingerprint), component_id of each distinct fingerprint."""
-    words = [F.first(c).alias(c) for c in printed.columns if c not in ("doc_id", "fp", ROW)]
-    distinct = saved(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), *words), "simhash-distinct")
-    found = links(distinct, distinct.count(), budget, tile) if similarity is None else similar_links(distinct, distinct.count(), similarity, tile)
+def distinct_prints(printed: DataFrame) -> DataFrame:
+    """Of each fingerprint the smallest doc_id (least), the smallest key and the other columns."""
+    other = [(F.min if c == ROW else F.first)(c).alias(c) for c in printed.columns if c not in ("doc_id", "fp")]
+    return saved(printed.groupBy("fp").agg(F.min("doc_id").alias("least"), *other), "simhash-distinct")
+
+
+def named_components(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """fp, root (the component's own fingerprint), component_id of each distinct fingerprint, by links found."""
     stars = connected(found)
     # a node that no link ends in is its own root
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -354,8 +373,12 @@ def named_components(printed: DataFrame, budget: int = BITS, tile: int = TILE, s
 
 
 def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
-    """WORDS words: the first is the fingerprint, the others are made of the hashes mixed anew."""
-    hashes, out = hashes_of(text, shingle), []
+    """WORDS words of the distinct shingles' hashes, mixed anew for each word."""
+    return wide_words(np.unique(hashes_of(text, shingle)))
+
+
+def wide_words(hashes: np.ndarray) -> list[int]:
+    out = []
     for k in range(WORDS):
         out.append(word_of(hashes))
         hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * k)
@@ -364,17 +387,18 @@ def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id (and the key, if there is one), fp (a hash of all words) and the words of each row."""
+    """doc_id (and the key, if there is one), fp (a hash of all words), the words and the number of distinct shingles of each row."""
     names = [f"w{k}" for k in range(WORDS)]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
-            found = np.array([wide_fingerprint(t, shingle) for t in texts], np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)]], ["name", *names])
+            sets = [np.unique(hashes_of(t, shingle)) for t in texts]
+            found = np.array([wide_words(h) for h in sets], np.uint64).reshape(-1, WORDS)
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)], pa.array(list(map(len, sets)), pa.int64())], ["name", *names, "n_shingles"])
 
     named = with_names(docs)
-    words = named.mapInArrow(scan, f"name {named.schema['name'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
-    return words.select("name.*", *names, F.xxhash64(*names).alias("fp"))
+    words = named.mapInArrow(scan, f"name {named.schema['name'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names) + ", n_shingles bigint")
+    return words.select("name.*", *names, "n_shingles", F.xxhash64(*names).alias("fp"))
 
 
 def differing_share(similarity: float) -> float:
@@ -382,25 +406,25 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def wide_budget(similarity: float) -> int:
-    """The bits that may differ: what a tenth of the pairs of this similarity exceed."""
+def wide_budget(similarity: float, deviations: float = 1.3) -> int:
+    """The bits that may differ: so many standard deviations over the average; a tenth of the pairs of this similarity exceed 1.3."""
     share = differing_share(similarity)
-    return int(64 * WORDS * share + 1.3 * np.sqrt(64 * WORDS * share * (1 - share)))
+    return int(64 * WORDS * share + deviations * np.sqrt(64 * WORDS * share * (1 - share)))
 
 
 def bands(count: int, similarity: float) -> tuple[int, int]:
-    """Bits of a band, so that evenly spread fingerprints are few in a bucket, and the number of bands that a pair of this similarity misses together with chance MISSED at most."""
+    """Bits of a band, so that evenly spread fingerprints are few in a bucket, and the number of bands that miss a pair of this similarity and the average bits together with chance MISSED at most."""
     width = min(48, max(12, int(count // 8).bit_length()))
     return width, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - differing_share(similarity)) ** width))))
 
 
-def similar_links(distinct: DataFrame, count: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """a, b: links between wide fingerprints (fp, words) with at most the budget of differing bits.
+def near_links(distinct: DataFrame, count: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """a, b: links between wide fingerprints (fp, words) with at most the loose budget of differing bits.
 
     Each band of bits, drawn with a fixed seed, is the front of a trie of its own.
     """
     width, number = bands(count, similarity)
-    budget = wide_budget(similarity)
+    budget = wide_budget(similarity, LOOSE)
     rng = np.random.default_rng(SEED)
     places = [rng.permutation(64 * WORDS)[:width] for _ in range(number)]
     names = [f"w{k}" for k in range(WORDS)]
@@ -426,21 +450,125 @@ def similar_links(distinct: DataFrame, count: int, similarity: float, tile: int
     return placed.mapInArrow(join, "a bigint, b bigint")
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all pairs of this Jaccard similarity or more: places in ``sets``, as a forest. Each set is of distinct hashes."""
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    owner = np.repeat(np.arange(n), size)
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    listed = owner[np.argsort(shingle, kind="stable")]  # the owners of each shingle, one list after the other
+    end = np.cumsum(count)
+    begin, own = end - count, np.cumsum(size) - size
+    root, done = np.arange(n), np.zeros(n, bool)
+    while True:
+        # a pair across components has an end outside the largest one
+        rest = np.flatnonzero(~done & (root != np.bincount(root).argmax()))
+        if not len(rest):
+            break
+        i = rest[0]
+        done[i] = True
+        of = shingle[own[i] : own[i] + size[i]]
+        of = of[count[of] > 1]
+        if not len(of):
+            continue
+        common = np.bincount(np.concatenate([listed[a:b] for a, b in zip(begin[of].tolist(), end[of].tolist(), strict=True)]), minlength=n)
+        near = np.flatnonzero((common / np.maximum(size[i] + size - common, 1) >= similarity) & (root != root[i]))
+        if len(near):
+            root = components_of(n, np.full(len(near), i), near, root)
+    child = np.flatnonzero(root != np.arange(n))
+    return child, root[child]
+
+
+def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """way, key, fp, shingles (hashes, as bytes): groups in which pairs of the similarity are, 0 by links, 1 by shingles of texts with few."""
+    stars = connected(near)
+    groups = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+    few = int(FEW / similarity)  # no text of FEW shingles is alike to one of more
+    asked = distinct.join(groups, distinct["fp"] == groups["node"], "left").filter(F.col("root").isNotNull() | F.col("n_shingles").between(1, few))
+    rows = texts.join(asked.select(ROW, "fp", "root").hint("merge"), ROW)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, found in blocks(batches):
+            way, key, fp, held = [], [], [], []
+            for name, text in zip(names.to_pylist(), found, strict=True):
+                hashes = np.unique(hashes_of(text, shingle))
+                n = len(hashes)
+                keys = [] if name["root"] is None else [(0, name["root"])]
+                if n <= few:
+                    # so many of the smallest that the others are too few to be alike
+                    keys += [(1, h) for h in hashes[: sum(k / n >= similarity for k in range(1, n + 1))].view(np.int64).tolist()]
+                for w, k in keys:
+                    way.append(w)
+                    key.append(k)
+                    fp.append(name["fp"])
+                    held.append(hashes.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(way, pa.int32()), pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(held, pa.binary())], ["way", "key", "fp", "shingles"])
+
+    return rows.select(F.struct("fp", "root").alias("name"), utf8(F.col("text")).alias("text")).mapInArrow(deal, "way int, key bigint, fp bigint, shingles binary")
+
+
+def similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int = TILE, part: int = PART) -> DataFrame:
+    """a, b: links between fingerprints whose texts have this similarity of shingles or more, enough to connect all that are proposed."""
+    many = distinct.filter(F.col("n_shingles") > FEW)
+    near = near_links(many, many.count(), similarity, tile)
+    dealt = saved(proposed(distinct, texts, near, shingle, similarity), "simhash-proposed")
+    full = F.greatest(F.count("*") / part, F.sum(F.length("shingles")) / PART_BYTES)
+    placed = gathered(dealt, dealt.count(), part, full)
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, sets in groups_of(batches):
+            child, parent = alike(sets, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[parent])], ["a", "b"])
+
+    return placed.select("way", "key", "tile", "fp", "shingles").mapInArrow(compare, "a bigint, b bigint")
+
+
+def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """fp and sets of each run of rows of (way, key, tile, fp, shingles) with the same first three, but for runs of one row."""
+    last, prints, sets = None, [], []
+    for batch in batches:
+        marks = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:3]])
+        fp, shingles = batch.column(3).to_numpy(), batch.column(4)
+        n = batch.num_rows
+        edge = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), n] if n else []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            mark = tuple(marks[:, a].tolist())
+            if mark != last:
+                if len(sets) > 1:
+                    yield np.concatenate(prints), sets
+                last, prints, sets = mark, [], []
+            prints.append(fp[a:b])
+            sets += [np.frombuffer(x, np.uint64) for x in shingles.slice(a, b - a).to_pylist()]
+    if len(sets) > 1:
+        yield np.concatenate(prints), sets
+
+
+def printed_links(rows: DataFrame, shingle: int, budget: int, tile: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """Rows' fingerprints, and fp, root, component_id of each."""
+    if similarity is None:
+        printed = saved(fingerprints(rows, shingle), "simhash-prints")
+        distinct = distinct_prints(printed)
+        return printed, named_components(distinct, links(distinct, distinct.count(), budget, tile))
+    printed = saved(wide_fingerprints(rows, shingle), "simhash-prints")
+    distinct = distinct_prints(printed)
+    return printed, named_components(distinct, similar_links(distinct, rows, shingle, similarity, tile))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``.
 
-    With a similarity, fingerprints have WORDS words and are linked where no more bits
-    differ than in all but a tenth of the pairs of texts with that Jaccard similarity.
+    With a similarity, fingerprints have WORDS words, and texts are linked that have at
+    least this Jaccard similarity of distinct shingles.
     """
-    printed = saved(fingerprints(docs, shingle) if similarity is None else wide_fingerprints(docs, shingle), "simhash-prints")
-    return components(printed, budget, tile, similarity).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    printed, named = printed_links(docs if similarity is None else with_rows(docs), shingle, budget, tile, similarity)
+    return printed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component, one whose id names it."""
     rows = with_rows(docs)
-    printed = saved(fingerprints(rows, shingle) if similarity is None else wide_fingerprints(rows, shingle), "simhash-prints")
-    found = printed.join(named_components(printed, budget, tile, similarity), "fp")
+    printed, named = printed_links(rows, shingle, budget, tile, similarity)
+    found = printed.join(named, "fp")
     stays = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ROW, "root"), "simhash-stays")
     counts = stays.groupBy("root").agg(F.min(ROW).alias(ROW), F.count("*").alias("n"))
     one = saved(counts, "simhash-counts")

@@ -141,3 +141,52 @@ def test_a_row_of_each_group_stays_whatever_its_ids(spark):
     for given in ({}, {"shingle": 5, "similarity": 0.8}):
         kept = S.near_duplicates_removed(docs, **given)
         assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
+def jaccard_components(texts, similarity=0.8):
+    """Smallest place that links lead to; a link is a pair of this similarity of 5-word shingles."""
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        before = root[:]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) / len(a | b) >= similarity:
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            return root
+
+
+def test_links_are_pairs_of_the_similarity(spark):
+    """Short copies of 0.8 and more are all linked, and pairs just below it aren't, long or short, in tiles or not."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(5000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    texts = []
+    for n in (5, 8, 9, 12, 20, 36, 37, 44, 45):
+        for _ in range(6):
+            base = draw(n)
+            texts += [" ".join(base), " ".join(base + draw(1)), " ".join(base + draw(max(1, (n - 4) // 4))), " ".join(base + draw(max(1, (n - 4) // 4) + 1))]
+    for _ in range(30):  # 0.74 to 0.79 of 104 shingles: within 46 bits mostly
+        base = draw(104)
+        texts += [" ".join(base), " ".join(base + draw(rng.randint(27, 35)))]
+    want = jaccard_components(texts)
+    found = S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), shingle=5, similarity=0.8)
+    assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(want))
+    sets = [np.unique(S.hashes_of(t.encode(), 5)) for t in texts]
+    child, parent = S.alike(sets, 0.8)
+    assert S.components_of(len(sets), child, parent, np.arange(len(sets))).tolist() == want
+
+
+def test_large_groups_are_compared_in_tiles(spark):
+    rng = random.Random(10)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base + [f"x{rng.randrange(9)}" for _ in range(rng.randint(0, 30))]) for _ in range(80)]
+    docs = S.with_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    distinct = S.distinct_prints(S.saved(S.wide_fingerprints(docs, 5), "prints"))
+    links = S.similar_links(distinct, docs, 5, 0.8, part=7)
+    root = {r.fp: r.component_id for r in S.named_components(distinct, links).collect()}
+    assert set(root.values()) == set(jaccard_components(texts))
