@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, utf8
 
-#: Pieces of more bytes than two machine words hold are left out of the vocabulary.
+#: Pieces of more bytes than two machine words hold are looked up by their bytes.
 LONGEST = 16
 SHIFT = 9
 CACHE = 400_000
@@ -46,18 +46,25 @@ NEVER = -(1 << 60)
 
 
 class Unigram:
-    """Pieces as two 64-bit words each, sorted by length class, with scores."""
+    """Pieces as two 64-bit words each, sorted by length class, with scores; the few longer ones by their last 16 bytes."""
 
     def __init__(self, rank_file: str):
         by_length: dict[int, list[tuple[int, int, int]]] = {}
+        #: last 16 bytes as two words -> pieces of more bytes that end so, with scores
+        self.longer: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        self.longest = LONGEST
         with open(rank_file, "rb") as lines:
             for line in lines:
                 piece, rank = line.split()
                 piece = base64.b64decode(piece)
-                if len(piece) <= LONGEST:
-                    word = int.from_bytes(piece, "big")
-                    score = -round(1000 * float(np.log(int(rank) + 1 + SHIFT)))
+                word = int.from_bytes(piece[-LONGEST:], "big")
+                score = -round(1000 * float(np.log(int(rank) + 1 + SHIFT)))
+                if len(piece) > LONGEST:
+                    self.longer.setdefault((word >> 64, word & (1 << 64) - 1), []).append((piece, score))
+                    self.longest = max(self.longest, len(piece))
+                else:
                     by_length.setdefault(len(piece), []).append((word >> 64, word & (1 << 64) - 1, score))
+        self.ends = np.array(sorted({low for _, low in self.longer}), np.uint64)
         self.tables = {}
         for n, pieces in by_length.items():
             pieces.sort(key=lambda p: (p[1], p[0]))
@@ -97,7 +104,7 @@ def trie_counts(words: list[bytes], model: Unigram) -> list[int]:
     # alive: the words longer than this level; node: which of the level's nodes each is in
     alive, node = np.arange(len(order)), np.zeros(len(order), np.int64)
     highs, lows = np.zeros(1, np.uint64), np.zeros(1, np.uint64)  # a node's last 16 bytes
-    # of a node's ancestors 0 to 15 levels up: score, pieces
+    # of a node's ancestors, from 0 levels up to the longest piece's length less 1: score, pieces
     best, pieces = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
     depth = 0
     keep = lengths > 0
@@ -112,8 +119,8 @@ def trie_counts(words: list[bytes], model: Unigram) -> list[int]:
         b = byte[new].astype(np.uint64)
         highs = (highs[parent] << np.uint64(8)) | (lows[parent] >> np.uint64(56))
         lows = (lows[parent] << np.uint64(8)) | b
-        best = [x[parent] for x in best[:LONGEST]]
-        pieces = [x[parent] for x in pieces[:LONGEST]]
+        best = [x[parent] for x in best[: model.longest]]
+        pieces = [x[parent] for x in pieces[: model.longest]]
         top, fewest = np.full(len(parent), NEVER, np.int64), np.zeros(len(parent), np.int64)
         for n in range(1, min(depth, LONGEST) + 1):
             if n > 8:
@@ -125,6 +132,15 @@ def trie_counts(words: list[bytes], model: Unigram) -> list[int]:
             total, many = best[n - 1][i] + score[i], pieces[n - 1][i] + 1
             better = (total > top[i]) | (total == top[i]) & (many < fewest[i])
             top[i[better]], fewest[i[better]] = total[better], many[better]
+        if depth > LONGEST and len(model.ends):
+            word = alive[new]  # a word of each node
+            for i in np.flatnonzero(np.isin(lows, model.ends)).tolist():
+                for piece, score in model.longer.get((int(highs[i]), int(lows[i])), ()):
+                    n, end = len(piece), int(first[word[i]]) + depth
+                    if n <= depth and data[end - n : end].tobytes() == piece:
+                        total, many = best[n - 1][i] + score, pieces[n - 1][i] + 1
+                        if total > top[i] or total == top[i] and many < fewest[i]:
+                            top[i], fewest[i] = total, many
         best.insert(0, top)
         pieces.insert(0, fewest)
         ends = lengths[alive] == depth

@@ -39,3 +39,24 @@ def test_long_and_odd_words():
 
 def test_empty_table(spark, no_docs):
     assert C.token_counts(no_docs, FILE).count() == 0
+
+
+def test_pieces_of_more_than_two_words():
+    """The vocabulary is the whole rank file: pieces of 17 to 128 bytes count as well."""
+    import base64
+
+    pieces = {base64.b64decode(k): -round(1000 * math.log(int(v) + 10)) for k, v in (line.split() for line in open(FILE, "rb"))}
+    longest = max(map(len, pieces))
+
+    def count(word):
+        best = [(0, 0)]
+        for end in range(1, len(word) + 1):
+            best.append(max((best[a][0] + pieces[word[a:end]], best[a][1] - 1) for a in range(max(0, end - longest), end) if word[a:end] in pieces))
+        return -best[-1][1]
+
+    long = [p for p in pieces if len(p) > 16]
+    assert len(long) == 72
+    words = [w for p in long for w in (p, b" " + p, p + b"s", p + p, p[:-1], b" x" + p + b"-y")] + [b" " + b"-" * n for n in range(1, 300, 7)]
+    model = C.Unigram(FILE)
+    assert C.trie_counts(words, model) == [count(w) for w in words]
+    assert C.trie_counts([b" responsibilities", b" telecommunications", b" cryptocurrencies"], model) == [1, 1, 1]
