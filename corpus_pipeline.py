@@ -2,6 +2,14 @@
 
 Counted as part of ``pixelloom.llm``. Every stage takes (spark, docs, sf_dir) and returns
 a DataFrame; all but the last return the columns of ``documents``.
+
+Defined cases, for every stage: any column may be null and ids may repeat, rows are told
+apart as rows. Null and empty texts aren't toxic and hold no benchmark window; all of them
+are near-duplicates of each other, so one stays, and its record is the end id alone. Texts
+are taken whole, whatever their length. Repeated rows are near-duplicates; those that the
+mix makes again stay. Other columns than those of ``documents`` go in the first stage,
+whatever their names. Empty tables give an empty result; without labels of both kinds no
+document is toxic, and without benchmark items none is contaminated.
 """
 
 from __future__ import annotations

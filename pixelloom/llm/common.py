@@ -11,7 +11,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only if it has been counted and has this many rows at most.
 BROADCAST_ROWS = 20_000
+#: Keys with more than this share of a table's rows, and more rows than LEAST_HOT, are joined apart; there can't be more than HOT_KEYS of them.
+HOT_KEYS, LEAST_HOT = 1000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +62,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with marks after it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key, with no key's rows in one task.
+
+    Keys that hold more than one in HOT_KEYS of the rows of ``big`` meet their HOT_KEYS rows
+    or fewer of ``small`` by broadcast, the others by shuffle; in a left join, rows with a
+    null key go to neither. ``big`` is read several times, so it should be a saved step.
+    rows: how many ``big`` has, if that is known.
+    """
+    there = big.filter(F.col(key).isNotNull())
+    rows = there.count() if rows is None else rows
+    hot = None
+    if rows > LEAST_HOT:
+        hot = saved(there.groupBy(key).count().filter(F.col("count") > max(LEAST_HOT, rows / HOT_KEYS)).select(key), "hot-keys")
+        hot = None if hot.isEmpty() else F.broadcast(hot)
+    if hot is None:
+        found = there.join(small.hint("merge"), key, how)
+    else:
+        apart = there.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how)
+        found = there.join(hot, key, "left_anti").join(small.hint("merge"), key, how).unionByName(apart)
+    return found.unionByName(big.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else found
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

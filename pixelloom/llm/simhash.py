@@ -9,38 +9,50 @@ very near copies from others. For a similarity of shingles (0.8, say) fingerprin
 WORDS words, made of distinct shingles, only propose: what is linked within a loose budget
 of bits is compared by the shingles' hashes, and a link is a pair whose Jaccard similarity
 is that or more. The share of differing bits says little of few shingles, so texts of FEW
-or less propose by shingles: of n, those of the n - ceil(similarity * n) + 1 smallest
-hashes, one of which any two such texts have in common.
+or less are compared wherever a shingle proposes them.
 
 Self-join: distinct fingerprints stand in a binary trie. Pairs of its nodes are followed
 down together, beginning with each node and itself; a pair's differing bits are added up
 and the pair is given up when they exceed the budget. Both children of a node are paired
-with both children of the other.
+with both children of the other. The trie of wide fingerprints goes over all their bits,
+and its budget grows with the level: what the similarity makes likely of the bits so far.
 
 Defined cases. No words (null, empty or white space alone): fingerprint zero, linked like
-any other. Equal rows and copies share a fingerprint and so a component. Null ids take no
-part in the smallest id; a component of null ids alone has the id null. An empty table
-gives an empty result. ``near_duplicates_removed`` keeps exactly one row of each component,
-told apart by keys of the rows, not by ids: the row with the component's id; of several
-such rows in it the one whose columns, compared in order, are smallest. So an id that is
-null or names rows of several components stays once for each of them.
-
-Scale. Wide fingerprints are dealt out by bands of bits drawn with a fixed seed, so many
-that a pair of the similarity asked for is missed by all of them with chance MISSED, if it
-differs in the average number of bits. Shingles are made again for texts that have others
-proposed, one of each fingerprint, and compared group by group; a group of more than
-PART texts or PART_BYTES is dealt out in tiles. In a tile one text after another is
-compared with all by lists of the texts of each shingle, but for those of the largest
-component so far. The 64-bit ones go without any loss: fingerprints are cut into BITS + s blocks,
-and two that differ in at most BITS bits agree in s of these blocks; so each fingerprint
-is sent once for every choice of s blocks, with these bits turned to the front, where the
+any other. Very long texts are taken whole. Equal rows and copies share a fingerprint and so a
+component. Null ids take no part in the smallest id; a component of null ids alone has the
+id null. An empty table gives an empty result. ``near_duplicates`` leaves other columns
+out; ``near_duplicates_removed`` passes all through, whatever their names, and keeps
+exactly one row of each component, told apart by keys of the rows, not by ids: the row
+with the component's id; of several such rows in it the one whose columns, compared in
+order, are smallest. So an id that is null or names rows of several components stays once
+for each of them.
+
+Scale. The 64-bit fingerprints go without any loss: they are cut into BITS + s blocks, and
+two that differ in at most BITS bits agree in s of these blocks; so each fingerprint is
+sent once for every choice of s blocks, with these bits turned to the front, where the
 budget is 0. s grows with the number of fingerprints (a few dozen in a bucket on average),
-which changes the work, never the result. Copies are one row a fingerprint by then. A
-bucket that is hot all the same (clusters of near copies) is dealt out in tiles, each pair
-of parts in one task. Within a task pairs are held in bounded runs, depth first, and pairs
-of nodes whose fingerprints are in one component already are skipped, so a cluster costs
-about its size and a task's output is a forest, not all pairs. Components are then joined
-by the large-star small-star method over fingerprints, each round saved.
+which changes the work, never the result.
+
+Wide fingerprints are dealt to tries by the KEYS smallest shingles of their texts, so a
+document costs KEYS copies of its fingerprint however large the corpus is. (Bands of bits
+would be so many more with each doubling: at 0.8 a bit agrees with chance 0.85, and their
+number grows with the fourth root of the corpus.) A pair of similarity 0.8 shares none of
+its KEYS smallest with chance 2 (1/9)^KEYS, 0.00003; texts of FEW shingles or less send so
+many that they can't share none. A shingle in the texts of more than CROWDED fingerprints
+(a common passage) is the exception: its trie is cut by bands of bits, as many as that
+one bucket asks for, and a pair is missed there with chance MISSED unless another shingle
+proposes it too. Shingles are made again for texts that have others proposed, one of each
+fingerprint, and compared group by group; a group of more than PART texts or PART_BYTES is
+dealt out in tiles. In a tile one text after another is compared with all by lists of the
+texts of each shingle, but for those of the largest component so far.
+
+Copies are one row a fingerprint before any join. A bucket that is hot all the same
+(clusters of near copies) is dealt out in tiles, each pair of parts in one task. Within a
+task pairs are held in bounded runs, depth first, and pairs of nodes whose fingerprints
+are in one component already are skipped, so a cluster costs about its size and a task's
+output is a forest, not all pairs. Components are then joined by the large-star small-star
+method over fingerprints, each round saved; a star's centre, a fingerprint with many
+copies and the name of a large component are joined apart (``even_join``).
 """
 
 from __future__ import annotations
@@ -54,7 +66,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, saved, utf8
+from .common import BROADCAST_ROWS, discard, even_join, saved, unused, utf8
 from .token_counts import blocks
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -62,8 +74,12 @@ SHINGLE, BITS, SEED = 4, 4, 42
 WORDS, MISSED = 4, 0.004
 #: Standard deviations of the differing bits by which a proposed pair may be off the average.
 LOOSE = 4.4
-#: Texts of so few distinct shingles are proposed by shingles.
+#: Texts of so few distinct shingles are compared wherever a shingle proposes them.
 FEW = 32
+#: Shingles that propose a longer text.
+KEYS = 5
+#: Fingerprints in a shingle's bucket from which on it is cut by bands of bits.
+CROWDED = 1024
 #: Texts, and bytes of their shingles' hashes, of a group in a part of a tile.
 PART, PART_BYTES = 2000, 16 << 20
 #: Average fingerprints in a bucket that a finer cut isn't worth.
@@ -98,7 +114,9 @@ def with_names(docs: DataFrame) -> DataFrame:
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    return saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "simhash-rows")
+    """Saved rows of doc_id, text, a key of the row, and all other columns in one, so that no name clashes."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return saved(docs.select("doc_id", "text", F.struct(F.lit(0).alias(unused("_", docs.columns)), *others).alias("others"), F.monotonically_increasing_id().alias(ROW)), "simhash-rows")
 
 
 def hashes_of(text: bytes | None, shingle: int) -> np.ndarray:
@@ -139,21 +157,27 @@ def components_of(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.
     return root
 
 
-def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int = BITS, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int | np.ndarray = BITS, rest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what the self-join connects: places of linked values, as a forest.
 
     values: 64-bit, sorted within each bucket; all but the last ``free`` bits of a bucket's
     values agree. Buckets follow each other in ``bucket``. rest: further words of each
-    value, one row a word, which count as well; without them values are distinct.
+    value, one row a word, whose bits continue the trie. budget: how many bits may differ,
+    in all or, as an array, while so many bits are still to come.
     """
+    n = len(values)
+    words = values[None, :] if rest is None else np.vstack([values[None, :], rest])
+    place = np.arange(n) if rest is None else np.lexsort((*words[::-1], bucket))
+    words, bucket = np.ascontiguousarray(words[:, place]), bucket[place]
+    free += 64 * (len(words) - 1)
+    allowed = np.full(free + 1, budget) if np.ndim(budget) == 0 else budget
 
     def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        found = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
-        for word in () if rest is None else rest:
+        found = np.zeros(len(a), np.int64)
+        for word in words:
             found += np.bitwise_count(word[a] ^ word[b])
         return found
 
-    n = len(values)
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     lo, hi = edge[:-1], edge[1:]
     some = hi - lo > 1
@@ -165,10 +189,11 @@ def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int =
 
     def halves(lo: np.ndarray, hi: np.ndarray, bit: int) -> np.ndarray:
         """Where the ones of this bit begin in each node, by bisection of all nodes at once."""
+        word, shift = words[len(words) - 1 - bit // 64], np.uint64(bit % 64)
         a, b = lo.copy(), hi.copy()
         while (open_ := a < b).any():
             mid = (a + b) >> 1
-            one = (values[np.minimum(mid, n - 1)] >> np.uint64(bit)) & np.uint64(1) > 0
+            one = (word[np.minimum(mid, n - 1)] >> shift) & np.uint64(1) > 0
             b = np.where(open_ & one, mid, b)
             a = np.where(open_ & ~one, mid + 1, a)
         return a
@@ -176,30 +201,21 @@ def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int =
     while stack:
         alo, ahi, blo, bhi, bits, depth = stack.pop()
         same = (changes[ahi - 1] == changes[alo]) & (changes[bhi - 1] == changes[blo]) & (root[alo] == root[blo])
-        live = ~same
-        alo, ahi, blo, bhi, bits = alo[live], ahi[live], blo[live], bhi[live], bits[live]
-        single = (ahi - alo == 1) & (bhi - blo == 1)
+        # at the end of the trie a node is a run of equal values
+        single = ~same & (((ahi - alo == 1) & (bhi - blo == 1)) | (depth == 0))
         if single.any():
             a, b = alo[single], blo[single]
-            near = differing(a, b) <= budget
-            if near.any():
+            near = differing(a, b) <= allowed[0]
+            if depth == 0:
+                for x, y in zip(alo[single].tolist() + blo[single].tolist(), ahi[single].tolist() + bhi[single].tolist(), strict=True):
+                    root = components_of(n, np.full(y - x, x), np.arange(x, y), root)
+            if near.any() or depth == 0:
                 root = components_of(n, a[near], b[near], root)
                 changes = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
-            alo, ahi, blo, bhi, bits = alo[~single], ahi[~single], blo[~single], bhi[~single], bits[~single]
+        live = ~same & ~single
+        alo, ahi, blo, bhi, bits = alo[live], ahi[live], blo[live], bhi[live], bits[live]
         if not len(alo):
             continue
-        if not depth:  # values that agree to the end: their further words tell them apart
-            n_a, n_b = ahi - alo, bhi - blo
-            size = n_a * n_b
-            for k in range(0, int(size.sum()), 1 << 20):
-                at = np.arange(k, min(int(size.sum()), k + (1 << 20)))
-                pair = np.searchsorted(np.cumsum(size), at, "right")
-                inside = at - (np.cumsum(size) - size)[pair]
-                a, b = alo[pair] + inside // n_b[pair], blo[pair] + inside % n_b[pair]
-                near = (a != b) & (differing(a, b) <= budget)
-                root = components_of(n, a[near], b[near], root)
-            changes = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
-            continue
         bit = depth - 1
         amid, own = halves(alo, ahi, bit), (alo == blo)
         bmid = np.where(own, amid, halves(blo, bhi, bit))
@@ -209,7 +225,7 @@ def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int =
         y_end = np.concatenate([bmid, bhi, bhi, bmid])
         more = np.concatenate([bits, bits, bits + 1, bits + 1])
         # of a node with itself, one of the two crossed pairs is enough
-        keep = (x < x_end) & (y < y_end) & (more <= budget) & ~np.concatenate([np.zeros(3 * len(own), bool), own])
+        keep = (x < x_end) & (y < y_end) & (more <= allowed[bit]) & ~np.concatenate([np.zeros(3 * len(own), bool), own])
         keep &= ~((x == y) & (x_end - x == 1) & (y_end - y == 1))
         x, x_end, y, y_end, more = x[keep], x_end[keep], y[keep], y_end[keep], more[keep]
         # near pairs first: they make the components by which the others are skipped
@@ -218,7 +234,7 @@ def trie_forest(values: np.ndarray, bucket: np.ndarray, free: int, budget: int =
             i = order[k : k + RUN]
             stack.append((x[i], x_end[i], y[i], y_end[i], more[i], bit))
     child = np.flatnonzero(root != np.arange(n))
-    return child, root[child]
+    return place[child], place[root[child]]
 
 
 def layout(spare: int, budget: int = BITS) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -334,10 +350,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         pairs = both(edges)
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = pairs.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = even_join(pairs.filter("v > u"), least, "u", rows=seen[0]).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = saved(large, "links")
         lower = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.withColumnRenamed("a", "u").join(lower, "u")
+        small = even_join(large.withColumnRenamed("a", "u"), lower, "u")
         star = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
         star = saved(star, "links")
         now = print_of(star)
@@ -353,7 +369,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def components(printed: DataFrame, budget: int = BITS, tile: int = TILE) -> DataFrame:
     """doc_id, fp, component_id of rows of (doc_id, fp)."""
     distinct = distinct_prints(printed)
-    return printed.join(named_components(distinct, links(distinct, distinct.count(), budget, tile)), "fp").select("doc_id", "fp", "component_id")
+    return even_join(printed, named_components(distinct, links(distinct, distinct.count(), budget, tile)), "fp").select("doc_id", "fp", "component_id")
 
 
 def distinct_prints(printed: DataFrame) -> DataFrame:
@@ -369,7 +385,7 @@ def named_components(distinct: DataFrame, found: DataFrame) -> DataFrame:
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = saved(rooted, "simhash-roots")
     by_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(by_root, "root").select("fp", "root", "component_id")
+    return saved(even_join(named, by_root, "root").select("fp", "root", "component_id"), "simhash-named")
 
 
 def wide_fingerprint(text: bytes | None, shingle: int) -> list[int]:
@@ -386,19 +402,30 @@ def wide_words(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id (and the key, if there is one), fp (a hash of all words), the words and the number of distinct shingles of each row."""
+def proposing(n: int, similarity: float) -> int:
+    """How many of a text's n distinct shingles, the smallest by hash, propose it: KEYS, or so many that the others are too few to be alike."""
+    return sum(k / n >= similarity for k in range(1, n + 1)) if n <= few(similarity) else KEYS
+
+
+def few(similarity: float) -> int:
+    """No text of FEW shingles is alike to one of more than this."""
+    return int(FEW / similarity)
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, similarity: float = 0.8) -> DataFrame:
+    """doc_id (and the key, if there is one), fp (a hash of all words), the words, the number of distinct shingles and the proposing ones of each row."""
     names = [f"w{k}" for k in range(WORDS)]
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
             sets = [np.unique(hashes_of(t, shingle)) for t in texts]
             found = np.array([wide_words(h) for h in sets], np.uint64).reshape(-1, WORDS)
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)], pa.array(list(map(len, sets)), pa.int64())], ["name", *names, "n_shingles"])
+            least = pa.array([h[: proposing(len(h), similarity)].view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(WORDS)], pa.array(list(map(len, sets)), pa.int64()), least], ["name", *names, "n_shingles", "proposing"])
 
     named = with_names(docs)
-    words = named.mapInArrow(scan, f"name {named.schema['name'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names) + ", n_shingles bigint")
-    return words.select("name.*", *names, "n_shingles", F.xxhash64(*names).alias("fp"))
+    words = named.mapInArrow(scan, f"name {named.schema['name'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names) + ", n_shingles bigint, proposing array<bigint>")
+    return words.select("name.*", *names, "n_shingles", "proposing", F.xxhash64(*names).alias("fp"))
 
 
 def differing_share(similarity: float) -> float:
@@ -406,45 +433,59 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def wide_budget(similarity: float, deviations: float = 1.3) -> int:
-    """The bits that may differ: so many standard deviations over the average; a tenth of the pairs of this similarity exceed 1.3."""
+def wide_budget(similarity: float, deviations: float = 1.3, bits: int = 64 * WORDS) -> int:
+    """Of so many bits those that may differ: so many standard deviations over the average; a tenth of the pairs of this similarity exceed 1.3."""
     share = differing_share(similarity)
-    return int(64 * WORDS * share + deviations * np.sqrt(64 * WORDS * share * (1 - share)))
+    return int(bits * share + deviations * np.sqrt(bits * share * (1 - share)))
+
+
+def level_budgets(similarity: float) -> np.ndarray:
+    """The loose budget at each level of the trie, by the bits still to come."""
+    return np.array([wide_budget(similarity, LOOSE, 64 * WORDS - k) for k in range(64 * WORDS + 1)])
 
 
 def bands(count: int, similarity: float) -> tuple[int, int]:
     """Bits of a band, so that evenly spread fingerprints are few in a bucket, and the number of bands that miss a pair of this similarity and the average bits together with chance MISSED at most."""
-    width = min(48, max(12, int(count // 8).bit_length()))
+    width = min(40, max(4, int(count // CROWD).bit_length()))
     return width, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - differing_share(similarity)) ** width))))
 
 
-def near_links(distinct: DataFrame, count: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """a, b: links between wide fingerprints (fp, words) with at most the loose budget of differing bits.
+def near_links(distinct: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """a, b: links between wide fingerprints (fp, words) that a shingle proposes and that differ in the loose budget of bits at most.
 
-    Each band of bits, drawn with a fixed seed, is the front of a trie of its own.
+    A shingle's bucket is a trie. One that holds more than CROWDED is cut by bands of
+    bits, drawn with a fixed seed, as many as its size asks for.
     """
-    width, number = bands(count, similarity)
-    budget = wide_budget(similarity, LOOSE)
-    rng = np.random.default_rng(SEED)
-    places = [rng.permutation(64 * WORDS)[:width] for _ in range(number)]
     names = [f"w{k}" for k in range(WORDS)]
-
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            bits = np.unpackbits(np.ascontiguousarray(np.stack(columns[1:], axis=1)).view(np.uint8), axis=1)
-            for way, at in enumerate(places):
-                key = bits[:, at].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), way, np.int32)), pa.array(key), *batch.columns], ["way", "key", "fp", *names])
-
-    dealt = distinct.select("fp", *names).mapInArrow(deal, "way int, key bigint, fp bigint, " + ", ".join(f"{n} bigint" for n in names))
-    placed = gathered(dealt, count * number, tile)
+    budgets = level_budgets(similarity)
+    keyed = distinct.select("fp", *names, F.explode(F.slice("proposing", 1, KEYS)).alias("key"))
+    crowded = saved(keyed.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > CROWDED), "simhash-crowded")
+    dealt = keyed.select(F.lit(0).alias("way"), "key", "fp", *names)
+    if not crowded.isEmpty():
+
+        def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, size, fp, *words = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                cut = np.array([bands(int(n), similarity) for n in size], np.int64).reshape(-1, 2)
+                bits = np.unpackbits(np.ascontiguousarray(np.stack(words, axis=1)).view(np.uint8), axis=1)
+                for width in np.unique(cut[:, 0]).tolist():
+                    for band in range(int(cut[cut[:, 0] == width, 1].max(initial=0))):
+                        i = np.flatnonzero((cut[:, 0] == width) & (cut[:, 1] > band))
+                        at = np.random.default_rng((SEED, width, band)).permutation(64 * WORDS)[:width]
+                        front = bits[np.ix_(i, at)].astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
+                        # bucket and band in one number; where two meet by chance, the trie tells them apart
+                        both = (key[i].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (front.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), band + 1, np.int32)), pa.array(both.view(np.int64)), pa.array(fp[i]), *[pa.array(w[i]) for w in words]], ["way", "key", "fp", *names])
+
+        sized = even_join(keyed, crowded, "key", "left")
+        cut = sized.filter("size is not null").select("key", "size", "fp", *names).mapInArrow(deal, "way int, key bigint, fp bigint, " + ", ".join(f"{n} bigint" for n in names))
+        dealt = saved(sized.filter("size is null").select(F.lit(0).alias("way"), "key", "fp", *names).union(cut), "simhash-dealt")
+    placed = gathered(dealt, dealt.count(), tile)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group, (fp, *words) in runs(batches):
-            at = np.lexsort((words[0], group))
-            child, parent = trie_forest(words[0][at], group[at], 64, budget, np.stack([w[at] for w in words[1:]]))
-            fp = fp[at].view(np.int64)
+            child, parent = trie_forest(words[0], group, 64, budgets, np.stack(words[1:]))
+            fp = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[parent])], ["a", "b"])
 
     return placed.mapInArrow(join, "a bigint, b bigint")
@@ -483,20 +524,19 @@ def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame, shingle: in
     """way, key, fp, shingles (hashes, as bytes): groups in which pairs of the similarity are, 0 by links, 1 by shingles of texts with few."""
     stars = connected(near)
     groups = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
-    few = int(FEW / similarity)  # no text of FEW shingles is alike to one of more
-    asked = distinct.join(groups, distinct["fp"] == groups["node"], "left").filter(F.col("root").isNotNull() | F.col("n_shingles").between(1, few))
-    rows = texts.join(asked.select(ROW, "fp", "root").hint("merge"), ROW)
+    most = few(similarity)
+    short = F.col("n_shingles").between(1, most)
+    asked = distinct.join(groups, distinct["fp"] == groups["node"], "left").filter(F.col("root").isNotNull() | short)
+    rows = texts.select(ROW, "text").join(asked.select(ROW, "fp", "root").hint("merge"), ROW)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, found in blocks(batches):
             way, key, fp, held = [], [], [], []
             for name, text in zip(names.to_pylist(), found, strict=True):
                 hashes = np.unique(hashes_of(text, shingle))
-                n = len(hashes)
                 keys = [] if name["root"] is None else [(0, name["root"])]
-                if n <= few:
-                    # so many of the smallest that the others are too few to be alike
-                    keys += [(1, h) for h in hashes[: sum(k / n >= similarity for k in range(1, n + 1))].view(np.int64).tolist()]
+                if len(hashes) <= most:
+                    keys += [(1, h) for h in hashes[: proposing(len(hashes), similarity)].view(np.int64).tolist()]
                 for w, k in keys:
                     way.append(w)
                     key.append(k)
@@ -509,8 +549,7 @@ def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame, shingle: in
 
 def similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int = TILE, part: int = PART) -> DataFrame:
     """a, b: links between fingerprints whose texts have this similarity of shingles or more, enough to connect all that are proposed."""
-    many = distinct.filter(F.col("n_shingles") > FEW)
-    near = near_links(many, many.count(), similarity, tile)
+    near = near_links(distinct.filter(F.col("n_shingles") > FEW), similarity, tile)
     dealt = saved(proposed(distinct, texts, near, shingle, similarity), "simhash-proposed")
     full = F.greatest(F.count("*") / part, F.sum(F.length("shingles")) / PART_BYTES)
     placed = gathered(dealt, dealt.count(), part, full)
@@ -549,7 +588,7 @@ def printed_links(rows: DataFrame, shingle: int, budget: int, tile: int, similar
         printed = saved(fingerprints(rows, shingle), "simhash-prints")
         distinct = distinct_prints(printed)
         return printed, named_components(distinct, links(distinct, distinct.count(), budget, tile))
-    printed = saved(wide_fingerprints(rows, shingle), "simhash-prints")
+    printed = saved(wide_fingerprints(rows, shingle, similarity), "simhash-prints")
     distinct = distinct_prints(printed)
     return printed, named_components(distinct, similar_links(distinct, rows, shingle, similarity, tile))
 
@@ -561,22 +600,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS,
     least this Jaccard similarity of distinct shingles.
     """
     printed, named = printed_links(docs if similarity is None else with_rows(docs), shingle, budget, tile, similarity)
-    return printed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return even_join(printed, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component, one whose id names it."""
     rows = with_rows(docs)
     printed, named = printed_links(rows, shingle, budget, tile, similarity)
-    found = printed.join(named, "fp")
+    found = even_join(printed.select("doc_id", ROW, "fp"), named, "fp")
     stays = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ROW, "root"), "simhash-stays")
-    counts = stays.groupBy("root").agg(F.min(ROW).alias(ROW), F.count("*").alias("n"))
-    one = saved(counts, "simhash-counts")
+    one = saved(stays.groupBy("root").agg(F.min(ROW).alias(ROW), F.count("*").alias("n")), "simhash-counts")
     kept = one.filter("n = 1").select(ROW)
-    repeated = one.filter("n > 1").select("root")
-    if not repeated.isEmpty():
+    if not one.filter("n > 1").isEmpty():
         # rows of a component that share its id: the smallest by all columns in order
-        same = rows.join(stays.join(repeated, "root", "left_semi").hint("merge"), ROW)
-        whole = F.struct(*[F.col(c) for c in docs.columns], F.col(ROW))
-        kept = kept.union(same.groupBy("root").agg(F.min(whole).alias("row")).select(f"row.{ROW}"))
-    return rows.join(kept.hint("merge"), ROW, "left_semi").select(*docs.columns)
+        same = even_join(stays, one.filter("n > 1").select("root", F.lit(True).alias("several")), "root").select(ROW, "root")
+        whole = F.struct(*[(F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(ROW).alias("key"))
+        least = rows.join(same.hint("merge"), ROW).groupBy("root").agg(F.min(whole).alias("row"))
+        kept = kept.union(least.select(F.col("row.key").alias(ROW)))
+    back = rows.join(kept.hint("merge"), ROW, "left_semi")
+    return back.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])

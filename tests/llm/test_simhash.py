@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from pixelloom.llm import simhash as S
 
@@ -14,7 +15,15 @@ def slow_print(text):
 
 
 def slow_components(prints):
-    """prints: list of (doc_id, fp)."""
+    """Smallest doc_id of each one's component. prints: list of (doc_id, fp)."""
+    root, least = slow_roots(prints), {}
+    for (doc_id, _), r in zip(prints, root, strict=True):
+        if doc_id is not None:
+            least[r] = min(least.get(r, doc_id), doc_id)
+    return [least.get(r) for r in root]
+
+
+def slow_roots(prints):
     n, root = len(prints), list(range(len(prints)))
 
     def find(i):
@@ -26,11 +35,7 @@ def slow_components(prints):
         for j in range(i):
             if (prints[i][1] ^ prints[j][1]).bit_count() <= 4:
                 root[max(find(i), find(j))] = min(find(i), find(j))
-    least = {}
-    for i in range(n):
-        if prints[i][0] is not None:
-            least[find(i)] = min(least.get(find(i), prints[i][0]), prints[i][0])
-    return [least.get(find(i)) for i in range(n)]
+    return [find(i) for i in range(n)]
 
 
 def test_whole_operator(spark, docs):
@@ -80,11 +85,26 @@ def test_finer_cuts_lose_nothing():
 
 
 def test_one_of_each_group_stays(spark, docs):
-    found = S.near_duplicates(docs).collect()
+    """Texts are compared, not ids: an id may be null or name several texts."""
+    rows = docs.collect()
+    prints = [(r.doc_id, slow_print(r.text)) for r in rows]
+    of_row, want = {}, {}
+    for r, root, least in zip(rows, slow_roots(prints), slow_components(prints), strict=True):
+        of_row[tuple(r)] = root
+        want[root] = least
     kept = S.near_duplicates_removed(docs)
     assert kept.columns == docs.columns
-    rows = kept.collect()
-    assert sorted(str(r.doc_id) for r in rows) == sorted({str(r.component_id) for r in found})
+    got = [(of_row[tuple(r)], r.doc_id) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want.items()))
+
+
+def test_unlike_texts_without_an_id_or_with_one_stay(spark):
+    rows = [(None, " ".join(f"t{k}w{i}" for i in range(40)), k) for k in range(10)] + [(7, "first text under this id", 10), (7, "another one, quite unlike it in all of its words", 11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, root int").withColumns({"simhash_row": F.col("root"), "gone_id": F.col("root"), "component_id": F.col("root"), "others": F.col("root"), "fp": F.col("root"), "key": F.col("root"), "whole": F.col("root")})
+    for given in ({}, {"shingle": 5, "similarity": 0.8}):
+        kept = S.near_duplicates_removed(docs, **given)
+        assert kept.columns == docs.columns
+        assert sorted(kept.collect(), key=lambda r: r.root) == sorted(docs.collect(), key=lambda r: r.root)
 
 
 def test_empty_table(spark, no_docs):
