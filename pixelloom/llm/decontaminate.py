@@ -7,19 +7,25 @@ none, is one window. A document word inside any occurrence of a window is hit.
 Fingerprints: of every SPAN - GRAM + 1 consecutive GRAM-word hashes the smallest is kept,
 the last one among equals, in items and documents alike. Two texts that share SPAN words
 share such a run of hashes and so keep the same one: no shared window is missed. Documents
-keep fingerprints only where all words occur in the benchmark. Where a document's and an
-item's fingerprint are equal, the hit is extended word by word in both directions; what is
-SPAN words long or longer is a hit, so equal hashes of different words do no harm.
-Shorter items are looked up by the hash of their whole sequence, one table a length, and
-compared word by word too.
+keep fingerprints only where all words occur in the benchmark. Where a document has a
+fingerprint of the benchmark, the hit is extended to the SPAN - GRAM + 1 windows around it:
+each is looked up among the benchmark's distinct windows and compared word by word, so
+equal hashes of different words do no harm, and a word, line or passage that is repeated
+any number of times on both sides costs its length, not the product. Items of a window are
+listed once. Shorter items are looked up by the hash of their whole sequence, one table a
+length, and compared word by word too.
 
 Defined cases. Null and empty texts have no words. An item without words has no window.
 Repeated item ids count once; an item with a null id counts as one with an empty id. Equal
 rows of documents give equal rows. Other columns of the documents go through in
 ``decontaminate``; its own columns replace those of the same name.
 
-Scale. The index of the benchmark is broadcast, after its bytes were added up: at most
-BLOCK_BYTES of items a block, and with one block, documents are read once, with no shuffle.
+Very long texts are taken whole. Empty tables: no document gives no row, no item hits
+nothing.
+
+Scale. The index of the benchmark is broadcast, after the bytes of its distinct items were
+added up: at most BLOCK_BYTES of items a block (or one item that is longer), and with one
+block, documents are read once, with no shuffle.
 A larger benchmark is held against all documents block by block; then only spans of hit
 documents are shuffled, by a document's id and hash, and merged. Memory: one block of
 documents, one index.
@@ -82,8 +88,50 @@ def winnowed(hashes: np.ndarray, span: int, gram: int) -> np.ndarray:
     return np.unique(at)
 
 
+class Windows:
+    """The distinct runs of n words of the benchmark, sorted by hash, each with the items it occurs in."""
+
+    def __init__(self, ids: np.ndarray, owner: np.ndarray, at: np.ndarray, n: int):
+        self.ids, self.n, self.salt = ids, n, np.uint64(0)
+        at = np.sort(at)
+        while True:  # until different runs have different hashes
+            hashes = self._hash(ids)[at] if len(at) else np.empty(0, np.uint64)
+            order = np.argsort(hashes, kind="stable")
+            first = np.concatenate(([True], np.diff(hashes[order]) > 0))[: len(at)]
+            number = np.cumsum(first) - 1
+            places = at[order]
+            self.at = places[first]
+            if self._same(ids, places, self.at[number]).all():
+                break
+            self.salt += np.uint64(1)
+        self.hashes = hashes[order][first]
+        # the items of run k are owners[edges[k] : edges[k + 1]]
+        pairs = np.unique(np.stack([number, owner[places]]), axis=1) if len(at) else np.empty((2, 0), np.int64)
+        self.owners, self.edges = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.at) + 1))
+
+    def _hash(self, ids: np.ndarray) -> np.ndarray:
+        return gram_hashes(ids, self.n) if not self.salt else gram_hashes(mixed(ids.astype(np.uint64) + self.salt), self.n)
+
+    def _same(self, ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        same = np.ones(len(a), bool)
+        for k in range(self.n):
+            same &= ids[a + k] == self.ids[b + k]
+        return same
+
+    def found(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places in ``ids`` those where one of these runs begins, and its number."""
+        if not len(at) or not len(self.at):
+            return (np.empty(0, np.int64),) * 2
+        hashes = gram_hashes(ids[at[0] : at[-1] + self.n], self.n)[at - at[0]] if not self.salt else self._hash(ids)[at]
+        k = np.minimum(np.searchsorted(self.hashes, hashes), len(self.at) - 1)
+        some = self.hashes[k] == hashes
+        at, k = at[some], k[some]
+        some = self._same(ids, at, self.at[k])
+        return at[some], k[some]
+
+
 class Index:
-    """The benchmark as one array of word numbers, with fingerprints sorted by hash."""
+    """The benchmark as one array of word numbers, with its fingerprints and its distinct windows."""
 
     def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, gram: int = GRAM):
         self.span, self.gram, self.number, self.names = span, gram, {}, []
@@ -100,74 +148,36 @@ class Index:
                 long.append((begin, len(ids)))
             else:
                 short.setdefault(len(words), []).append(begin)
-        self.ids, self.owner = np.array([*ids, 0], np.int64), np.array([*owner, -1], np.int64)
-        at = np.concatenate([winnowed(gram_hashes(self.ids[a:b], gram), span, gram) + a for a, b in long] or [np.empty(0, np.int64)])
-        self.marks = self._sorted(at, gram)
-        self.short = {n: self._sorted(np.array(starts, np.int64), n) for n, starts in short.items()}
-
-    def _sorted(self, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        hashes = gram_hashes(self.ids, n)[at] if len(at) else np.empty(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        return hashes[order], at[order]
-
-    @staticmethod
-    def _pairs(found: np.ndarray, where: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """All (place in the texts, place in the benchmark) with equal hashes."""
-        lo, hi = np.searchsorted(table[0], found), np.searchsorted(table[0], found, "right")
-        some = hi > lo
-        lo, n, where = lo[some], (hi - lo)[some], where[some]
-        first = np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(where, n), table[1][np.arange(n.sum()) - first + np.repeat(lo, n)]
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, end and item of what is hit in an array of word numbers; 0 is a word that no item has."""
-        begins, ends, owners = [], [], []
+        numbers, owners = np.array([*ids, 0], np.int64), np.array([*owner, -1], np.int64)
+        none = [np.empty(0, np.int64)]
+        marks = [gram_hashes(numbers[a:b], gram) for a, b in long]
+        self.marks = np.unique(np.concatenate([h[winnowed(h, span, gram)] for h in marks] or [np.empty(0, np.uint64)]))
+        self.windows = Windows(numbers, owners, np.concatenate([np.arange(a, b - span + 1) for a, b in long] or none), span)
+        self.short = [Windows(numbers, owners, np.array(starts, np.int64), n) for n, starts in sorted(short.items())]
+
+    def hits(self, ids: np.ndarray) -> list[tuple[Windows, np.ndarray, np.ndarray]]:
+        """Windows, the places where they begin in an array of word numbers, their numbers; 0 is a word that no item has."""
+        out = []
         known = ids > 0
         run = np.concatenate(([0], np.cumsum(~known)))  # equal at both ends of a run of known words
-        if len(ids) >= self.span and len(self.marks[0]):
-            whole = run[self.span :] == run[: -self.span]
-            if whole.any():
-                # only stretches with a window of known words are looked at, and each apart
-                edge = np.diff(np.concatenate(([0], known.astype(np.int8), [0])))
-                a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                long = b - a >= self.span
-                for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True):
-                    hashes = gram_hashes(ids[x:y], self.gram)
-                    at = winnowed(hashes, self.span, self.gram)
-                    d, q = self._pairs(hashes[at], at + x, self.marks)
-                    if len(d):
-                        for out, part in zip((begins, ends, owners), self._extended(ids, d, q), strict=True):
-                            out.append(part)
-        for n, table in self.short.items():
-            if len(ids) >= n:
-                at = np.flatnonzero(run[n:] == run[:-n])
-                d, q = self._pairs(gram_hashes(ids, n)[at], at, table)
-                same = np.ones(len(d), bool)
-                for k in range(n):
-                    same &= ids[d + k] == self.ids[q + k]
-                begins.append(d[same])
-                ends.append(d[same] + n)
-                owners.append(self.owner[q[same]])
-        if not begins:
-            return (np.empty(0, np.int64),) * 3
-        return tuple(np.concatenate(x) for x in (begins, ends, owners))
-
-    def _extended(self, ids: np.ndarray, d: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each seed grown both ways while words agree; 0 stands between items and ends a run."""
-        # seeds on one diagonal grow into the same hit: they are told apart by its ends
-        left, live = np.zeros(len(d), np.int64), np.arange(len(d))
-        while len(live):
-            i, j = d[live] - left[live] - 1, q[live] - left[live] - 1
-            live = live[(i >= 0) & (ids[i] == self.ids[j]) & (self.ids[j] > 0)]
-            left[live] += 1
-        right, live = np.zeros(len(d), np.int64), np.arange(len(d))
-        while len(live):
-            i, j = d[live] + right[live], q[live] + right[live]
-            live = live[(i < len(ids)) & (ids[np.minimum(i, len(ids) - 1)] == self.ids[j]) & (self.ids[j] > 0)]
-            right[live] += 1
-        full = left + right >= self.span
-        found = np.unique(np.stack([(d - left)[full], (d + right)[full], self.owner[q[full]]]), axis=1)
-        return found[0], found[1], found[2]
+        if len(ids) >= self.span and len(self.marks) and (run[self.span :] == run[: -self.span]).any():
+            # only stretches with a window of known words are looked at, and each apart
+            edge = np.diff(np.concatenate(([0], known.astype(np.int8), [0])))
+            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            long = b - a >= self.span
+            for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True):
+                hashes = gram_hashes(ids[x:y], self.gram)
+                at = winnowed(hashes, self.span, self.gram)
+                at = at[np.isin(hashes[at], self.marks)]
+                if len(at):
+                    # a fingerprint is extended to the windows around it
+                    begins = np.unique((at[:, None] - np.arange(self.span - self.gram + 1)).ravel())
+                    begins = begins[(begins >= 0) & (begins <= y - x - self.span)]
+                    out.append((self.windows, *self.windows.found(ids, begins + x)))
+        for windows in self.short:
+            if len(ids) >= windows.n:
+                out.append((windows, *windows.found(ids, np.flatnonzero(run[windows.n :] == run[: -windows.n]))))
+        return [x for x in out if len(x[1])]
 
 
 def spans(index: Index, texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -181,13 +191,24 @@ def spans(index: Index, texts: list[bytes | None]) -> Iterator[tuple[int, list[t
         ids[at : at + len(words)] = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         at += len(words) + 1
         ends.append(at)
-    begin, end, owner = index.hits(ids)
+    edges = np.array([0, *ends])
+    begins, lengths, owned = [], [], []
+    for windows, places, number in index.hits(ids):
+        begins.append(places)
+        lengths.append(np.full(len(places), windows.n))
+        # a text's windows, each once, and the items of each
+        text, k = np.unique(np.stack([np.searchsorted(edges, places, "right") - 1, number]), axis=1)
+        n = windows.edges[k + 1] - windows.edges[k]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        owned.append(np.unique(np.stack([np.repeat(text, n), windows.owners[np.repeat(windows.edges[k], n) + inside]]), axis=1))
+    begin, length = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (begins, lengths))
     order = np.argsort(begin, kind="stable")
-    begin, end, owner = begin[order], end[order], owner[order]
-    cut = np.searchsorted(begin, np.array([0, *ends]))
+    begin, end = begin[order], (begin + length)[order]
+    text, owner = np.unique(np.concatenate(owned or [np.empty((2, 0), np.int64)], axis=1), axis=1)
+    cut, mine = np.searchsorted(begin, edges), np.searchsorted(text, np.arange(len(split) + 1))
     for k, words in enumerate(split):
-        a, b, base = cut[k], cut[k + 1], ends[k - 1] if k else 0
-        yield len(words), merged(zip((begin[a:b] - base).tolist(), (end[a:b] - base).tolist(), strict=True)), sorted({index.names[i] for i in owner[a:b].tolist()})
+        a, b, base = cut[k], cut[k + 1], edges[k]
+        yield len(words), merged(zip((begin[a:b] - base).tolist(), (end[a:b] - base).tolist(), strict=True)), sorted({index.names[i] for i in owner[mine[k] : mine[k + 1]].tolist()})
 
 
 def merged(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -212,7 +233,7 @@ SPANS = "n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items arr
 
 def benchmark_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of at most ``most`` bytes, each brought to the driver by itself."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8(F.col("text")).alias("text"))
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8(F.col("text")).alias("text")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("text") + F.length("item") + 64), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // most)) if total > most else 1
     for k in range(n):

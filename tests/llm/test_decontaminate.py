@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from pixelloom.llm import decontaminate as D
@@ -63,6 +65,34 @@ def test_clean_rows_stay(spark, case):
         assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want
 
 
+def test_repeated_words_by_brute_force():
+    """Items and texts of few words, over and over, in periods and with edges."""
+    rng = random.Random(12)
+    few = ["a", "a", "a", "b"]
+    items = [(0, "a " * 30), (1, "a b " * 15), (2, "a " * 12 + "b"), (3, "b " + "a " * 11), (4, "a " * 4), (5, "a b a"), (6, "a " * 30)] + [(k, " ".join(rng.choice(few) for _ in range(40))) for k in range(7, 12)]
+    docs = [(0, "a " * 200), (1, "b a " * 60), (2, "c " + "a " * 12 + "b c"), (3, "a " * 9), (4, "b b b")] + [(k, " ".join(rng.choice([*few, "c"]) for _ in range(rng.randint(1, 80)))) for k in range(5, 30)]
+    index = D.Index([(str(i), t.encode()) for i, t in items])
+    got = [(str(d), n, sum(b - a for a, b in spans), names) for (d, _), (n, spans, names) in zip(docs, D.spans(index, [t.encode() for _, t in docs]), strict=True)]
+    assert sorted(got) == slow(docs, items)
+
+
+def test_repetition_costs_its_length():
+    index = D.Index([("one", b"same " * 2000), ("two", b"same " * 2000)])
+    began = time.perf_counter()
+    assert list(D.spans(index, [b"same " * 50_000, None, b"same " * 9])) == [(50_000, [(0, 50_000)], ["one", "two"]), (0, [], []), (9, [], [])]
+    assert time.perf_counter() - began < 2
+
+
+def test_windows_of_equal_hash_are_told_apart(monkeypatch):
+    """With a hash of one bit nearly all windows collide until the salt changes; nothing is lost or added."""
+    plain = D.gram_hashes
+    ids = np.array([0, 1, 2, 3, 0, 4, 5, 6, 0], np.int64)
+    calls = []
+    monkeypatch.setattr(D, "gram_hashes", lambda x, n: plain(x, n) & np.uint64(0) if not calls.append(1) and len(calls) < 2 else plain(x, n))
+    w = D.Windows(ids, np.array([0, 0, 0, 0, 1, 1, 1, 1, -1]), np.array([1, 5]), 3)
+    assert w.salt == 1 and [x.tolist() for x in w.found(ids, np.array([0, 1, 2, 5]))] in ([[1, 5], [0, 1]], [[1, 5], [1, 0]])
+
+
 def test_empty_tables(spark, no_docs, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert D.find(no_docs, none).count() == 0
