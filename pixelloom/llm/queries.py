@@ -14,7 +14,7 @@ from .decontaminate import find
 from .line_dedup import line_dedup
 from .media import texts_as_media
 from .mixing import mix, word_count
-from .quality import ranked
+from .quality import held_out, ranked
 from .simhash import near_duplicates
 from .token_counts import token_counts
 from .token_records import token_records
@@ -77,9 +77,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's expected severity."""
+    """Every document's expected severity, learned from the labelled ones that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    return severity(docs, learn(docs, table(spark, sf_dir, "labels")))
+    model = learn(docs, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
+    return severity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p_toxic", "p_severe", "severity", "toxic")
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,82 @@ def test_severity_grows_with_telling_words(spark, labelled):
     assert unseen[0, 0] > 0.5
 
 
+def test_strings_by_brute_force():
+    text = T.folded("Zwei, drei-x  éclairs ab a abc abcd abcdefgh\n".encode())
+    want = {text[a : a + n] for n in T.GRAMS for a in range(len(text) - n + 1) if " " not in text[a + 1 : a + n - 1]}
+    want |= {f" {w} " for w in text.split() if len(w) > 4}
+    cells, begin, end = T.strings(text)
+    got = {text[a:b]: c for a, b, c in zip(begin.tolist(), end.tolist(), cells.tolist(), strict=True)}
+    assert set(got) == want and len(set(cells.tolist())) == len(want)
+    # the hash of a string doesn't depend on where it stands, nor on how a text is cut
+    again = {p[a:b]: c for p in T.pieces("  abc " + text) for c, a, b in zip(*(x.tolist() for x in T.strings(p)), strict=True)}
+    assert all(again[k] == c for k, c in got.items())
+    long = T.folded(b"word " * 100_000 + b"x" * 600_000)
+    assert {p[a:b] for p in T.pieces(long) for _, a, b in zip(*(x.tolist() for x in T.strings(p)), strict=True)} >= {" word ", "word ", " wor", "xxxxx"}
+
+
+def objective(w, t, rows, grade, weight, shrink):
+    """The weighted log likelihood by its definition."""
+    total = 0.0
+    for r, g, c in zip(rows, grade, weight, strict=True):
+        p = [1.0] + [1 / (1 + np.exp(k - sum(w[i] for i in r))) for k in t] + [0.0]
+        total += c * np.log(max(p[g] - p[g + 1], 1e-300))
+    return total - shrink / 2 * (w**2).sum()
+
+
+def test_fit_is_the_best_of_its_likelihood():
+    """The gradient agrees with differences of the definition, and no step along any axis is better than what was fitted."""
+    rng = np.random.default_rng(3)
+    rows = [sorted(rng.choice(5, rng.integers(0, 4), replace=False).tolist()) for _ in range(80)]
+    grade = np.array([min(3, int(0 in r) + int(1 in r) + int(rng.random() < 0.3)) for r in rows])
+    model, shrink = T.Severity(list("abcde"), set()), 1e-2
+    weight = np.where(grade > 0, 40 / (grade > 0).sum(), 40 / (grade == 0).sum()) / 80
+    row, column = np.repeat(np.arange(80), [len(r) for r in rows]), np.concatenate([np.array(r, np.int64) for r in rows])
+    at = rng.normal(size=8)
+    at[5:] = np.sort(at[5:])
+    step = np.eye(8) * 1e-5
+    differences = [(objective((at + s)[:5], (at + s)[5:], rows, grade, weight, shrink) - objective((at - s)[:5], (at - s)[5:], rows, grade, weight, shrink)) / 2e-5 for s in step]
+    assert model.gradient(at[:5], at[5:], row, column, grade, weight, shrink) == pytest.approx(differences, abs=1e-6)
+    model.fit(rows, grade, rounds=3000, shrink=shrink)
+    best = objective(model.weights, model.thresholds, rows, grade, weight, shrink)
+    for s in np.eye(8) * 0.05:
+        for way in (s, -s):
+            assert objective(model.weights + way[:5], model.thresholds + way[5:], rows, grade, weight, shrink) <= best + 1e-6
+    assert (np.diff(model.thresholds) > 0).all()
+
+
+def test_grades_of_the_labels_are_used(spark):
+    """Three grades told apart by words, on rows held out."""
+    rng = random.Random(2)
+    plain = [f"plain{k}" for k in range(60)]
+    rows, labels = [], []
+    for k in range(600):
+        grade = k % 4 if k % 4 < 3 else 0
+        rows.append((k, " ".join([rng.choice(plain) for _ in range(20)] + ["rudeword"] * (grade > 0) + ["vileword"] * (grade > 1))))
+        labels.append((k, grade))
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = T.learn(docs, marks.filter("doc_id < 400"))
+    p = model.chances([r[1].encode() for r in rows[400:]])
+    assert ((p > 0.5).sum(1) == [g for _, g in labels[400:]]).mean() > 0.97
+
+
+def test_ranking_minimises_the_pairs_loss():
+    """Newton's weights against plain gradient descent on the same pairs."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 4))
+    label = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=200) > 0.3).astype(int)
+    ranking = Q.Ranking(x, label, pairs=3000)
+    draw = np.random.default_rng(7)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 1e-6), -6, 6)
+    d = z[draw.choice(np.flatnonzero(label == 1), 3000)] - z[draw.choice(np.flatnonzero(label == 0), 3000)]
+    w = np.zeros(4)
+    for _ in range(4000):
+        w -= 0.3 * (-(d.T @ (1 / (1 + np.exp(d @ w)))) / 3000 + 1e-3 * w)
+    assert ranking.weights == pytest.approx(w, abs=1e-3)
+    score = ranking.score(x)
+    assert (score >= 0.7).mean() == pytest.approx((label == 1).mean(), abs=0.01)
+
+
 def test_nothing_to_learn_from(spark, labelled, no_docs):
     docs, labels = labelled
     none = labels.limit(0)
