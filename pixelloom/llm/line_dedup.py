@@ -7,18 +7,23 @@ Of each chunk of two lines or more that occurs several times in all documents, t
 occurrence stays (by doc_id, then the MD5 of the text, then position; nulls first) and the
 others are removed. Occurrences are found by hashes and compared byte by byte.
 
-Defined cases. Null text has no lines and stays null. An empty text is one empty line. A
-chunk of one line is never removed. Occurrences inside one document count. Rows that agree
-in id and text are one document: they give equal results, and what is first in one is
-first in the other. Columns of the input that are named like the operator's own are
-replaced; all others go through.
+Defined cases. Null text has no lines and stays null. An empty text is one empty line, and
+a text of any length is one row. A chunk of one line is never removed. Occurrences inside
+one document count. Rows that agree in id and text are one document: they give equal
+results, and what is first in one is first in the other. Null ids come first. An empty
+table gives an empty result. Columns of the input that are named like the operator's own
+(n_lines, n_kept, n_removed) are replaced; all others go through, whatever their names.
 
 Scale. All on the JVM, no Python. First only hashes of chunks are shuffled, combined
-before; only chunks whose hash occurs again are shuffled with their bytes, and grouped by
-them, combined before, so a passage in a third of all documents is one row a task. Joins
-are by shuffle at every size, since what is repeated grows with the corpus and is never
-broadcast; adaptive execution splits hot keys. What is removed is joined back by
-document. Positions gathered in a row are those of one document.
+before. Which hashes occur again is then marked in a bitmap of MARKS bits, broadcast in
+rows of 4 kB: a fixed size at any scale, and a bit set by chance only lets a chunk through
+that the byte comparison drops. So only chunks that are repeated are shuffled with their
+bytes, and grouped by them, combined before, so a passage in a third of all documents is
+one row a task. Chunks that occur very often meet their first occurrence by broadcast (no
+more than HOT_KEYS, of HOT_BYTES each), the others by shuffle at every size, since what
+is repeated grows with the corpus. Documents that lose chunks are marked in a second
+bitmap: only they are shuffled, by id and hash; all others go from the scan to the result.
+Positions gathered in a row are those of one document.
 """
 
 from __future__ import annotations
@@ -26,11 +31,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import HOT_KEYS, LEAST_HOT, saved
 
 WINDOW, SPACING = 3, 4
 #: The rolling hash's modulus, a prime, and its base.
 PRIME, BASE = 2147483647, 1000003
+#: Bits of a bitmap, in rows of ROW bits as Spark's bitmap functions make them.
+MARKS, ROW = 1 << 26, 1 << 15
+#: Bytes of a chunk that is broadcast.
+HOT_BYTES = 32 << 10
 
 
 def lines_of(text: Column) -> Column:
@@ -55,11 +64,11 @@ def boundaries(hashes: Column, window: int, spacing: int) -> Column:
     return F.filter(F.sequence(F.lit(1), n), lambda i: (rolled(i) % spacing == 0) | (i == n))
 
 
-def with_chunks(docs: DataFrame, window: int, spacing: int) -> DataFrame:
-    """Rows with chunk_lines (the lines) and chunk_ends."""
-    docs = docs.withColumn("chunk_lines", lines_of(F.col("text")))
-    docs = docs.withColumn("chunk_hashes", F.transform("chunk_lines", line_hash))
-    return docs.withColumn("chunk_ends", boundaries(F.col("chunk_hashes"), window, spacing)).drop("chunk_hashes")
+def with_chunks(texts: DataFrame, window: int, spacing: int) -> DataFrame:
+    """Rows that have a text with chunk_lines (the lines) and chunk_ends."""
+    lines = texts.withColumn("chunk_lines", lines_of(F.col("text")))
+    hashed = lines.withColumn("chunk_hashes", F.transform("chunk_lines", line_hash))
+    return hashed.withColumn("chunk_ends", boundaries(F.col("chunk_hashes"), window, spacing)).drop("chunk_hashes")
 
 
 def chunk_list() -> Column:
@@ -73,24 +82,57 @@ def chunk_list() -> Column:
     return F.transform(ends, chunk)
 
 
+def bitmap_of(hashes: DataFrame) -> DataFrame:
+    """mark_row, mark_bits: the bits that the hashes (column h) set; MARKS / ROW rows at most."""
+    bit = F.pmod(F.col("h"), F.lit(MARKS))
+    return hashes.groupBy(F.floor(bit / ROW).alias("mark_row")).agg(F.bitmap_construct_agg((bit % ROW).cast("long")).alias("mark_bits"))
+
+
+def with_mark(rows: DataFrame, marks: DataFrame, h: str) -> DataFrame:
+    """Rows with ``marked``: whether the bit of the hash in column ``h`` is set."""
+    bit = F.pmod(F.col(h), F.lit(MARKS))
+    at = rows.withColumn("mark_row", F.floor(bit / ROW)).join(F.broadcast(marks), "mark_row", "left")
+    byte = F.conv(F.hex(F.substring(F.col("mark_bits"), F.floor(bit % ROW / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return at.withColumn("marked", F.coalesce(set_, F.lit(False))).drop("mark_row", "mark_bits")
+
+
 def line_dedup(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
     """``docs`` with its text freed of repeated chunks, and n_lines, n_kept (lines), n_removed (chunks)."""
-    keyed = with_chunks(docs.drop("n_lines", "n_kept", "n_removed"), window, spacing).withColumn("chunk_text", F.md5("text"))
-    pieces = keyed.select("doc_id", "chunk_text", F.explode(chunk_list()).alias("c")).filter("c.lines > 1")
-    pieces = pieces.select("doc_id", "chunk_text", "c.pos", "c.chunk", F.xxhash64("c.chunk").alias("h1"), F.hash("c.chunk").alias("h2"), F.length("c.chunk").alias("h3"))
-    marks = ["h1", "h2", "h3"]
-    again = saved(pieces.groupBy(*marks).count().filter("count > 1").drop("count"), "chunks-again")
-    same = saved(pieces.join(again.hint("merge"), marks), "chunks-same")
-    place = F.struct("doc_id", "chunk_text", "pos")
-    first = same.groupBy("h1", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = same.join(first.hint("merge"), ["h1", "chunk"]).filter(~place.eqNullSafe(F.col("first")))
-    gone = saved(later.groupBy("doc_id", "chunk_text").agg(F.collect_set("pos").alias("chunk_gone")), "chunks-gone")
-    gone = gone.withColumnRenamed("doc_id", "gone_id").withColumnRenamed("chunk_text", "gone_text")
-    joined = keyed.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("chunk_text") == F.col("gone_text")), "left")
-    kept = joined.withColumn("chunk_kept", F.when(F.col("chunk_gone").isNotNull(), F.filter(chunk_list(), lambda c: ~F.array_contains("chunk_gone", c["pos"]))))
-    untouched = F.col("chunk_kept").isNull()
-    n_lines = F.coalesce(F.size("chunk_lines"), F.lit(0)).cast("long")
-    n_kept = F.when(untouched, n_lines).otherwise(F.aggregate("chunk_kept", F.lit(0).cast("long"), lambda n, c: n + c["lines"]))
-    text = F.when(untouched, F.col("text")).otherwise(F.array_join(F.transform("chunk_kept", lambda c: c["chunk"]), "\n"))
-    own = {"text": text, "n_lines": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines), "n_kept": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_kept), "n_removed": F.coalesce(F.when(F.col("chunk_gone").isNotNull(), F.size("chunk_gone")), F.lit(0)).cast("long")}
-    return kept.select(*[own.pop(c).alias(c) if c in own else F.col(c) for c in docs.columns if c not in ("n_lines", "n_kept", "n_removed")], *[own[c].alias(c) for c in ("n_lines", "n_kept", "n_removed")])
+    own = ("n_lines", "n_kept", "n_removed")
+    columns = [c for c in docs.columns if c not in own]
+    # a row in one column, so that no name of the input meets one of ours
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.col("text"))
+    texts = rows.filter("text is not null").select("id", "text", F.md5("text").alias("key"))
+    pieces = with_chunks(texts, window, spacing).select("id", "key", F.explode(chunk_list()).alias("c")).filter("c.lines > 1")
+    pieces = pieces.select("id", "key", "c.pos", "c.chunk", F.xxhash64("c.chunk").alias("h"))
+    again = pieces.groupBy("h").count().filter("count > 1")
+    same = saved(with_mark(pieces, saved(bitmap_of(again), "chunks-again"), "h").filter("marked").drop("marked"), "chunks-same")
+    place = F.struct("id", "key", "pos")
+    first = saved(same.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "chunks-first")
+    many = max(LEAST_HOT, same.count() / HOT_KEYS)
+    hot = F.broadcast(first.filter((F.col("n") > many) & (F.octet_length("chunk") <= HOT_BYTES)))
+    rest = same.join(hot, ["h", "chunk"], "left_anti").join(first.hint("merge"), ["h", "chunk"])
+    later = same.join(hot, ["h", "chunk"]).unionByName(rest).filter(~place.eqNullSafe(F.col("first")))
+    gone = saved(later.groupBy("id", "key").agg(F.collect_set("pos").alias("gone")), "chunks-gone")
+    # documents that lose chunks are known by id and text; their marks let all others pass
+    hashed = rows.withColumn("h", F.xxhash64("id", F.md5("text")))
+    marked = with_mark(hashed, saved(bitmap_of(gone.select(F.xxhash64("id", "key").alias("h"))), "chunks-documents"), "h").drop("h")
+    whole = marked.filter("not marked").select("row", F.col("text").alias("kept"), F.lit(None).cast("bigint").alias("kept_lines"), F.lit(0).cast("bigint").alias("n_removed"))
+    cut = gone.withColumnsRenamed({"id": "gone_id", "key": "gone_key"}).hint("merge")
+    found = marked.filter("marked").withColumn("key", F.md5("text")).join(cut, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
+    kept = with_chunks(found, window, spacing).withColumn("chunk_kept", F.filter(chunk_list(), lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["pos"])))
+    touched = F.col("gone").isNotNull()
+    freed = kept.select(
+        "row",
+        F.when(touched, F.array_join(F.transform("chunk_kept", lambda c: c["chunk"]), "\n")).otherwise(F.col("text")).alias("kept"),
+        F.when(touched, F.aggregate("chunk_kept", F.lit(0).cast("long"), lambda n, c: n + c["lines"])).alias("kept_lines"),
+        F.coalesce(F.when(touched, F.size("gone")), F.lit(0)).cast("long").alias("n_removed"),
+    )
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.octet_length("row.text") - F.octet_length(F.replace(F.col("row.text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    return whole.unionByName(freed).select(
+        *[F.col("kept").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in columns],
+        n_lines.alias("n_lines"),
+        F.coalesce("kept_lines", n_lines).alias("n_kept"),
+        F.col("n_removed"),
+    )

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from pixelloom.llm import line_dedup as L
 
 
@@ -51,6 +53,24 @@ def test_no_python_in_the_plan(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_other_columns_go_through_whatever_their_names(spark, docs):
+    names = ["chunk_lines", "chunk_hashes", "chunk_text", "gone_id", "gone_text", "chunk_gone", "gone", "row", "id", "key", "h", "kept", "marked", "mark_row", "first"]
+    clash = docs.withColumns({n: F.concat_ws("/", F.lit(n), F.col("doc_id")) for n in names})
+    out = L.line_dedup(clash)
+    assert out.columns == clash.columns + ["n_lines", "n_kept", "n_removed"]
+    want = sorted(str(tuple(r)) for r in clash.drop("text").collect())
+    assert sorted(str(tuple(r)) for r in out.select([c for c in clash.columns if c != "text"]).collect()) == want
+
+
+def test_frequent_chunks_meet_their_first_by_broadcast(spark, monkeypatch):
+    """With a low bar for hot chunks and few bits in a bitmap the rows are the same."""
+    shared = "\n".join(f"line {k} of a long passage" for k in range(30))
+    rows = [(k, f"start {k}\n{shared}\nend {k}\nof {k}") for k in range(60)] + [(100 + k, f"a {k}\nb {k}") for k in range(20)]
+    monkeypatch.setattr(L, "LEAST_HOT", 5)
+    monkeypatch.setattr(L, "MARKS", L.ROW)
+    assert got(spark, rows) == slow(rows)
+
+
 def test_clashing_columns_and_empty_table(spark, docs, no_docs):
     clash = docs.withColumnsRenamed({"n_chars": "n_kept", "lang": "chunk"})
     out = L.line_dedup(clash)
