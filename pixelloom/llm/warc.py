@@ -11,21 +11,31 @@ ordered by number, held against the total length and joined; a missing, doubled
 segment raises. Then the chunked framing is decoded and the payload is held against the
 digest in the header; a mismatch raises.
 
-Files are written through Spark's text writer with the WARC record separator (two CRLF)
-between records, compressed by gzip: bytes go out unchanged, to any file system Spark
-knows, committed task by task, so a lost executor leaves no half archive.
+Every record is a gzip member of its own, so one can be sought by its offset. Files are
+written through Spark's text writer, to any file system Spark knows, and committed task by
+task, so a lost executor leaves no half archive. The writer ends each value with a
+separator: the last byte of a member, which is 0 for records under 16 MB, is left to it.
+
+Revisits name their response by the standard fields (WARC-Refers-To, -Target-URI, -Date,
+the payload digest) and, for this library's own use, by page. Ids of records are drawn
+anew for each archive, so archives can be read together.
 
 Defined cases. Null html is an empty payload. Null ids: such a page is a response if no
 other page of its group has an id, else a revisit; it is read back as null. Rows with the
-largest page_id of their group are all responses; repeated rows are records of their own.
-Line ends in urls are percent-encoded; a null url leaves its field out. Other columns are
-not stored.
+largest page_id of their group are all responses, and then no single record is referred
+to; repeated rows are records of their own. Line ends in urls are percent-encoded; a null
+url leaves its field out. Other columns are not stored. An empty table makes an archive
+without records. Pages of any length are cut into segments. Archives of other writers are
+read too: records that aren't pages are passed over, fields that only this writer has are
+null, and a response without a digest is taken as it is.
 
 Scale. Digests of payloads, not payloads, are shuffled to find equal ones, combined before
-the shuffle; only groups of two pages and more are joined back, adaptively. Pages are
-written where they are read. A file holds at most PER_FILE records of at most SEGMENT
-bytes, so the whole file that a reader's task holds is bounded. On reading, only segments
-are shuffled; a group is one page.
+the shuffle; what is repeated is broadcast if it has been counted and is short. Beyond
+that, pages of LEAST bytes or more are shuffled by digest; smaller ones never are. Pages
+are written where they are read. A file holds at most PER_FILE records of at most SEGMENT
+bytes. A file is inflated as it is read, so a reader's task holds its compressed bytes
+(2 GB at most, the limit of Spark's reader of whole files) and one record. On reading, only
+segments are shuffled; a group is one page.
 """
 
 from __future__ import annotations
@@ -33,7 +43,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -41,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, utf8
+from .common import BROADCAST_ROWS, new_path, saved, utf8
 from .token_counts import blocks
 
 LEAST = 1000
@@ -49,8 +61,10 @@ SEGMENT = 64 << 10
 PER_FILE = 4096
 CHUNK = 8192
 DATE = "2024-01-01T00:00:00Z"
-SEPARATOR = "\r\n\r\n"
-SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+SEPARATOR = b"\r\n\r\n"
+#: Bytes that are inflated at once.
+STEP = 64 << 10
+CHUNKED = re.compile(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b")
 
 
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
@@ -84,9 +98,18 @@ def quoted(url: str | None) -> str | None:
     return None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def records(page_id: str | None, url: str | None, payload: bytes, refers: str | None, revisit: bool, name: str, segment: int) -> Iterator[bytes]:
-    """The records of one page, without the separator after each."""
-    ident = f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"
+def named(space: uuid.UUID, name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(space, name)}>"
+
+
+def member(record: bytes) -> bytes:
+    """A record and its separator as a gzip member, without the last byte, which is 0."""
+    return gzip.compress(record + SEPARATOR, 6, mtime=0)[:-1]
+
+
+def records(page_id: str | None, url: str | None, payload: bytes, original: dict | None, name: str, space: uuid.UUID, segment: int) -> Iterator[bytes]:
+    """The records of one page, without the separator after each. original: of a revisit, what it refers to."""
+    ident, revisit = named(space, name), original is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if not revisit:
         block += chunked(payload)
@@ -98,8 +121,11 @@ def records(page_id: str | None, url: str | None, payload: bytes, refers: str |
         "WARC-Target-URI": quoted(url),
         "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
         "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Refers-To": original and original["record"],
+        "WARC-Refers-To-Target-URI": original and quoted(original["url"]),
+        "WARC-Refers-To-Date": original and DATE,
         "WARC-Page-ID": page_id,
-        "WARC-Refers-To-Page-ID": refers,
+        "WARC-Refers-To-Page-ID": original and original["page"],
         "WARC-Payload-Length": len(payload),
         "Content-Type": "application/http; msgtype=response",
     }
@@ -110,78 +136,126 @@ def records(page_id: str | None, url: str | None, payload: bytes, refers: str |
     yield header(fields | {"WARC-Segment-Number": 1, "Content-Length": len(parts[0])}) + parts[0]
     for k, part in enumerate(parts[1:], 2):
         total = len(block) if k == len(parts) else None
-        more = {"WARC-Type": "continuation", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(SPACE, f'{name}/{k}')}>", "WARC-Date": DATE, "WARC-Target-URI": quoted(url), "WARC-Segment-Origin-ID": ident, "WARC-Segment-Number": k, "WARC-Segment-Total-Length": total, "Content-Length": len(part)}
+        more = {"WARC-Type": "continuation", "WARC-Record-ID": named(space, f"{name}/{k}"), "WARC-Date": DATE, "WARC-Target-URI": quoted(url), "WARC-Segment-Origin-ID": ident, "WARC-Segment-Number": k, "WARC-Segment-Total-Length": total, "Content-Length": len(part)}
         yield header(more) + part
 
 
 def with_originals(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, payload, of (the page whose payload stands for this one's), same (whether there are others)."""
+    """page_id, url, payload, mark (the digest, if others have it too), original (page_id, url and number of rows of the page whose payload stands for this one's)."""
     rows = pages.select("page_id", "url", utf8(F.col("html")).alias("payload"))
-    mark = F.when(F.length("payload") >= least, F.sha2("payload", 256))
-    groups = rows.select("page_id", mark.alias("mark")).filter("mark is not null").groupBy("mark")
-    several = saved(groups.agg(F.max("page_id").alias("of"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-equal")
-    if several.isEmpty():
-        return rows.withColumn("of", F.lit(None).cast(rows.schema["page_id"].dataType)).withColumn("same", F.lit(False))
-    return rows.withColumn("mark", mark).join(several, "mark", "left").withColumn("same", F.col("of").isNotNull()).drop("mark")
+    marked = rows.withColumn("mark", F.when(F.length("payload") >= least, F.sha2("payload", 256)))
+    each = marked.filter("mark is not null").groupBy("mark", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("url"))
+    several = saved(each.groupBy("mark").agg(F.max(F.struct("page_id", "n", "url")).alias("original"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows"), "warc-equal")
+    kind = several.schema["original"].dataType
+    alone = marked.filter("mark is null").withColumn("original", F.lit(None).cast(kind))
+    few = several.count() <= BROADCAST_ROWS
+    return alone.unionByName(marked.filter("mark is not null").join(F.broadcast(several) if few else several, "mark", "left"))
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT, per_file: int = PER_FILE) -> None:
     """Archive ``pages`` (page_id, url, html) under ``path``."""
-    rows = with_originals(pages, least)
-    revisit = F.col("same") & ~F.col("page_id").eqNullSafe(F.col("of"))
-    about = F.struct(F.col("page_id").cast("string").alias("page"), "url", F.col("of").cast("string").alias("of"), revisit.alias("revisit"))
+    if segment >= 8 << 20:
+        raise ValueError("a segment must be under 8 MB")
+    rows, space = with_originals(pages, least), uuid.uuid4()
+    own = F.col("original").isNotNull() & F.col("page_id").eqNullSafe(F.col("original.page_id"))
+    about = F.struct(F.col("page_id").cast("string").alias("page"), "url", F.col("mark"), F.col("original.page_id").cast("string").alias("of"), F.col("original.url").alias("of_url"), F.col("original.n").alias("n"), own.alias("own"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        task, number = TaskContext.get().partitionId(), 0
         for keys, payloads in blocks(batches):
             out = []
             for row, payload in zip(keys.to_pylist(), payloads, strict=True):
-                refers = row["of"] if row["revisit"] else None
-                out += records(row["page"], row["url"], payload, refers, row["revisit"], f"{task}/{n}/{row['page']}", segment)
-                n += 1
+                original, name = None, f"{task}/{number}"
+                if row["n"] is not None:
+                    # the one row that others refer to has a name that they can make
+                    stands = f"original/{row['mark']}" if row["n"] == 1 else None
+                    if not row["own"]:
+                        original = {"page": row["of"], "url": row["of_url"], "record": stands and named(space, stands)}
+                    else:
+                        name = stands or name
+                out += map(member, records(row["page"], row["url"], payload, original, name, space, segment))
+                number += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     made = rows.select(about.alias("about"), "payload").mapInArrow(write, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.options(lineSep=SEPARATOR, compression="gzip", maxRecordsPerFile=per_file).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\0", compression="none", maxRecordsPerFile=per_file).text(path)
+
+
+def inflated(content: memoryview) -> Iterator[bytes]:
+    """The bytes of an archive, gzipped (all members) or plain, part by part."""
+    if bytes(content[:2]) != b"\x1f\x8b":
+        yield from (bytes(content[at : at + STEP]) for at in range(0, len(content), STEP))
+        return
+    engine, begun = zlib.decompressobj(31), False
+    for at in range(0, len(content), STEP):
+        part, more = bytes(content[at : at + STEP]), False
+        while part or more:
+            out = engine.decompress(part, 16 * STEP)
+            yield out
+            part, more, begun = engine.unconsumed_tail, len(out) == 16 * STEP, True
+            if engine.eof:  # the next member, if any, after zeros that fill up
+                part, more, begun, engine = engine.unused_data.lstrip(b"\0"), False, False, zlib.decompressobj(31)
+    if begun:
+        raise ValueError("the archive's last member is cut off")
 
 
 def parsed(content: memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive, gzipped or plain."""
-    data = gzip.decompress(content) if bytes(content[:2]) == b"\x1f\x8b" else bytes(content)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "surrogateescape").split("\r\n")
+    """Header fields and block of each record of an archive, gzipped or plain; what is held is a record."""
+    parts, held, at = inflated(content), bytearray(), 0
+    while True:
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            part = next(parts, None)
+            if part is None:
+                if held.strip():
+                    raise ValueError(f"no record at byte {at}")
+                return
+            held += part
+            held = held.lstrip(b"\r\n") if not held.startswith(b"WARC/") else held
+        version, *lines = held[:end].decode("utf-8", "surrogateescape").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
         fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         begin, n = end + 4, int(fields["content-length"])
-        block = data[begin : begin + n]
-        if len(block) < n:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, block
-        at = begin + n + 4
+        while len(held) < begin + n:
+            part = next(parts, None)
+            if part is None:
+                raise ValueError(f"the record at byte {at} is cut off")
+            held += part
+        yield fields, bytes(held[begin : begin + n])
+        at += begin + n
+        held = held[begin + n :].lstrip(b"\r\n")
 
 
 def payload_of(block: bytes) -> bytes:
     """The payload of an HTTP message, its transfer framing decoded."""
     head, _, body = block.partition(b"\r\n\r\n")
-    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() and body else body
+    return unchunked(body) if CHUNKED.search(head) and body else body
 
 
 RECORD = "record_id string, origin_id string, number int, total bigint, type string, page_id string, url string, refers_to string, digest string, length bigint, block binary"
 PAGE = "page_id string, url string, record_type string, refers_to string, payload_bytes bigint, payload_digest string, payload binary"
 
 
+def digest_of(field: str | None) -> str | None:
+    """The SHA-1 of a payload digest field, in hex; null for other kinds."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if re.fullmatch("[0-9a-fA-F]{40}", value) else base64.b32decode(value.upper()).hex()
+
+
 def finished(rows: Iterable[dict]) -> pa.RecordBatch:
     """Pages of whole records, as PAGE has them."""
     out = []
     for r in rows:
-        digest = base64.b32decode(r["digest"].removeprefix("sha1:")).hex()
+        digest, length = digest_of(r["digest"]), r["length"]
         payload = None if r["type"] == "revisit" else payload_of(r["block"])
-        if payload is not None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != r["length"]):
-            raise ValueError(f"the payload of {r['record_id']} isn't what its header says")
-        out.append((r["page_id"], r["url"], r["type"], r["refers_to"], r["length"], digest, payload))
+        if payload is not None:
+            found = hashlib.sha1(payload).hexdigest()
+            if digest not in (None, found) or length not in (None, len(payload)):
+                raise ValueError(f"the payload of {r['record_id']} isn't what its header says")
+            digest, length = found, len(payload)
+        out.append((r["page_id"], r["url"], r["type"], r["refers_to"], length, digest, payload))
     kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], [f.split()[0] for f in PAGE.split(", ")])
 

@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 import random
+import uuid
+from collections import Counter
 
 import pytest
 
@@ -38,27 +40,78 @@ def test_round_trip(spark, tmp_path, segment):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = W.archive(pages, f"file://{tmp_path}/w", segment=segment).collect()
     assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == slow(rows)
-    stored = {(r.page_id, bytes(r.payload)) for r in got if r.payload is not None}
-    assert stored == {(p, (h or "").encode()) for p, _, h in rows if (p, "response") in {(r.page_id, r.record_type) for r in got}} & stored | stored
+    # responses hold their pages' html, each as often as it is there, and revisits nothing
+    responses = {x for x in slow(rows) if "'response'" in x}
+    entry = lambda p, b: str((p, len(b), hashlib.sha1(b).hexdigest(), "response", None))
+    want = Counter((p, (h or "").encode()) for p, _, h in rows if entry(p, (h or "").encode()) in responses)
+    assert Counter((r.page_id, bytes(r.payload)) for r in got if r.record_type == "response") == want
+    assert all(r.payload is None for r in got if r.record_type == "revisit")
     for r in got:
         if r.payload is not None:
             assert hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest
 
 
+def archive_records(folder):
+    """Fields and blocks of all records, each from a gzip member of its own."""
+    out = []
+    for f in sorted(folder.glob("part-*")):
+        data = f.read_bytes()
+        whole = gzip.decompress(data) if data else b""
+        assert not whole or whole.endswith(b"\r\n\r\n")
+        records = list(W.parsed(memoryview(data)))
+        assert records == list(W.parsed(memoryview(whole)))
+        members = [k for k in range(len(data)) if data[k : k + 4] == b"\x1f\x8b\x08\x00" and next(iter(W.parsed(memoryview(data)[k:])), None) in records]
+        assert len(members) == len(records)
+        out += records
+    return out
+
+
 def test_archives_are_warc_files(spark, tmp_path):
+    rows = page_rows()
+    W.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w", segment=700)
+    found = archive_records(tmp_path / "w")
+    assert {f["warc-type"] for f, _ in found} == {"response", "revisit", "continuation"}
+    ids = [f["warc-record-id"] for f, _ in found]
+    assert len(set(ids)) == len(ids)
+    by_id = {f["warc-record-id"]: f for f, _ in found}
+    revisits = [f for f, _ in found if f["warc-type"] == "revisit"]
+    for f in revisits:
+        assert f["warc-refers-to-target-uri"] in ("http://copy", "u") and f["warc-refers-to-date"] == W.DATE
+        if "warc-refers-to" in f:  # the response stands once
+            of = by_id[f["warc-refers-to"]]
+            assert of["warc-type"] == "response" and of["warc-payload-digest"] == f["warc-payload-digest"] and of["warc-page-id"] == f["warc-refers-to-page-id"]
+    assert {f["warc-refers-to-page-id"] for f in revisits if "warc-refers-to" not in f} == {"104"} and any("warc-refers-to" in f for f in revisits)
+
+
+def test_archives_are_read_together_and_others_too(spark, tmp_path):
     pages = spark.createDataFrame(page_rows(), "page_id bigint, url string, html string")
-    W.write_warc(pages, f"file://{tmp_path}/w", segment=700)
-    kinds = []
-    for f in (tmp_path / "w").glob("part-*.gz"):
-        data = gzip.decompress(f.read_bytes())
-        assert not data or data.endswith(b"\r\n\r\n")
-        kinds += [x["warc-type"] for x, _ in W.parsed(memoryview(data))]
-    assert set(kinds) == {"response", "revisit", "continuation"}
+    for name in ("a", "b"):
+        W.write_warc(pages, f"file://{tmp_path}/all/{name}", segment=700)
+    assert W.read_warc(spark, f"file://{tmp_path}/all/*").count() == 2 * pages.count()
+    # as other writers do it: one member, other types, no digest, a digest in hex, no pages' ids
+    body = b"HTTP/1.1 200 OK\r\nX-Note: transfer-encoding: chunked\r\n\r\nhello"
+    more = [("warcinfo", b"software: x", {}), ("response", body, {}), ("request", b"GET /", {}), ("response", body, {"WARC-Payload-Digest": f"sha1:{hashlib.sha1(b'hello').hexdigest()}"}), ("revisit", b"HTTP/1.1 200 OK\r\n\r\n", {"WARC-Payload-Digest": "md5:zz"})]
+    data = b"".join(W.header({"WARC-Type": t, "WARC-Record-ID": f"<urn:x:{k}>", **f, "Content-Length": len(b)}) + b + b"\r\n\r\n" for k, (t, b, f) in enumerate(more))
+    for name, content in (("part-one.warc.gz", gzip.compress(data)), ("part-plain.warc", data), ("part-padded.warc.gz", gzip.compress(data[:300]) + gzip.compress(data[300:]) + b"\0" * 20)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / name).write_bytes(content)
+        got = W.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert sorted((r.record_type, bytes(r.payload or b"")) for r in got) == [("response", b"hello")] * 2 + [("revisit", b"")]
+    with pytest.raises(ValueError):
+        list(W.parsed(memoryview(gzip.compress(data)[:-9])))
+    with pytest.raises(ValueError):
+        list(W.parsed(memoryview(data[:-10])))
+
+
+def test_large_archives_are_inflated_as_they_are_read():
+    record = W.header({"WARC-Type": "response", "Content-Length": 50_000}) + b"z" * 50_000 + b"\r\n\r\n"
+    packed = gzip.compress(record * 400)
+    assert sum(len(b) for _, b in W.parsed(memoryview(packed))) == 400 * 50_000
 
 
 def test_lost_segments_raise(spark):
     rows = []
-    for body in W.records("1", "u", b"x" * 5000, None, False, "n", 1000):
+    for body in W.records("1", "u", b"x" * 5000, None, "n", uuid.uuid4(), 1000):
         (f, block), = W.parsed(memoryview(body + b"\r\n\r\n"))
         number, total = int(f["warc-segment-number"]), f.get("warc-segment-total-length")
         rows.append((f["warc-record-id"], f.get("warc-segment-origin-id"), number, int(total) if total else None, f["warc-type"], "1", "u", None, f.get("warc-payload-digest"), 5000, block))
