@@ -10,15 +10,19 @@ are the samples, so the form is lossless. ``pixels_of`` reads them back and chec
 checksum.
 
 Defined cases. Null html has no parts; an empty text is a payload of WIDTH padding bytes.
-Unclosed and stray tags are taken as the parser takes them; scripts, styles and comments
-are no text. A reference without a source is a part with a null digest. Equal payloads
-are one medium. Rows that agree in all of the given columns keep their number. Extra columns of a
-media table go through the join; columns of documents are left out.
+Texts of any length are taken whole, one payload each. Unclosed and stray tags are taken
+as the parser takes them; scripts, styles and comments are no text. A reference without a
+source is a part with a null digest. Equal payloads are one medium. Rows that agree in all
+columns, or in their keys, keep their number; null keys are keys. An empty table gives an
+empty result. Extra columns of a media table go through the join; those named like a
+part's own get "media_" before their names. Columns of documents are left out.
 
 Scale. ``media_of_texts`` is one pass that writes documents and media side by side, a
 payload once a task; the two are read apart. Features are computed where media are stored
-and only they are joined, never payloads; copies are combined before that. A digest's
-references, however many, meet one row of features.
+and only they are joined, never payloads; copies are combined before that. References, not
+texts, go through the join: they carry the number of their row and their place in it, and
+come back gathered by row. A digest that very many refer to (an empty text, say) is joined
+apart (``even_join``), and references without a digest join nothing.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ import zlib
 from collections.abc import Iterable, Iterator
 from html import escape
 from html.parser import HTMLParser
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, utf8
+from .common import even_join, saved, unused, utf8
 from .token_counts import blocks
 
 WIDTH = 192
@@ -47,7 +52,9 @@ SEEN = 500_000
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
 SILENT = frozenset(("script", "style", "template", "noscript"))
 MEDIA = frozenset(("img", "video", "audio", "source", "embed"))
+#: What a part has; nth counts the media among them, from 0, as they are parsed.
 PART = "pos int, kind string, text string, digest string, caption string, size bigint"
+PARSED = f"{PART}, nth int"
 
 
 def padded(data: bytes, width: int = WIDTH) -> bytes:
@@ -149,10 +156,11 @@ def parts_of(html: str | None) -> list[dict]:
     parser.close()
     parser.text += parser.caption  # a caption that never ended is text
     parser.flush()
-    return [{"pos": k, "kind": p["kind"], "text": p.get("text"), "digest": p.get("digest"), "caption": p.get("caption"), "size": p.get("size")} for k, p in enumerate(parser.parts)]
+    nth = count()
+    return [{"pos": k, "kind": p["kind"], "text": p.get("text"), "digest": p.get("digest"), "caption": p.get("caption"), "size": p.get("size"), "nth": next(nth) if p["kind"] == "media" else None} for k, p in enumerate(parser.parts)]
 
 
-ARROW_PART = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("size", pa.int64())])
+ARROW_PART = pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string()), ("size", pa.int64()), ("nth", pa.int32())])
 
 
 def parse_html(pages: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,31 +172,34 @@ def parse_html(pages: DataFrame, key: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, pa.array(parts, pa.list_(ARROW_PART))], [key, "parts"])
 
     kind = pages.schema[key].dataType.simpleString()
-    fields = ",".join(f.replace(" ", ":") for f in PART.split(", "))
+    fields = ",".join(f.replace(" ", ":") for f in PARSED.split(", "))
     return pages.select(key, utf8(F.col("html")).alias("html")).mapInArrow(parse, f"{key} {kind}, parts array<struct<{fields}>>")
 
 
-def resolved(parts: DataFrame, media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row a part: key, its fields, and the columns of ``media`` for its digest (null where there are none).
-
-    ``media`` has one row a digest.
-    """
-    flat = parts.select(key, F.explode("parts").alias("part")).select(key, "part.*")
-    return flat.join(media, "digest", "left")
+def of_media(media: DataFrame) -> DataFrame:
+    """A table of media, one row a digest, with names that no part has."""
+    own = [f.split()[0] for f in PART.split(", ") if f.split()[0] != "digest"]
+    return media.withColumnsRenamed({c: f"media_{c}" for c in media.columns if c in own})
 
 
 def sequences(pages: DataFrame, media: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sequence) of rows of (key, html): all parts in order, media with what ``media`` has for them.
 
-    Equal rows are gathered once and repeated after that.
+    ``media`` has one row a digest; what isn't in it is null.
     """
-    counted = pages.groupBy(key, "html").agg(F.count("*").alias("copies")).withColumn("mark", F.struct(key, F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash"), F.col("html").isNull().alias("none"), "copies"))
-    flat = resolved(parse_html(counted.select("mark", "html"), "mark"), media, "mark")
-    fields = ["pos", *[c for c in flat.columns if c not in ("mark", "pos")]]
-    gathered = flat.groupBy("mark").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("sequence"))
-    whole = counted.select(F.col("mark").alias("whole")).join(gathered, F.col("whole").eqNullSafe(F.col("mark")), "left")
-    none = F.array().cast(gathered.schema["sequence"].dataType)
-    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole.copies")))).select(F.col(f"whole.{key}").alias(key), F.coalesce("sequence", none).alias("sequence"))
+    parsed = parse_html(pages, key).select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "parts")
+    rows = saved(parsed, "sequences-parts")
+    media = of_media(media)
+    names = [c for c in media.columns if c != "digest"]
+    references = rows.select("row", F.explode(F.filter("parts", lambda p: p["kind"] == "media")).alias("p")).select("row", "p.pos", "p.digest")
+    packed = media.select("digest", F.struct(F.lit(0).alias(unused("_", names)), *names).alias("found"))
+    found = even_join(references, packed, "digest", "left").select("row", F.struct("pos", "found").alias("m"))
+    gathered = found.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("media"))
+    whole = rows.join(gathered, "row", "left")
+    # the n-th media part meets the n-th of the gathered ones: both are in order of their places
+    fields = [f.split()[0] for f in PART.split(", ")]
+    sequence = F.transform("parts", lambda p: F.struct(*[p[f].alias(f) for f in fields], *[F.when(p["nth"].isNotNull(), F.get("media", p["nth"])["found"][c]).alias(c) for c in names]))
+    return whole.select(F.col("key").alias(key), sequence.alias("sequence"))
 
 
 def media_of_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -253,8 +264,8 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def texts_as_media(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row a document: its media part, resolved, with the features of the stored bytes."""
+    """One row a document: the media part of its sequence, with the features of the stored bytes."""
     both = saved(media_of_texts(docs, width), "media")
-    parts = parse_html(both.select("doc_id", "html"))
     media = saved(media_features(both.select("digest", "stored")), "media-features")
-    return resolved(parts, media).filter("kind = 'media'")
+    found = sequences(both.select("doc_id", "html"), media)
+    return found.select("doc_id", F.explode(F.filter("sequence", lambda p: p["kind"] == "media")).alias("p")).select("doc_id", "p.*")
