@@ -15,17 +15,21 @@ equal ids by the hash of their texts). The index, a Parquet table beside the fil
 
 Encoding: the ids are the tokenizers library's own. A text is cut before each white-space
 character where its pattern cuts in any case (single spaces and newlines inside the text
-and no other white space), its distinct pieces go to the library once, and are looked up
-after that; all other texts go to the library whole.
-
-Defined cases. Null and empty texts are the end id alone. Repeated rows are repeated
-records. A null id is an empty key, read back as null. The special token's string in a text is
-what the library makes of it. Other columns are left out.
-
-Scale. One shuffle, of whole rows by range of doc_id, spread over equal ids by the hash of
-the texts, before encoding, so ids are made once, where they are written. What comes
-before a document is its file's start (sums per file, one row a file) plus a running sum
-as its file is read.
+and no other white space), its distinct pieces go to the library's model once, and are
+looked up after that; all other texts go to the library whole, and so do all texts where
+the file asks for anything else than plain byte-level pieces (a normalizer, another
+pattern, a prefix space, truncation, padding, dropout, marks of words).
+
+Defined cases. Null and empty texts are the end id alone. Texts of any length are encoded
+whole, one record each. Repeated rows are repeated records. A null id is an empty key, read
+back as null. The special token's string in a text is what the library makes of it. Other
+columns are left out, whatever their names. An empty table gives an empty index.
+
+Scale. One shuffle, of whole rows by range of doc_id, before encoding, so ids are made
+once, where they are written. Rows of one id are spread by the hash of their texts, and
+rows that agree in both by their places in the input, so no id or copied row fills a task.
+What comes before a document is its file's start plus a running sum as its file is read;
+starts are sums over runs of files, so no task sees all files.
 """
 
 from __future__ import annotations
@@ -43,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, new_path, utf8
+from .common import BROADCAST_ROWS, kept, new_path, saved, utf8
 from .token_counts import blocks
 
 if TYPE_CHECKING:
@@ -54,6 +58,8 @@ END_ID = 0
 CACHE = 200_000
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
+#: Files whose sizes are added up by one task.
+RUN = 4096
 DELTA = 0xA282EAD8
 #: A newline or none, letters, a mark or none: the pattern cuts between these parts.
 PARTS = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,!?;:]?)")
@@ -84,6 +90,12 @@ def unframed(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at += n + 17
 
 
+def opened(payload: memoryview) -> tuple[str | None, np.ndarray]:
+    """The key and the ids of a record."""
+    width, n = struct.unpack_from("<BI", payload)
+    return bytes(payload[5 : 5 + n]).decode() if n else None, np.frombuffer(payload[5 + n :], f"<u{width}")
+
+
 class Pieces(dict):
     """The ids of pieces, made when they are first asked for."""
 
@@ -114,7 +126,10 @@ class Encoder:
         self.space = chr(self.alphabet[32])
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = type(self.tokenizer.pre_tokenizer).__name__
-        self.by_piece = kind == "ByteLevel" and self.tokenizer.normalizer is None and type(self.tokenizer.model).__name__ == "BPE" and not self.tokenizer.pre_tokenizer.add_prefix_space
+        model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        plain = kind == "ByteLevel" and type(model).__name__ == "BPE" and cut.use_regex and not cut.add_prefix_space
+        whole = self.tokenizer.normalizer is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
+        self.by_piece = plain and whole and not any(getattr(model, n, None) for n in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk", "ignore_merges"))
         self.ids = self.tokenizer.model.tokenize
         self.marks = {m: self.whole(m) for m in ".,!?;:"}
 
@@ -161,8 +176,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     rows = docs.select(F.col("doc_id"), utf8(F.col("text")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text") + 32), F.lit(0))).first()[0]
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(files, "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
 
     def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_file)
@@ -191,9 +206,7 @@ def read_records(spark: SparkSession, path: str, kind: str = "bigint") -> DataFr
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data, before, rows = memoryview(content.as_buffer()), 0, []
                 for at, payload in unframed(data):
-                    width, n = struct.unpack_from("<BI", payload)
-                    key = bytes(payload[5 : 5 + n]).decode() if n else None
-                    ids = np.frombuffer(payload[5 + n :], f"<u{width}")
+                    key, ids = opened(payload)
                     rows.append((name, at, len(payload) + 17, key, before, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     before += len(ids)
                     if len(rows) == 10_000:
@@ -219,21 +232,45 @@ def token_records(docs: DataFrame, tokenizer_file: str, path: str | None = None)
     write_records(docs, f"{path}/records", tokenizer_file)
     read_records(spark, f"{path}/records", docs.schema["doc_id"].dataType.simpleString()).write.parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
+    return with_starts(index)
+
+
+def with_starts(index: DataFrame, run: int = RUN) -> DataFrame:
+    """The index with start: sums over runs of ``run`` files, over the files of a run, and over a file's records."""
     # files are named by the place of their range, so their names give the order
     number = F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int")
-    order = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(F.col("file").alias("of"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
-    return index.join(F.broadcast(starts), index["file"] == F.col("of")).withColumn("start", F.col("first") + F.col("before")).drop("of", "first")
+    files = saved(index.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("run", F.floor(number / run)), "token-files")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = files.groupBy("run").agg(F.sum("n").alias("n")).select("run", before(Window.orderBy("run")).alias("earlier"))
+    inside = files.withColumn("first", before(Window.partitionBy("run").orderBy(number, "file")))
+    starts = inside.join(runs, "run").select(F.col("file").alias("of"), (F.col("first") + F.col("earlier")).alias("first"))
+    starts = F.broadcast(starts) if files.count() <= BROADCAST_ROWS else starts
+    return index.join(starts, index["file"] == F.col("of")).withColumn("start", F.col("first") + F.col("before")).drop("of", "first")
 
 
-def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
-    """file, offset and payload of each record in an order drawn from ``seed``: the index is shuffled and files are read by offset.
+def read_shuffled(spark: SparkSession, path: str, seed: int, kind: str = "bigint") -> DataFrame:
+    """file, offset, doc_id and ids of each record in an order drawn from ``seed``.
 
-    Each file's records are cut out where the file is read; only they are shuffled.
+    A file is cut where it is read, and checked; only records are shuffled.
     """
-    index = spark.read.parquet(f"{path}/index")
-    place = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("places"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(F.col("path").alias("file"), "content")
-    cut = files.join(place, "file").select("file", "content", F.explode("places").alias("p"))
-    record = F.expr("substring(content, int(p.offset + 13), int(p.length - 17))")
-    return cut.select("file", F.col("p.offset").alias("offset"), record.alias("payload")).orderBy(F.xxhash64(F.lit(seed), "file", "offset"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select("path", "content")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, size = [], 0
+                for at, payload in unframed(memoryview(content.as_buffer())):
+                    key, ids = opened(payload)
+                    rows.append((name, at, key, ids.astype("<u4").tobytes()))
+                    size += len(payload)
+                    if size > 4 << 20:
+                        yield pack(rows)
+                        rows, size = [], 0
+                yield pack(rows)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(r[3]) // 4 for r in rows)]), pa.array(np.frombuffer(b"".join(r[3] for r in rows), "<u4").astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), ids], ["file", "offset", "doc_id", "ids"])
+
+    found = files.mapInArrow(cut, "file string, offset bigint, doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return found.orderBy(F.xxhash64(F.lit(seed), "file", "offset"))

@@ -5,6 +5,7 @@ import re
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import mixing as M
 
@@ -71,6 +72,21 @@ def test_copies_and_columns(spark, docs):
     assert M.mix(clash).select("size").agg({"size": "sum"}).first()[0] == sum(r.size for r in M.mix(docs).collect())
 
 
+def test_columns_of_any_name_come_back(spark, docs):
+    clash = docs.withColumns({n: F.concat_ws("/", F.lit(n), F.col("doc_id")) for n in ("copy_no", "mix_source", "mix_salt", "size", "rate", "target", "row", "copies")})
+    out = M.emitted(clash)
+    assert out.columns == clash.columns
+    there = {str(tuple(r)) for r in clash.collect()}
+    assert {str(tuple(r)) for r in out.collect()} <= there and out.count() == M.emitted(docs).count()
+    assert M.mix(clash).select("mix_source", "copy_no", "row").distinct().count() == clash.select("mix_source", "copy_no", "row").distinct().count()
+
+
+def test_another_seed_draws_others(spark):
+    docs = spark.createDataFrame([(k, "w " * 5, "abc"[k % 3]) for k in range(400)], "doc_id bigint, text string, source string")
+    taken = [{(r.doc_id, r.copies) for r in M.mix(docs, seed=s).collect()} for s in ("", "x", "x")]
+    assert taken[0] != taken[1] and taken[1] == taken[2]
+
+
 def test_empty_table(spark, no_docs):
     assert M.mix(no_docs).count() == 0
     assert M.emitted(no_docs).count() == 0

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -39,10 +40,34 @@ def test_index_of_all_documents(spark, docs, tmp_path):
     rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [r.doc_id for r in rows]
     assert sorted(r.start for r in got) == np.concatenate(([0], np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1])).tolist()
-    want = sorted(zlib.crc32(np.array(library.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in rows)
-    assert sorted(r.ids_crc32 for r in got) == want
-    shuffled = R.read_shuffled(spark, f"file://{tmp_path}/out", 1)
-    assert shuffled.count() == len(rows)
+    want = {}
+    for r in rows:
+        want.setdefault(r.doc_id, []).append(library.encode(r.text or "", add_special_tokens=False).ids + [0])
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    per_document = sorted(str((d, len(ids), crc(ids))) for d, each in want.items() for ids in each)
+    assert sorted(str((r.doc_id, r.n_tokens, r.ids_crc32)) for r in got) == per_document
+    # starts are the same however few files a run has
+    again = R.with_starts(spark.read.parquet(f"file://{tmp_path}/out/index"), run=1)
+    assert sorted(str((r.file, r.offset, r.start)) for r in again.collect()) == sorted(str((r.file, r.offset, r.start)) for r in got)
+    orders = [[(r.file, r.offset, r.doc_id, tuple(r.ids)) for r in R.read_shuffled(spark, f"file://{tmp_path}/out", seed).collect()] for seed in (1, 1, 2)]
+    assert orders[0] == orders[1] != orders[2] and sorted(map(str, orders[0])) == sorted(map(str, orders[2]))
+    assert sorted(str((d, ids)) for _, _, d, ids in orders[0]) == sorted(str((d, tuple(ids))) for d, each in want.items() for ids in each)
+    assert {(f, o) for f, o, _, _ in orders[0]} == {(r.file, r.offset) for r in got}
+
+
+def test_files_that_ask_for_more_go_to_the_library_whole(tmp_path):
+    for change in ({"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}):
+        told = json.load(open(FILE)) | change
+        (tmp_path / "t.json").write_text(json.dumps(told))
+        own = R.Encoder(str(tmp_path / "t.json"))
+        assert not own.by_piece
+        assert np.frombuffer(own.encode("Some words and more"), "<u2").tolist() == Tokenizer.from_file(str(tmp_path / "t.json")).encode("Some words and more", add_special_tokens=False).ids
+
+
+def test_rows_that_agree_spread_over_files(spark):
+    docs = spark.range(4000).selectExpr("7L as doc_id", "'the same text' as text")
+    files = {r.file: r["count"] for r in R.token_records(docs, FILE).groupBy("file").count().collect()}
+    assert len(files) > 1 and max(files.values()) < 2500
 
 
 def test_empty_table(spark, no_docs):
