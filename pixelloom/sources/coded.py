@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -276,27 +277,152 @@ def cosines(n: int) -> np.ndarray:
     return np.cos((2 * x + 1) * k * np.pi / (2 * n)) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
 
 
+class Component:
+    """A colour component: its sampling, its quantisation table, and its coefficients along the diagonals."""
+
+    def __init__(self, ident: int, sx: int, sy: int, quant: int):
+        self.ident, self.sx, self.sy, self.quant, self.last = ident, sx, sy, quant, 0
+
+    def sized(self, w: int, h: int, top_x: int, top_y: int) -> None:
+        across, down = -(-w // (8 * top_x)), -(-h // (8 * top_y))
+        self.blocks = np.zeros((down * self.sy, across * self.sx, 64), np.int64)
+        # blocks that a scan of this component alone has
+        self.rows, self.columns = -(-(-(-h * self.sy // top_y)) // 8), -(-(-(-w * self.sx // top_x)) // 8)
+
+
+class Scan:
+    """One scan: which components, which coefficients (first to last), and which of their bits."""
+
+    def __init__(self, parts: list[Component], tables: list[tuple[dict, dict]], first: int, last: int, before: int, bit: int, progressive: bool):
+        self.parts, self.tables, self.first, self.last, self.bit, self.run = parts, tables, first, last, bit, 0
+        self.block = self.whole if not progressive else (self.dc if not before else self.dc_again) if not first else (self.ac if not before else self.ac_again)
+
+    def units(self) -> Iterator[list[tuple[int, Component, int, int]]]:
+        """The blocks of each step: all of an interleaved unit, or one of a component by itself."""
+        if len(self.parts) == 1:
+            p = self.parts[0]
+            for y in range(p.rows):
+                for x in range(p.columns):
+                    yield [(0, p, y, x)]
+            return
+        down, across = self.parts[0].blocks.shape[0] // self.parts[0].sy, self.parts[0].blocks.shape[1] // self.parts[0].sx
+        for y in range(down):
+            for x in range(across):
+                yield [(k, p, y * p.sy + b // p.sx, x * p.sx + b % p.sx) for k, p in enumerate(self.parts) for b in range(p.sx * p.sy)]
+
+    def read(self, segments: list[bytes], restart: int) -> bool:
+        """Decode all steps; whether every bit was there."""
+        runs = iter([Bits(s.replace(b"\xff\0", b"\xff")) for s in segments])
+        source = None
+        for n, unit in enumerate(self.units()):
+            if source is None or restart and n % restart == 0:
+                source, self.run = next(runs, None), 0
+                if source is None:
+                    return False
+                for p in self.parts:
+                    p.last = 0
+            for k, p, y, x in unit:
+                self.block(source, p, *self.tables[k], p.blocks[y, x])
+            if source.short:
+                return False
+        return True
+
+    def dc(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+        p.last += source.signed(source.symbol(dc))
+        block[0] = p.last << self.bit
+
+    def dc_again(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+        block[0] |= source.take(1) << self.bit
+
+    def whole(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+        self.dc(source, p, dc, ac, block)
+        k = 1
+        while k < 64:
+            run, size = divmod(source.symbol(ac), 16)
+            if not size and run < 15:
+                return
+            k += run
+            if size and k < 64:
+                block[k] = source.signed(size)
+            k += 1
+
+    def ac(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+        """New coefficients; a run of blocks without any is counted down."""
+        if self.run:
+            self.run -= 1
+            return
+        k = self.first
+        while k <= self.last:
+            run, size = divmod(source.symbol(ac), 16)
+            if not size and run < 15:
+                self.run = (1 << run) + source.take(run) - 1
+                return
+            k += run
+            if size and k < 64:
+                block[k] = source.signed(size) << self.bit
+            k += 1
+
+    def ac_again(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+        """One more bit of what isn't 0 so far, with new coefficients of one bit between."""
+        k, one = self.first, 1 << self.bit
+
+        def refined(k: int) -> None:
+            if source.take(1) and not abs(int(block[k])) & one:
+                block[k] += one if block[k] > 0 else -one
+
+        if not self.run:
+            while k <= self.last:
+                zeros, size = divmod(source.symbol(ac), 16)
+                if not size and zeros < 15:
+                    self.run = (1 << zeros) + source.take(zeros)
+                    break
+                new = (one if source.take(1) else -one) if size else 0
+                while k <= self.last:
+                    if block[k]:
+                        refined(k)
+                    elif zeros:
+                        zeros -= 1
+                    else:
+                        break
+                    k += 1
+                if new and k <= self.last:
+                    block[k] = new
+                k += 1
+        if self.run:
+            for k in range(k, self.last + 1):
+                if block[k]:
+                    refined(k)
+            self.run -= 1
+
+
 def jpeg(c: Cursor, scale: int = 0) -> Raster:
-    """Sequential JPEG; scale 1, 2 or 3 makes a half, a quarter or an eighth from the low frequencies alone."""
+    """JPEG in Huffman coding: sequential or progressive, components in one scan or in many.
+
+    scale 1, 2 or 3 makes a half, a quarter or an eighth from the low frequencies alone.
+    """
     if c.data[:2] != b"\xff\xd8":
         raise NotMine
     data, at = c.data, 2
-    quant, tables, frame, restart = {}, {}, None, 0
+    quant, tables, frame, restart, progressive, scans, ended = {}, {}, [], 0, False, 0, False
     while True:
         at = data.find(b"\xff", at)
-        if at < 0 or at + 4 > len(data):
-            raise Broken("no scan")
+        if at < 0 or at + 2 > len(data):
+            break
         mark = data[at + 1]
+        if mark == 0xD9:
+            at, ended = at + 2, True
+            break
         if mark in (0, 1, 255) or 0xD0 <= mark <= 0xD8:
             at += 1
             continue
+        if at + 4 > len(data):
+            break
         (n,) = struct.unpack_from(">H", data, at + 2)
         body, at = data[at + 4 : at + 2 + n], at + 2 + n
         if mark == 0xDB:
             while body:
-                wide, body = body[0] >> 4, body
-                size = 128 if wide else 64
-                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + size], ">u2" if wide else np.uint8).astype(np.float64)
+                size = 128 if body[0] >> 4 else 64
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + size], ">u2" if size == 128 else np.uint8).astype(np.float64)
                 body = body[1 + size :]
         elif mark == 0xC4:
             while len(body) > 17:
@@ -309,69 +435,56 @@ def jpeg(c: Cursor, scale: int = 0) -> Raster:
                     code <<= 1
                 tables[body[0]] = codes
                 body = body[17 + sum(counts) :]
-        elif mark in (0xC0, 0xC1):
+        elif mark in (0xC0, 0xC1, 0xC2):
             depth, h, w, parts = struct.unpack_from(">BHHB", body)
-            frame = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(parts)]
-            sized(w, h, 3)
             if depth != 8 or parts not in (1, 3):
                 raise Broken(f"{depth} bits, {parts} components")
-        elif 0xC2 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            raise Broken("progressive or arithmetic coding")
+            sized(w, h, 3)
+            progressive = mark == 0xC2
+            frame = [Component(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(parts)]
+            if parts == 1:  # one component has no units to share
+                frame[0].sx = frame[0].sy = 1
+            top_x, top_y = max(p.sx for p in frame), max(p.sy for p in frame)
+            if not min(min(p.sx, p.sy) for p in frame) or any(top_x % p.sx or top_y % p.sy for p in frame):
+                raise Broken("sampling that isn't whole")
+            for p in frame:
+                p.sized(w, h, top_x, top_y)
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            raise Broken("lossless, hierarchical or arithmetic coding")
         elif mark == 0xDD:
             (restart,) = struct.unpack_from(">H", body)
         elif mark == 0xDA:
-            break
-    if not frame:
-        raise Broken("a scan before its frame")
-    chosen = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
-    if len(chosen) != len(frame):
-        raise Broken("components in scans of their own")
-    end = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]").search(data, at)
-    c.at = end.start() + 2 if end else len(data)
-    segments = re.split(rb"\xff[\xd0-\xd7]", data[at : end.start() if end else None])
-    runs = iter([Bits(s.replace(b"\xff\0", b"\xff")) for s in segments])
-    top_x, top_y = max(f[1] for f in frame), max(f[2] for f in frame)
-    across, down = -(-w // (8 * top_x)), -(-h // (8 * top_y))
-    blocks = [np.zeros((down * f[2], across * f[1], 64)) for f in frame]
-    order = zigzag()
-    source, last = next(runs), [0] * len(frame)
-    try:
-        for m in range(across * down):
-            if restart and m and m % restart == 0:
-                source, last = next(runs), [0] * len(frame)
-            my, mx = divmod(m, across)
-            for k, (ident, sx, sy, _) in enumerate(frame):
-                dc, ac = tables[chosen[ident] >> 4], tables[16 | chosen[ident] & 15]
-                for b in range(sx * sy):
-                    block = blocks[k][my * sy + b // sx, mx * sx + b % sx]
-                    last[k] += source.signed(source.symbol(dc))
-                    block[0] = last[k]
-                    i = 1
-                    while i < 64:
-                        v = source.symbol(ac)
-                        run, size = v >> 4, v & 15
-                        if not size and run < 15:
-                            break
-                        i += run
-                        if size and i < 64:
-                            block[order[i]] = source.signed(size)
-                        i += 1
-            if source.short:
+            if not frame:
+                raise Broken("a scan before its frame")
+            end = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]").search(data, at)
+            segments = re.split(rb"\xff[\xd0-\xd7]", data[at : end.start() if end else None])
+            at, scans = end.start() if end else len(data), scans + 1
+            try:
+                chosen = [(next(p for p in frame if p.ident == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
+                first, last, bits_ = body[1 + 2 * body[0] : 4 + 2 * body[0]] if progressive else (0, 63, 0)
+                known = [(tables.get(t >> 4, {}), tables.get(16 | t & 15, {})) for _, t in chosen]
+                whole = Scan([p for p, _ in chosen], known, first, min(last, 63), bits_ >> 4, bits_ & 15, progressive).read(segments, restart)
+            except (Broken, StopIteration, ValueError, IndexError):
+                whole = False
+            if not whole:
                 c.short = True
                 break
-    except (StopIteration, Broken, KeyError):
+    if not scans:
+        raise Broken("no scan")
+    if progressive and not ended:  # later scans may be missing
         c.short = True
+    c.at = at if ended else len(data)
     n = 8 >> min(max(scale, 0), 3)
-    basis = cosines(n)
+    basis, order = cosines(n), zigzag()
     planes = []
-    for f, block in zip(frame, blocks, strict=True):
-        q = np.zeros(64)
-        q[order] = quant[f[3]]
-        rows, cols, _ = block.shape
-        low = (block * q).reshape(rows, cols, 8, 8)[..., :n, :n]
+    for p in frame:
+        values = np.zeros(p.blocks.shape)
+        values[..., order] = p.blocks * quant[p.quant]
+        rows, cols, _ = values.shape
+        low = values.reshape(rows, cols, 8, 8)[..., :n, :n]
         cells = np.einsum("ku,rckl,lv->rcuv", basis, low, basis) * (n / 8) + 128
         plane = cells.transpose(0, 2, 1, 3).reshape(rows * n, cols * n)
-        plane = np.repeat(np.repeat(plane, top_y // f[2], axis=0), top_x // f[1], axis=1)
+        plane = np.repeat(np.repeat(plane, top_y // p.sy, axis=0), top_x // p.sx, axis=1)
         planes.append(plane[: -(-h * n // 8), : -(-w * n // 8)])
     if len(planes) == 1:
         level = np.clip(np.round(planes[0]), 0, 255).astype(np.int64)
@@ -535,6 +648,8 @@ def fax(c: Cursor) -> Raster:
 
 #: Where the plain sizes begin, and how large they are.
 PCD_SIZES = ((0x2000, 192, 128), (0xB800, 384, 256), (0x30000, 768, 512))
+#: Highlights are bent down from 238 on. The inputs at which 238, 239, ... 255 begin.
+PCD_HIGHLIGHTS = (239, 240, 241, 243, 245, 246, 248, 251, 253, 256, 259, 263, 268, 273, 281, 291, 307, 331)
 
 
 def photo_cd(c: Cursor, width: int = 0, height: int = 0) -> Raster:
@@ -548,7 +663,9 @@ def photo_cd(c: Cursor, width: int = 0, height: int = 0) -> Raster:
     raw = np.frombuffer(c.take(w * h * 3 // 2), np.uint8).reshape(h // 2, 3 * w)
     luma = raw[:, : 2 * w].reshape(h, w).astype(np.int64)
     blue, red = (upsample(raw[:, a : a + w // 2]) for a in (2 * w, 2 * w + w // 2))
-    c1, c2, scale = blue - 156, red - 137, 255 / 182
-    rgb = np.stack([luma * scale + c2 * scale, luma * scale - 0.194 * scale * c1 - 0.509 * scale * c2, luma * scale + c1 * scale], axis=2)
-    pixels = np.clip(np.trunc(rgb + 0.5), 0, 255).astype(np.uint8)
+    # in 16 bits behind the point, rounded once
+    part = lambda share: int(255 / 182 * share * 65536 + 0.5)
+    c1, c2, light = blue - 156, red - 137, part(1) * luma + 32768
+    rgb = np.stack([light + part(1) * c2, light - part(0.194) * c1 - part(0.509) * c2, light + part(1) * c1], axis=2) >> 16
+    pixels = np.where(rgb < 238, np.maximum(rgb, 0), 237 + np.searchsorted(PCD_HIGHLIGHTS, rgb, "right")).astype(np.uint8)
     return true(np.rot90(pixels, {1: 1, 3: -1}.get(turn, 0)).copy(), gamma=2.05)

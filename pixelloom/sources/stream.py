@@ -7,6 +7,7 @@ import bz2
 import re
 import struct
 import zlib
+from collections.abc import Callable
 
 
 class NotMine(Exception):
@@ -102,15 +103,37 @@ def uudecoded(data: bytes) -> bytes | None:
     return b"".join(out)
 
 
-def unwrapped(name: str, data: bytes, most: int = 1 << 31) -> bytes:
-    """Undo compression, by name or by first bytes, and uuencoding."""
+#: Bytes that are inflated at most.
+MOST = 1 << 31
+
+
+def members(data: bytes, engine: Callable, magic: bytes, most: int) -> bytes:
+    """All members of compressed data, one after the other; what follows them and isn't one is left, as is what is cut off."""
+    out, size = [], 0
+    while data.startswith(magic):
+        one = engine()
+        try:
+            out.append(one.decompress(data, most - size + 1))
+        except (zlib.error, OSError, EOFError):
+            if not out:
+                raise
+            break
+        size += len(out[-1])
+        if size > most:
+            raise Broken(f"more than {most} bytes when inflated")
+        data = one.unused_data if one.eof else b""
+    return b"".join(out)
+
+
+def unwrapped(name: str, data: bytes, most: int = MOST) -> bytes:
+    """Undo compression, by name or by first bytes, and uuencoding. More than ``most`` bytes raise."""
     if data[:2] == b"\x1f\x8b":
-        data = zlib.decompressobj(31).decompress(data, most)
+        data = members(data, lambda: zlib.decompressobj(31), b"\x1f\x8b", most)
     elif data[:2] == b"\x1f\x9d":
         data = lzw_bits(data)
     elif name.endswith(".bz2") or data[:3] == b"BZh":
         try:
-            data = bz2.BZ2Decompressor().decompress(data, most)
+            data = members(data, bz2.BZ2Decompressor, b"BZh", most) or data
         except OSError:
             pass
     plain = uudecoded(data)

@@ -13,7 +13,7 @@ from pixelloom.image import BITMAP, RGB, TRUE, true
 from pixelloom.sources import coded, simple
 from pixelloom.sources.encode import ENCODERS
 from pixelloom.sources.registry import FORMATS, Context, decoded
-from pixelloom.sources.stream import lzw_bits, trailing_options, unwrapped, with_trailing, without_trailing
+from pixelloom.sources.stream import Broken, lzw_bits, trailing_options, unwrapped, with_trailing, without_trailing
 
 GRAY = bytes([0, 51, 102, 153, 204, 255])
 
@@ -194,7 +194,139 @@ def test_jpeg():
     assert colour.type == TRUE and colour.pixels[..., 1].tolist() == plane.tolist()
     small = ok(jpeg_file(plane), context=Context(iscale=3))
     assert levels(small) == [[0, 200, 55], [255, 128, 1]]
-    assert decoded("x", b"\xff\xd8\xff\xc2\0\x0b\x08\0\x08\0\x08\x01\x01\x11\0").status == "error"
+    assert decoded("x", b"\xff\xd8\xff\xc9\0\x0b\x08\0\x08\0\x08\x01\x01\x11\0").status == "error"  # arithmetic coding
+    assert decoded("x", b"\xff\xd8\xff\xc2\0\x0b\x08\0\x08\0\x08\x01\x01\x11\0").status == "error"  # no scan
+
+
+class JpegBits:
+    """Writes symbols by one plain table: 128 codes of 8 bits, 128 of 9."""
+
+    TABLE = bytes([0] * 7 + [128, 128] + [0] * 7) + bytes(range(256))
+
+    def __init__(self):
+        self.bits = ""
+
+    def symbol(self, v):
+        self.bits += f"{v:08b}" if v < 128 else f"{128 + v:09b}"
+
+    def number(self, v, n):
+        self.bits += f"{v:0{n}b}" if n else ""
+
+    def signed(self, v):
+        n = abs(v).bit_length()
+        self.number(v if v > 0 else v + (1 << n) - 1, n)
+
+    def data(self):
+        padded = self.bits + "1" * (-len(self.bits) % 8)
+        return (int(padded, 2).to_bytes(len(padded) // 8) if padded else b"").replace(b"\xff", b"\xff\0")
+
+
+def jpeg_coded(size, parts, scans, progressive):
+    """parts: (sampling across, down, blocks: rows x columns x 64 along the diagonals); scans: (numbers of parts, first, last, before, bit)."""
+    w, h = size
+    out = b"\xff\xd8\xff\xdb\0\x43\0" + b"\1" * 64 + bytes([0xFF, 0xC2 if progressive else 0xC0]) + struct.pack(">HBHHB", 8 + 3 * len(parts), 8, h, w, len(parts))
+    out += b"".join(bytes([k + 1, p[0] << 4 | p[1], 0]) for k, p in enumerate(parts))
+    for kind in (0, 16):
+        out += b"\xff\xc4" + struct.pack(">H", 19 + 256) + bytes([kind]) + JpegBits.TABLE
+    top_x, top_y = max(p[0] for p in parts), max(p[1] for p in parts)
+    for which, first, last, before, bit in scans:
+        out += b"\xff\xda" + struct.pack(">HB", 6 + 2 * len(which), len(which)) + b"".join(bytes([k + 1, 0]) for k in which) + bytes([first, last, before << 4 | bit])
+        code, dc, run, held = JpegBits(), {k: 0 for k in which}, [0], [""]
+
+        def flush(code=code, run=run, held=held):
+            if run[0]:
+                n = run[0].bit_length() - 1
+                code.symbol(n << 4)
+                code.number(run[0] - (1 << n), n)
+                code.bits += held[0]
+                run[0], held[0] = 0, ""
+
+        if len(which) == 1:
+            sx, sy, blocks = parts[which[0]]
+            rows, columns = -(-(-(-h * sy // top_y)) // 8), -(-(-(-w * sx // top_x)) // 8)
+            units = [(which[0], blocks[y, x]) for y in range(rows) for x in range(columns)]
+        else:
+            rows, columns = -(-h // (8 * top_y)), -(-w // (8 * top_x))
+            units = [(k, parts[k][2][y * parts[k][1] + b // parts[k][0], x * parts[k][0] + b % parts[k][0]]) for y in range(rows) for x in range(columns) for k in which for b in range(parts[k][0] * parts[k][1])]
+        for k, block in units:
+            c = [int(v) for v in block]
+            if first == 0:
+                if before:
+                    code.number(c[0] >> bit & 1, 1)
+                else:
+                    value = c[0] >> bit
+                    code.symbol(abs(value - dc[k]).bit_length())
+                    code.signed(value - dc[k])
+                    dc[k] = value
+                if progressive:
+                    continue
+            zeros, corrections = 0, ""
+            small = [abs(v) >> bit for v in c]
+            new = [i for i in range(64) if small[i] == 1]
+            for i in range(max(first, 1), last + 1):
+                if not small[i]:
+                    zeros += 1
+                    continue
+                while zeros > 15 and (not before or new and i <= new[-1]):
+                    flush()
+                    code.symbol(0xF0)
+                    code.bits += corrections
+                    zeros, corrections = zeros - 16, ""
+                if before and small[i] > 1:
+                    corrections += str(small[i] & 1)
+                    continue
+                flush()
+                code.symbol(zeros << 4 | small[i].bit_length())
+                if before:
+                    code.number(int(c[i] > 0), 1)
+                    code.bits += corrections
+                else:
+                    code.signed(small[i] if c[i] > 0 else -small[i])
+                zeros, corrections = 0, ""
+            if zeros or corrections:
+                if not progressive:
+                    code.symbol(0)
+                else:
+                    run[0], held[0] = run[0] + 1, held[0] + corrections
+                    if run[0] == 5:
+                        flush()
+        flush()
+        out += code.data()
+    return out + b"\xff\xd9"
+
+
+def test_jpeg_scans_of_every_kind():
+    """The same coefficients in one scan, in a scan a component, and in progressive scans with runs and refinement."""
+    rng = np.random.default_rng(8)
+    for size, sampling in (((21, 18), [(2, 2), (1, 1), (1, 1)]), ((30, 9), [(2, 1), (1, 1), (1, 1)]), ((17, 20), [(1, 1)])):
+        top_x, top_y = max(s[0] for s in sampling), max(s[1] for s in sampling)
+        across, down = -(-size[0] // (8 * top_x)), -(-size[1] // (8 * top_y))
+        parts = []
+        for k, (sx, sy) in enumerate(sampling):
+            blocks = np.where(rng.random((down * sy, across * sx, 64)) < 0.12, rng.integers(-40, 41, (down * sy, across * sx, 64)), 0)
+            blocks[0, 0, 1:] = 0
+            blocks[..., 0] = rng.integers(-300, 300, blocks.shape[:2])
+            # what no scan of one component has isn't part of the picture
+            blocks[-(-(-(-size[1] * sy // top_y)) // 8) :] = 0
+            blocks[:, -(-(-(-size[0] * sx // top_x)) // 8) :] = 0
+            parts.append((sx, sy, blocks))
+        all_ = tuple(range(len(parts)))
+        plain = ok(jpeg_coded(size, parts, [(all_, 0, 63, 0, 0)], False), kind="jpeg")
+        # by hand: inverse transform of the first component
+        basis = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(1 / 8) if u == 0 else 0.5) for x in range(8)] for u in range(8)])
+        zigzag = sorted(((u, v) for u in range(8) for v in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+        if len(parts) == 1:
+            first = np.zeros((8, 8))
+            for (u, v), value in zip(zigzag, parts[0][2][0, 1], strict=True):
+                first += value * np.outer(basis[u], basis[v])
+            assert levels(plain)[0][8:16] == np.clip(np.round(first + 128), 0, 255).astype(int)[0].tolist()
+        alone = [((k,), 0, 63, 0, 0) for k in all_]
+        steps = [(all_, 0, 0, 0, 1)] + [((k,), 1, 5, 0, 2) for k in all_] + [((k,), 6, 63, 0, 2) for k in all_] + [((k,), 1, 63, 2, 1) for k in all_] + [(all_, 0, 0, 1, 0)] + [((k,), 1, 63, 1, 0) for k in reversed(all_)]
+        for scans, progressive in ((alone, False), (steps, True)):
+            again = ok(jpeg_coded(size, parts, scans, progressive))
+            assert (again.colours16() == plain.colours16()).all()
+        part = ok(jpeg_coded(size, parts, steps, True)[:-60], status="partial")
+        assert part.pixels.shape == plain.pixels.shape
 
 
 def rle_file(w, h, channels, maps, ops, comment=b"", table=b"", back=None):
@@ -347,7 +479,11 @@ def test_photo_cd():
     pair = bytes([100] * 192) + bytes([182] * 192) + bytes([156] * 96) + bytes([137] * 96)
     r = ok(bytes(data) + pair * 64, kind="pcd")
     assert r.pixels.shape == (128, 192, 3) and r.gamma == 2.05
-    assert r.pixels[0, 0].tolist() == [140] * 3 and r.pixels[1, 0].tolist() == [255] * 3
+    # 182 is 255 in the scene, and highlights are bent down: 255 shows as 246
+    assert r.pixels[0, 0].tolist() == [140] * 3 and r.pixels[1, 0].tolist() == [246] * 3
+    for light, shown in ((168, 235), (169, 237), (170, 237), (171, 239), (182, 246), (185, 248), (199, 251), (214, 253), (235, 254), (236, 255), (255, 255)):
+        line = bytes([light] * 384) + bytes([156] * 96) + bytes([137] * 96)
+        assert ok(bytes(data) + line * 64).pixels[0, 0].tolist() == [shown] * 3, light
     data[0xE02] = 1
     assert ok(bytes(data) + pair * 64).pixels.shape == (192, 128, 3)
 
@@ -380,6 +516,15 @@ def test_wrappers():
     for name, data in (("a.pgm", pgm), ("a.pgm.gz", gzip.compress(pgm)), ("a.pgm.bz2", bz2.compress(pgm)), ("mail.uu", b"Subject: x\n\n" + lines), ("a.uu.gz", gzip.compress(lines))):
         assert levels(ok(data, name)) == [[0, 1], [2, 3]], name
     assert unwrapped("x", pgm) == pgm
+    # members one after the other are one file; what isn't a member is left out, a lost end is partial
+    for pack in (gzip.compress, bz2.compress):
+        assert unwrapped("x", pack(pgm[:7]) + pack(pgm[7:]) + pack(b"")) == pgm
+        assert unwrapped("x", pack(pgm) + b"junk") == pgm
+        assert unwrapped("x", pack(pgm[:11]) + pack(pgm[11:])[:6]) == pgm[:11]
+        with pytest.raises(Broken):
+            unwrapped("x", pack(bytes(1000)) + pack(bytes(1000)), most=1999)
+        assert len(unwrapped("x", pack(bytes(1000)) + pack(bytes(1000)), most=2000)) == 2000
+    assert decoded("x.gz", gzip.compress(pgm[:11]) + gzip.compress(pgm[11:])[:6]).status == "partial"
 
 
 def compressed(data, most=12, blocks=128):
