@@ -1,0 +1,45 @@
+"""What the files of ``known`` show, written by hand: one SQL query of file, x, y, r, g, b. Nothing here reads a decoder."""
+
+#: number of the file, width, the pixels row by row: (r, g, b), or one number for gray.
+SHOWN = (
+    (0, 3, (255, 0, 255, 0, 0, 255)),
+    (1, 2, ((1, 2, 3), (4, 5, 6))),
+    (2, 9, (0, 255, 0, 255, 0, 255, 0, 255, 0)),
+    (3, 2, ((255, 0, 119), (0, 255, 17))),
+    (4, 2, (3, 255, 1, 2)),
+    (5, 2, ((4, 5, 6), (1, 2, 3))),
+    (6, 4, ((0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 0, 0), (255, 0, 0), (255, 0, 0), (255, 0, 0), (0, 0, 255), (0, 0, 255), (0, 0, 0), (0, 0, 0), (0, 255, 0), (0, 0, 0), (0, 255, 0), (0, 0, 0))),
+    (9, 3, (4, 5, 6, 1, 2, 3)),
+    (10, 5, (10, 11, 12, 0, 0, 1, 2, 1, 2, 1)),
+    (12, 3, ((11, 0, 0), (3, 0, 0), (7, 0, 0))),
+    (13, 5, (7, 7, 7, 8, 9)),
+    (14, 3, (0, 1, 2, 3, 4, 254)),
+    (16, 3, ((7, 0, 248), (7, 0, 248), (9, 0, 246))),
+    (19, 2, ((255, 0, 0), (0, 0, 255), (0, 0, 0), (255, 0, 0))),
+    (20, 9, (0, 255, 0, 255, 255, 255, 255, 255, 0, *[255] * 9)),
+    (21, 2, (0, 1, 2, 3)),
+    (22, 2, (0, 1, 2, 3)),
+    (23, 2, (0, 1, 2, 3)),
+)
+ROWS = ", ".join(f"({k}, {i % w}, {i // w}, {', '.join(map(str, p if isinstance(p, tuple) else (p,) * 3))})" for k, w, pixels in SHOWN for i, p in enumerate(pixels))
+
+
+def grid(number: int, width: int, height: int, level: str) -> str:
+    """A gray picture by a formula of x and y."""
+    return f"SELECT {number} AS file, x, y, v AS r, v AS g, v AS b FROM (SELECT x, y, ({level})::INT AS v FROM (SELECT unnest(range({width}))::INT AS x), (SELECT unnest(range({height}))::INT AS y))"
+
+
+#: Rows of the bitmap of two bytes: 0xAA 0xF0 twice, 0x11 0x22, 0xFF 0x00.
+GEM = "CASE y WHEN 0 THEN 43760 WHEN 1 THEN 43760 WHEN 2 THEN 4386 ELSE 65280 END"
+BLACK = "CASE WHEN {} = 1 THEN 0 ELSE 255 END"
+KNOWN_SQL = " UNION ALL ".join(
+    [
+        f"SELECT file, x, y, r, g, b FROM (VALUES {ROWS}) t(file, x, y, r, g, b)",
+        grid(7, 16, 8, "CASE WHEN x < 8 THEN 200 ELSE 55 END"),
+        grid(8, 8, 8, "floor(128.5 + 400 / 8.0::DOUBLE + 80 * cos((2 * x + 1) * pi() / 16) / (4 * sqrt(2.0::DOUBLE)))"),
+        grid(11, 192, 128, "CASE WHEN y % 2 = 0 THEN 140 ELSE 246 END"),
+        grid(15, 128, 4, BLACK.format("((x >= 64) = (y % 2 = 0))::INT")),
+        grid(17, 16, 4, BLACK.format(f"(({GEM}) >> (15 - x)) & 1")),
+        grid(18, 576, 720, BLACK.format("((CASE WHEN y < 719 THEN 240 ELSE x // 8 END) >> (7 - x % 8)) & 1")),
+    ]
+)

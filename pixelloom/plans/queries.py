@@ -16,6 +16,7 @@ from ..operators import raster as R
 from ..sources import encode, files, stream
 from . import corpora, options, paths
 from .corpora import SIDE, read
+from .known import KNOWN_FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,6 +245,13 @@ def decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return files.explode_pixels(files.decode(encoded(spark, d)))
 
 
+def decode_known(spark: SparkSession, d: str) -> DataFrame:
+    """Small files of every format and wrapper, made by hand, as pixels."""
+    rows = [(k, name, bytes.fromhex(content)) for k, (name, content) in enumerate(KNOWN_FILES)]
+    known = spark.createDataFrame(rows, "image_id bigint, path string, content binary")
+    return files.explode_pixels(files.decode(known)).select(F.col("image_id").cast("int").alias("file"), "x", "y", "r", "g", "b")
+
+
 def identify(spark: SparkSession, d: str) -> DataFrame:
     found = files.identify(encoded(spark, d).select("path", "content"))
     return found.select("path", "format", "status", "width", "height", "depth", F.coalesce("colors", F.lit(0)).alias("colors"), "description")
@@ -319,6 +327,7 @@ def queries() -> dict[str, Query]:
         "pipeline_full": pipeline_full,
         "pipeline_packed": job_packed,
         "decode_roundtrip": decode_roundtrip,
+        "decode_known": decode_known,
         "identify": identify,
         "trailing_options": trailing_options,
         "smooth_packed": exploded(R.smooth),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.colour import SENSORS, colour_names
 from ..operators.raster import CELLS
+from .known_sql import KNOWN_SQL
 from .options import FLAGS
 
 Q = "greatest(0, least(255, floor((embedding[{} + 1]::DOUBLE + 0.5) * 255)))::INT"
@@ -182,6 +183,7 @@ BLACK_BITS = "SELECT image_id, x, y, (1 - idx) * 255 AS r, (1 - idx) * 255 AS g,
 ORACLE_SQL |= {
     "pipeline_packed": ORACLE_SQL["pipeline_full"],
     "decode_roundtrip": ORACLE_SQL["pixels"],
+    "decode_known": KNOWN_SQL,
     "identify": over_c1("SELECT path, form AS format, 'ok' AS status, 8 AS width, 8 AS height, 24 AS depth, 0 AS colors, path || ' is a 8x8 ' || description || ' image with depth 24' AS description FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, ['bmp', 'png', 'pnm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS form, ['BMP', 'PNG', 'portable bitmap, graymap or pixmap', 'Sun raster', 'Targa'][(image_id % 5 + 1)::INT] AS description FROM im)"),
     "trailing_options": over_c1("SELECT image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, CASE WHEN image_id % 7 = 1 THEN '-rotate 90 -bright ' || (image_id % 50 + 50) END AS options FROM im"),
     "smooth_packed": ORACLE_SQL["smooth_1"],
