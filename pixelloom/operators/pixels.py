@@ -82,11 +82,12 @@ def expand_true(ipixels: DataFrame, palettes: DataFrame) -> DataFrame:
 
 
 def normalize(pixels: DataFrame) -> DataFrame:
-    """Each image stretched from its smallest to its largest value; an image of one value stays as it is."""
-    image = Window.partitionBy("image_id")
-    low = F.min(F.least(*COLOURS)).over(image)
-    high = F.max(F.greatest(*COLOURS)).over(image)
-    marked = pixels.withColumns({"low": low, "high": high})
+    """Each image stretched from its smallest to its largest value; an image of one value stays as it is.
+
+    The extremes are added up before they are shuffled, one row an image and task, and
+    joined; no image's pixels are held together.
+    """
+    marked = pixels.join(extremes(pixels), "image_id")
     span = F.col("high") - F.col("low")
 
     def stretched(v: Column) -> Column:
@@ -200,7 +201,12 @@ def merge(dst: DataFrame, src: DataFrame, at_x: Size, at_y: Size) -> DataFrame:
 
 
 def smooth(pixels: DataFrame, passes: int = 1) -> DataFrame:
-    """3 x 3 means rounded up, edges repeated; each pass adds up columns and then rows."""
+    """3 x 3 means rounded up, edges repeated; each pass adds up columns and then rows.
+
+    One shuffle for all passes: images are dealt out whole, and columns and rows are
+    sorted where they are. Only neighbours are held.
+    """
+    pixels = pixels.repartition("image_id")
     for _ in range(passes):
         for axis, other in (("y", "x"), ("x", "y")):
             line = Window.partitionBy("image_id", other).orderBy(axis)

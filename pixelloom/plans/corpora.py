@@ -42,12 +42,22 @@ def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", "idx", (i * 2114).alias("red"), ((31 - i) * 2114).alias("green"), ((i * i * 68 + F.pmod(F.col("image_id"), F.lit(7)) * 256) % 65536).cast("int").alias("blue"))
 
 
-def text_raster(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
-    """Each text's bytes as a gray image: image_id, x, y, level. Fans out where the text is."""
+#: A letter for each 5-bit level, and the characters whose code points have it.
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ012345"
+LATIN = "".join(map(chr, range(256)))
+
+
+def text_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's bytes as a gray image, counted: image_id, value (5 bits), n.
+
+    Counted inside the text, where it is: bytes become letters by their upper five bits,
+    and a letter's count is what the text loses without it. A text makes 32 rows at most,
+    of a long one only numbers go on.
+    """
     data = F.col("text").cast("binary")
-    last = F.floor((F.length(data) - 1) / width).cast("int")
-    lines = F.transform(F.sequence(F.lit(0), last), lambda y: F.hex(F.substring(data, y * width + 1, F.lit(width))))
-    rows = read(spark, sf_dir, "documents").filter(F.length(data) > 0).select(F.col("doc_id").alias("image_id"), F.posexplode(lines).alias("y", "line"))
-    wide = rows.select("image_id", "y", "line", F.explode(F.sequence(F.lit(0), (F.length("line") / 2 - 1).cast("int"))).alias("x"))
-    level = F.conv(F.substring(F.col("line"), F.col("x") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    return wide.select("image_id", "x", "y", level.alias("level"))
+    lettered = F.translate(F.decode(data, "ISO-8859-1"), LATIN, "".join(c * 8 for c in LETTERS))
+    rows = read(spark, sf_dir, "documents").filter(F.length(data) > 0).select(F.col("doc_id").alias("image_id"), lettered.alias("s"))
+    size = F.octet_length("s")
+    counts = F.array(*[F.struct(F.lit(k).alias("value"), (size - F.octet_length(F.replace(F.col("s"), F.lit(c), F.lit("")))).cast("long").alias("n")) for k, c in enumerate(LETTERS)])
+    each = rows.select("image_id", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c")).select("image_id", "c.*")
+    return each.groupBy("image_id", "value").agg(F.sum("n").alias("n"))

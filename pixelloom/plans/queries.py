@@ -100,11 +100,6 @@ def zoom_auto(spark: SparkSession, d: str) -> DataFrame:
     return P.zoom(corpora.pixels(spark, d), SIDE, SIDE, percent, percent)
 
 
-def text_gray(spark: SparkSession, d: str) -> DataFrame:
-    """A histogram of the bytes of all texts, as 5-bit gray cells, by image."""
-    return corpora.text_raster(spark, d).groupBy("image_id", F.shiftright("level", 3).alias("value")).agg(F.count("*").alias("n"))
-
-
 def specs(spark: SparkSession, d: str) -> DataFrame:
     """Colour specifications of every kind, made of part numbers."""
     k = F.col("p_partkey")
@@ -307,7 +302,7 @@ def queries() -> dict[str, Query]:
         "halftone": on_pixels(P.halftone),
         "threshold_bitmap": on_pixels(P.threshold),
         "nearest_color": on_pixels(lambda p: P.nearest_colour(p, SIXTEEN)),
-        "text_raster_histogram": text_gray,
+        "text_raster_histogram": corpora.text_levels,
         "color_parse": color_parse,
         "color_name_lookup": color_name_lookup,
         "option_resolve": option_resolve,
