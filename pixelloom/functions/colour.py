@@ -33,19 +33,15 @@ NAMES = {
 }
 
 
-#: Names that a system's own list adds: fill it with ``read_names``.
-MORE_NAMES: dict[str, tuple[int, int, int]] = {}
-
-
 def read_names(text: str) -> dict[str, tuple[int, int, int]]:
-    """Names of a list in the usual form, "red green blue name" a line; ! begins a comment."""
+    """Names of a list in the usual form, "red green blue name" a line; ! begins a comment. Goes to ``parse_colours`` as ``more``."""
     lines = (re.fullmatch(r"\s*(\d+)\s+(\d+)\s+(\d+)\s+(.*?)\s*", x) for x in text.splitlines())
     return {m[4].lower(): (int(m[1]), int(m[2]), int(m[3])) for m in lines if m}
 
 
 @cache
-def colour_names() -> dict[str, tuple[int, int, int]]:
-    """All names: the list, without spaces and with the other spelling of gray, gray0 to gray100 by rule, and MORE_NAMES."""
+def own_names() -> dict[str, tuple[int, int, int]]:
+    """The list, without spaces and with the other spelling of gray, gray0 to gray100."""
     found = {}
     for name, code in NAMES.items():
         for spelling in {name, name.replace("gray", "grey")}:
@@ -54,12 +50,17 @@ def colour_names() -> dict[str, tuple[int, int, int]]:
     for percent in range(101):
         level = int(percent * 2.55 + 0.5)
         found[f"gray{percent}"] = found[f"grey{percent}"] = (level,) * 3
-    return found | MORE_NAMES
+    return found
+
 
+def colour_names(more: dict[str, tuple[int, int, int]] | None = None) -> dict[str, tuple[int, int, int]]:
+    """All names, with those of a system's own list."""
+    return own_names() | (more or {})
 
-def names_table(spark: SparkSession) -> DataFrame:
+
+def names_table(spark: SparkSession, more: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """name, red, green, blue (16 bits a channel)."""
-    rows = [(n, *(v * 0x101 for v in rgb)) for n, rgb in sorted(colour_names().items())]
+    rows = [(n, *(v * 0x101 for v in rgb)) for n, rgb in sorted(colour_names(more).items())]
     return spark.createDataFrame(rows, "name string, red int, green int, blue int")
 
 
@@ -143,9 +144,9 @@ def hex_colour(spec: Column) -> Column:
     return F.when(fits, F.struct(channel(0).alias("red"), channel(1).alias("green"), channel(2).alias("blue")))
 
 
-def parse_colours(specs: DataFrame, spec: str = "spec") -> DataFrame:
-    """``specs`` with red, green, blue and known; an unknown colour is black. The names are a bounded table."""
-    names = names_table(specs.sparkSession).selectExpr("name as colour_name", "red as n_red", "green as n_green", "blue as n_blue")
+def parse_colours(specs: DataFrame, spec: str = "spec", more: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
+    """``specs`` with red, green, blue and known; an unknown colour is black. The names are a bounded table. more: names of a system's own list."""
+    names = names_table(specs.sparkSession, more).selectExpr("name as colour_name", "red as n_red", "green as n_green", "blue as n_blue")
     joined = specs.drop("red", "green", "blue", "known").withColumn("colour_hex", hex_colour(F.col(spec))).join(F.broadcast(names), F.lower(F.col(spec)) == F.col("colour_name"), "left")
     out = {c: F.coalesce(F.col(f"colour_hex.{c}"), F.col(f"n_{c}"), F.lit(0)) for c in ("red", "green", "blue")}
     known = F.col("colour_hex").isNotNull() | F.col("colour_name").isNotNull()
@@ -193,6 +194,45 @@ def best_depth(image: Column, depths: list[int]) -> Column:
     return F.coalesce(F.array_min(F.filter(there, lambda d: d >= image)), F.array_max(there))
 
 
+#: The classes to try for each type of image, best first. "default" is TrueColor or DirectColor, as the display's own class is, and then the other.
+CLASS_ORDER = {
+    "TRUE": ("default", "other", "PseudoColor", "StaticColor", "GrayScale", "StaticGray"),
+    "RGB": ("PseudoColor", "DirectColor", "TrueColor", "StaticColor", "GrayScale", "StaticGray"),
+    "BITMAP": ("PseudoColor", "StaticColor", "GrayScale", "StaticGray", "DirectColor", "TrueColor"),
+}
+
+
+def best_visual(kind: Column, depth: Column, visuals: list[tuple[str, int]], own: str = "TrueColor", wanted: str | None = None) -> Column:
+    """visual_class and visual_depth for images of a type and a depth, of those a target has; own: the class it has by itself.
+
+    The depth comes first, then the class by type; true colour goes to PseudoColor when
+    the depth is 8 or less. With a class that is wanted, only its depths count. Null if
+    nothing fits.
+    """
+    pair = lambda name, d: F.struct(F.lit(name).alias("visual_class"), d.alias("visual_depth"))
+    if wanted is not None:
+        depths = [d for c, d in visuals if c == wanted]
+        return pair(wanted, best_depth(depth, depths)) if depths else F.lit(None).cast("struct<visual_class:string,visual_depth:int>")
+    at = best_depth(depth, [d for _, d in visuals])
+    first, second = ("TrueColor", "DirectColor") if own == "TrueColor" else ("DirectColor", "TrueColor")
+    there = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(d).alias("d")) for c, d in visuals])
+    has = lambda name: F.exists(there, lambda v: (v["c"] == name) & (v["d"] == at))
+    choice = None
+    for type_, order in CLASS_ORDER.items():
+        names = [{"default": first, "other": second}.get(n, n) for n in order]
+        best = F.coalesce(*[F.when(has(n), F.lit(n)) for n in names])
+        if type_ == "TRUE":
+            best = F.when((at <= 8) & has("PseudoColor"), F.lit("PseudoColor")).otherwise(best)
+        choice = F.when(kind == type_, best) if choice is None else choice.when(kind == type_, best)
+    return F.when(choice.isNotNull(), F.struct(choice.alias("visual_class"), at.alias("visual_depth")))
+
+
+def found_at(text: Column, part: Column) -> Column:
+    """Where ``part`` first begins in ``text``, from 0; null if it doesn't occur."""
+    at = F.position(part, text)
+    return F.when(at > 0, at - 1)
+
+
 def flipped(byte: Column) -> Column:
     """The bits of a byte in reverse."""
     return sum((F.when(byte.bitwiseAND(F.lit(1 << k)) != 0, 128 >> k).otherwise(0) for k in range(8)), F.lit(0)).cast("int")

@@ -7,6 +7,7 @@ later images until -newoptions.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ LOCAL = {
 }
 FLAGS = GENERAL | LOCAL
 #: Accepted and passed over: they concern windows, processes or deletion.
-WITHOUT_EFFECT = frozenset("debug dumpcore delay display fit fork geometry goto help install pixmap private quiet verbose windowid cache delete focus idelay forall".split())
+WITHOUT_EFFECT = frozenset("debug dumpcore delay display fit fork goto help install pixmap private quiet verbose windowid cache delete focus idelay forall".split())
 #: Fields of a job that later images take over.
 PERSISTENT = ("border", "bright", "gamma", "colors", "colordither", "dither", "normalize", "smooth", "xpm", "xzoom", "yzoom", "zoom_auto", "iscale_auto")
 #: Visual classes that -visual knows, by any unique beginning.
@@ -161,6 +162,9 @@ def general_change(target: RenderTarget, flag: str, word: str | None) -> RenderT
         return replace(target, **{flag: True})
     if flag in ("identify", "list", "path", "supported", "version", "default", "view"):
         return replace(target, mode=flag)
+    if flag == "geometry":  # WxH, and a place that a target doesn't have; 0 leaves a size as it is
+        size = re.fullmatch(r"(?:(\d+)x(\d+))?(?:[+-]\d+[+-]\d+)?", word)
+        return size and replace(target, width=int(size[1] or 0) or target.width, height=int(size[2] or 0) or target.height)
     if flag == "dispgamma":
         v = number(word, 0.05, 20, float)
         return v and replace(target, gamma=v)

@@ -6,7 +6,7 @@ import os
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONFIG = "~/.pixelloomrc"
@@ -65,3 +65,31 @@ def resolve_names(names: DataFrame, existing: DataFrame, paths: list[str], exten
     ranked = names.select("name", F.posexplode(F.array(*parts)).alias("rank", "path"))
     there = ranked.join(existing.select("path").distinct(), "path").groupBy("name").agg(F.min_by("path", "rank").alias("found"))
     return names.join(there, "name", "left")
+
+
+def file_exists(spark: SparkSession) -> Callable[[str], bool]:
+    """Whether a path is a file, on any file system Spark knows: for ``find_image``."""
+    context = spark.sparkContext
+
+    def exists(path: str) -> bool:
+        there = context._jvm.org.apache.hadoop.fs.Path(path)
+        store = there.getFileSystem(context._jsc.hadoopConfiguration())
+        return store.exists(there) and store.getFileStatus(there).isFile()
+
+    return exists
+
+
+def list_images(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """directory, position, name, length of the files in each directory of a path. Contents aren't read."""
+    listed = None
+    for k, p in enumerate(paths):
+        there = spark.read.format("binaryFile").load(p.rstrip("/") + "/*")
+        one = there.select(F.lit(p).alias("directory"), F.lit(k).alias("position"), F.substring_index("path", "/", -1).alias("name"), "length")
+        listed = one if listed is None else listed.unionByName(one)
+    return listed if listed is not None else spark.createDataFrame([], "directory string, position int, name string, length bigint")
+
+
+def show_path(spark: SparkSession, paths: list[str], extensions: list[str]) -> DataFrame:
+    """kind (path or extension), position, value: a configuration as rows."""
+    rows = [("path", k, p) for k, p in enumerate(paths)] + [("extension", k, e) for k, e in enumerate(extensions)]
+    return spark.createDataFrame(rows, "kind string, position int, value string")

@@ -185,6 +185,28 @@ def best_depth(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", C.best_depth(F.col("p_size"), [1, 4, 8, 16, 24]).alias("depth"))
 
 
+#: What a display of each kind has.
+SHOWS = {"TrueColor": [("PseudoColor", 8), ("TrueColor", 24), ("DirectColor", 24), ("StaticGray", 1)], "DirectColor": [("StaticColor", 8), ("DirectColor", 16), ("GrayScale", 8)]}
+
+
+def best_visual(spark: SparkSession, d: str) -> DataFrame:
+    """The visual for images of all types and depths on two kinds of display, and of a class that is asked for."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(F.lit("BITMAP"), F.lit("RGB"), F.lit("TRUE")), (k % 3 + 1).cast("int"))
+    found = {f"on_{own}".lower(): C.best_visual(kind, F.col("p_size"), there, own) for own, there in SHOWS.items()}
+    found["gray"] = C.best_visual(kind, F.col("p_size"), SHOWS["DirectColor"], wanted="GrayScale")
+    rows = read(spark, d, "part").select("p_partkey", *[v.alias(n) for n, v in found.items()])
+    return rows.select("p_partkey", *[F.col(f"{n}.visual_{f}").alias(f"{n}_{f}") for n in found for f in ("class", "depth")])
+
+
+def found_at(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", C.found_at(F.col("p_name"), F.substring("p_type", 2, 2)).alias("position"))
+
+
+def command_words(spark: SparkSession, d: str) -> DataFrame:
+    return files.command_words(encoded(spark, d).select("path", "content"))
+
+
 def goto_lookup(spark: SparkSession, d: str) -> DataFrame:
     return P.first_of_name(read(spark, d, "part").selectExpr("p_name as name", "p_partkey as position"))
 
@@ -315,6 +337,9 @@ def queries() -> dict[str, Query]:
         "sensor_name": sensor_name,
         "scalar_arithmetic": scalars,
         "best_depth": best_depth,
+        "best_visual": best_visual,
+        "found_at": found_at,
+        "command_words": command_words,
         "goto_lookup": goto_lookup,
         "bit_order": bit_order,
         "recolor_bitmap": recolor_bitmap,

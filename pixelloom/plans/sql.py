@@ -174,6 +174,13 @@ INK = "floor(floor(0.5 + 65535 * pow({} / 65535.0::DOUBLE, 2.2::DOUBLE)) / 256):
 BITS = " + ".join(f"CASE WHEN (k >> {n}) & 1 = 1 THEN {128 >> n} ELSE 0 END" for n in range(8))
 ORACLE_SQL |= {
     "best_depth": "SELECT p_partkey, CASE WHEN p_size <= 1 THEN 1 WHEN p_size <= 4 THEN 4 WHEN p_size <= 8 THEN 8 WHEN p_size <= 16 THEN 16 ELSE 24 END AS depth FROM part",
+    # the depth is the smallest that is enough, else the largest; then the class by type
+    "best_visual": """SELECT p_partkey,
+        CASE WHEN p_size <= 1 THEN 'StaticGray' WHEN p_size <= 8 THEN 'PseudoColor' WHEN t = 1 THEN 'DirectColor' WHEN t = 2 THEN 'TrueColor' ELSE 'DirectColor' END AS on_truecolor_class,
+        CASE WHEN p_size <= 1 THEN 1 WHEN p_size <= 8 THEN 8 ELSE 24 END AS on_truecolor_depth,
+        CASE WHEN p_size <= 8 THEN 'StaticColor' ELSE 'DirectColor' END AS on_directcolor_class, CASE WHEN p_size <= 8 THEN 8 ELSE 16 END AS on_directcolor_depth,
+        'GrayScale' AS gray_class, 8 AS gray_depth FROM (SELECT p_partkey, p_size, p_partkey % 3 AS t FROM part)""",
+    "found_at": "SELECT p_partkey, nullif(strpos(p_name, substr(p_type, 2, 2)), 0) - 1 AS position FROM part",
     "goto_lookup": "SELECT p_name AS name, min(p_partkey) AS position FROM part GROUP BY 1",
     "bit_order": f"SELECT p_partkey, ({BITS})::INT AS flipped, (v % 256 * 16777216 + v // 256 % 256 * 65536 + v // 65536 % 256 * 256 + v // 16777216)::BIGINT AS swapped FROM (SELECT p_partkey, (p_partkey % 256)::INT AS k, p_partkey * 7919 % 4294967296 AS v FROM part)",
     "recolor_bitmap": over_c1(f"SELECT {PLACE}, " + ", ".join(f"CASE WHEN {LEVEL} // 256 < 128 THEN {INK.format(f)} ELSE {INK.format(b)} END AS {c}" for c, f, b in (("r", 0x8080, 0), ("g", 0x4040, 0), ("b", 0, 0x8080))) + " FROM c1"),
@@ -186,6 +193,7 @@ ORACLE_SQL |= {
     "decode_known": KNOWN_SQL,
     "identify": over_c1("SELECT path, form AS format, 'ok' AS status, 8 AS width, 8 AS height, 24 AS depth, 0 AS colors, path || ' is a 8x8 ' || description || ' image with depth 24' AS description FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, ['bmp', 'png', 'pnm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS form, ['BMP', 'PNG', 'portable bitmap, graymap or pixmap', 'Sun raster', 'Targa'][(image_id % 5 + 1)::INT] AS description FROM im)"),
     "trailing_options": over_c1("SELECT image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, CASE WHEN image_id % 7 = 1 THEN '-rotate 90 -bright ' || (image_id % 50 + 50) END AS options FROM im"),
+    "command_words": over_c1("SELECT path, CASE WHEN image_id % 7 = 1 THEN '-rotate 90 -bright ' || (image_id % 50 + 50) || ' ' ELSE '' END || path AS words FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path FROM im)"),
     "smooth_packed": ORACLE_SQL["smooth_1"],
     "halftone_packed": BLACK_BITS + f" ({ORACLE_SQL['halftone']})",
     "zoom_packed": ORACLE_SQL["zoom_150"],

@@ -23,7 +23,7 @@ from ..plans import jobs as J
 from ..plans.options import Job, RenderTarget, trailing
 from . import encode
 from .registry import FORMATS, Context, decoded
-from .stream import trailing_options, with_trailing, without_trailing
+from .stream import last_options, with_trailing, without_trailing
 
 ABOUT = [T.StructField(n, T.StringType()) for n in ("path", "format", "status", "error", "options")]
 DECODED = T.StructType(ABOUT + PACKED.fields)
@@ -176,9 +176,15 @@ def pack_pixels(pixels: DataFrame) -> DataFrame:
 
 
 def options_of(files: DataFrame) -> DataFrame:
-    """path, options: the trailing options of files, wherever they stand in the last bytes."""
+    """path, options: the trailing options of files, the last of them wherever they stand."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("options", T.StringType())])
-    return each(files, lambda row: (row["path"], trailing_options(row["content"][-1024 - 400 :], 1424)), schema)
+    return each(files, lambda row: (row["path"], last_options(row["content"])), schema)
+
+
+def command_words(files: DataFrame, named: bool = False) -> DataFrame:
+    """path, words: each file as a command line has it, its own options before its name; named: with -name."""
+    name = F.concat(F.lit("-name "), F.col("path")) if named else F.col("path")
+    return options_of(files).select("path", F.concat_ws(" ", "options", name).alias("words"))
 
 
 def edit_options(files: DataFrame, text: str | None) -> DataFrame:

@@ -153,6 +153,18 @@ def trailing_options(tail: bytes, reach: int = 1024) -> str | None:
     return None
 
 
+def last_options(data: bytes) -> str | None:
+    """The last trailing options of a file, searched from its end to its beginning."""
+    end = len(data)
+    while (at := data.rfind(b"XXX ", 0, end)) >= 0:
+        if re.match(KEY + rb'\d{4}"', data[at : at + 200]):
+            found = trailing_options(data[at : at + 12_000], 200)
+            if found is not None:
+                return found
+        end = at + 3
+    return None
+
+
 def with_trailing(data: bytes, text: str, program: str = "image") -> bytes:
     """``data`` followed by options: old ones are replaced, new ones stand after 20 bytes of padding."""
     key = f"XXX {program} trailing options XXX".encode()

@@ -5,13 +5,14 @@ import gzip
 import numpy as np
 import pytest
 
+from pixelloom.functions.colour import parse_colours, read_names
 from pixelloom.image import true
 from pixelloom.operators import raster as R
 from pixelloom.plans import options as O
 from pixelloom.plans import paths
 from pixelloom.sources import encode, files
 from pixelloom.sources.registry import FORMATS, register_decoder
-from pixelloom.sources.stream import NotMine, with_trailing
+from pixelloom.sources.stream import NotMine, last_options, with_trailing
 from pixelloom.streaming import ingest
 
 
@@ -124,3 +125,39 @@ def test_own_decoder():
         assert decoded("x", b"DOTS\5").raster.width == 5
     finally:
         FORMATS.pop(0)
+
+
+def test_listing_and_looking_up_on_any_file_system(spark, tmp_path):
+    for n in ("a/one.gif", "a/two.ppm", "b/three.gif"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_bytes(b"x" * len(n))
+    folders = [f"file://{tmp_path}/a", f"file://{tmp_path}/b"]
+    rows = paths.list_images(spark, folders).orderBy("position", "name").collect()
+    assert [(r.position, r.name, r.length) for r in rows] == [(0, "one.gif", 9), (0, "two.ppm", 9), (1, "three.gif", 11)]
+    assert paths.list_images(spark, []).count() == 0
+    assert [tuple(r) for r in paths.show_path(spark, ["p", "q"], [".gif"]).collect()] == [("path", 0, "p"), ("path", 1, "q"), ("extension", 0, ".gif")]
+    there = paths.file_exists(spark)
+    assert paths.find_image("three", folders, [".ppm", ".gif"], there) == f"file://{tmp_path}/b/three.gif"
+    assert not there(folders[0]) and paths.find_image("none", folders, [".gif"], there) is None
+
+
+def test_options_are_found_from_the_end():
+    whole = with_trailing(b"P5 1 1 255\n\x07" + bytes(5000), "-gray", "viewer")
+    assert last_options(whole + b"junk XXX junk" * 500) == "-gray"
+    assert last_options(whole + with_trailing(b"", "-smooth")) == "-smooth"
+    assert last_options(b"no options XXX viewer trailing options XXX0005\"-gra") is None
+
+
+def test_geometry_sizes_the_target():
+    size = lambda word: (t := O.parse(["-geometry", word, "x"]).target, (t.width, t.height))[1]
+    assert size("300x200") == size("300x200+5-7") == (300, 200)
+    assert size("0x200") == (O.RenderTarget().width, 200) and size("+1+1") == (O.RenderTarget().width, O.RenderTarget().height)
+    assert O.parse(["-geometry", "wide", "x"]).errors
+
+
+def test_a_systems_own_colour_names(spark):
+    more = read_names("1 2 3 my colour\n")
+    rows = spark.createDataFrame([("My Colour",), ("snow",), ("none",)], "spec string")
+    got = {r.spec: (r.red, r.green, r.blue, r.known) for r in parse_colours(rows, more=more).collect()}
+    assert got == {"My Colour": (257, 514, 771, True), "snow": (65535, 64250, 64250, True), "none": (0, 0, 0, False)}
+    assert not parse_colours(rows).filter("known and spec = 'My Colour'").count()
