@@ -118,6 +118,15 @@ def color_name_lookup(spark: SparkSession, d: str) -> DataFrame:
     return C.parse_colours(words)
 
 
+#: Names of every kind, and some that there aren't.
+SHADES = "red,blue,antiquewhite1,antiquewhite4,khaki3,hotpink4,slate grey,dodgerblue2,tan4,medium purple,purple2,azure3,peru,goldenrod3,chocolate4,gray37,grey99,gray5,lightgoldenrodyellow,cornsilk3,thistle2,gray101,azure5,no such colour".split(",")
+
+
+def color_shades(spark: SparkSession, d: str) -> DataFrame:
+    spec = F.get(F.array(*map(F.lit, SHADES)), (F.col("p_partkey") % len(SHADES)).cast("int"))
+    return C.parse_colours(read(spark, d, "part").select("p_partkey", spec.alias("spec")))
+
+
 def option_resolve(spark: SparkSession, d: str) -> DataFrame:
     """Prefixes of flags, one a part."""
     names = F.array(*[F.lit(n) for n in options.FLAGS])
@@ -327,6 +336,7 @@ def queries() -> dict[str, Query]:
         "text_raster_histogram": corpora.text_levels,
         "color_parse": color_parse,
         "color_name_lookup": color_name_lookup,
+        "color_shades": color_shades,
         "option_resolve": option_resolve,
         "path_resolve": path_resolve,
         "icon_name": icon_name,

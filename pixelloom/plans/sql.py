@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.colour import SENSORS, colour_names
-from ..operators.raster import CELLS
+from . import known_tables
 from .known_sql import KNOWN_SQL
-from .options import FLAGS
+
+CELLS = [int(c, 16) for c in known_tables.CELLS.split()]
+FLAGS = known_tables.FLAGS.split()
+SENSORS = dict(line.split(" ", 1) for line in known_tables.SENSORS.strip().splitlines())
 
 Q = "greatest(0, least(255, floor((embedding[{} + 1]::DOUBLE + 0.5) * 255)))::INT"
 C1 = f"""
@@ -68,7 +70,7 @@ PARSED = """
 
 
 def parsed(specs: str) -> str:
-    names = ", ".join(f"('{n}', {r * 257}, {g * 257}, {b * 257})" for n, (r, g, b) in sorted(colour_names().items()))
+    names = ", ".join(f"('{n}', {r * 257}, {g * 257}, {b * 257})" for n, (r, g, b) in sorted(known_tables.NAMED.items()))
     channels = ", ".join(f"coalesce({PARSED.replace('@', str(k))}, n_{c}, 0)::INT AS {c}" for k, c in enumerate(("red", "green", "blue")))
     return f"WITH s AS ({specs}), n(name, n_red, n_green, n_blue) AS (VALUES {names}) SELECT p_partkey, spec, {channels}, ({PARSED.replace('@', '0')}) IS NOT NULL OR name IS NOT NULL AS known FROM s LEFT JOIN n ON name = lower(spec)"
 
@@ -156,6 +158,7 @@ ORACLE_SQL = {
     "text_raster_histogram": "SELECT doc_id AS image_id, (v // 8)::INT AS value, count(*) AS n FROM (SELECT doc_id, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM (SELECT doc_id, h, unnest(range(len(h) // 2)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents))) GROUP BY ALL",
     "color_parse": parsed(SPECS),
     "color_name_lookup": parsed("SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS spec FROM part"),
+    "color_shades": parsed(f"SELECT p_partkey, ([{', '.join(repr(n) for n in (*known_tables.NAMED, *known_tables.UNKNOWN))}])[(p_partkey % {len(known_tables.NAMED) + len(known_tables.UNKNOWN)} + 1)::INT] AS spec FROM part"),
     "option_resolve": OPTION,
     "path_resolve": PATH,
     "icon_name": "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'Unnamed' ELSE split_part(regexp_replace(split_part(url || ' (50% zoom)', ' ', 1), '^.*/', ''), '.', 1) END AS icon FROM pages",
