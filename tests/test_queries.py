@@ -1,11 +1,13 @@
 """Every registered image query against DuckDB, over a small cut of the given tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from pixelloom.plans.queries import queries
 from pixelloom.plans.sql import ORACLE_SQL
+from tests.test_raster import level, slow_diffused, slow_dither, slow_reduce
 
 SOURCE = "/root/testdata/sf0.001"
 ROWS = {"embeddings": 24, "part": 200, "pages": 30, "documents": 12}
@@ -38,6 +40,28 @@ def test_query_without_sql_runs(spark, small, name):
     assert queries()[name](spark, small[0]).count() > 0
 
 
+def test_sequential_queries_by_loops(spark):
+    """dither_fs, reduce_n and reduce_dither over their whole table, pixel by pixel."""
+    table = {}
+    for r in queries()["pixels"](spark, SOURCE).collect():
+        table.setdefault(r.image_id, [[None] * 8 for _ in range(8)])[r.y][r.x] = (r.r, r.g, r.b)
+    want = {"dither_fs": {}, "reduce_n": {}, "reduce_dither": {}}
+    for k, pixels in table.items():
+        black = slow_dither([[level(*p) for p in row] for row in pixels])
+        want["dither_fs"][k] = [[(255 * (1 - v),) * 3 for v in row] for row in black]
+        # linear images are made ready for a display first
+        shown8 = [[tuple(int(np.floor(0.5 + 255 * (v / 255.0) ** (1 / float(np.float32(2.2))))) for v in p) for p in row] for row in pixels]
+        place, shown, boxes = slow_reduce(shown8, 16)
+        colour = [tuple(v >> 8 for v in c) for c in shown]
+        want["reduce_n"][k] = [[colour[i] for i in row] for row in place]
+        want["reduce_dither"][k] = [[colour[i] for i in row] for row in slow_diffused(shown8, boxes, shown)]
+    assert len(table) > 100
+    for name, images in want.items():
+        got = queries()[name](spark, SOURCE).collect()
+        assert len(got) == 64 * len(table)
+        assert all(images[r.image_id][r.y][r.x] == (r.r, r.g, r.b) for r in got), name
+
+
 def test_entry_has_every_query():
     assert set(queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())

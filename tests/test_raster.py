@@ -110,6 +110,108 @@ def test_reduce_properties():
     assert sum(b.weight for b in boxes) == 400 and len(boxes) == 32
 
 
+F32 = np.float32
+
+
+def slow_box(cells, total):
+    """(mean, spread) of a list of (colour, count), by its definition, in single precision and in order of levels."""
+    weight, mean, spread = sum(n for _, n in cells), [], F32(0)
+    for c in range(3):
+        sums = squares = F32(0)
+        for level in range(32):
+            n = sum(m for p, m in cells if p[c] == level)
+            sums, squares = F32(sums + F32(level * n)), F32(squares + F32(level * level * n))
+        mean.append(F32(sums / F32(weight)))
+        spread = F32(spread + F32(squares - F32(F32(mean[c] * mean[c]) * F32(weight))))
+    return mean, F32(spread / F32(total))
+
+
+def slow_halves(cells, total, c):
+    """The halves of a box that is cut where they vary most from each other, or None."""
+    (mean, _), weight = slow_box(cells, total), sum(n for _, n in cells)
+    low, high = min(p[c] for p, _ in cells), max(p[c] for p, _ in cells) + 1
+    first, last = int(F32(F32(low) + mean[c]) * F32(0.5)), int(F32(mean[c] + F32(high)) * F32(0.5))
+    part, most, cut = F32(0), F32(-1), None
+    for level in range(first, last + 1):
+        below = sum(n for p, n in cells if p[c] <= level)
+        if below == weight:
+            break
+        part = F32(part + F32(level * sum(n for p, n in cells if p[c] == level)) / F32(weight))
+        away = F32(mean[c] - part)
+        value = F32(F32(F32(below) / F32(weight - below)) * away) * away
+        if value > most:
+            most, cut = value, level
+    halves = [[x for x in cells if (x[0][c] <= cut) == side] for side in (True, False)] if cut is not None else [[]]
+    return halves if all(halves) else None
+
+
+def slow_reduce(pixels, colours):
+    """Rows of 8-bit colours -> each pixel's box and the boxes' colours (16 bits)."""
+    counts = {}
+    for row in pixels:
+        for p in row:
+            key = tuple(int(v) >> 3 for v in p)
+            counts[key] = counts.get(key, 0) + 1
+    total = sum(counts.values())
+    boxes = [[sorted(counts.items()), None]]
+    boxes[0][1] = slow_box(boxes[0][0], total)[1]
+    while len(boxes) < colours:
+        k = max(range(len(boxes)), key=lambda i: (boxes[i][1], -i))
+        if not boxes[k][1] > 0:
+            break
+        best = None
+        for c in range(3):
+            halves = slow_halves(boxes[k][0], total, c)
+            spread = halves and F32(slow_box(halves[0], total)[1] + slow_box(halves[1], total)[1])
+            if halves and (best is None or spread < best[0]):
+                best = spread, halves
+        if best is None:
+            boxes[k][1] = F32(0)
+            continue
+        boxes[k : k + 1] = [[best[1][0], slow_box(best[1][0], total)[1]]]
+        boxes.append([best[1][1], slow_box(best[1][1], total)[1]])
+    place = {p: k for k, (cells, _) in enumerate(boxes) for p, _ in cells}
+    shown = [[int(m + F32(0.5)) << 11 for m in slow_box(cells, total)[0]] for cells, _ in boxes]
+    return [[place[tuple(int(v) >> 3 for v in p)] for p in row] for row in pixels], shown, [cells for cells, _ in boxes]
+
+
+def slow_diffused(pixels, boxes, shown):
+    """Left to right: an error goes on by 7, 3, 5 and 1 sixteenths, held within a bound, none of it lost."""
+    h, w, bound = len(pixels), len(pixels[0]), int(256 / len(shown) ** 0.45)
+    extent = [[(min(p[c] for p, _ in b), max(p[c] for p, _ in b)) for c in range(3)] for b in boxes]
+    grid = [[[int(v) for v in p] for p in row] for row in pixels]
+    out, seen = [[0] * w for _ in range(h)], {}
+    for y in range(h):
+        for x in range(w):
+            now = [min(255, max(0, v)) for v in grid[y][x]]
+            cell = tuple(v >> 3 for v in now)
+            if cell not in seen:
+                inside = [k for k, e in enumerate(extent) if all(a <= v <= b for v, (a, b) in zip(cell, e, strict=True))]
+                distance = lambda k: (sum(((shown[k][c] >> 8) - now[c]) ** 2 for c in range(3)), -k)
+                seen[cell] = inside[-1] if inside else min(range(len(shown)), key=distance)
+            k = out[y][x] = seen[cell]
+            for c in range(3):
+                e = max(-bound, min(bound, now[c] - (shown[k][c] >> 8)))
+                share = {n: int(e * n / 16) for n in (1, 3, 5, 7)}
+                share[(1, 5, 3, 7)[e % 4]] += e - sum(share.values())
+                for dx, dy, n in ((1, 0, 7), (-1, 1, 3), (0, 1, 5), (1, 1, 1)):
+                    if 0 <= x + dx < w and y + dy < h:
+                        grid[y + dy][x + dx][c] += share[n]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_reduce_by_loops(seed):
+    rng = np.random.default_rng(seed)
+    pixels = rng.integers(0, 256, (7, 9, 3)) if seed % 2 else np.clip(rng.normal(120, 40, (6, 5, 3)), 0, 255).astype(int)
+    r = true(pixels, gamma=2.2)
+    for colours in (2, 5, 16):
+        place, shown, boxes = slow_reduce(pixels, colours)
+        out = R.reduce(r, colours)
+        assert out.palette.tolist() == shown and out.pixels.tolist() == place
+        assert R.reduce(r, colours, True).pixels.tolist() == slow_diffused(pixels, boxes, shown)
+
+
 def test_error_diffusion_in_colour():
     ramp = true(np.repeat(np.tile(np.arange(0, 256, 4), (16, 1))[..., None], 3, axis=2), gamma=2.2)
     plain, mixed = R.reduce(ramp, 4), R.reduce(ramp, 4, True)
