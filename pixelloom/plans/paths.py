@@ -79,6 +79,13 @@ def file_exists(spark: SparkSession) -> Callable[[str], bool]:
     return exists
 
 
+def full_address(spark: SparkSession, path: str) -> str:
+    """A path as the file readers name it."""
+    context = spark.sparkContext
+    there = context._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(there).getPath().toString()
+
+
 def list_images(spark: SparkSession, paths: list[str]) -> DataFrame:
     """directory, position, name, length of the files in each directory of a path. Contents aren't read."""
     listed = None

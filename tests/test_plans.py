@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 
 from pixelloom.functions.colour import parse_colours, read_names
-from pixelloom.image import true
+from pixelloom.image import true, unpack
 from pixelloom.operators import raster as R
+from pixelloom.plans import command, paths
 from pixelloom.plans import options as O
-from pixelloom.plans import paths
 from pixelloom.sources import encode, files
 from pixelloom.sources.registry import FORMATS, register_decoder
 from pixelloom.sources.stream import NotMine, last_options, with_trailing
@@ -161,3 +161,23 @@ def test_a_systems_own_colour_names(spark):
     got = {r.spec: (r.red, r.green, r.blue, r.known) for r in parse_colours(rows, more=more).collect()}
     assert got == {"My Colour": (257, 514, 771, True), "snow": (65535, 64250, 64250, True), "none": (0, 0, 0, False)}
     assert not parse_colours(rows).filter("known and spec = 'My Colour'").count()
+
+
+def test_commands_by_mode(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    a, b = true(rng.integers(0, 256, (6, 8, 3)), gamma=1.0), true(rng.integers(0, 256, (2, 2, 3)), gamma=1.0)
+    for n, r in (("a.ppm", a), ("b.ppm", b)):
+        (tmp_path / n).write_bytes(encode.ENCODERS["ppm"](r))
+    here = [f"file://{tmp_path}"]
+    run = lambda words: command.run(spark, words.split(), here, [".ppm"])
+    assert sorted((r.format, r.width, r.height) for r in run("-identify a b none").collect()) == [("pnm", 2, 2), ("pnm", 8, 6)]
+    assert sorted(r.name for r in run("-list").collect()) == ["a.ppm", "b.ppm"]
+    assert [tuple(r) for r in run("-path").collect()] == [("path", 0, here[0]), ("extension", 0, ".ppm")]
+    assert run("-supported").count() == len(FORMATS) and run("-help").count() == 61 and run("-version").count() == 1
+    root = unpack(run("-default -geometry 9x5").drop("position").first().asDict(True))
+    assert root.pixels.shape == (5, 9) and (root.pixels == R.tile(R.root_weave(), 9, 5).pixels).all()
+    # the second is laid over the first, the third is by itself and shown twice as large
+    got = [unpack(r.asDict(True)) for r in run("-dispgamma 1.0 -rotate 90 a -merge -at 1,1 b -newoptions -zoom 200 b").orderBy("position").drop("position").collect()]
+    assert len(got) == 2
+    assert (got[0].pixels == R.merge(R.rotate(a, 90), b, 1, 1, 1.0).pixels).all() and (got[1].pixels == R.zoom(b, 200, 200).pixels).all()
+    assert run("none").count() == 0
