@@ -12,8 +12,9 @@ pairs at most PAIRS; both are parameters. Everything scored is the whole text.
 Defined cases. Null and empty texts have the features of a text without bytes, and a
 score. Null labels are passed over; of several labels of one id the largest counts, of
 several documents the smallest features.
-Without labels of both kinds, every score is 0.5. Equal texts have equal scores. Repeated
-rows stay. Other columns are left out.
+Without labels of both kinds, every score is 0.5. Equal texts have equal scores, texts of
+any length are read whole. Repeated rows stay, null ids too. Other columns are left out,
+whatever their names. An empty table gives an empty result.
 
 Scale. Texts are read once: features (float32) are saved, then joined with the sampled
 ids, a bounded and broadcast table, to learn, and read again to score. No shuffle of texts.

@@ -10,13 +10,17 @@ prefix alone, so it is computed once for all pre-tokens that share the prefix; n
 end a pre-token store its count. The trie is built level by level in arrays: the nodes of
 level d are the distinct d-byte prefixes.
 
-The vocabulary is read from a public rank file, never trained here: a piece's score is
--round(1000 ln(rank + 1 + SHIFT)), Zipf's law over ranks, in whole numbers so that sums are
-exact. All 256 single bytes are in such a file, so every byte string has a split.
+The vocabulary is read from a file, never trained here. A unigram model's file (a piece, a
+tab and its score a line, U+2581 standing for a space) gives scores of its own, in
+millionths. A rank file has none: there a piece's score is -round(1000 ln(rank + 1 + SHIFT)),
+Zipf's law over ranks. Scores are whole numbers so that sums are exact. Single bytes that
+the file lacks are added with a score below all others, so every byte string has a split.
 
 Defined cases. Null text, empty text and text of white space alone: no pre-tokens, no
 tokens. Pre-tokens of any length are handled; a level costs only what is still alive
-there. Repeated rows give repeated results. Other columns are left out of the result.
+there. Repeated rows give repeated results, equal ids are rows of their own, and null ids
+stay. Other columns are left out of the result, whatever their names. An empty table gives
+an empty result.
 
 Scale. No shuffle. A task holds one block of texts (BLOCK_BYTES), its trie level and a
 table of counts that is emptied at CACHE entries, so memory doesn't grow with the input.
@@ -45,25 +49,45 @@ BLOCK_BYTES = 8 << 20
 NEVER = -(1 << 60)
 
 
+def pieces_of(file: str) -> Iterator[tuple[bytes, int]]:
+    """Pieces and scores of a rank file or of a unigram model's file."""
+    lowest, singles = 0, set()
+    with open(file, "rb") as lines:
+        for line in lines:
+            line = line.rstrip(b"\r\n")
+            if b"\t" in line:
+                piece, _, score = line.rpartition(b"\t")
+                piece, score = piece.replace("\u2581".encode(), b" "), round(1_000_000 * float(score))
+            elif line:
+                piece, rank = line.split()
+                piece, score = base64.b64decode(piece), -round(1000 * float(np.log(int(rank) + 1 + SHIFT)))
+            else:
+                continue
+            if piece:
+                lowest = min(lowest, score)
+                if len(piece) == 1:
+                    singles.add(piece)
+                yield piece, score
+    for byte in map(bytes, zip(range(256), strict=True)):
+        if byte not in singles:
+            yield byte, lowest - 10_000_000
+
+
 class Unigram:
     """Pieces as two 64-bit words each, sorted by length class, with scores; the few longer ones by their last 16 bytes."""
 
-    def __init__(self, rank_file: str):
+    def __init__(self, file: str):
         by_length: dict[int, list[tuple[int, int, int]]] = {}
         #: last 16 bytes as two words -> pieces of more bytes that end so, with scores
         self.longer: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
         self.longest = LONGEST
-        with open(rank_file, "rb") as lines:
-            for line in lines:
-                piece, rank = line.split()
-                piece = base64.b64decode(piece)
-                word = int.from_bytes(piece[-LONGEST:], "big")
-                score = -round(1000 * float(np.log(int(rank) + 1 + SHIFT)))
-                if len(piece) > LONGEST:
-                    self.longer.setdefault((word >> 64, word & (1 << 64) - 1), []).append((piece, score))
-                    self.longest = max(self.longest, len(piece))
-                else:
-                    by_length.setdefault(len(piece), []).append((word >> 64, word & (1 << 64) - 1, score))
+        for piece, score in pieces_of(file):
+            word = int.from_bytes(piece[-LONGEST:], "big")
+            if len(piece) > LONGEST:
+                self.longer.setdefault((word >> 64, word & (1 << 64) - 1), []).append((piece, score))
+                self.longest = max(self.longest, len(piece))
+            else:
+                by_length.setdefault(len(piece), []).append((word >> 64, word & (1 << 64) - 1, score))
         self.ends = np.array(sorted({low for _, low in self.longer}), np.uint64)
         self.tables = {}
         for n, pieces in by_length.items():
@@ -163,11 +187,11 @@ def blocks(batches: Iterable[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
                 begin, size = i + 1, 0
 
 
-def token_counts(docs: DataFrame, rank_file: str) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of each row of (doc_id, text). Workers read ``rank_file`` where they run."""
+def token_counts(docs: DataFrame, file: str) -> DataFrame:
+    """doc_id, n_pretokens, n_tokens of each row of (doc_id, text). Workers read the vocabulary ``file`` where they run."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = kept(("counts", rank_file), lambda: (Unigram(rank_file), {}))
+        model, known = kept(("counts", file), lambda: (Unigram(file), {}))
         for ids, texts in blocks(batches):
             split = [t.split() if t else [] for t in texts]
             fresh: set[bytes] = set()

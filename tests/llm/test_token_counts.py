@@ -12,13 +12,13 @@ def slow_pieces(rank_file):
     import base64
 
     ranks = dict(line.split() for line in open(rank_file, "rb"))
-    return {base64.b64decode(k): -round(1000 * math.log(int(v) + 10)) for k, v in ranks.items() if len(base64.b64decode(k)) <= 16}
+    return {base64.b64decode(k): -round(1000 * math.log(int(v) + 10)) for k, v in ranks.items()}
 
 
 def slow_count(word, pieces):
     best = [(0, 0)] + [None] * len(word)
     for end in range(1, len(word) + 1):
-        ways = [(best[a][0] + pieces[word[a:end]], best[a][1] - 1) for a in range(max(0, end - 16), end) if word[a:end] in pieces]
+        ways = [(best[a][0] + pieces[word[a:end]], best[a][1] - 1) for a in range(max(0, end - 128), end) if word[a:end] in pieces]
         best[end] = max(ways)
     return -best[-1][1]
 
@@ -37,6 +37,18 @@ def test_long_and_odd_words():
     assert C.trie_counts([], model) == []
 
 
+def test_scores_of_a_unigram_model(spark, tmp_path):
+    """A file of pieces and scores: the best split is by them, and bytes without a piece are pieces of their own."""
+    file = tmp_path / "pieces.tsv"
+    file.write_text("\u2581ab\t-1.5\n\u2581a\t-0.5\nb\t-0.75\nc\t-2\nbc\t-4.0\nabc\t-9\n\u2581\t-1\n", encoding="utf-8")
+    pieces = {b" ab": -1.5, b" a": -0.5, b"b": -0.75, b"c": -2.0, b"bc": -4.0, b"abc": -9.0, b" ": -1.0}
+    pieces |= {bytes([k]): -19.0 for k in range(256) if bytes([k]) not in pieces}
+    words = [b" ab", b" abc", b" a", b" cab", b" \xff", b" abcabc", "\u00e9".encode()]
+    assert C.trie_counts(words, C.Unigram(str(file))) == [slow_count(w, pieces) for w in words] == [2, 3, 1, 4, 2, 4, 2]
+    docs = spark.createDataFrame([(1, "ab abc"), (2, None)], "doc_id bigint, text string")
+    assert sorted(map(tuple, C.token_counts(docs, str(file)).collect())) == [(1, 2, 5), (2, 0, 0)]
+
+
 def test_empty_table(spark, no_docs):
     assert C.token_counts(no_docs, FILE).count() == 0
 
