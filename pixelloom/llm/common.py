@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A table is broadcast only if it has been counted and has this many rows at most.
 BROADCAST_ROWS = 20_000
 #: Keys with more than this share of a table's rows, and more rows than LEAST_HOT, are joined apart; there can't be more than HOT_KEYS of them.
-HOT_KEYS, LEAST_HOT = 1000, 1000
+HOT_KEYS, LEAST_HOT = 1000, 200
 
 
 def shared_dir(spark: SparkSession) -> str:
