@@ -11,7 +11,8 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,13 +42,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+#: Steps saved in each scope that is open.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Steps that are saved inside go when the block ends, but for lasting ones: what is still to be read must be one of them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for step in _SCOPES.pop():
+            discard(step)
+
+
+def saved(df: DataFrame, name: str, compression: str = "zstd", lasting: bool = False) -> DataFrame:
     """Write a step to the shared folder and return it read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.saved_at = path
+    if _SCOPES and not lasting:
+        _SCOPES[-1].append(back)
     return back
 
 

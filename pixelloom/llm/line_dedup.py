@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, LEAST_HOT, saved
+from .common import HOT_KEYS, LEAST_HOT, saved, scratch
 
 WINDOW, SPACING = 3, 4
 #: The rolling hash's modulus, a prime, and its base.
@@ -97,12 +97,8 @@ def with_mark(rows: DataFrame, marks: DataFrame, h: str) -> DataFrame:
     return at.withColumn("marked", F.coalesce(set_, F.lit(False))).drop("mark_row", "mark_bits")
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """``docs`` with its text freed of repeated chunks, and n_lines, n_kept (lines), n_removed (chunks)."""
-    own = ("n_lines", "n_kept", "n_removed")
-    columns = [c for c in docs.columns if c not in own]
-    # a row in one column, so that no name of the input meets one of ours
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.col("text"))
+def gone_chunks(rows: DataFrame, window: int, spacing: int) -> DataFrame:
+    """id, key (the text's MD5), gone (places) of documents that lose chunks."""
     texts = rows.filter("text is not null").select("id", "text", F.md5("text").alias("key"))
     pieces = with_chunks(texts, window, spacing).select("id", "key", F.explode(chunk_list()).alias("c")).filter("c.lines > 1")
     pieces = pieces.select("id", "key", "c.pos", "c.chunk", F.xxhash64("c.chunk").alias("h"))
@@ -114,7 +110,17 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) ->
     hot = F.broadcast(first.filter((F.col("n") > many) & (F.octet_length("chunk") <= HOT_BYTES)))
     rest = same.join(hot, ["h", "chunk"], "left_anti").join(first.hint("merge"), ["h", "chunk"])
     later = same.join(hot, ["h", "chunk"]).unionByName(rest).filter(~place.eqNullSafe(F.col("first")))
-    gone = saved(later.groupBy("id", "key").agg(F.collect_set("pos").alias("gone")), "chunks-gone")
+    return later.groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
+
+
+def line_dedup(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
+    """``docs`` with its text freed of repeated chunks, and n_lines, n_kept (lines), n_removed (chunks)."""
+    own = ("n_lines", "n_kept", "n_removed")
+    columns = [c for c in docs.columns if c not in own]
+    # a row in one column, so that no name of the input meets one of ours
+    rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id").alias("id"), F.col("text"))
+    with scratch():
+        gone = saved(gone_chunks(rows, window, spacing), "chunks-gone", lasting=True)
     # documents that lose chunks are known by id and text; their marks let all others pass
     hashed = rows.withColumn("h", F.xxhash64("id", F.md5("text")))
     marked = with_mark(hashed, saved(bitmap_of(gone.select(F.xxhash64("id", "key").alias("h"))), "chunks-documents"), "h").drop("h")

@@ -66,7 +66,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, even_join, saved, unused, utf8
+from .common import BROADCAST_ROWS, discard, even_join, saved, scratch, unused, utf8
 from .token_counts import blocks
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -606,16 +606,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS,
 def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component, one whose id names it."""
     rows = with_rows(docs)
+    with scratch():
+        kept = saved(kept_rows(rows, docs.columns, shingle, budget, tile, similarity), "simhash-kept", lasting=True)
+    back = rows.join(kept.hint("merge"), ROW, "left_semi")
+    return back.select(*[column_of(c).alias(c) for c in docs.columns])
+
+
+def column_of(name: str) -> Column:
+    """A column of the input among the saved rows."""
+    return F.col(name) if name in ("doc_id", "text") else F.col("others").getField(name)
+
+
+def kept_rows(rows: DataFrame, columns: list[str], shingle: int, budget: int, tile: int, similarity: float | None) -> DataFrame:
+    """The keys of the rows that stay."""
     printed, named = printed_links(rows, shingle, budget, tile, similarity)
     found = even_join(printed.select("doc_id", ROW, "fp"), named, "fp")
     stays = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ROW, "root"), "simhash-stays")
     one = saved(stays.groupBy("root").agg(F.min(ROW).alias(ROW), F.count("*").alias("n")), "simhash-counts")
     kept = one.filter("n = 1").select(ROW)
-    if not one.filter("n > 1").isEmpty():
-        # rows of a component that share its id: the smallest by all columns in order
-        same = even_join(stays, one.filter("n > 1").select("root", F.lit(True).alias("several")), "root").select(ROW, "root")
-        whole = F.struct(*[(F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c)).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(ROW).alias("key"))
-        least = rows.join(same.hint("merge"), ROW).groupBy("root").agg(F.min(whole).alias("row"))
-        kept = kept.union(least.select(F.col("row.key").alias(ROW)))
-    back = rows.join(kept.hint("merge"), ROW, "left_semi")
-    return back.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c).alias(c) for c in docs.columns])
+    if one.filter("n > 1").isEmpty():
+        return kept
+    # rows of a component that share its id: the smallest by all columns in order
+    same = even_join(stays, one.filter("n > 1").select("root", F.lit(True).alias("several")), "root").select(ROW, "root")
+    whole = F.struct(*[column_of(c).alias(f"c{k}") for k, c in enumerate(columns)], F.col(ROW).alias("key"))
+    least = rows.join(same.hint("merge"), ROW).groupBy("root").agg(F.min(whole).alias("row"))
+    return kept.union(least.select(F.col("row.key").alias(ROW)))

@@ -41,7 +41,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, saved, utf8
+from .common import kept, saved, scratch, utf8
 from .decontaminate import FOLD, mixed
 from .token_counts import blocks
 
@@ -213,6 +213,11 @@ def chosen_strings(rows: DataFrame, bad: int, good: int) -> tuple[list[str], set
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Severity:
     """The model of at most ``sample`` labelled rows."""
+    with scratch():  # the model is all that is left
+        return learned(docs, labels, sample)
+
+
+def learned(docs: DataFrame, labels: DataFrame, sample: int) -> Severity:
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     first = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))

@@ -25,3 +25,13 @@ def test_hot_keys_go_by_broadcast(spark, monkeypatch):
 
 def test_unused_names():
     assert C.unused("a", ["b"]) == "a" and C.unused("a", ["A", "a_"]) == "a__"
+
+
+def test_scratch_steps_go_and_lasting_ones_stay(spark):
+    df = spark.range(10)
+    with C.scratch():
+        gone, stays = C.saved(df, "gone"), C.saved(df, "stays", lasting=True)
+        assert gone.count() == stays.count() == 10
+    assert spark.read.parquet(stays.saved_at).count() == 10
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(gone.saved_at)
