@@ -34,6 +34,7 @@ documents, one index.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -47,7 +48,7 @@ from .common import kept, saved, utf8
 from .token_counts import blocks
 
 SPAN, GRAM = 10, 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Separators become spaces, A-Z become a-z, digits, a-z and bytes from 128 stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Odd multipliers for word numbers, by place in a gram.
@@ -88,6 +89,13 @@ def winnowed(hashes: np.ndarray, span: int, gram: int) -> np.ndarray:
     return np.unique(at)
 
 
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of numbers from 0 on once, in order."""
+    wide = int(b.max(initial=0)) + 1
+    both = np.unique(a.astype(np.int64) * wide + b)
+    return both // wide, both % wide
+
+
 class Windows:
     """The distinct runs of n words of the benchmark, sorted by hash, each with the items it occurs in."""
 
@@ -106,8 +114,8 @@ class Windows:
             self.salt += np.uint64(1)
         self.hashes = hashes[order][first]
         # the items of run k are owners[edges[k] : edges[k + 1]]
-        pairs = np.unique(np.stack([number, owner[places]]), axis=1) if len(at) else np.empty((2, 0), np.int64)
-        self.owners, self.edges = pairs[1], np.searchsorted(pairs[0], np.arange(len(self.at) + 1))
+        runs, self.owners = distinct_pairs(number, owner[places])
+        self.edges = np.searchsorted(runs, np.arange(len(self.at) + 1))
 
     def _hash(self, ids: np.ndarray) -> np.ndarray:
         return gram_hashes(ids, self.n) if not self.salt else gram_hashes(mixed(ids.astype(np.uint64) + self.salt), self.n)
@@ -135,20 +143,23 @@ class Index:
 
     def __init__(self, items: list[tuple[str, bytes]], span: int = SPAN, gram: int = GRAM):
         self.span, self.gram, self.number, self.names = span, gram, {}, []
-        ids, owner, long, short = [], [], [], {}
+        ids, owner, long, short = array("i"), array("i"), [], {}
         for name, text in items:
             words = words_of(text)
             if not words:
                 continue
             begin, k = len(ids) + 1, len(self.names)
             self.names.append(name)
-            ids += [0] + [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            owner += [k] * (len(words) + 1)
+            ids.append(0)
+            ids.extend(self.number.setdefault(w, len(self.number) + 1) for w in words)
+            owner.extend([k] * (len(words) + 1))
             if len(words) >= span:
                 long.append((begin, len(ids)))
             else:
                 short.setdefault(len(words), []).append(begin)
-        numbers, owners = np.array([*ids, 0], np.int64), np.array([*owner, -1], np.int64)
+        ids.append(0)
+        owner.append(-1)
+        numbers, owners = np.frombuffer(ids, np.int32), np.frombuffer(owner, np.int32)
         none = [np.empty(0, np.int64)]
         marks = [gram_hashes(numbers[a:b], gram) for a, b in long]
         self.marks = np.unique(np.concatenate([h[winnowed(h, span, gram)] for h in marks] or [np.empty(0, np.uint64)]))
@@ -197,14 +208,14 @@ def spans(index: Index, texts: list[bytes | None]) -> Iterator[tuple[int, list[t
         begins.append(places)
         lengths.append(np.full(len(places), windows.n))
         # a text's windows, each once, and the items of each
-        text, k = np.unique(np.stack([np.searchsorted(edges, places, "right") - 1, number]), axis=1)
+        text, k = distinct_pairs(np.searchsorted(edges, places, "right") - 1, number)
         n = windows.edges[k + 1] - windows.edges[k]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owned.append(np.unique(np.stack([np.repeat(text, n), windows.owners[np.repeat(windows.edges[k], n) + inside]]), axis=1))
+        owned.append(np.stack(distinct_pairs(np.repeat(text, n), windows.owners[np.repeat(windows.edges[k], n) + inside])))
     begin, length = (np.concatenate(x or [np.empty(0, np.int64)]) for x in (begins, lengths))
     order = np.argsort(begin, kind="stable")
     begin, end = begin[order], (begin + length)[order]
-    text, owner = np.unique(np.concatenate(owned or [np.empty((2, 0), np.int64)], axis=1), axis=1)
+    text, owner = distinct_pairs(*np.concatenate(owned or [np.empty((2, 0), np.int64)], axis=1))
     cut, mine = np.searchsorted(begin, edges), np.searchsorted(text, np.arange(len(split) + 1))
     for k, words in enumerate(split):
         a, b, base = cut[k], cut[k + 1], edges[k]
