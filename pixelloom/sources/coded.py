@@ -652,17 +652,83 @@ PCD_SIZES = ((0x2000, 192, 128), (0xB800, 384, 256), (0x30000, 768, 512))
 PCD_HIGHLIGHTS = (239, 240, 241, 243, 245, 246, 248, 251, 253, 256, 259, 263, 268, 273, 281, 291, 307, 331)
 
 
+#: The larger sizes, their tables and data in blocks after the part before, and how many planes they add to.
+PCD_BLOCK, PCD_BEYOND = 0x800, 384 * 0x800
+PCD_LARGER = ((1536, 1024, 4, 5, 1), (3072, 2048, 12, 14, 3))
+#: A mark before each row of differences, and the planes by their numbers in it.
+PCD_MARK, PCD_PLANES = 0xFFFFFE, {0: 0, 2: 1, 3: 2}
+
+
+def pcd_tables(data: bytes, at: int, count: int) -> list[tuple[list[int], list[int]]]:
+    """Code lengths and values by the next 16 bits, for each of the tables that follow one another."""
+    out = []
+    for _ in range(count):
+        lengths, values = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        entries = np.frombuffer(data[at + 1 : at + 1 + 4 * (data[at] + 1)], ">u1,>u2,i1")
+        for length, code, value in entries.tolist():
+            if length > 15:
+                raise Broken("a code of more than 16 bits")
+            lengths[code : code + (1 << 15 - length)], values[code : code + (1 << 15 - length)] = length + 1, value
+        out.append((lengths.tolist(), values.tolist()))
+        at += 1 + 4 * (data[at] + 1)
+    return out
+
+
+def pcd_differences(c: Cursor, tables: list[tuple[list[int], list[int]]], planes: list[np.ndarray], at: int) -> int:
+    """Add the differences that begin at a byte to rows of the planes; where they end. What is missing is noted."""
+    data, high = c.data, len(planes[0])
+    while data[at : at + 3] != b"\xff\xff\xfe":
+        at += 3
+        if at >= len(data):
+            c.short = True
+            return at
+    pos, end, row, x = 8 * at, 8 * len(data), None, 0
+    while pos + 24 <= end:
+        byte = pos >> 3
+        bits = int.from_bytes(data[byte : byte + 6].ljust(6, b"\0")) << (pos & 7) & (1 << 48) - 1
+        if bits >> 24 == PCD_MARK:
+            head = bits >> 8 & 0xFFFF
+            plane, y = PCD_PLANES.get(head >> 14, 3), head >> 1 & 0x1FFF
+            pos += 40
+            if y * (2 if plane else 1) >= high:
+                return -(-pos // 8)
+            if plane >= len(tables):
+                break
+            (lengths, values), row, x = tables[plane], planes[plane][y], 0
+            continue
+        code = bits >> 32
+        if row is None or x >= len(row) or not lengths[code]:
+            break
+        row[x] += values[code]
+        x, pos = x + 1, pos + lengths[code]
+    c.short = True
+    return -(-pos // 8)
+
+
 def photo_cd(c: Cursor, width: int = 0, height: int = 0) -> Raster:
-    """The largest plain size that fits (width, height), or the smallest; beyond the base size nothing is read."""
+    """The largest size that fits (width, height), or the smallest. Beyond the base size, each is twice the one before and differences from that."""
     if c.data[:32] != b"\xff" * 32 or c.data[0x800:0x807] != b"PCD_IPI":
         raise NotMine
     turn = c.data[0xE02] & 3 if len(c.data) > 0xE02 else 0
-    fits = [s for s in PCD_SIZES if (s[2] if turn in (1, 3) else s[1]) <= width and (s[1] if turn in (1, 3) else s[2]) <= height]
+    wide, high = (height, width) if turn in (1, 3) else (width, height)
+    fits = [s for s in PCD_SIZES if s[1] <= wide and s[2] <= high]
     start, w, h = fits[-1] if fits else PCD_SIZES[0]
     c.at = start
     raw = np.frombuffer(c.take(w * h * 3 // 2), np.uint8).reshape(h // 2, 3 * w)
-    luma = raw[:, : 2 * w].reshape(h, w).astype(np.int64)
-    blue, red = (upsample(raw[:, a : a + w // 2]) for a in (2 * w, 2 * w + w // 2))
+    planes = [raw[:, : 2 * w].reshape(h, w).astype(np.int64), raw[:, 2 * w : 2 * w + w // 2].astype(np.int64), raw[:, 2 * w + w // 2 :].astype(np.int64)]
+    part = PCD_BEYOND
+    for w, h, table, differences, count in PCD_LARGER if (w, h) == PCD_SIZES[-1][1:] else ():
+        if w > wide or h > high or c.short:
+            break
+        planes = [upsample(p) for p in planes]
+        try:
+            tables = pcd_tables(c.data, part + table * PCD_BLOCK, count)
+            part = -(-pcd_differences(c, tables, planes, part + differences * PCD_BLOCK) // PCD_BLOCK) * PCD_BLOCK
+        except (IndexError, ValueError):  # the tables aren't there
+            c.short = True
+        planes = [p.clip(0, 255) for p in planes]
+        c.at = min(part, len(c.data))
+    luma, blue, red = planes[0], upsample(planes[1]), upsample(planes[2])
     # in 16 bits behind the point, rounded once
     part = lambda share: int(255 / 182 * share * 65536 + 0.5)
     c1, c2, light = blue - 156, red - 137, part(1) * luma + 32768

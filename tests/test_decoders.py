@@ -488,6 +488,44 @@ def test_photo_cd():
     assert ok(bytes(data) + pair * 64).pixels.shape == (192, 128, 3)
 
 
+def photo_cd_rows(codes, rows, high):
+    """Rows of differences: a mark, plane and row, then codes; the mark of a row past the last ends them."""
+    head = lambda plane, y: f"{0xFFFFFE:024b}{ {0: 0, 1: 2, 2: 3}[plane]:02b}{y:013b}0"
+    bits = "".join(head(plane, y) + "".join(codes[v] for v in values) for plane, y, values in rows) + head(0, high)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8)
+
+
+def test_photo_cd_larger_sizes():
+    block = 0x800
+    codes = {0: "0", 5: "10", -3: "110", 100: "1110"}
+    table = bytes([len(codes) - 1]) + b"".join(bytes([len(c) - 1]) + int(c.ljust(16, "0"), 2).to_bytes(2) + (v % 256).to_bytes() for v, c in codes.items())
+    data = bytearray(384 * block)
+    data[:32] = b"\xff" * 32
+    data[0x800:0x807] = b"PCD_IPI"
+    pair = bytes([100] * 1536) + bytes([156] * 384) + bytes([137] * 384)
+    data[0x30000 : 0x30000 + 256 * len(pair)] = pair * 256
+    base = [100] * 1536
+    larger = table.rjust(4 * block + len(table), b"\0").ljust(5 * block, b"\0") + bytes(6) + photo_cd_rows(codes, [(0, 3, [5, -3, 0, 100] + [0] * 1532), (0, 1000, [5] * 1536)], 1024)
+    whole = bytes(data) + larger.ljust(-(-len(larger) // block) * block, b"\0")
+    shown = lambda v: np.floor(v * 255 / 182 + 0.5).astype(int)
+    r = ok(whole, context=Context(width=1600, height=1200))
+    assert r.pixels.shape == (1024, 1536, 3)
+    want = np.array([105, 97, 100, 200] + base[4:])
+    assert r.pixels[3, :3, 0].tolist() == shown(want)[:3].tolist() and r.pixels[3, 3, 0] == 251 and (r.pixels[1000] == shown(105)).all() and (r.pixels[4] == shown(100)).all()
+    assert ok(whole, context=Context(width=800, height=600)).pixels.shape == (512, 768, 3)
+    # the largest: differences of that size twice as large, and of colours
+    rows = [(0, 2047, [-3] * 3072), (1, 10, [100] * 1536), (2, 10, [0, 5] + [0] * 1534)]
+    more = (table * 3).rjust(12 * block + 3 * len(table), b"\0").ljust(14 * block, b"\0") + photo_cd_rows(codes, rows, 2048)
+    r = ok(whole + more, context=Context(width=4000, height=3000))
+    assert r.pixels.shape == (2048, 3072, 3)
+    assert (r.pixels[2047] == shown(97)).all() and r.pixels[2000:2002, 0, 0].tolist() == [147, 144]  # 105, and between it and 100
+    assert r.pixels[20, 8].tolist() == [140, 113, 251] and r.pixels[20, 2].tolist() == [147, 110, 251]
+    # cut off: the size is there, its differences in part
+    assert ok(whole[: 389 * block + 200], context=Context(width=1600, height=1200), status="partial").pixels.shape == (1024, 1536, 3)
+    assert ok(bytes(data), context=Context(width=1600, height=1200), status="partial").pixels.shape == (1024, 1536, 3)
+
+
 @pytest.mark.parametrize("form", sorted(ENCODERS))
 def test_written_files_come_back(form):
     r = true(np.random.default_rng(2).integers(0, 256, (5, 7, 3)))
