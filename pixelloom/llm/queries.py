@@ -11,7 +11,9 @@ import public_tokenizers
 
 from .common import saved, table
 from .decontaminate import find
+from .filter_audit import audit, failures, with_labels
 from .line_dedup import line_dedup
+from .manifest import folded, leaves_of, proven
 from .media import texts_as_media
 from .mixing import mix, word_count
 from .quality import held_out, ranked
@@ -89,6 +91,19 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof under the root, and what the root would be had some texts lost their line ends."""
+    found = proven(leaves_of(table(spark, sf_dir, "documents")))
+    siblings = F.array_join(F.transform("proof", lambda step: F.concat(step["left"], step["right"])), "")
+    rows = found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), folded(F.coalesce("tampered", "leaf"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over every document in all 120 orders, counted by source, order and step."""
+    return audit(with_labels(failures(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -101,4 +116,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_toxicity": op9_toxicity,
         "op10_token_records": op10_token_records,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_filter_audit": op13_filter_audit,
     }

@@ -87,9 +87,96 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NULL OR top = pa
 FROM p
 """
 
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, source,
+    CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END
+      || CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS head,
+    text, replace(text, chr(10), '') AS bare
+  FROM documents
+), crc_table AS (
+  SELECT n::BIGINT AS n, n::BIGINT AS c, 0 AS s FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, s + 1 FROM crc_table WHERE s < 8
+), crc AS (
+  SELECT k, doc_id::VARCHAR AS id, 1 AS j, 4294967295::BIGINT AS c FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT crc.k, id, j + 1, xor(crc.c >> 8, t.c) FROM crc JOIN crc_table t ON t.s = 8 AND t.n = xor(crc.c & 255, ord(id[j])) WHERE j <= len(id)
+), tampered AS (
+  SELECT k FROM crc WHERE j = len(id) + 1 AND xor(c, 4294967295) % 2 = 0
+), leaves AS (
+  SELECT d.k, doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+    CASE WHEN t.k IS NULL THEN NULL ELSE sha256(head || CASE WHEN text IS NULL THEN '-' ELSE strlen(bare) || ':' || bare END) END AS changed
+  FROM d LEFT JOIN tampered t ON d.k = t.k
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS i FROM leaves
+), nodes AS (
+  SELECT source, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM placed
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, i // 3
+), subroots AS (
+  SELECT source, level AS height, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS rank FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, rank AS i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, i // 3
+), top AS (
+  SELECT h AS root, level AS top_height FROM tops WHERE n = 1
+), every AS (
+  SELECT source, level, i, h, n FROM nodes UNION ALL
+  SELECT s.source, s.height + t.level, t.i, t.h, t.n FROM tops t, subroots s WHERE t.n > 1
+), ways AS (
+  SELECT p.k, p.leaf, coalesce(p.changed, p.leaf) AS h, p.source, p.i, s.rank, s.height, s.subroot, 0 AS level, '' AS siblings FROM placed p JOIN subroots s ON p.source IS NOT DISTINCT FROM s.source
+  UNION ALL
+  SELECT w.k, any_value(w.leaf), sha256(string_agg(CASE WHEN e.i = w.place THEN w.h ELSE e.h END, '' ORDER BY e.i)), any_value(w.source), any_value(w.i), any_value(w.rank), any_value(w.height), any_value(w.subroot), any_value(w.level) + 1,
+    any_value(w.siblings) || coalesce(string_agg(e.h, '' ORDER BY e.i) FILTER (e.i <> w.place), '')
+  FROM (SELECT *, CASE WHEN level < height THEN i // (3 ** level)::BIGINT ELSE rank // (3 ** (level - height))::BIGINT END AS place FROM ways, top WHERE level < height + top_height) w
+  JOIN (SELECT * FROM every WHERE n > 1) e ON w.source IS NOT DISTINCT FROM e.source AND w.level = e.level AND w.place // 3 = e.i // 3
+  GROUP BY w.k
+)
+SELECT doc_id, w.leaf, subroot, root, sha256(siblings) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM ways w JOIN top ON w.level = height + top_height JOIN d ON d.k = w.k
+"""
+
+OP13 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT k, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [
+    len(w) < 200,
+    100 * len(list_distinct(w)) < 50 * len(w),
+    100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text),
+    regexp_matches(text, '[#$%&*|]'),
+    coalesce(min(t.doc_id) OVER (PARTITION BY text) < t.doc_id, false)] AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+), v AS (
+  SELECT unnest(range(1, 6)) AS x
+), o AS (
+  SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT array_to_string(list_transform(o, lambda x: chr(64 + x::INT)), '') AS filter_order, unnest(range(1, 6))::INT AS step, o FROM o
+), p AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails
+), c AS (
+  SELECT part, filter_order, step, o[step] AS x,
+    coalesce(sum(n) FILTER (NOT list_bool_or(list_transform(o[1:step], lambda y: fails[y]))), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (fails[o[step]] AND NOT (step > 1 AND list_bool_or(list_transform(o[1:step - 1], lambda y: fails[y])))), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails[o[step]] AND step > 1 AND list_bool_or(list_transform(o[1:step - 1], lambda y: fails[y]))), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda y: y)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (fails[o[step]] AND NOT (step > 1 AND list_bool_or(list_transform(o[1:step - 1], lambda y: fails[y])))), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (fails[o[step]] AND NOT (step > 1 AND list_bool_or(list_transform(o[1:step - 1], lambda y: fails[y])))), 0)::BIGINT AS toxic_lost
+  FROM p, s GROUP BY part, filter_order, step, o
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM c
+"""
+
 ORACLE_SQL = {
     "op1_mix_sources": OP1,
     "op2_line_dedup": OP2,
     "op4_warc": OP4,
     "op8_decontaminate": OP8,
+    "op12_merkle_manifest": OP12,
+    "op13_filter_audit": OP13,
 }
