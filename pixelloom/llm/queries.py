@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .common import saved, table
+from .credentials import count_of, find_secrets, listed
 from .decontaminate import find
 from .filter_audit import audit, failures, with_labels
 from .line_dedup import line_dedup
@@ -91,6 +92,18 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: those that tell alone, and parts that tell together."""
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[count_of(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof under the root, and what the root would be had some texts lost their line ends."""
     found = proven(leaves_of(table(spark, sf_dir, "documents")))
@@ -116,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_toxicity": op9_toxicity,
         "op10_token_records": op10_token_records,
+        "op11_secret_scan": op11_secret_scan,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_filter_audit": op13_filter_audit,
     }

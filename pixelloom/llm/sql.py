@@ -87,6 +87,47 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NULL OR top = pa
 FROM p
 """
 
+OP11 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
+), m AS (
+  SELECT k, 0 AS kind, 8 AS least, 2 AS g, '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)' AS p, low AS s FROM t WHERE regexp_matches(low, '(password|passwd|secret|token|api_?key)["'']?\x20*[:=]')
+  UNION ALL SELECT k, 1, 16, 0, 'AKIA[A-Z0-9]+', text FROM t WHERE contains(text, 'AKIA')
+  UNION ALL SELECT k, 2, 32, 0, '[0-9a-f]+', text FROM t WHERE regexp_matches(text, '[0-9a-f]{32}')
+  UNION ALL SELECT k, 3, 3, 2, '(user|username|user_?id|login|account|client_?id|access_?key_?id)["'']?\x20*[:=]\x20*["'']?([a-z0-9@+/_.=-]+)', low FROM t WHERE regexp_matches(low, '(user|login|account|client|access)')
+  UNION ALL SELECT k, 4, 0, 0, '(https?|wss?|ftp|s3|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp|ldap)://[a-z0-9.:@/_?&=%+~#-]+', low FROM t WHERE contains(low, '://')
+  UNION ALL SELECT k, 5, 20, 0, '[A-Za-z0-9+/_=-]+', text FROM t WHERE regexp_matches(text, '[A-Za-z0-9+/_=-]{20}')
+), f AS (
+  SELECT k, kind, least, regexp_extract_all(s, p) AS hits, regexp_extract_all(s, p, g) AS told, regexp_split_to_array(s, p) AS rest FROM m
+), h AS (
+  SELECT k, kind, least, unnest(range(1, len(hits) + 1)) AS i, hits, told, rest FROM f
+), r AS (
+  SELECT k, kind, (list_sum(list_transform(rest[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: len(x))), 0))::BIGINT AS a, len(hits[i]) AS n, hits[i] AS hit
+  FROM h WHERE len(told[i]) >= least
+), w AS (
+  SELECT k, kind, a, a + n AS b FROM r WHERE kind < 5 OR regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]')
+), x AS (
+  SELECT * FROM w WHERE kind <> 3 OR NOT EXISTS (SELECT 1 FROM w o WHERE o.k = w.k AND o.kind < 3 AND o.a < w.b AND w.a < o.b)
+), y AS (
+  SELECT * FROM x WHERE kind < 5 OR NOT EXISTS (SELECT 1 FROM x o WHERE o.k = x.k AND o.kind < 5 AND o.a < x.b AND x.a < o.b)
+), z AS (
+  SELECT y.*, len(regexp_extract_all(t.text[1:y.a], '\n[ \t\r]*\n')) AS scope FROM y JOIN t ON y.k = t.k
+), c AS (
+  SELECT z.k, z.kind, z.a, z.b,
+    z.kind < 3 OR
+    (z.kind = 4 OR z.kind = 3 OR EXISTS (SELECT 1 FROM z o WHERE o.k = z.k AND o.scope = z.scope AND o.kind IN (1, 3) AND o.a - z.b <= 200 AND z.a - o.b <= 200)) AND
+    (z.kind = 5 OR EXISTS (SELECT 1 FROM z o WHERE o.k = z.k AND o.scope = z.scope AND o.kind IN (0, 2, 5) AND o.a - z.b <= 200 AND z.a - o.b <= 200)) AND
+    (z.kind <> 4 OR EXISTS (SELECT 1 FROM z o WHERE o.k = z.k AND o.scope = z.scope AND o.kind IN (1, 3) AND o.a - z.b <= 200 AND z.a - o.b <= 200)) AS told
+  FROM z
+), l AS (
+  SELECT k, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'login', 'host', 'key'][kind + 1] || ':' || a || ':' || b AS s FROM c WHERE told) GROUP BY k
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN l ON t.k = l.k
+"""
+
 OP12 = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS k, doc_id, source,
@@ -177,6 +218,7 @@ ORACLE_SQL = {
     "op2_line_dedup": OP2,
     "op4_warc": OP4,
     "op8_decontaminate": OP8,
+    "op11_secret_scan": OP11,
     "op12_merkle_manifest": OP12,
     "op13_filter_audit": OP13,
 }
