@@ -26,8 +26,8 @@ largest page_id of their group are all responses, and then no single record is r
 to; repeated rows are records of their own. Line ends in urls are percent-encoded; a null
 url leaves its field out. Other columns are not stored. An empty table makes an archive
 without records. Pages of any length are cut into segments. Archives of other writers are
-read too: records that aren't pages are passed over, fields that only this writer has are
-null, and a response without a digest is taken as it is.
+read too: records that aren't pages are passed over with all their segments, wherever those
+stand, fields that only this writer has are null, and a response without a digest is taken as it is.
 
 Scale. Digests of payloads, not payloads, are shuffled to find equal ones, combined before
 the shuffle; what is repeated is broadcast if it has been counted and is short. Beyond
@@ -64,6 +64,8 @@ DATE = "2024-01-01T00:00:00Z"
 SEPARATOR = b"\r\n\r\n"
 #: Bytes that are inflated at once.
 STEP = 64 << 10
+#: Types of records that are pages.
+PAGES = ("response", "revisit")
 CHUNKED = re.compile(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b")
 
 
@@ -261,7 +263,7 @@ def finished(rows: Iterable[dict]) -> pa.RecordBatch:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives under ``path`` as they are stored; what isn't a page is passed over."""
+    """The records of the archives under ``path`` as they are stored; what isn't a page or a segment is passed over."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*part-*").load(path).select("content")
     names = [f.split()[0] for f in RECORD.split(", ")]
     kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary())
@@ -274,8 +276,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows, size = [], 0
                 for f, block in parsed(memoryview(content.as_buffer())):
-                    if f["warc-type"] in ("response", "revisit", "continuation"):
-                        rows.append((f["warc-record-id"], f.get("warc-segment-origin-id"), whole(f, "warc-segment-number"), whole(f, "warc-segment-total-length"), f["warc-type"], f.get("warc-page-id"), f.get("warc-target-uri"), f.get("warc-refers-to-page-id"), f.get("warc-payload-digest"), whole(f, "warc-payload-length"), block))
+                    kind, number = f["warc-type"], whole(f, "warc-segment-number")
+                    if kind in PAGES or kind == "continuation" or number is not None:
+                        # of a segmented record that isn't a page only its fields go on: they tell whose the continuations are
+                        block = block if kind in PAGES or kind == "continuation" else b""
+                        rows.append((f["warc-record-id"], f.get("warc-segment-origin-id"), number, whole(f, "warc-segment-total-length"), kind, f.get("warc-page-id"), f.get("warc-target-uri"), f.get("warc-refers-to-page-id"), f.get("warc-payload-digest"), whole(f, "warc-payload-length"), block))
                         size += len(block)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
@@ -286,7 +291,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassembled(stored: DataFrame) -> DataFrame:
-    """Whole records of segments: one row a segmented record, its block joined."""
+    """Whole pages of segments: one row a segmented page, its block joined; segments of other records are passed over."""
     parts = stored.filter("number is not null")
     segment = F.struct("number", "type", "total", "page_id", "url", "refers_to", "digest", "length", "block")
     groups = parts.groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(F.array_sort(F.collect_list(segment)).alias("s"))
@@ -296,6 +301,8 @@ def reassembled(stored: DataFrame) -> DataFrame:
         for batch in batches:
             for ident, listed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = listed.as_py()
+                if s[0]["number"] == 1 and s[0]["type"] not in PAGES:
+                    continue
                 if [x["number"] for x in s] != [*range(1, len(s) + 1)] or s[-1]["total"] is None:
                     raise ValueError(f"segments of {ident} are missing or doubled: {[x['number'] for x in s]}")
                 block = b"".join([x["block"] for x in s])

@@ -103,6 +103,35 @@ def test_archives_are_read_together_and_others_too(spark, tmp_path):
         list(W.parsed(memoryview(data[:-10])))
 
 
+def test_segments_of_other_records_are_passed_over(spark, tmp_path):
+    """A resource in segments, one of them in another file, beside a page in segments and a whole one."""
+    body = b"HTTP/1.1 200 OK\r\n\r\n" + b"p" * 50
+
+    def record(kind, name, block, **more):
+        fields = {"WARC-Type": kind, "WARC-Record-ID": f"<{name}>"} | {k.replace("_", "-"): v for k, v in more.items()}
+        return W.header(fields | {"Content-Length": len(block)}) + block + b"\r\n\r\n"
+
+    first = [
+        record("resource", "r1", b"a" * 10, WARC_Segment_Number=1),
+        record("response", "p1", body[:30], WARC_Segment_Number=1),
+        record("continuation", "r1c", b"b" * 10, WARC_Segment_Origin_ID="<r1>", WARC_Segment_Number=2),
+        record("resource", "r2", b"c" * 10),
+    ]
+    second = [
+        record("continuation", "r1d", b"d", WARC_Segment_Origin_ID="<r1>", WARC_Segment_Number=3, WARC_Segment_Total_Length=21),
+        record("continuation", "p1c", body[30:], WARC_Segment_Origin_ID="<p1>", WARC_Segment_Number=2, WARC_Segment_Total_Length=len(body)),
+        record("response", "p2", body),
+    ]
+    for name, records in (("part-0", first), ("part-1", second)):
+        (tmp_path / name).write_bytes(b"".join(records))
+    got = W.read_warc(spark, f"file://{tmp_path}").collect()
+    assert [(r.record_type, bytes(r.payload)) for r in got] == [("response", b"p" * 50)] * 2
+    # a page's segment that is missing is still an error
+    (tmp_path / "part-1").write_bytes(b"".join(second[::2]))
+    with pytest.raises(Exception, match="segments of <p1>"):
+        W.read_warc(spark, f"file://{tmp_path}").collect()
+
+
 def test_large_archives_are_inflated_as_they_are_read():
     record = W.header({"WARC-Type": "response", "Content-Length": 50_000}) + b"z" * 50_000 + b"\r\n\r\n"
     packed = gzip.compress(record * 400)
