@@ -16,13 +16,14 @@ table gives an empty result. Columns of the input that are named like the operat
 
 Scale. All on the JVM, no Python. First only hashes of chunks are shuffled, combined
 before. Which hashes occur again is then marked in a bitmap of MARKS bits, broadcast in
-rows of 4 kB: a fixed size at any scale, and a bit set by chance only lets a chunk through
-that the byte comparison drops. So only chunks that are repeated are shuffled with their
+rows of 4 kB, a fixed size; a bit set by chance only lets a chunk through that the byte
+comparison drops. Where more than one bit in FILLED would be set, hashes are joined by
+shuffle instead. So only chunks that are repeated are shuffled with their
 bytes, and grouped by them, combined before, so a passage in a third of all documents is
 one row a task. Chunks that occur very often meet their first occurrence by broadcast (no
 more than HOT_KEYS, of HOT_BYTES each), the others by shuffle at every size, since what
-is repeated grows with the corpus. Documents that lose chunks are marked in a second
-bitmap: only they are shuffled, by id and hash; all others go from the scan to the result.
+is repeated grows with the corpus. Documents that lose chunks are marked the same
+way: only they are shuffled, by id and hash; all others go from the scan to the result.
 Positions gathered in a row are those of one document.
 """
 
@@ -38,6 +39,8 @@ WINDOW, SPACING = 3, 4
 PRIME, BASE = 2147483647, 1000003
 #: Bits of a bitmap, in rows of ROW bits as Spark's bitmap functions make them.
 MARKS, ROW = 1 << 26, 1 << 15
+#: Of so many bits one may be set.
+FILLED = 8
 #: Bytes of a chunk that is broadcast.
 HOT_BYTES = 32 << 10
 
@@ -71,15 +74,29 @@ def with_chunks(texts: DataFrame, window: int, spacing: int) -> DataFrame:
     return hashed.withColumn("chunk_ends", boundaries(F.col("chunk_hashes"), window, spacing)).drop("chunk_hashes")
 
 
-def chunk_list() -> Column:
-    """(pos, lines, chunk) of each chunk of a row."""
+def chunk_list(without: Column | None = None) -> Column:
+    """(pos, lines, chunk) of each chunk of a row, but for those at the places ``without``."""
     ends, lines = F.col("chunk_ends"), F.col("chunk_lines")
 
-    def chunk(end: Column, k: Column) -> Column:
-        begin = F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0))
+    def chunk(k: Column) -> Column:
+        begin, end = F.when(k > 0, F.get(ends, k - 1)).otherwise(F.lit(0)), F.get(ends, k)
         return F.struct(k.alias("pos"), (end - begin).alias("lines"), F.array_join(F.slice(lines, begin + 1, end - begin), "\n").alias("chunk"))
 
-    return F.transform(ends, chunk)
+    places = F.sequence(F.lit(0), F.size(ends) - 1)
+    return F.transform(places if without is None else F.array_except(places, without), chunk)
+
+
+def marking(rows: DataFrame, hashes: DataFrame, h: str, name: str) -> DataFrame:
+    """Rows with ``marked``: whether the hash in column ``h`` is among ``hashes`` (column h), or, by a chance that their number bounds, seems so.
+
+    A bitmap says so where the rows are, while the hashes fill no more than one bit in
+    FILLED of it; more of them are joined by shuffle.
+    """
+    hashes = saved(hashes.select("h"), name)
+    if hashes.count() <= MARKS // FILLED:
+        return with_mark(rows, saved(bitmap_of(hashes), f"{name}-bits"), h)
+    told = hashes.distinct().select(F.col("h").alias("mark_h"), F.lit(True).alias("mark_told")).hint("merge")
+    return rows.join(told, F.col(h) == F.col("mark_h"), "left").withColumn("marked", F.coalesce("mark_told", F.lit(False))).drop("mark_h", "mark_told")
 
 
 def bitmap_of(hashes: DataFrame) -> DataFrame:
@@ -103,7 +120,7 @@ def gone_chunks(rows: DataFrame, window: int, spacing: int) -> DataFrame:
     pieces = with_chunks(texts, window, spacing).select("id", "key", F.explode(chunk_list()).alias("c")).filter("c.lines > 1")
     pieces = pieces.select("id", "key", "c.pos", "c.chunk", F.xxhash64("c.chunk").alias("h"))
     again = pieces.groupBy("h").count().filter("count > 1")
-    same = saved(with_mark(pieces, saved(bitmap_of(again), "chunks-again"), "h").filter("marked").drop("marked"), "chunks-same")
+    same = saved(marking(pieces, again, "h", "chunks-again").filter("marked").drop("marked"), "chunks-same")
     place = F.struct("id", "key", "pos")
     first = saved(same.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1"), "chunks-first")
     many = max(LEAST_HOT, same.count() / HOT_KEYS)
@@ -123,11 +140,11 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) ->
         gone = saved(gone_chunks(rows, window, spacing), "chunks-gone", lasting=True)
     # documents that lose chunks are known by id and text; their marks let all others pass
     hashed = rows.withColumn("h", F.xxhash64("id", F.md5("text")))
-    marked = with_mark(hashed, saved(bitmap_of(gone.select(F.xxhash64("id", "key").alias("h"))), "chunks-documents"), "h").drop("h")
+    marked = marking(hashed, gone.select(F.xxhash64("id", "key").alias("h")), "h", "chunks-documents").drop("h")
     whole = marked.filter("not marked").select("row", F.col("text").alias("kept"), F.lit(None).cast("bigint").alias("kept_lines"), F.lit(0).cast("bigint").alias("n_removed"))
     cut = gone.withColumnsRenamed({"id": "gone_id", "key": "gone_key"}).hint("merge")
     found = marked.filter("marked").withColumn("key", F.md5("text")).join(cut, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left")
-    kept = with_chunks(found, window, spacing).withColumn("chunk_kept", F.filter(chunk_list(), lambda c: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), c["pos"])))
+    kept = with_chunks(found, window, spacing).withColumn("chunk_kept", chunk_list(F.coalesce("gone", F.array().cast("array<int>"))))
     touched = F.col("gone").isNotNull()
     freed = kept.select(
         "row",

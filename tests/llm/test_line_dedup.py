@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -71,6 +72,24 @@ def test_frequent_chunks_meet_their_first_by_broadcast(spark, monkeypatch):
     assert got(spark, rows) == slow(rows)
 
 
+def test_many_hashes_are_joined(spark, monkeypatch, docs):
+    """Past what a bitmap holds the rows are the same."""
+    monkeypatch.setattr(L, "FILLED", L.MARKS)
+    shared = "\n".join(f"line {k} of a long passage" for k in range(40))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(300 + k, f"own start {k}\n{shared}\nown end {k}") for k in range(9)]
+    assert got(spark, rows) == slow(rows)
+
+
+def test_work_grows_with_repeated_lines(spark):
+    """A million lines, all of whose chunks go: no step takes the square of them."""
+    text = "\n".join(f"line {k}" for k in range(1_000_000))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id bigint, text string")
+    begun = time.monotonic()
+    rows = {r.doc_id: (r.n_lines, r.n_kept) for r in L.line_dedup(docs).select("doc_id", "n_lines", "n_kept").collect()}
+    assert rows[1] == (1_000_000, 1_000_000) and rows[2][0] == 1_000_001 and rows[2][1] < 400_000
+    assert time.monotonic() - begun < 90
+
+
 def test_clashing_columns_and_empty_table(spark, docs, no_docs):
     clash = docs.withColumnsRenamed({"n_chars": "n_kept", "lang": "chunk"})
     out = L.line_dedup(clash)
