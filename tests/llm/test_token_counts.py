@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from functools import cache
 
 import public_tokenizers
@@ -72,3 +74,30 @@ def test_pieces_of_more_than_two_words():
     model = C.Unigram(FILE)
     assert C.trie_counts(words, model) == [count(w) for w in words]
     assert C.trie_counts([b" responsibilities", b" telecommunications", b" cryptocurrencies"], model) == [1, 1, 1]
+
+
+def test_both_walks_agree(monkeypatch):
+    """Level by level and depth first give the same, whatever prefixes words share."""
+    rng = random.Random(4)
+    words = sorted({b" " + bytes(rng.choice(b"abcint-\xe6\x97") for _ in range(rng.randint(0, 40))) for _ in range(300)} | {b" internation" + bytes([k]) for k in range(97, 123)} | {b" telecommunications" * k for k in range(1, 5)})
+    rng.shuffle(words)
+    model = C.Unigram(FILE)
+    found = []
+    for few in (0, 50, 10**9):
+        monkeypatch.setattr(C, "FEW", few)
+        found.append(C.trie_counts(words, model))
+    assert found[0] == found[1] == found[2]
+
+
+def test_long_unspaced_text_takes_seconds():
+    """A pre-token of a megabyte, and many long ones that begin alike."""
+    rng = random.Random(5)
+    model, letters = C.Unigram(FILE), "abcdefghijklmnopqrstuvwxyz日本語"
+    long = ("".join(rng.choice(letters) for _ in range(700_000))).encode()
+    begun = time.monotonic()
+    assert C.trie_counts([b" " + long], model)[0] > 100_000
+    assert time.monotonic() - begun < 5
+    begun = time.monotonic()
+    same = [b" " + long[:100_000] + b"%d" % k for k in range(200)]
+    assert len(C.trie_counts(same, model)) == 200
+    assert time.monotonic() - begun < 5
