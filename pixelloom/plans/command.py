@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..image import PACKED, pack
 from ..operators import raster as R
 from ..sources import files
-from ..sources.registry import Context
+from ..sources.registry import Context, decoded, registry
 from ..sources.simple import colour_of
 from . import jobs, options, paths
 
@@ -39,6 +39,7 @@ def shown(spark: SparkSession, parsed: options.Parsed, folders: list[str], exten
     The images of one command are laid over one another in its order, so they are one
     group: as many as the command line names.
     """
+    formats = registry()
     told, target = [asdict(j) for j in parsed.jobs], parsed.target
 
     def decode(j: dict) -> Context:
@@ -46,12 +47,10 @@ def shown(spark: SparkSession, parsed: options.Parsed, folders: list[str], exten
         return Context(width=target.width, height=target.height, background=background, xpm=j["xpm"] or "c", iscale=j["iscale"], gamma=target.gamma)
 
     def compose(key: tuple, group: pa.Table) -> pa.Table:
-        from ..sources.registry import decoded
-
         rasters = []
         for row in sorted(group.to_pylist(), key=lambda r: r["position"]):
             job = options.Job(**told[row["position"]])
-            d = decoded(row["path"], row["content"], decode(told[row["position"]]))
+            d = decoded(row["path"], row["content"], decode(told[row["position"]]), formats)
             if d.raster is not None:
                 r = d.raster if d.zoom == (100, 100) else R.zoom(d.raster, *d.zoom)
                 rasters.append((r, options.trailing(job, d.options) if d.options else job))

@@ -6,6 +6,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -580,69 +581,140 @@ def fax_codes(text: str) -> dict[str, int]:
 
 
 RUNS = (fax_codes(WHITE), fax_codes(BLACK))
+#: Bits that a step of the fax decoder looks at: the longest code.
+FAX_STEP = 13
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
 
-def fax_rows(stream: str, most: int) -> tuple[list[list[int]], bool]:
-    """Runs of each row, white first, up to ``most`` rows; whether no row is damaged."""
+@cache
+def fax_steps() -> tuple[list, list]:
+    """Of white and of black, by the next FAX_STEP bits: all codes that are whole there, and the first of them alone.
+
+    Each is (bits taken, run lengths that end, what is begun of one more, the colour after
+    them), or None where no code stands.
+    """
+    first = [[None] * (1 << FAX_STEP) for _ in range(2)]
+    for colour, codes in enumerate(RUNS):
+        for code, run in codes.items():
+            left = FAX_STEP - len(code)
+            begin = int(code, 2) << left
+            first[colour][begin : begin + (1 << left)] = [(len(code), run)] * (1 << left)
+
+    def followed(window: int, colour: int, most: int) -> tuple | None:
+        taken, ended, total, n = 0, [], 0, 0
+        while taken < FAX_STEP and n < most:
+            code = first[colour][window << taken & (1 << FAX_STEP) - 1]
+            if code is None or taken + code[0] > FAX_STEP:
+                break
+            taken, total, n = taken + code[0], total + code[1], n + 1
+            if code[1] < 64:
+                ended.append(total)
+                total, colour = 0, 1 - colour
+        return (taken, tuple(ended), total, colour) if taken else None
+
+    return tuple([[followed(w, colour, most) for w in range(1 << FAX_STEP)] for colour in range(2)] for most in (FAX_STEP, 1))
+
+
+def zeros_at(data: bytes, pos: int) -> int:
+    """The number of zero bits from a bit on."""
+    byte, left = pos >> 3, 8 - (pos & 7)
+    if byte >= len(data):
+        return 0
+    if head := data[byte] & (1 << left) - 1:
+        return left - head.bit_length()
+    rest = re.compile(rb"\0*").match(data, byte + 1).end()
+    more = 8 - data[rest].bit_length() if rest < len(data) else 0
+    return left + 8 * (rest - byte - 1) + more
+
+
+def mark_at(data: bytes, pos: int) -> int | None:
+    """Where an end of line that begins at a bit ends: 11 zeros or more and a one."""
+    n = zeros_at(data, pos)
+    return pos + n + 1 if n >= 11 and pos + n < 8 * len(data) else None
+
+
+def mark_after(data: bytes, pos: int) -> int | None:
+    """Where the next end of line begins."""
+    while pos < 8 * len(data):
+        n = zeros_at(data, pos)
+        if n >= 11:
+            return pos if pos + n < 8 * len(data) else None
+        pos += n + 1
+    return None
+
+
+def fax_rows(data: bytes, at: int, most: int) -> tuple[list[list[int]], bool]:
+    """Runs of each row from a bit on, white first, up to ``most`` rows; whether no row is damaged."""
     rows: list[list[int]] = []
-    at, whole = 0, True
-    mark = re.compile("0{11,}1")
+    (steps, singles), whole, end, mask = fax_steps(), True, 8 * len(data), (1 << FAX_STEP) - 1
     while len(rows) < most:
-        start = mark.match(stream, at)
         ends = 0
-        while start:  # several marks in a row end the page
-            at, ends = start.end(), ends + 1
-            start = mark.match(stream, at)
-        if ends > 1 and rows or at >= len(stream):
+        while (after := mark_at(data, at)) is not None:  # several marks in a row end the page
+            at, ends = after, ends + 1
+        if ends > 1 and rows or at >= end:
             break
         row, total, colour = [], 0, 0
+        window, top = 0, at  # the bits up to ``top`` are in the window
         while True:
-            end = next((n for n in range(2, 14) if stream[at : at + n] in RUNS[colour]), None)
-            if end is None or at + end > len(stream):
-                if not mark.match(stream, at):
-                    following = mark.search(stream, at)
-                    if not following:
-                        at = len(stream)
-                        break
-                    whole, at = False, following.start()
+            if top - at < FAX_STEP:
+                byte = at >> 3
+                window = int.from_bytes(data[byte : byte + 16].ljust(16, b"\0"))
+                top = 8 * byte + 128
+            step = steps[colour][window >> top - at - FAX_STEP & mask]
+            if step is not None and at + step[0] > end:
+                step = singles[colour][window >> top - at - FAX_STEP & mask]
+            if step is None or at + step[0] > end:
                 break
-            run = RUNS[colour][stream[at : at + end]]
-            at, total = at + end, total + run
-            if run < 64:
-                row.append(total)
-                total, colour = 0, 1 - colour
+            at += step[0]
+            if step[1]:
+                row.append(total + step[1][0])
+                row += step[1][1:]
+                total = step[2]
+            else:
+                total += step[2]
+            colour = step[3]
+        if mark_at(data, at) is None:
+            following = mark_after(data, at)
+            if following is None:
+                at = end
+            else:
+                whole, at = False, following
         if row:
             rows.append(row)
     return rows, whole
 
 
-def fax(c: Cursor) -> Raster:
-    if c.left < 8 or c.left > 1 << 23:
-        raise NotMine
-    raw = np.frombuffer(c.data, np.uint8)
-    for order in ("big", "little"):
-        stream = "".join(map(str, np.unpackbits(raw[:65536], bitorder=order)))
-        lead = re.match("0{11,15}1", stream)
+def fax_lead(sample: bytes) -> tuple[bool, int]:
+    """Of a file's first bytes: whether bits stand the other way round in them, and the bit at which rows begin."""
+    for turned in (False, True):
+        data = sample.translate(REVERSED) if turned else sample
         begin = 0
-        if not lead:
-            marks = list(re.finditer("0{11,}1", stream))
+        if not 11 <= zeros_at(data, 0) <= 15:
+            marks, at = [], 0
+            while len(marks) < 5 and (at := mark_after(data, at)) is not None:
+                marks.append(at)
+                at = mark_at(data, at)
             if len(marks) < 5:
                 continue
-            begin = marks[3].start()
-        first, _ = fax_rows(stream[begin:], 3)
+            begin = marks[3]
+        first, _ = fax_rows(data, begin, 3)
         widths = {sum(r) for r in first}
         if len(first) == 3 and len(widths) == 1 and 0 < widths.pop() <= FAX_COLUMNS:
-            break
-    else:
+            return turned, begin
+    raise NotMine
+
+
+def fax(c: Cursor) -> Raster:
+    if c.left < 8:
         raise NotMine
-    rows, whole = fax_rows("".join(map(str, np.unpackbits(raw, bitorder=order)))[begin:], FAX_ROWS)
+    turned, begin = fax_lead(c.data[:65536])
+    rows, whole = fax_rows(c.data.translate(REVERSED) if turned else c.data, begin, FAX_ROWS)
     c.at, c.short = len(c.data), not whole
     w = min(FAX_COLUMNS, max(map(sum, rows)))
     out = np.zeros((len(rows), w), np.uint8)
     for y, row in enumerate(rows):
-        edges = np.cumsum([0, *row])
-        for k in range(1, len(row), 2):
-            out[y, edges[k] : edges[k + 1]] = 1
+        shown = np.repeat(np.arange(len(row), dtype=np.uint8) & 1, row)[:w]
+        out[y, : len(shown)] = shown
     return bitmap(out)
 
 

@@ -22,7 +22,8 @@ from ..operators import raster as R
 from ..plans import jobs as J
 from ..plans.options import Job, RenderTarget, trailing
 from . import encode
-from .registry import FORMATS, Context, decoded
+from .headers import Head, Read
+from .registry import Context, Registry, decoded, registry, told_of
 from .stream import last_options, with_trailing, without_trailing
 
 ABOUT = [T.StructField(n, T.StringType()) for n in ("path", "format", "status", "error", "options")]
@@ -52,11 +53,15 @@ def each(df: DataFrame, change: Callable[[dict], tuple | None], schema: T.Struct
     return df.mapInArrow(run, schema)
 
 
-def decode(files: DataFrame, context: Context = Context()) -> DataFrame:
-    """Packed images of rows of (path, content); image_id is the hash of the path."""
+def decode(files: DataFrame, context: Context = Context(), formats: Registry | None = None) -> DataFrame:
+    """Packed images of rows of (path, content); image_id is the hash of the path.
+
+    The formats known here and now, those registered by the user too, go with the task.
+    """
+    formats = formats or registry()
 
     def one(row: dict) -> tuple:
-        d = decoded(row["path"], row["content"], context)
+        d = decoded(row["path"], row["content"], context, formats)
         head = (row["path"], d.format, d.status, d.error, d.options)
         if d.raster is None:
             return (*head, row["image_id"], *[None] * (len(PACKED.fields) - 1))
@@ -67,26 +72,69 @@ def decode(files: DataFrame, context: Context = Context()) -> DataFrame:
     return each(files.select("path", "content", ident.alias("image_id")), one, DECODED)
 
 
-IDENTIFIED = T.StructType(ABOUT[:4] + [T.StructField(n, T.IntegerType()) for n in ("width", "height", "depth", "colors")] + [T.StructField("description", T.StringType())])
+#: told: the file in its format's own words; bytes_read: of the file, as it lies.
+IDENTIFIED = T.StructType(ABOUT[:4] + [T.StructField(n, T.IntegerType()) for n in ("width", "height", "depth", "colors")] + [T.StructField(n, T.StringType()) for n in ("description", "told")] + [T.StructField("bytes_read", T.LongType())])
+
+
+def header_row(path: str, read: Read, context: Context, formats: Registry) -> tuple:
+    """A row of IDENTIFIED."""
+    try:
+        head = Head(path, read)
+    except OSError as e:
+        return (path, None, "error", f"{type(e).__name__}: {e}", *[None] * 4, f"{path}: unknown or unsupported image type", None, 0)
+    status, f, about, error = told_of(head, context, formats)
+    first = (path, f and f.name, status, error)
+    if about is None:
+        return (*first, *[None] * 4, f"{path}: unknown or unsupported image type", None, head.taken)
+    size = "" if about.width is None else f"{about.width}x{about.height} "
+    line = f"{path} is a {size}{f.description} image with depth {about.depth}"
+    return (*first, about.width, about.height, about.depth, about.colours, line, path + about.told, head.taken)
+
+
+def identify(files: DataFrame, context: Context = Context(), formats: Registry | None = None) -> DataFrame:
+    """What each of (path, content) is by its header, as columns and as a line; pixels aren't decoded, so data that ends early isn't noticed."""
+    formats = formats or registry()
+    return each(files, lambda row: header_row(row["path"], lambda at, n: row["content"][at : at + n], context, formats), IDENTIFIED)
+
+
+def arrow_reader(path: str) -> Read:
+    """Parts of a file on any file system Arrow knows."""
+    from pyarrow import fs
 
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    store, name = fs.FileSystem.from_uri(path)
+    source = store.open_input_file(name)
 
-def identify(files: DataFrame, context: Context = Context()) -> DataFrame:
-    """What each file is, as one line and as columns."""
-    names = {f.name: f.description for f in FORMATS}
+    def read(at: int, n: int) -> bytes:
+        size = source.size()
+        return source.read_at(min(n, size - at), at) if at < size else b""
+
+    return read
+
+
+def identify_at(spark: SparkSession, path: str, context: Context = Context(), pattern: str | None = None, opened: Callable[[str], Read] = arrow_reader, formats: Registry | None = None) -> DataFrame:
+    """The same for the files under ``path``: they are listed by Spark, and tasks read no more of each than its header.
+
+    opened: how a task reads parts of a file, (place, number of bytes) -> bytes; for file
+    systems that Arrow doesn't know.
+    """
+    formats = formats or registry()
+    reader = spark.read.format("binaryFile")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
 
     def one(row: dict) -> tuple:
-        d = decoded(row["path"], row["content"], context)
-        head = (row["path"], d.format, d.status, d.error)
-        if d.raster is None:
-            return (*head, None, None, None, None, f"{row['path']}: unknown or unsupported image type")
-        r = d.raster
-        return (*head, r.width, r.height, r.depth, r.used or None, f"{row['path']} is a {r.width}x{r.height} {names.get(d.format, d.format)} image with depth {r.depth}")
+        try:
+            return header_row(row["path"], opened(row["path"]), context, formats)
+        except OSError as e:
+            return (row["path"], None, "error", f"{type(e).__name__}: {e}", *[None] * 4, f"{row['path']}: unknown or unsupported image type", None, 0)
 
-    return each(files, one, IDENTIFIED)
+    return each(reader.load(path).select("path"), one, IDENTIFIED)
 
 
 def supported(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, f.name, f.description, f.trailing) for k, f in enumerate(FORMATS)], "priority int, format string, description string, trailing boolean")
+    return spark.createDataFrame([(k, f.name, f.description, f.trailing) for k, f in enumerate(registry())], "priority int, format string, description string, trailing boolean")
 
 
 def process(images: DataFrame, job: Job | None = None, target: RenderTarget = RenderTarget()) -> DataFrame:

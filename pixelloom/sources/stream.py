@@ -10,6 +10,10 @@ import zlib
 from collections.abc import Callable
 
 
+#: Bytes that are inflated at most.
+MOST = 1 << 31
+
+
 class NotMine(Exception):
     """The data is of another format."""
 
@@ -53,13 +57,13 @@ class Cursor:
         return part
 
 
-def lzw_bits(data: bytes) -> bytes:
-    """Undo the variable-width LZW of .Z files."""
+def lzw_bits(data: bytes, limit: int = MOST) -> bytes:
+    """Undo the variable-width LZW of .Z files. More than ``limit`` bytes raise."""
     if data[:2] != b"\x1f\x9d" or len(data) < 3:
         raise Broken("not a .Z file")
     most, blocks = data[2] & 31, data[2] & 128
     table = [bytes([k]) for k in range(256)] + [b""] * bool(blocks)
-    out, width, start, bit = [], 9, 24, 24
+    out, size, width, start, bit = [], 0, 9, 24, 24
     previous = b""
     while bit + width <= 8 * len(data):
         at = bit >> 3
@@ -77,6 +81,9 @@ def lzw_bits(data: bytes) -> bytes:
         else:
             raise Broken("a damaged .Z file")
         out.append(entry)
+        size += len(entry)
+        if size > limit:
+            raise Broken(f"more than {limit} bytes when inflated")
         if previous and len(table) < 1 << most:
             table.append(previous + entry[:1])
         previous = entry
@@ -103,10 +110,6 @@ def uudecoded(data: bytes) -> bytes | None:
     return b"".join(out)
 
 
-#: Bytes that are inflated at most.
-MOST = 1 << 31
-
-
 def members(data: bytes, engine: Callable, magic: bytes, most: int) -> bytes:
     """All members of compressed data, one after the other; what follows them and isn't one is left, as is what is cut off."""
     out, size = [], 0
@@ -130,7 +133,7 @@ def unwrapped(name: str, data: bytes, most: int = MOST) -> bytes:
     if data[:2] == b"\x1f\x8b":
         data = members(data, lambda: zlib.decompressobj(31), b"\x1f\x8b", most)
     elif data[:2] == b"\x1f\x9d":
-        data = lzw_bits(data)
+        data = lzw_bits(data, most)
     elif name.endswith(".bz2") or data[:3] == b"BZh":
         try:
             data = members(data, bz2.BZ2Decompressor, b"BZh", most) or data

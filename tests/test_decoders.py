@@ -2,7 +2,9 @@
 
 import bz2
 import gzip
+import resource
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,8 @@ from pixelloom.functions.colour import colour_names, read_names
 from pixelloom.image import BITMAP, RGB, TRUE, true
 from pixelloom.sources import coded, simple
 from pixelloom.sources.encode import ENCODERS
-from pixelloom.sources.registry import FORMATS, Context, decoded
+from pixelloom.sources.headers import Head
+from pixelloom.sources.registry import BUILT_IN, Context, decoded, told_of
 from pixelloom.sources.stream import Broken, lzw_bits, trailing_options, unwrapped, with_trailing, without_trailing
 
 GRAY = bytes([0, 51, 102, 153, 204, 255])
@@ -22,9 +25,20 @@ def ok(data, name="x", context=Context(), kind=None, status="ok"):
     d = decoded(name, data, context)
     assert d.status == status, d.error
     assert kind is None or d.format == kind, d.format
+    if status == "ok":
+        same_by_header(name, data, context, d)
     return d.raster
 
 
+def same_by_header(name, data, context, d):
+    """A header alone tells the format, the size and the colours of what was decoded."""
+    said, f, about, error = told_of(Head(name, lambda at, n: data[at : at + n]), context)
+    assert (said, f.name) == ("ok", d.format), error
+    r = d.raster
+    if f.name != "g3":  # its header has no size
+        assert (about.width, about.height, about.depth, about.colours) == (r.width, r.height, r.depth, r.used or None), about.told
+
+
 def levels(r):
     return (r.colours16() >> 8)[..., 0].tolist()
 
@@ -411,6 +425,41 @@ def test_fax(flip):
     assert r.pixels[0].tolist() == [0] * 100 + [1] * 20 + [0] * 8 and r.pixels[1].all() and r.pixels[3].tolist() == [0, 1] * 64
 
 
+def test_fax_in_odd_places():
+    """Rows that begin after other bits, damaged rows, fill between marks, data that ends inside a code."""
+    rows = [[100, 28], [0, 128], [64, 64], [2000, 48], [1] * 128]
+    mark = "0" * 11 + "1"
+
+    def packed(stream):
+        return np.packbits(np.pad([int(b) for b in stream], (0, -len(stream) % 8))).tobytes()
+
+    three = [fax_bits([100, 28])] * 5
+    lead = "1" * 5 + mark.join(["1", *three])
+    r = decoded("x", packed(lead + mark + mark.join(map(fax_bits, rows)) + mark * 6)).raster
+    assert r.height == 2 + len(rows) and r.width == 2048 and r.pixels[0, 100:128].all() and not r.pixels[0, :100].any()
+    filled = "".join("0" * (k * 37) + mark + b for k, b in enumerate(three + [fax_bits([0, 128])]))
+    r = decoded("x", packed(mark + three[0] + filled + mark * 6)).raster
+    assert r.height == 7 and r.pixels[6].all() and r.pixels[5, 100:].all()
+    damaged = mark + mark.join([*three, three[0][:9] + "0" * 9 + "1" + three[0], fax_bits([0, 128])]) + mark * 6
+    d = decoded("x", packed(damaged))
+    assert d.status == "partial" and d.raster.height == 6
+    for cut in range(1, 30):
+        d = decoded("x", packed((mark + mark.join(three))[:-cut]))
+        assert d.format == "g3" and d.raster.height >= 4
+
+
+def test_large_fax_in_seconds():
+    """3300 rows of single pixels, 4 MB and more: no bit is a character."""
+    row = fax_bits([1] * 2550)
+    stream = ("0" * 11 + "1" + row) * 16
+    data = np.packbits(np.frombuffer(stream.encode(), np.uint8) & 1).tobytes() * (3300 // 16)
+    data += bytes((8 << 20) + 1 - len(data))
+    begun, before = time.monotonic(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    r = decoded("x", data).raster
+    assert time.monotonic() - begun < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300 << 10
+    assert r.pixels.shape == (3296, 2550) and r.pixels[77].tolist() == [0, 1] * 1275
+
+
 def test_pcx():
     head = bytearray(128)
     head[:4] = bytes([10, 5, 1, 1])
@@ -595,6 +644,13 @@ def test_old_compression():
         assert lzw_bits(compressed(data)) == data
 
 
+def test_old_compression_has_a_bound():
+    packed = compressed(b"a" * 5000)
+    assert len(lzw_bits(packed, 5000)) == 5000
+    with pytest.raises(Broken):
+        lzw_bits(packed, 4999)
+
+
 def test_trailing_options():
     body = b"P5 1 1 255\n\x07"
     whole = with_trailing(body, "-rotate 90 -gray", "viewer")
@@ -609,7 +665,7 @@ def test_trailing_options():
 
 
 def test_order_and_registration():
-    assert [f.name for f in FORMATS] == "fbm sun cmu pnm faces png gif jpeg rle bmp pcd xwd tga mcidas g3 pcx img mac xpm xbm".split()
+    assert [f.name for f in BUILT_IN] == "fbm sun cmu pnm faces png gif jpeg rle bmp pcd xwd tga mcidas g3 pcx img mac xpm xbm".split()
     assert simple.colour_of("#abc") == (0xAAAA, 0xBBBB, 0xCCCC) and simple.colour_of("#808080") == (0x8080,) * 3 and simple.colour_of("#fff") == (65535,) * 3
     assert simple.colour_of("no such") is None and simple.colour_of("LightGrey") == (0xD3D3,) * 3 and simple.colour_of("gray50") == (127 * 257,) * 3
     assert [colour_names()[f"gray{p}"][0] for p in (0, 10, 30, 70, 90, 100)] == [0, 26, 77, 179, 229, 255]

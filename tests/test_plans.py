@@ -11,7 +11,7 @@ from pixelloom.operators import raster as R
 from pixelloom.plans import command, paths
 from pixelloom.plans import options as O
 from pixelloom.sources import encode, files
-from pixelloom.sources.registry import FORMATS, register_decoder
+from pixelloom.sources.registry import BUILT_IN, Format, decoded, register_decoder, registry, use
 from pixelloom.sources.stream import NotMine, last_options, with_trailing
 from pixelloom.streaming import ingest
 
@@ -82,7 +82,7 @@ def test_scan_decode_process(spark, folder):
     assert bytes(back.data) == rasters["bmp.img"].pixels.tobytes()
     lines = {r.path.rsplit("/", 1)[1]: r for r in files.identify(files.scan(spark, f"file://{path}")).collect()}
     assert lines["tga.img"].format == "tga" and "5x10 Targa" in lines["tga.img"].description and lines["bad.img"].format is None
-    assert files.supported(spark).count() == len(FORMATS)
+    assert files.supported(spark).count() == len(BUILT_IN)
 
 
 def test_render_and_write(spark, folder, tmp_path):
@@ -112,19 +112,46 @@ def test_stream(spark, folder, tmp_path):
     assert ingest.identified_stream(spark, f"file://{path}").isStreaming
 
 
-def test_own_decoder():
-    def dots(c, context):
-        if c.take(4) != b"DOTS":
-            raise NotMine
-        return true(np.zeros((1, c.byte(), 3)))
+def dots(c, context):
+    if c.take(4) != b"DOTS":
+        raise NotMine
+    return true(np.full((1, c.byte(), 3), 7))
 
+
+def test_own_decoder_reaches_workers(spark):
+    """A format of one's own is tried where files are decoded, not on the driver alone."""
+    rows = [("a", bytearray(b"DOTS\5")), ("b", bytearray(b"P4\n8 1\n\xf0")), ("c", bytearray(b"DOT"))]
+    given = spark.createDataFrame(rows, "path string, content binary")
+    before = {r.path: r.status for r in files.decode(given).collect()}
+    assert before == {"a": "unknown", "b": "ok", "c": "unknown"}
     register_decoder("dots", 0, dots, "dots")
     try:
-        from pixelloom.sources.registry import decoded
-
         assert decoded("x", b"DOTS\5").raster.width == 5
+        found = {r.path: r for r in files.decode(given).collect()}
+        assert {p: (r.status, r.format) for p, r in found.items()} == {"a": ("ok", "dots"), "b": ("ok", "pnm"), "c": ("unknown", None)}
+        assert found["a"].width == 5 and bytes(found["a"].data) == b"\7" * 15
+        said = {r.path: r for r in files.identify(given).collect()}
+        assert (said["a"].width, said["a"].format, said["b"].format, said["c"].status) == (5, "dots", "pnm", "unknown")
+        assert files.supported(spark).first().format == "dots"
+        later = files.decode(given)  # what was known when the work was described counts
+    finally:
+        use(BUILT_IN)
+    assert {r.path: r.status for r in later.collect()} == {"a": "ok", "b": "ok", "c": "unknown"}
+    assert {r.path: r.status for r in files.decode(given).collect()} == before
+    own = registry().with_format(Format("dots", dots, "dots"), 3)
+    assert {r.path: r.status for r in files.decode(given, formats=own).collect()}["a"] == "ok" and len(registry()) == 20
+
+
+def test_own_decoder_in_commands_and_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.dots").write_bytes(b"DOTS\3")
+    register_decoder("dots", 0, dots, "dots")
+    try:
+        assert [(r.width, r.height) for r in command.run(spark, [f"file://{tmp_path}/in/x.dots"]).collect()] == [(3, 1)]
+        ingest.ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination()
+        assert spark.read.parquet(f"file://{tmp_path}/out").first().format == "dots"
     finally:
-        FORMATS.pop(0)
+        use(BUILT_IN)
 
 
 def test_listing_and_looking_up_on_any_file_system(spark, tmp_path):
@@ -173,7 +200,7 @@ def test_commands_by_mode(spark, tmp_path):
     assert sorted((r.format, r.width, r.height) for r in run("-identify a b none").collect()) == [("pnm", 2, 2), ("pnm", 8, 6)]
     assert sorted(r.name for r in run("-list").collect()) == ["a.ppm", "b.ppm"]
     assert [tuple(r) for r in run("-path").collect()] == [("path", 0, here[0]), ("extension", 0, ".ppm")]
-    assert run("-supported").count() == len(FORMATS) and run("-help").count() == 61 and run("-version").count() == 1
+    assert run("-supported").count() == len(BUILT_IN) and run("-help").count() == 61 and run("-version").count() == 1
     root = unpack(run("-default -geometry 9x5").drop("position").first().asDict(True))
     assert root.pixels.shape == (5, 9) and (root.pixels == R.tile(R.root_weave(), 9, 5).pixels).all()
     # the second is laid over the first, the third is by itself and shown twice as large
