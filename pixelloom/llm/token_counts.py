@@ -44,7 +44,7 @@ from .common import kept, utf8
 #: Pieces of more bytes than two machine words hold are looked up by their bytes.
 LONGEST = 16
 SHIFT = 9
-#: A level of fewer nodes than this costs more in arrays than node by node.
+#: A level of fewer words than this costs more in arrays than word by word.
 FEW = 1000
 CACHE = 400_000
 BLOCK_BYTES = 8 << 20
@@ -182,7 +182,7 @@ def trie_counts(words: list[bytes], model: Unigram) -> list[int]:
     keep = lengths > 0
     alive, node = alive[keep], node[keep]
     while len(alive):
-        if node[-1] < FEW:  # the words are in order, so the last has the highest node
+        if len(alive) < FEW:
             counts[alive] = walked([words[order[i]] for i in alive.tolist()], model)
             break
         byte = data[first[alive] + depth].astype(np.int64)
