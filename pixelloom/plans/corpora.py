@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SIDE = 8
+#: Where each channel begins in an embedding.
+SHIFTS = {"r": 0, "g": 21, "b": 42}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each 64-number embedding as an 8 x 8 true colour image."""
     v = F.col("embedding")
     whole = read(spark, sf_dir, "embeddings").filter(F.size(v) == SIDE * SIDE).select(F.col("vec_id").alias("image_id"), v, F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))).alias("i"))
-    channel = {c: quantised(F.get(v, ((F.col("i") + shift) % (SIDE * SIDE)).cast("int"))) for c, shift in (("r", 0), ("g", 21), ("b", 42))}
+    channel = {c: quantised(F.get(v, ((F.col("i") + shift) % (SIDE * SIDE)).cast("int"))) for c, shift in SHIFTS.items()}
     return whole.select("image_id", (F.col("i") % SIDE).cast("int").alias("x"), F.floor(F.col("i") / SIDE).cast("int").alias("y"), *[c.alias(n) for n, c in channel.items()])
 
 

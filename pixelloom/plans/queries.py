@@ -14,9 +14,8 @@ from ..image import unpack
 from ..operators import pixels as P
 from ..operators import raster as R
 from ..sources import encode, files, stream
-from . import corpora, options, paths
+from . import corpora, formats, options, paths
 from .corpora import SIDE, read
-from .known import KNOWN_FILES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -271,11 +270,18 @@ def decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return files.explode_pixels(files.decode(encoded(spark, d)))
 
 
-def decode_known(spark: SparkSession, d: str) -> DataFrame:
-    """Small files of every format and wrapper, made by hand, as pixels."""
-    rows = [(k, name, bytes.fromhex(content)) for k, (name, content) in enumerate(KNOWN_FILES)]
-    known = spark.createDataFrame(rows, "image_id bigint, path string, content binary")
-    return files.explode_pixels(files.decode(known)).select(F.col("image_id").cast("int").alias("file"), "x", "y", "r", "g", "b")
+def decode_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the other fifteen formats, decoded: what each is, its indices or colours as a digest, and its palette as a sum."""
+    found = files.decode(formats.files_of(spark, d))
+    part = F.transform("palette", lambda c, k: (c["red"] + 3 * c["green"] + 7 * c["blue"]).cast("long") * (k + 1))
+    total = F.coalesce(F.aggregate(part, F.lit(0).cast("long"), lambda n, v: n + v), F.lit(0).cast("long"))
+    return found.select("image_id", "path", "format", "status", "type", "width", "height", "depth", F.md5(F.lower(F.hex("data"))).alias("data_md5"), total.alias("palette_sum"))
+
+
+def identify_formats(spark: SparkSession, d: str) -> DataFrame:
+    """The same files by their headers."""
+    found = files.identify(formats.files_of(spark, d).select("path", "content"))
+    return found.select("path", "format", "status", "depth", "told", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("width", "height", "colors")])
 
 
 def identify(spark: SparkSession, d: str) -> DataFrame:
@@ -357,7 +363,8 @@ def queries() -> dict[str, Query]:
         "pipeline_full": pipeline_full,
         "pipeline_packed": job_packed,
         "decode_roundtrip": decode_roundtrip,
-        "decode_known": decode_known,
+        "decode_formats": decode_formats,
+        "identify_formats": identify_formats,
         "identify": identify,
         "trailing_options": trailing_options,
         "smooth_packed": exploded(R.smooth),

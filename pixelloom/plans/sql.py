@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from . import known_tables
-from .known_sql import KNOWN_SQL
 
 CELLS = [int(c, 16) for c in known_tables.CELLS.split()]
 FLAGS = known_tables.FLAGS.split()
@@ -32,6 +31,60 @@ def over_c1(select: str, more: str = "") -> str:
     return C1 + more + select
 
 
+def every(value: str) -> str:
+    """A number below 256 for each pixel, in order, as digits."""
+    return f"string_agg(lpad(lower(hex({value})), 2, '0'), '' ORDER BY y, x)"
+
+
+def ramp(n: int, red: str, green: str, blue: str) -> str:
+    """A palette's sum, by formulas of its numbers."""
+    return f"(SELECT sum(({red} + 3 * ({green}) + 7 * ({blue})) * (k + 1))::BIGINT FROM range({n}) t(k))"
+
+
+RGB_DIGITS = "string_agg(lpad(lower(hex(r)), 2, '0') || lpad(lower(hex(g)), 2, '0') || lpad(lower(hex(b)), 2, '0'), '' ORDER BY y, x)"
+DARK = every("(r < 128)::INT")
+#: Of files of each format: its name, the type, width, height, depth and palette's sum of what they show, and its bytes as digits.
+SHOWN = (
+    ("fbm", "TRUE", 8, 8, 24, "0", RGB_DIGITS),
+    ("cmu", "BITMAP", 8, 8, 1, "720885", DARK),
+    ("faces", "RGB", 8, 8, 8, ramp(256, *["k * 256"] * 3), every("r")),
+    ("gif", "RGB", 8, 8, 7, ramp(128, "k * 512", "(255 - k) * 256", "k * 256"), every("r // 2")),
+    ("jpeg", "RGB", 8, 8, 8, ramp(256, *["k * 257"] * 3), "repeat(lpad(lower(hex(greatest(any_value(r) FILTER (x = 0 AND y = 0), 1))), 2, '0'), 64)"),
+    ("rle", "TRUE", 8, 8, 24, "0", RGB_DIGITS),
+    ("pcd", "TRUE", 192, 128, 24, "0", "repeat(lpad(lower(hex(((any_value(r) FILTER (x = 0 AND y = 0) * 5 // 8) * floor(255.0::DOUBLE / 182 * 65536 + 0.5)::BIGINT + 32768) // 65536)), 2, '0'), 192 * 128 * 3)"),
+    ("xwd", "RGB", 8, 8, 8, ramp(256, "k * 257", "(255 - k) * 257", "k"), every("r")),
+    ("mcidas", "RGB", 8, 8, 8, ramp(255, *["k * 257"] * 3), every("least(r, 254)")),
+    ("g3", "BITMAP", 8, 8, 1, "720885", DARK),
+    ("pcx", "RGB", 8, 8, 8, ramp(256, "k * 256", "(255 - k) * 256", "7 * 256"), every("r")),
+    ("img", "BITMAP", 8, 8, 1, "720885", DARK),
+    ("mac", "BITMAP", 576, 720, 1, "720885", "repeat(" + " || ".join(f"repeat(({DARK})[{16 * y + 1}:{16 * y + 16}], 72)" for y in range(8)) + ", 90)"),
+    ("xpm", "RGB", 8, 8, 2, str((0x1010 + 3 * 0x2020 + 7 * 0x3030) + 65535 * 2 + 3 * 65535 * 3), every("r // 64")),
+    ("xbm", "BITMAP", 8, 8, 1, "720885", DARK),
+)
+HEADS = {
+    "fbm": (0, " is a 8x8 FBM image, depth 24 with 0 colors"), "cmu": (2, " is a 8x8 1 plane CMU WM raster"), "faces": (256, " is a  8x8 8-bit grayscale Faces Project image"),
+    "gif": (128, " is a 8x8 GIF87a image with 128 colors"), "jpeg": (256, " is a 8x8 JPEG image, color space Grayscale, 1 comps., Huffman coding"), "rle": (0, " is a 8x8 24 bit color RLE image with no map"),
+    "pcd": (0, " is a 192x128 Photograph on CD Image"), "xwd": (256, " is a 8x8 XWD image in 8 bit ZPixmap MSB header,  MSB byte order"), "mcidas": (255, " is a McIDAS area, GOES-1 Visible 0 0 (0, 0) (0, 0)"),
+    "g3": (2, " is a G3 FAX image."), "pcx": (256, " is a 8x8 PC Paintbrush image"), "img": (2, " is a 8x8 GEM Bit Image"), "mac": (2, " is a 576x720 MacPaint image"),
+    "xpm": (4, " is a 8x8 X Pixmap image (Version 3) with 4 colors titled 'image'"), "xbm": (2, " is a 8x8 X11 bitmap file titled 'image'"),
+}
+
+
+def shown_files() -> str:
+    rows = ", ".join(f"({k}, '{n}', '{t}', {w}, {h}, {d})" for k, (n, t, w, h, d, _, _) in enumerate(SHOWN))
+    sums = " ".join(f"WHEN {k} THEN {p}" for k, (*_, p, _) in enumerate(SHOWN))
+    # each format's images are gathered by themselves, so no image is shown in all of them
+    data = " UNION ALL ".join(f"SELECT image_id, {digits} AS digits FROM c1 WHERE image_id % {len(SHOWN)} = {k} GROUP BY image_id" for k, (*_, digits) in enumerate(SHOWN))
+    return f"""SELECT image_id, image_id || '.' || format AS path, format, 'ok' AS status, type, width, height, depth, md5(digits) AS data_md5, (CASE k {sums} END)::BIGINT AS palette_sum
+      FROM ({data}) JOIN (VALUES {rows}) f(k, format, type, width, height, depth) ON k = image_id % {len(SHOWN)}"""
+
+
+def identified_files() -> str:
+    rows = ", ".join(f"({k}, '{n}', {'0, 0' if n == 'g3' else f'{w}, {h}'}, {d}, {HEADS[n][0]}, '{HEADS[n][1].replace(chr(39), chr(39) * 2)}')" for k, (n, _, w, h, d, _, _) in enumerate(SHOWN))
+    return f"""SELECT image_id || '.' || format AS path, format, 'ok' AS status, width, height, depth, colors, image_id || '.' || format || said AS told
+      FROM im JOIN (VALUES {rows}) f(k, format, width, height, depth, colors, said) ON k = image_id % {len(SHOWN)}"""
+
+
 def gamma(v: str, exponent: str) -> str:
     return f"floor(0.5 + 255 * pow({v} / 255.0::DOUBLE, {exponent}))::INT"
 
@@ -193,7 +246,8 @@ BLACK_BITS = "SELECT image_id, x, y, (1 - idx) * 255 AS r, (1 - idx) * 255 AS g,
 ORACLE_SQL |= {
     "pipeline_packed": ORACLE_SQL["pipeline_full"],
     "decode_roundtrip": ORACLE_SQL["pixels"],
-    "decode_known": KNOWN_SQL,
+    "decode_formats": over_c1(shown_files()),
+    "identify_formats": over_c1(identified_files()),
     "identify": over_c1("SELECT path, form AS format, 'ok' AS status, 8 AS width, 8 AS height, 24 AS depth, 0 AS colors, path || ' is a 8x8 ' || description || ' image with depth 24' AS description FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, ['bmp', 'png', 'pnm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS form, ['BMP', 'PNG', 'portable bitmap, graymap or pixmap', 'Sun raster', 'Targa'][(image_id % 5 + 1)::INT] AS description FROM im)"),
     "trailing_options": over_c1("SELECT image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, CASE WHEN image_id % 7 = 1 THEN '-rotate 90 -bright ' || (image_id % 50 + 50) END AS options FROM im"),
     "command_words": over_c1("SELECT path, CASE WHEN image_id % 7 = 1 THEN '-rotate 90 -bright ' || (image_id % 50 + 50) || ' ' ELSE '' END || path AS words FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path FROM im)"),

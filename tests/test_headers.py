@@ -7,11 +7,11 @@ import struct
 import numpy as np
 import pytest
 from pixelloom.image import true
-from pixelloom.plans.known import KNOWN_FILES
 from pixelloom.sources import files, headers
 from pixelloom.sources.encode import ENCODERS
 from pixelloom.sources.registry import BUILT_IN, Context, decoded, told_of
 
+from .known_files import KNOWN_FILES
 from .test_decoders import compressed
 
 KNOWN = [(name, bytes.fromhex(content)) for name, content in KNOWN_FILES]

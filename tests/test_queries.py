@@ -7,6 +7,9 @@ import pytest
 import __spark_entry__ as entry
 from pixelloom.plans.queries import queries
 from pixelloom.plans.sql import ORACLE_SQL
+from pixelloom.sources import files
+from tests.known_files import KNOWN_FILES
+from tests.known_sql import KNOWN_SQL
 from tests.test_raster import level, slow_diffused, slow_dither, slow_reduce
 
 SOURCE = "/root/testdata/sf0.001"
@@ -40,6 +43,13 @@ def test_query_without_sql_runs(spark, small, name):
     assert queries()[name](spark, small[0]).count() > 0
 
 
+def test_known_files_of_every_format(spark, small):
+    """Small files of every format and wrapper, encoded by hand, as pixels written by hand."""
+    given = spark.createDataFrame([(k, name, bytearray.fromhex(content)) for k, (name, content) in enumerate(KNOWN_FILES)], "image_id bigint, path string, content binary")
+    got = sorted((r.image_id, r.x, r.y, r.r, r.g, r.b) for r in files.explode_pixels(files.decode(given)).collect())
+    assert got == sorted(small[1].sql(KNOWN_SQL).fetchall())
+
+
 def test_sequential_queries_by_loops(spark):
     """dither_fs, reduce_n and reduce_dither over their whole table, pixel by pixel."""
     table = {}
