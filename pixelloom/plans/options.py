@@ -27,7 +27,7 @@ LOCAL = {
 }
 FLAGS = GENERAL | LOCAL
 #: Accepted and passed over: they concern windows, processes or deletion.
-WITHOUT_EFFECT = frozenset("debug dumpcore delay display fit fork goto install pixmap private quiet verbose windowid cache delete focus idelay forall".split())
+WITHOUT_EFFECT = frozenset("debug dumpcore delay display fit fork goto install pixmap private quiet verbose windowid cache delete focus idelay".split())
 #: Fields of a job that later images take over.
 PERSISTENT = ("border", "bright", "gamma", "colors", "colordither", "dither", "normalize", "smooth", "xpm", "xzoom", "yzoom", "zoom_auto", "iscale_auto")
 #: Visual classes that -visual knows, by any unique beginning.
@@ -46,6 +46,7 @@ class RenderTarget:
     fullscreen: bool = False
     fillscreen: bool = False
     onroot: bool = False
+    forall: bool = False  # fit all images, not the first alone
     mode: str = "view"  # or identify, list, path, supported, version, default
     visual: str | None = None
 
@@ -158,7 +159,7 @@ def local_change(job: Job, flag: str, word: str | None) -> Job | None:
 
 
 def general_change(target: RenderTarget, flag: str, word: str | None) -> RenderTarget | None:
-    if flag in ("fullscreen", "fillscreen", "onroot"):
+    if flag in ("fullscreen", "fillscreen", "onroot", "forall"):
         return replace(target, **{flag: True})
     if flag in ("identify", "list", "path", "supported", "version", "help", "default", "view"):
         return replace(target, mode=flag)

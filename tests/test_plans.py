@@ -9,6 +9,7 @@ from pixelloom.functions.colour import parse_colours, read_names
 from pixelloom.image import true, unpack
 from pixelloom.operators import raster as R
 from pixelloom.plans import command, paths
+from pixelloom.plans import jobs as J
 from pixelloom.plans import options as O
 from pixelloom.sources import encode, files
 from pixelloom.sources.registry import BUILT_IN, Format, decoded, register_decoder, registry, use
@@ -208,3 +209,33 @@ def test_commands_by_mode(spark, tmp_path):
     assert len(got) == 2
     assert (got[0].pixels == R.merge(R.rotate(a, 90), b, 1, 1, 1.0).pixels).all() and (got[1].pixels == R.zoom(b, 200, 200).pixels).all()
     assert run("none").count() == 0
+
+
+def test_only_images_of_one_chain_meet(spark, tmp_path):
+    """Eight names, some merged, one that can't be decoded: each chain is a group of its own, as if all were laid out in a row."""
+    rng = np.random.default_rng(8)
+    rasters = {n: true(rng.integers(0, 256, (4 + k, 5, 3)), gamma=1.0) for k, n in enumerate("abcdef")}
+    for n, r in rasters.items():
+        (tmp_path / f"{n}.ppm").write_bytes(encode.ENCODERS["ppm"](r))
+    (tmp_path / "bad.ppm").write_bytes(b"P6 9")
+    words = "-dispgamma 1.0 -merge a b -merge -at 1,2 c bad -merge -center d e -merge f -rotate 90 a".split()
+    parsed = O.parse(words)
+    here = [f"file://{tmp_path}"]
+    found = command.run(spark, words, here, [".ppm"])
+    got = {r["position"]: unpack(r) for r in (x.asDict(True) for x in found.collect())}
+    told = [(rasters[j.name].but(title=f"{j.name}.ppm"), j) for j in parsed.jobs if j.name in rasters]
+    want = [J.fit_to_target(r, parsed.target) for r in J.composed(told, parsed.target)]
+    assert sorted(got) == list(range(len(want))) == [0, 1, 2, 3]
+    for k, r in enumerate(want):
+        assert (got[k].pixels == r.pixels).all() and got[k].title == r.title
+    images = command.processed(command.named_files(spark, parsed, here, [".ppm"]), parsed)
+    assert sorted(tuple(r) for r in command.chains(images).collect()) == [(0, 0), (1, 1), (2, 1), (4, 1), (5, 2), (6, 2), (7, 3)]
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString().split("AppendColumns")[0].split("BroadcastExchange")[0]
+
+
+def test_all_images_are_fitted_only_if_asked(spark, tmp_path):
+    for n in "ab":
+        (tmp_path / f"{n}.ppm").write_bytes(encode.ENCODERS["ppm"](true(np.zeros((4, 4, 3)), gamma=1.0)))
+    sizes = lambda words: [(r.width, r.height) for r in command.run(spark, words.split(), [f"file://{tmp_path}"], [".ppm"]).orderBy("position").collect()]
+    assert sizes("-fillscreen -geometry 12x8 a b") == [(12, 8), (4, 4)]
+    assert sizes("-fillscreen -forall -geometry 12x8 a b") == [(12, 8), (12, 8)]
