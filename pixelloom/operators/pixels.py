@@ -97,13 +97,17 @@ def normalize(pixels: DataFrame) -> DataFrame:
 
 
 def nearest_colour(pixels: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
-    """The index of the closest colour of a short palette; of equal ones the last."""
-    entries = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("i", *COLOURS), (i, *p), strict=True)]) for i, p in enumerate(palette)])
+    """The index of the closest colour of a short palette; of equal ones the last. Long palettes and tables of them: ``large.nearest_entry``.
 
-    def distance(p: Column) -> Column:
-        return F.struct(sum(((p[c] - F.col(c)) * (p[c] - F.col(c)) for c in COLOURS), F.lit(0)).alias("d"), (-p["i"]).alias("i"))
-
-    return pixels.select(*PLACE, (-F.array_min(F.transform(entries, distance))["i"]).alias("idx"))
+    Distance and index are one number, so the least of plain numbers says both.
+    """
+    n = len(palette)
+    keys = []
+    for i, colour in enumerate(palette):
+        parts = [(F.col(c) - v) * (F.col(c) - v) for c, v in zip(COLOURS, colour, strict=True)]
+        keys.append((parts[0] + parts[1] + parts[2]).cast("long") * n + (n - 1 - i))
+    least = F.least(*keys) if n > 1 else keys[0]
+    return pixels.select(*PLACE, (n - 1 - least % n).cast("int").alias("idx"))
 
 
 # projections: place

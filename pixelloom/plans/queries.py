@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import colour as C
 from ..image import unpack
+from ..operators import large
 from ..operators import pixels as P
 from ..operators import raster as R
 from ..sources import encode, files, stream
@@ -299,6 +300,20 @@ def job_packed(spark: SparkSession, d: str) -> DataFrame:
     return files.explode_pixels(files.process(packed(spark, d), job))
 
 
+def reduced(spark: SparkSession, d: str) -> DataFrame:
+    """Reduced to 16 colours by a table of cells: indices looked up in their palettes."""
+    return P.expand_true(*large.reduce(corpora.pixels(spark, d), 16))
+
+
+def reduced_in_strips(spark: SparkSession, d: str) -> DataFrame:
+    return P.expand_true(*large.reduce_dithered(corpora.pixels(spark, d), 16))
+
+
+def nearest_of_table(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of each image's own 32 colours."""
+    return large.nearest_entry(corpora.pixels(spark, d), corpora.palettes(spark, d))
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "pixels": corpora.pixels,
@@ -367,6 +382,11 @@ def queries() -> dict[str, Query]:
         "identify_formats": identify_formats,
         "identify": identify,
         "trailing_options": trailing_options,
+        "smooth_tiled": on_pixels(lambda p: large.smooth_tiled(p, 2, 3)),
+        "dither_strips": on_pixels(lambda p: P.expand_bitmap(large.dither(p))),
+        "nearest_palette": nearest_of_table,
+        "reduce_relations": reduced,
+        "reduce_strips": reduced_in_strips,
         "smooth_packed": exploded(R.smooth),
         "halftone_packed": exploded(R.halftone),
         "zoom_packed": exploded(lambda r: R.zoom(r, 150, 150)),

@@ -246,6 +246,9 @@ BLACK_BITS = "SELECT image_id, x, y, (1 - idx) * 255 AS r, (1 - idx) * 255 AS g,
 ORACLE_SQL |= {
     "pipeline_packed": ORACLE_SQL["pipeline_full"],
     "decode_roundtrip": ORACLE_SQL["pixels"],
+    "smooth_tiled": over_c1(smoothed("once"), f", once AS ({smoothed('c1')})"),
+    "nearest_palette": over_c1("""SELECT c.image_id, x, y, max_by(idx, idx - 65536::BIGINT * ((r - red // 256) * (r - red // 256) + (g - green // 256) * (g - green // 256) + (b - blue // 256) * (b - blue // 256))) AS idx
+      FROM c1 c JOIN pal p ON c.image_id = p.image_id GROUP BY c.image_id, x, y"""),
     "decode_formats": over_c1(shown_files()),
     "identify_formats": over_c1(identified_files()),
     "identify": over_c1("SELECT path, form AS format, 'ok' AS status, 8 AS width, 8 AS height, 24 AS depth, 0 AS colors, path || ' is a 8x8 ' || description || ' image with depth 24' AS description FROM (SELECT image_id, image_id || '.' || ['bmp', 'png', 'ppm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS path, ['bmp', 'png', 'pnm', 'sun', 'tga'][(image_id % 5 + 1)::INT] AS form, ['BMP', 'PNG', 'portable bitmap, graymap or pixmap', 'Sun raster', 'Targa'][(image_id % 5 + 1)::INT] AS description FROM im)"),

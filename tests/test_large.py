@@ -1,0 +1,124 @@
+"""Images larger than a task, palettes of any length, reductions over tables: as on one raster."""
+
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pixelloom.image import true
+from pixelloom.operators import large as L
+from pixelloom.operators import pixels as P
+from pixelloom.operators import raster as R
+
+PIXEL = "image_id bigint, x int, y int, r int, g int, b int"
+
+
+def exploded(spark, rasters):
+    rows = [(k, x, y, *map(int, p[y, x])) for k, p in rasters.items() for y in range(p.shape[0]) for x in range(p.shape[1])]
+    np.random.default_rng(0).shuffle(rows)
+    return spark.createDataFrame([tuple(map(int, r)) for r in rows], PIXEL)
+
+
+@pytest.fixture(scope="module")
+def rasters():
+    rng = np.random.default_rng(3)
+    sizes = {1: (1, 1), 2: (1, 30), 3: (40, 1), 4: (17, 23), 5: (16, 16), 6: (33, 8)}
+    return {k: rng.integers(0, 256, (*s, 3)) for k, s in sizes.items()}
+
+
+def as_rasters(rows, like):
+    out = {k: np.full(p.shape, -1) for k, p in like.items()}
+    for r in rows:
+        out[r.image_id][r.y, r.x] = (r.r, r.g, r.b)
+    return out
+
+
+@pytest.mark.parametrize("passes, side", [(1, 1), (1, 8), (2, 4), (3, 8), (3, 256), (5, 5)])
+def test_smooth_by_tiles(spark, rasters, passes, side):
+    rows = L.smooth_tiled(exploded(spark, rasters), passes, side).collect()
+    assert len(rows) == sum(p.shape[0] * p.shape[1] for p in rasters.values())
+    got = as_rasters(rows, rasters)
+    for k, p in rasters.items():
+        assert (got[k] == R.smooth(true(p, gamma=1.0), passes).pixels).all()
+
+
+def test_a_tile_holds_its_edges_and_no_more(spark, rasters):
+    """No group has more than its side and what is looked at beside it, and only edges are sent twice."""
+    wide = L.in_tiles(exploded(spark, {1: np.zeros((64, 64, 3), int)}), 16, 2)
+    most = wide.groupBy("tile_x", "tile_y").count().agg(F.max("count")).first()[0]
+    assert most <= 20 * 20 and wide.count() <= 64 * 64 * (20 / 16) ** 2
+    plan = L.smooth_tiled(exploded(spark, rasters), 3, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    with pytest.raises(ValueError):
+        L.smooth_tiled(exploded(spark, rasters), 9, 8)
+
+
+def test_diffusion_by_strips(spark, rasters):
+    rows = L.dither(exploded(spark, rasters)).collect()
+    got = {(r.image_id, r.y, r.x): r.idx for r in rows}
+    for k, p in rasters.items():
+        want = R.dither(true(p, gamma=1.0)).pixels
+        assert all(got[k, y, x] == want[y, x] for y in range(p.shape[0]) for x in range(p.shape[1]))
+    # rows that are cut by the ends of batches are put together again
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = {(r.image_id, r.y, r.x): r.idx for r in L.dither(exploded(spark, rasters)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again == got
+
+
+@pytest.mark.parametrize("colours, gamma", [(2, 1.0), (16, 1.0), (9, 2.2)])
+def test_reduction_over_relations(spark, rasters, colours, gamma):
+    for operator, diffuse in ((L.reduce, False), (L.reduce_dithered, True)):
+        indices, palettes = operator(exploded(spark, rasters), colours, gamma)
+        got = as_rasters(P.expand_true(indices, palettes).collect(), rasters)
+        for k, p in rasters.items():
+            want = R.reduce(true(p, gamma=gamma), colours, diffuse)
+            assert (got[k] == want.colours16() >> 8).all(), (k, diffuse)
+
+
+def slow_nearest(pixel, palette):
+    return min(((sum((a - b) ** 2 for a, b in zip(pixel, c, strict=True)), -i) for i, c in palette))[1] * -1
+
+
+def test_nearest_entry_with_ties(spark, rasters):
+    """Palettes of their own, with repeated colours, gaps in their numbers, one entry, and none."""
+    rng = np.random.default_rng(5)
+    palettes = {1: [(0, (9, 9, 9))], 2: [(k, tuple(rng.integers(0, 4, 3) * 85)) for k in range(60)], 3: [(5, (0, 0, 0)), (2, (0, 0, 0)), (9, (2, 0, 0))], 4: [(3 * k, tuple(rng.integers(0, 256, 3))) for k in range(300)], 5: [(k, (k, k, k)) for k in range(256)]}
+    rows = [(k, int(i), *(int(v) * 257 for v in c)) for k, p in palettes.items() for i, c in p]
+    table = spark.createDataFrame(rows, "image_id bigint, idx int, red int, green int, blue int")
+    found = L.nearest_entry(exploded(spark, rasters), table)
+    got = {(r.image_id, r.y, r.x): r.idx for r in found.collect()}
+    want = {(k, y, x): slow_nearest(rasters[k][y, x].tolist(), [(i, [int(v) for v in c]) for i, c in p]) for k, p in palettes.items() for y in range(rasters[k].shape[0]) for x in range(rasters[k].shape[1])}
+    assert got == want  # images without a palette have no index
+
+
+def test_joins_of_many_cells(spark, rasters, monkeypatch):
+    table = spark.createDataFrame([(k, i, i * 2000, 65535 - i * 2000, i * 500) for k in rasters for i in range(32)], "image_id bigint, idx int, red int, green int, blue int")
+    few = sorted(map(tuple, L.nearest_entry(exploded(spark, rasters), table).collect()))
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, L.nearest_entry(exploded(spark, rasters), table).collect())) == few
+
+
+def test_long_palettes_cost_what_their_cells_hold(spark):
+    """A cell keeps few of 4096 entries, so a pixel doesn't look at all of them."""
+    rng = np.random.default_rng(7)
+    entries = [(1, k, *map(int, rng.integers(0, 65536, 3))) for k in range(4096)]
+    table = spark.createDataFrame(entries, "image_id bigint, idx int, red int, green int, blue int")
+    pixels = spark.range(200_000).select(F.lit(1).cast("bigint").alias("image_id"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), *[F.pmod(F.xxhash64("id", F.lit(c)), F.lit(256)).cast("int").alias(c) for c in "rgb"])
+    cells = L.palette_cells(pixels.select("image_id", L.cell_of().alias("cell")).distinct(), table)
+    assert cells.count() == 512 and cells.agg(F.avg(F.size("entries"))).first()[0] < 4096 / 20
+    begun = time.monotonic()
+    some = L.nearest_entry(pixels, table).filter("x % 997 = 0").collect()
+    assert time.monotonic() - begun < 60
+    colours = {r.x: (r.r, r.g, r.b) for r in pixels.filter("x % 997 = 0").collect()}
+    palette = [(i, (r >> 8, g >> 8, b >> 8)) for _, i, r, g, b in entries]
+    assert all(r.idx == slow_nearest(colours[r.x], palette) for r in some) and len(some) == len(colours)
+
+
+def test_short_palettes_by_one_number(spark, rasters):
+    for palette in ([(0, 0, 0)], [(0, 0, 0), (0, 0, 0), (255, 255, 255)], [(int(a), int(b), int(c)) for a, b, c in np.random.default_rng(2).integers(0, 256, (40, 3))]):
+        rows = P.nearest_colour(exploded(spark, {4: rasters[4]}), palette).collect()
+        assert all(r.idx == slow_nearest(rasters[4][r.y, r.x].tolist(), list(enumerate(palette))) for r in rows)

@@ -65,6 +65,8 @@ def test_sequential_queries_by_loops(spark):
         colour = [tuple(v >> 8 for v in c) for c in shown]
         want["reduce_n"][k] = [[colour[i] for i in row] for row in place]
         want["reduce_dither"][k] = [[colour[i] for i in row] for row in slow_diffused(shown8, boxes, shown)]
+    # the same for images that are never packed
+    want |= {"dither_strips": want["dither_fs"], "reduce_relations": want["reduce_n"], "reduce_strips": want["reduce_dither"]}
     assert len(table) > 100
     for name, images in want.items():
         got = queries()[name](spark, SOURCE).collect()
