@@ -33,38 +33,87 @@ NAMES = {
 }
 
 
-#: The first of the four numbered shades of a colour.
-SHADES = {
-    "snow": (255, 250, 250), "seashell": (255, 245, 238), "antiquewhite": (255, 239, 219), "bisque": (255, 228, 196), "peachpuff": (255, 218, 185), "navajowhite": (255, 222, 173),
-    "lemonchiffon": (255, 250, 205), "cornsilk": (255, 248, 220), "ivory": (255, 255, 240), "honeydew": (240, 255, 240), "lavenderblush": (255, 240, 245), "mistyrose": (255, 228, 225),
-    "azure": (240, 255, 255), "slateblue": (131, 111, 255), "royalblue": (72, 118, 255), "blue": (0, 0, 255), "dodgerblue": (30, 144, 255), "steelblue": (99, 184, 255),
-    "deepskyblue": (0, 191, 255), "skyblue": (135, 206, 255), "lightskyblue": (176, 226, 255), "slategray": (198, 226, 255), "lightsteelblue": (202, 225, 255), "lightblue": (191, 239, 255),
-    "lightcyan": (224, 255, 255), "paleturquoise": (187, 255, 255), "cadetblue": (152, 245, 255), "turquoise": (0, 245, 255), "cyan": (0, 255, 255), "darkslategray": (151, 255, 255),
-    "aquamarine": (127, 255, 212), "darkseagreen": (193, 255, 193), "seagreen": (84, 255, 159), "palegreen": (154, 255, 154), "springgreen": (0, 255, 127), "green": (0, 255, 0),
-    "chartreuse": (127, 255, 0), "olivedrab": (192, 255, 62), "darkolivegreen": (202, 255, 112), "khaki": (255, 246, 143), "lightgoldenrod": (255, 236, 139), "lightyellow": (255, 255, 224),
-    "yellow": (255, 255, 0), "gold": (255, 215, 0), "goldenrod": (255, 193, 37), "darkgoldenrod": (255, 185, 15), "rosybrown": (255, 193, 193), "indianred": (255, 106, 106),
-    "sienna": (255, 130, 71), "burlywood": (255, 211, 155), "wheat": (255, 231, 186), "tan": (255, 165, 79), "chocolate": (255, 127, 36), "firebrick": (255, 48, 48),
-    "brown": (255, 64, 64), "salmon": (255, 140, 105), "lightsalmon": (255, 160, 122), "orange": (255, 165, 0), "darkorange": (255, 127, 0), "coral": (255, 114, 86),
-    "tomato": (255, 99, 71), "orangered": (255, 69, 0), "red": (255, 0, 0), "deeppink": (255, 20, 147), "hotpink": (255, 110, 180), "pink": (255, 181, 197),
-    "lightpink": (255, 174, 185), "palevioletred": (255, 130, 171), "maroon": (255, 52, 179), "violetred": (255, 62, 150), "magenta": (255, 0, 255), "orchid": (255, 131, 250),
-    "plum": (255, 187, 255), "mediumorchid": (224, 102, 255), "darkorchid": (191, 62, 255), "purple": (155, 48, 255), "mediumpurple": (171, 130, 255), "thistle": (255, 225, 255),
-}
-#: The others are shares of it, rounded; 255 is 238, 205 and 139.
-SHARES = {2: (0.9335, 238), 3: (0.804, 205), 4: (0.5455, 139)}
-#: Shades that the shares don't give.
-ODD_SHADES = {
-    "peachpuff2": (238, 203, 173), "slateblue2": (122, 103, 238), "lightsteelblue2": (188, 210, 238), "paleturquoise2": (174, 238, 238), "aquamarine2": (118, 238, 198), "springgreen2": (0, 238, 118),
-    "chartreuse2": (118, 238, 0), "darkolivegreen2": (188, 238, 104), "goldenrod2": (238, 180, 34), "tan2": (238, 154, 73), "chocolate2": (238, 118, 33), "firebrick2": (238, 44, 44),
-    "brown2": (238, 59, 59), "salmon2": (238, 130, 98), "darkorange2": (238, 118, 0), "deeppink2": (238, 18, 137), "hotpink2": (238, 106, 167), "palevioletred2": (238, 121, 159),
-    "maroon2": (238, 48, 167), "plum2": (238, 174, 238), "purple2": (145, 44, 238), "mediumpurple2": (159, 121, 238), "navajowhite3": (205, 179, 139), "cornsilk3": (205, 200, 177),
-    "steelblue3": (79, 148, 205), "skyblue3": (108, 166, 205), "lightskyblue3": (141, 182, 205), "seagreen3": (67, 205, 128), "goldenrod3": (205, 155, 29), "sienna3": (205, 104, 57),
-    "tan3": (205, 133, 63), "firebrick3": (205, 38, 38), "salmon3": (205, 112, 84), "coral3": (205, 91, 69), "tomato3": (205, 79, 57), "hotpink3": (205, 96, 144),
-    "pink3": (205, 145, 158), "palevioletred3": (205, 104, 137), "maroon3": (205, 41, 144), "violetred3": (205, 50, 120), "purple3": (125, 38, 205), "mediumpurple3": (137, 104, 205),
-    "snow4": (139, 137, 137), "antiquewhite4": (139, 131, 120), "bisque4": (139, 125, 107), "lemonchiffon4": (139, 137, 112), "cornsilk4": (139, 136, 120), "mistyrose4": (139, 125, 123),
-    "slateblue4": (71, 60, 139), "dodgerblue4": (16, 78, 139), "lightblue4": (104, 131, 139), "sienna4": (139, 71, 38), "wheat4": (139, 126, 102), "chocolate4": (139, 69, 19),
-    "lightsalmon4": (139, 87, 66), "tomato4": (139, 54, 38), "orangered4": (139, 37, 0), "deeppink4": (139, 10, 80), "hotpink4": (139, 58, 98), "pink4": (139, 99, 108),
-    "orchid4": (139, 71, 137), "mediumorchid4": (122, 55, 139),
-}
+#: The numbered shades of a colour, 1 to 4.
+SHADES = """
+snow fffafa eee9e9 cdc9c9 8b8989
+seashell fff5ee eee5de cdc5bf 8b8682
+antiquewhite ffefdb eedfcc cdc0b0 8b8378
+bisque ffe4c4 eed5b7 cdb79e 8b7d6b
+peachpuff ffdab9 eecbad cdaf95 8b7765
+navajowhite ffdead eecfa1 cdb38b 8b795e
+lemonchiffon fffacd eee9bf cdc9a5 8b8970
+cornsilk fff8dc eee8cd cdc8b1 8b8878
+ivory fffff0 eeeee0 cdcdc1 8b8b83
+honeydew f0fff0 e0eee0 c1cdc1 838b83
+lavenderblush fff0f5 eee0e5 cdc1c5 8b8386
+mistyrose ffe4e1 eed5d2 cdb7b5 8b7d7b
+azure f0ffff e0eeee c1cdcd 838b8b
+slateblue 836fff 7a67ee 6959cd 473c8b
+royalblue 4876ff 436eee 3a5fcd 27408b
+blue 0000ff 0000ee 0000cd 00008b
+dodgerblue 1e90ff 1c86ee 1874cd 104e8b
+steelblue 63b8ff 5cacee 4f94cd 36648b
+deepskyblue 00bfff 00b2ee 009acd 00688b
+skyblue 87ceff 7ec0ee 6ca6cd 4a708b
+lightskyblue b0e2ff a4d3ee 8db6cd 607b8b
+slategray c6e2ff b9d3ee 9fb6cd 6c7b8b
+lightsteelblue cae1ff bcd2ee a2b5cd 6e7b8b
+lightblue bfefff b2dfee 9ac0cd 68838b
+lightcyan e0ffff d1eeee b4cdcd 7a8b8b
+paleturquoise bbffff aeeeee 96cdcd 668b8b
+cadetblue 98f5ff 8ee5ee 7ac5cd 53868b
+turquoise 00f5ff 00e5ee 00c5cd 00868b
+cyan 00ffff 00eeee 00cdcd 008b8b
+darkslategray 97ffff 8deeee 79cdcd 528b8b
+aquamarine 7fffd4 76eec6 66cdaa 458b74
+darkseagreen c1ffc1 b4eeb4 9bcd9b 698b69
+seagreen 54ff9f 4eee94 43cd80 2e8b57
+palegreen 9aff9a 90ee90 7ccd7c 548b54
+springgreen 00ff7f 00ee76 00cd66 008b45
+green 00ff00 00ee00 00cd00 008b00
+chartreuse 7fff00 76ee00 66cd00 458b00
+olivedrab c0ff3e b3ee3a 9acd32 698b22
+darkolivegreen caff70 bcee68 a2cd5a 6e8b3d
+khaki fff68f eee685 cdc673 8b864e
+lightgoldenrod ffec8b eedc82 cdbe70 8b814c
+lightyellow ffffe0 eeeed1 cdcdb4 8b8b7a
+yellow ffff00 eeee00 cdcd00 8b8b00
+gold ffd700 eec900 cdad00 8b7500
+goldenrod ffc125 eeb422 cd9b1d 8b6914
+darkgoldenrod ffb90f eead0e cd950c 8b6508
+rosybrown ffc1c1 eeb4b4 cd9b9b 8b6969
+indianred ff6a6a ee6363 cd5555 8b3a3a
+sienna ff8247 ee7942 cd6839 8b4726
+burlywood ffd39b eec591 cdaa7d 8b7355
+wheat ffe7ba eed8ae cdba96 8b7e66
+tan ffa54f ee9a49 cd853f 8b5a2b
+chocolate ff7f24 ee7621 cd661d 8b4513
+firebrick ff3030 ee2c2c cd2626 8b1a1a
+brown ff4040 ee3b3b cd3333 8b2323
+salmon ff8c69 ee8262 cd7054 8b4c39
+lightsalmon ffa07a ee9572 cd8162 8b5742
+orange ffa500 ee9a00 cd8500 8b5a00
+darkorange ff7f00 ee7600 cd6600 8b4500
+coral ff7256 ee6a50 cd5b45 8b3e2f
+tomato ff6347 ee5c42 cd4f39 8b3626
+orangered ff4500 ee4000 cd3700 8b2500
+red ff0000 ee0000 cd0000 8b0000
+deeppink ff1493 ee1289 cd1076 8b0a50
+hotpink ff6eb4 ee6aa7 cd6090 8b3a62
+pink ffb5c5 eea9b8 cd919e 8b636c
+lightpink ffaeb9 eea2ad cd8c95 8b5f65
+palevioletred ff82ab ee799f cd6889 8b475d
+maroon ff34b3 ee30a7 cd2990 8b1c62
+violetred ff3e96 ee3a8c cd3278 8b2252
+magenta ff00ff ee00ee cd00cd 8b008b
+orchid ff83fa ee7ae9 cd69c9 8b4789
+plum ffbbff eeaeee cd96cd 8b668b
+mediumorchid e066ff d15fee b452cd 7a378b
+darkorchid bf3eff b23aee 9a32cd 68228b
+purple 9b30ff 912cee 7d26cd 551a8b
+mediumpurple ab82ff 9f79ee 8968cd 5d478b
+thistle ffe1ff eed2ee cdb5cd 8b7b8b
+"""
 
 
 def read_names(text: str) -> dict[str, tuple[int, int, int]]:
@@ -84,11 +133,9 @@ def own_names() -> dict[str, tuple[int, int, int]]:
     for percent in range(101):
         level = int(percent * 2.55 + 0.5)
         found[f"gray{percent}"] = found[f"grey{percent}"] = (level,) * 3
-    for name, first in SHADES.items():
-        found[f"{name}1"] = first
-        for k, (share, full) in SHARES.items():
-            found[f"{name}{k}"] = tuple(full if v == 255 else int(v * share + 0.5) for v in first)
-    return found | ODD_SHADES
+    for name, *shades in map(str.split, SHADES.strip().splitlines()):
+        found |= {f"{name}{k}": tuple(bytes.fromhex(code)) for k, code in enumerate(shades, 1)}
+    return found
 
 
 def colour_names(more: dict[str, tuple[int, int, int]] | None = None) -> dict[str, tuple[int, int, int]]:
