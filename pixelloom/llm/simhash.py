@@ -41,7 +41,9 @@ its KEYS smallest with chance 2 (1/9)^KEYS, 0.00003; texts of FEW shingles or le
 many that they can't share none. A shingle in the texts of more than CROWDED fingerprints
 (a common passage) is the exception: its trie is cut by bands of bits, as many as that
 one bucket asks for, and a pair is missed there with chance MISSED unless another shingle
-proposes it too. Shingles are made again for texts that have others proposed, one of each
+proposes it too. ``exact=True`` has no such chances: there every text is proposed by as many
+of its smallest shingles as any text that is alike must share one of (a fifth of them and
+one, at 0.8), and what they propose is compared in tiles. Shingles are made again for texts that have others proposed, one of each
 fingerprint, and compared group by group; a group of more than PART texts or PART_BYTES is
 dealt out in tiles. In a tile one text after another is compared with all by lists of the
 texts of each shingle, but for those of the largest component so far.
@@ -51,7 +53,8 @@ Copies are one row a fingerprint before any join. A bucket that is hot all the s
 task pairs are held in bounded runs, depth first, and pairs of nodes whose fingerprints
 are in one component already are skipped, so a cluster costs about its size and a task's
 output is a forest, not all pairs. Components are then joined by the large-star small-star
-method over fingerprints, each round saved; a star's centre, a fingerprint with many
+method over fingerprints, each round saved; rows that go are marked in a bitmap (more of
+them than it holds are joined), so texts of the others stay where they are; a star's centre, a fingerprint with many
 copies and the name of a large component are joined apart (``even_join``).
 """
 
@@ -67,6 +70,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, even_join, saved, scratch, unused, utf8
+from .line_dedup import marking
 from .token_counts import blocks
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -404,7 +408,7 @@ def wide_words(hashes: np.ndarray) -> list[int]:
 
 def proposing(n: int, similarity: float) -> int:
     """How many of a text's n distinct shingles, the smallest by hash, propose it: KEYS, or so many that the others are too few to be alike."""
-    return sum(k / n >= similarity for k in range(1, n + 1)) if n <= few(similarity) else KEYS
+    return prefix(n, similarity) if n <= few(similarity) else KEYS
 
 
 def few(similarity: float) -> int:
@@ -412,6 +416,11 @@ def few(similarity: float) -> int:
     return int(FEW / similarity)
 
 
+def prefix(n: int, similarity: float) -> int:
+    """How many of n shingles, the first in an order that all texts share, any text that is alike must share one of."""
+    return sum(k / n >= similarity for k in range(1, n + 1))
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int, similarity: float = 0.8) -> DataFrame:
     """doc_id (and the key, if there is one), fp (a hash of all words), the words, the number of distinct shingles and the proposing ones of each row."""
     names = [f"w{k}" for k in range(WORDS)]
@@ -520,13 +529,17 @@ def alike(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nda
     return child, root[child]
 
 
-def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """way, key, fp, shingles (hashes, as bytes): groups in which pairs of the similarity are, 0 by links, 1 by shingles of texts with few."""
-    stars = connected(near)
-    groups = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
-    most = few(similarity)
-    short = F.col("n_shingles").between(1, most)
-    asked = distinct.join(groups, distinct["fp"] == groups["node"], "left").filter(F.col("root").isNotNull() | short)
+def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame | None, shingle: int, similarity: float) -> DataFrame:
+    """way, key, fp, shingles (hashes, as bytes): groups in which pairs of the similarity are, 0 by links, 1 by shingles of texts with few; without links, by shingles of all texts."""
+    if near is None:
+        most = 1 << 62
+        asked = distinct.filter("n_shingles > 0").withColumn("root", F.lit(None).cast("bigint"))
+    else:
+        stars = connected(near)
+        groups = stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
+        most = few(similarity)
+        short = F.col("n_shingles").between(1, most)
+        asked = distinct.join(groups, distinct["fp"] == groups["node"], "left").filter(F.col("root").isNotNull() | short)
     rows = texts.select(ROW, "text").join(asked.select(ROW, "fp", "root").hint("merge"), ROW)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,7 +549,7 @@ def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame, shingle: in
                 hashes = np.unique(hashes_of(text, shingle))
                 keys = [] if name["root"] is None else [(0, name["root"])]
                 if len(hashes) <= most:
-                    keys += [(1, h) for h in hashes[: proposing(len(hashes), similarity)].view(np.int64).tolist()]
+                    keys += [(1, h) for h in hashes[: prefix(len(hashes), similarity)].view(np.int64).tolist()]
                 for w, k in keys:
                     way.append(w)
                     key.append(k)
@@ -547,9 +560,9 @@ def proposed(distinct: DataFrame, texts: DataFrame, near: DataFrame, shingle: in
     return rows.select(F.struct("fp", "root").alias("name"), utf8(F.col("text")).alias("text")).mapInArrow(deal, "way int, key bigint, fp bigint, shingles binary")
 
 
-def similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int = TILE, part: int = PART) -> DataFrame:
-    """a, b: links between fingerprints whose texts have this similarity of shingles or more, enough to connect all that are proposed."""
-    near = near_links(distinct.filter(F.col("n_shingles") > FEW), similarity, tile)
+def similar_links(distinct: DataFrame, texts: DataFrame, shingle: int, similarity: float, tile: int = TILE, part: int = PART, exact: bool = False) -> DataFrame:
+    """a, b: links between fingerprints whose texts have this similarity of shingles or more, enough to connect all that are proposed; exact: all there are."""
+    near = None if exact else near_links(distinct.filter(F.col("n_shingles") > FEW), similarity, tile)
     dealt = saved(proposed(distinct, texts, near, shingle, similarity), "simhash-proposed")
     full = F.greatest(F.count("*") / part, F.sum(F.length("shingles")) / PART_BYTES)
     placed = gathered(dealt, dealt.count(), part, full)
@@ -582,7 +595,7 @@ def groups_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, l
         yield np.concatenate(prints), sets
 
 
-def printed_links(rows: DataFrame, shingle: int, budget: int, tile: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+def printed_links(rows: DataFrame, shingle: int, budget: int, tile: int, similarity: float | None, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows' fingerprints, and fp, root, component_id of each."""
     if similarity is None:
         printed = saved(fingerprints(rows, shingle), "simhash-prints")
@@ -590,36 +603,46 @@ def printed_links(rows: DataFrame, shingle: int, budget: int, tile: int, similar
         return printed, named_components(distinct, links(distinct, distinct.count(), budget, tile))
     printed = saved(wide_fingerprints(rows, shingle, similarity), "simhash-prints")
     distinct = distinct_prints(printed)
-    return printed, named_components(distinct, similar_links(distinct, rows, shingle, similarity, tile))
+    return printed, named_components(distinct, similar_links(distinct, rows, shingle, similarity, tile, exact=exact))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row of ``docs``.
 
     With a similarity, fingerprints have WORDS words, and texts are linked that have at
-    least this Jaccard similarity of distinct shingles.
+    least this Jaccard similarity of distinct shingles. exact: pairs are proposed by a
+    prefix filter instead of tries, at the cost of more to compare, and none is missed.
     """
-    printed, named = printed_links(docs if similarity is None else with_rows(docs), shingle, budget, tile, similarity)
+    printed, named = printed_links(docs if similarity is None else with_rows(docs), shingle, budget, tile, similarity, exact)
     return even_join(printed, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None) -> DataFrame:
+def near_duplicates_removed(docs: DataFrame, shingle: int = SHINGLE, budget: int = BITS, tile: int = TILE, similarity: float | None = None, exact: bool = False) -> DataFrame:
     """``docs`` with one row of each component, one whose id names it."""
     rows = with_rows(docs)
     with scratch():
-        kept = saved(kept_rows(rows, docs.columns, shingle, budget, tile, similarity), "simhash-kept", lasting=True)
-    back = rows.join(kept.hint("merge"), ROW, "left_semi")
+        kept = saved(kept_rows(rows, docs.columns, shingle, budget, tile, similarity, exact), "simhash-kept", lasting=True)
+    back = without_rows(rows, kept)
     return back.select(*[column_of(c).alias(c) for c in docs.columns])
 
 
+def without_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows whose keys are in ``kept``. Those that go are marked, so most rows are let through where they lie; only rows that are marked, or seem so, are shuffled with their texts."""
+    gone = saved(rows.select(ROW).join(kept.hint("merge"), ROW, "left_anti"), "simhash-gone")
+    mark = unused("h", rows.columns)
+    marked = marking(rows.withColumn(mark, F.xxhash64(ROW)), gone.select(F.xxhash64(ROW).alias("h")), mark, "simhash-gone-hashes").drop(mark)
+    unsure = marked.filter("marked").join(gone.hint("merge"), ROW, "left_anti")
+    return marked.filter("not marked").unionByName(unsure).drop("marked")
+
+
 def column_of(name: str) -> Column:
     """A column of the input among the saved rows."""
     return F.col(name) if name in ("doc_id", "text") else F.col("others").getField(name)
 
 
-def kept_rows(rows: DataFrame, columns: list[str], shingle: int, budget: int, tile: int, similarity: float | None) -> DataFrame:
+def kept_rows(rows: DataFrame, columns: list[str], shingle: int, budget: int, tile: int, similarity: float | None, exact: bool = False) -> DataFrame:
     """The keys of the rows that stay."""
-    printed, named = printed_links(rows, shingle, budget, tile, similarity)
+    printed, named = printed_links(rows, shingle, budget, tile, similarity, exact)
     found = even_join(printed.select("doc_id", ROW, "fp"), named, "fp")
     stays = saved(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(ROW, "root"), "simhash-stays")
     one = saved(stays.groupBy("root").agg(F.min(ROW).alias(ROW), F.count("*").alias("n")), "simhash-counts")

@@ -210,3 +210,42 @@ def test_large_groups_are_compared_in_tiles(spark):
     links = S.similar_links(distinct, docs, 5, 0.8, part=7)
     root = {r.fp: r.component_id for r in S.named_components(distinct, links).collect()}
     assert set(root.values()) == set(jaccard_components(texts))
+
+
+def test_exact_links_miss_none(spark, monkeypatch):
+    """Texts of every length that share a common passage, near 0.8 on both sides: with a prefix filter all links are there."""
+    monkeypatch.setattr(S, "CROWDED", 4)
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(3000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, texts = draw(30), ["", " "]
+    for _ in range(25):
+        base = draw(rng.choice([3, 10, 40, 90, 150])) + passage
+        n = len(base) - 4
+        texts.append(" ".join(base))
+        texts += [" ".join(base + draw(max(1, round(n * share)))) for share in (0.15, 0.24, 0.25, 0.26, 0.4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = jaccard_components(texts)
+    for part in (S.PART, 9):
+        monkeypatch.setattr(S, "PART", part)
+        found = S.near_duplicates(docs, shingle=5, similarity=0.8, exact=True)
+        assert {r.doc_id: r.component_id for r in found.collect()} == dict(enumerate(want))
+    kept = S.near_duplicates_removed(docs, shingle=5, similarity=0.8, exact=True)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_texts_of_rows_that_stay_are_not_shuffled(spark, monkeypatch):
+    """Only rows that are marked go on to the join; past what a bitmap holds, all are joined, with the same rows."""
+    from pixelloom.llm import line_dedup
+
+    docs = spark.createDataFrame([(k, f"text {k // 2 if k < 40 else k}") for k in range(400)], "doc_id bigint, text string")
+    rows = S.with_rows(docs)
+    kept = rows.filter("doc_id >= 40 or doc_id % 2 = 0").select(S.ROW)
+    want = sorted(r.doc_id for r in rows.join(kept, S.ROW, "left_semi").collect())
+    left = S.without_rows(rows, kept)
+    assert sorted(r.doc_id for r in left.collect()) == want
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    stays = plan.split("Union\n")[1].split("\n      +- ")[0]
+    assert "BroadcastHashJoin" in stays and "hashpartitioning" not in stays and "hashpartitioning" in plan
+    monkeypatch.setattr(line_dedup, "FILLED", line_dedup.MARKS)
+    assert sorted(r.doc_id for r in S.without_rows(rows, kept).collect()) == want
