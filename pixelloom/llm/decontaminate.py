@@ -24,11 +24,16 @@ Very long texts are taken whole. Empty tables: no document gives no row, no item
 nothing.
 
 Scale. The index of the benchmark is broadcast, after the bytes of its distinct items were
-added up: at most BLOCK_BYTES of items a block (or one item that is longer), and with one
-block, documents are read once, with no shuffle.
-A larger benchmark is held against all documents block by block; then only spans of hit
-documents are shuffled, by a document's id and hash, and merged. Memory: one block of
-documents, one index.
+added up: at most BLOCK_BYTES of items, and documents are read once, with no shuffle.
+
+A larger benchmark stays a table. Its fingerprints (and the hashes of its shorter items)
+are marked in bitmaps of a fixed size, which are broadcast; documents are read once, and
+where a fingerprint is marked, the windows around it go on, word for word, with the
+document's key. They are joined with the table of the benchmark's distinct windows; windows
+that very many documents have are joined apart. So the number of passes is fixed, only
+windows of documents that seem to be hit are shuffled, and full bitmaps mean more of them,
+never another result. In ``decontaminate`` rows that are hit are marked the same way, and
+texts of all others stay where they are.
 """
 
 from __future__ import annotations
@@ -40,15 +45,19 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, saved, utf8
+from .common import even_join, kept, saved, utf8
+from .line_dedup import MARKS, ROW, bitmap_of, marking
 from .token_counts import blocks
 
 SPAN, GRAM = 10, 5
 BLOCK_BYTES = 16 << 20
+#: Words whose hashes a task keeps.
+WORDS_KEPT = 1 << 20
 #: Separators become spaces, A-Z become a-z, digits, a-z and bytes from 128 stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Odd multipliers for word numbers, by place in a gram.
@@ -242,14 +251,110 @@ def built(shared: Broadcast) -> Index:
 SPANS = "n_words bigint, spans array<struct<begin:bigint,end:bigint>>, items array<string>"
 
 
-def benchmark_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of at most ``most`` bytes, each brought to the driver by itself."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8(F.col("text")).alias("text")).distinct()
-    total = rows.agg(F.coalesce(F.sum(F.length("text") + F.length("item") + 64), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // most)) if total > most else 1
-    for k in range(n):
-        part = rows if n == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, bytes(r.text)) for r in part.collect()]
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item, text (bytes) of each distinct item."""
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), utf8(F.col("text")).alias("text")).distinct()
+
+
+def one_block(items: DataFrame, most: int) -> list[tuple[str, bytes]] | None:
+    """All items, if they have been added up to ``most`` bytes at most."""
+    total = items.agg(F.coalesce(F.sum(F.length("text") + F.length("item") + 64), F.lit(0))).first()[0]
+    return None if total > most else [(r.item, bytes(r.text)) for r in items.collect()]
+
+
+def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """A hash of each word, by itself."""
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def bench_windows(items: DataFrame, span: int, gram: int) -> DataFrame:
+    """mark, n, window (its words), items: a row for each distinct window; mark: the fingerprint that it has, for shorter items the hash of all their words. Saved."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, texts in blocks(batches):
+            known, out = {}, []
+            for name, text in zip(names.to_pylist(), texts, strict=True):
+                words = words_of(text)
+                if not words:
+                    continue
+                hashes = word_hashes(words, known)
+                n = min(span, len(words))
+                if n < span:
+                    out.append((int(gram_hashes(hashes, n).view(np.int64)[0]), n, b" ".join(words), name))
+                    continue
+                # any text that has the window keeps its smallest hash
+                least = np.lib.stride_tricks.sliding_window_view(gram_hashes(hashes, gram), span - gram + 1).min(axis=1).view(np.int64)
+                out += [(h, n, b" ".join(words[begin : begin + span]), name) for begin, h in enumerate(least.tolist())]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["mark", "n", "window", "item"])
+
+    rows = items.select("item", "text").mapInArrow(cut, "mark bigint, n int, window binary, item string")
+    return saved(rows.groupBy("n", "window").agg(F.first("mark").alias("mark"), F.collect_set("item").alias("items")), "decontaminate-windows")
+
+
+def bitmap_bytes(hashes: DataFrame) -> bytes:
+    """The bits that the hashes (column h) set, MARKS of them whatever their number."""
+    bits = bytearray(MARKS >> 3)
+    for r in bitmap_of(hashes).collect():  # MARKS / ROW rows at most
+        part = bytes(r.mark_bits)
+        at = r.mark_row * (ROW >> 3)
+        bits[at : at + len(part)] = part
+    return bytes(bits)
+
+
+def by_join(keyed: DataFrame, items: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """n_words of each row of (key, text), and the hits (key, begin, n, items), by a join of windows."""
+    windows = bench_windows(items, span, gram)
+    marks = windows.select("n", F.col("mark").alias("h"))
+    lengths = [r.n for r in marks.select("n").distinct().collect()]  # span at most
+    shared = keyed.sparkSession.sparkContext.broadcast({n: bitmap_bytes(marks.filter(F.col("n") == n)) for n in lengths})
+    schema = f"key {keyed.schema['key'].dataType.simpleString()}, n_words bigint, places array<struct<begin:bigint,n:int,window:binary>>"
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("n", pa.int32()), ("window", pa.binary())]))
+
+    def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.mod(hashes.view(np.int64), MARKS)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = {n: np.frombuffer(b, np.uint8) for n, b in shared.value.items()}
+        known: dict[bytes, int] = {}
+        for keys, texts in blocks(batches):
+            sizes, places = [], []
+            for text in texts:
+                words = words_of(text)
+                if len(known) > WORDS_KEPT:
+                    known.clear()
+                hashes, found = word_hashes(words, known), []
+                for n, own in bits.items():
+                    if len(words) < n:
+                        continue
+                    if n < span:
+                        begins = np.flatnonzero(marked(own, gram_hashes(hashes, n)))
+                    else:
+                        grams = gram_hashes(hashes, gram)
+                        at = winnowed(grams, span, gram)
+                        at = at[marked(own, grams[at])]
+                        begins = np.unique((at[:, None] - np.arange(span - gram + 1)).ravel())
+                        begins = begins[(begins >= 0) & (begins <= len(words) - span)]
+                    found += [{"begin": b, "n": n, "window": b" ".join(words[b : b + n])} for b in begins.tolist()]
+                sizes.append(len(words))
+                places.append(found)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(places, kind)], ["key", "n_words", "places"])
+
+    read = saved(keyed.mapInArrow(scan, schema), "decontaminate-places")
+    places = saved(read.select("key", F.explode("places").alias("p")).select("key", "p.*"), "decontaminate-marked")
+    # a window in one row is a key in one column, so that one length's doesn't meet another's
+    one = F.concat(F.col("n").cast("string").cast("binary"), F.lit(":").cast("binary"), F.col("window"))
+    hits = even_join(places.withColumn("whole", one).drop("window"), windows.select(one.alias("whole"), "items"), "whole")
+    return read.select("key", "n_words"), hits.select("key", "begin", "n", "items")
+
+
+def with_keys(texts: DataFrame) -> DataFrame:
+    """key (equal rows have one, since they have equal spans) and text of rows of (doc_id, text)."""
+    return texts.select(F.struct("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("size")).alias("key"), "text")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -257,17 +362,15 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GR
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", utf8(F.col("text")).alias("text"))
-
-    def against(items: list[tuple[str, bytes]], keyed: DataFrame, schema: str, only_hit: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast((items, span, gram, uuid.uuid4().hex))
+    items = items_of(benchmark)
+    few = one_block(items, block_bytes)
+    if few is not None:
+        shared = spark.sparkContext.broadcast((few, span, gram, uuid.uuid4().hex))
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = built(shared)
             for keys, block in blocks(batches):
                 found = list(spans(index, block))
-                if only_hit:
-                    keys = keys.filter(pa.array([bool(x[1]) for x in found], pa.bool_()))
-                    found = [x for x in found if x[1]]
                 yield pa.RecordBatch.from_arrays(
                     [
                         keys,
@@ -275,30 +378,19 @@ def find(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GR
                         pa.array([[{"begin": a, "end": b} for a, b in x[1]] for x in found], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
                         pa.array([x[2] for x in found], pa.list_(pa.string())),
                     ],
-                    [schema.split()[0], "n_words", "spans", "items"],
+                    ["doc_id", "n_words", "spans", "items"],
                 )
 
-        return keyed.mapInArrow(scan, f"{schema}, {SPANS}")
-
-    parts = iter(benchmark_blocks(benchmark, block_bytes))
-    first, second = next(parts), next(parts, None)
-    if second is None:
-        return against(first, texts, f"doc_id {kind}", False)
-    # several blocks: equal rows are one key, since they have equal spans
-    keyed = texts.select(F.struct("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("size")).alias("key"), "text")
-    schema = f"key {keyed.schema['key'].dataType.simpleString()}"
-    hit = [saved(against(items, keyed, schema, True), "decontaminate") for items in (first, second, *parts)]
-    both = hit[0]
-    for x in hit[1:]:
-        both = both.unionByName(x)
-    each = both.select("key", F.explode("spans").alias("s")).distinct()
+        return texts.mapInArrow(scan, f"doc_id {kind}, {SPANS}")
+    counted, hits = by_join(with_keys(texts), items, span, gram)
+    hits = saved(hits, "decontaminate-hits")
+    each = hits.select("key", F.struct("begin", (F.col("begin") + F.col("n")).alias("end")).alias("s")).distinct()
     order = Window.partitionBy("key").orderBy("s.begin", "s.end")
     reach = F.max("s.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.sum(F.when(reach.isNull() | (F.col("s.begin") > reach), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     joined = each.withColumn("run", starts).groupBy("key", "run").agg(F.min("s.begin").alias("begin"), F.max("s.end").alias("end"))
     merged_spans = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    names = both.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    counted = against([], keyed, schema, False).select("key", "n_words")
+    names = hits.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
     return counted.join(merged_spans.join(names, "key"), "key", "left").select(F.col("key.doc_id").alias("doc_id"), "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -316,12 +408,20 @@ def hit_by(shared: Broadcast) -> Callable:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows in which a window of the benchmark occurs.
 
-    Each row is judged where it stands, so nothing is shuffled; between the blocks of a
-    large benchmark the rows that are left are saved, so a worker holds one index.
+    With a benchmark of one block each row is judged where it stands. Beyond, rows that are
+    hit are found by a join and marked in a bitmap; only rows that are marked, or seem so,
+    are shuffled.
     """
-    for k, items in enumerate(benchmark_blocks(benchmark, block_bytes)):
-        if k:
-            docs = saved(docs, "decontaminate")
-        hit = hit_by(docs.sparkSession.sparkContext.broadcast((items, span, gram, uuid.uuid4().hex)))
-        docs = docs.filter(~hit(utf8(F.col("text"))))
-    return docs
+    items = items_of(benchmark)
+    few = one_block(items, block_bytes)
+    if few is not None:
+        hit = hit_by(docs.sparkSession.sparkContext.broadcast((few, span, gram, uuid.uuid4().hex)))
+        return docs.filter(~hit(utf8(F.col("text"))))
+    # a row in one column, so that no name of the input meets one of ours
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct("doc_id", F.xxhash64(utf8(F.col("text"))).alias("hash"), F.length(utf8(F.col("text"))).alias("size")).alias("key"))
+    _, hits = by_join(with_keys(docs.select("doc_id", utf8(F.col("text")).alias("text"))), items, span, gram)
+    gone = saved(hits.select("key").distinct(), "decontaminate-gone")
+    marked = marking(rows.withColumn("h", F.xxhash64("key")), gone.select(F.xxhash64("key").alias("h")), "h", "decontaminate-marks").drop("h")
+    there = gone.select(F.col("key").alias("gone_key")).hint("merge")
+    unsure = marked.filter("marked").join(there, F.col("key").eqNullSafe(F.col("gone_key")), "left_anti")
+    return marked.filter("not marked").unionByName(unsure).select("row.*")

@@ -55,11 +55,30 @@ def test_benchmark_in_blocks(spark, case):
     assert found(spark, case, block_bytes=2000) == slow(*case)
 
 
+def test_large_benchmarks_are_joined(spark, case, monkeypatch):
+    """However large: one pass over the documents, with full bitmaps, hot windows and hot rows the same result."""
+    from pixelloom.llm import common, line_dedup
+
+    want = slow(*case)
+    scans = []
+    whole = D.by_join
+    monkeypatch.setattr(D, "by_join", lambda *a: scans.append(1) or whole(*a))
+    for block in (0, 100, 10_000):
+        scans.clear()
+        assert found(spark, case, block_bytes=block) == want
+        assert len(scans) == (block < 10_000)
+    monkeypatch.setattr(common, "LEAST_HOT", 3)
+    monkeypatch.setattr(line_dedup, "MARKS", line_dedup.ROW)
+    monkeypatch.setattr(D, "MARKS", line_dedup.ROW)
+    assert found(spark, case, block_bytes=0) == want
+    assert found(spark, (case[0] + case[0], case[1]), block_bytes=0) == sorted(want + want)
+
+
 def test_clean_rows_stay(spark, case):
     docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in case[0]], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     items = spark.createDataFrame(case[1], "item_id bigint, text string")
     want = sorted((str(d), str(t)) for (d, t) in case[0] if not slow([(d, t)], case[1])[0][2])
-    for options in ({}, {"block_bytes": 2000}):
+    for options in ({}, {"block_bytes": 2000}, {"block_bytes": 0}):
         kept = D.decontaminate(docs, items, **options)
         assert kept.columns == docs.columns
         assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == want
