@@ -1,8 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import quality as Q
 from pixelloom.llm import toxicity as T
@@ -156,3 +159,127 @@ def test_nothing_to_learn_from(spark, labelled, no_docs):
     assert {r.severity for r in T.severity(docs, T.learn(docs, none)).collect()} == {0.0}
     assert Q.ranked(no_docs, labels).count() == 0
     assert T.toxic_removed(no_docs, labels).count() == 0
+
+
+def slow_features(text):
+    """The features of a text, one after the other, from their descriptions."""
+    text = text or b""
+    n = max(1, len(text))
+    groups = [lambda c: c.isupper(), lambda c: c.islower(), lambda c: c.isdigit(), lambda c: c in " \t\n\r\x0b\x0c", lambda c: c in ".,;:-", lambda c: c in "'\"()"]
+    count, signs = [0] * 8, {c: 0 for c in "!?#$%&*|+=/<>[]{}@_~^\\"}
+    for b in text:
+        c = chr(b)
+        at = 7 if b >= 128 else next((k for k, g in enumerate(groups) if g(c)), 6)
+        count[at] += 1
+        if c in signs:
+            signs[c] += 1
+    words, lines = text.split(), text.split(b"\n")
+    m, lengths = max(1, len(words)), [len(w) for w in words]
+    mean = sum(lengths) / m
+    distinct, repeated = len(set(words)) / m, 1 - len(set(lines)) / len(lines)
+    upper = sum(w.isupper() for w in words) / m
+    share = [text.count(bytes([b])) / n for b in set(text)]
+    dotted = re.findall(rb"\d{1,3}\.\d{1,3}\.\d{1,3}|@\w+\.|https?://|[0-9a-f]{16}|\d{9}", text)
+    out = [c / n for c in count] + [c / n for c in signs.values()]
+    out += [math.log(1 + len(words)), math.log(1 + len(lines)), math.log(1 + m / len(lines)), mean, math.sqrt(sum((v - mean) ** 2 for v in lengths) / m), math.log(1 + max(lengths, default=0)), sum(v <= 3 for v in lengths) / m]
+    out += [distinct, distinct * math.log(1 + m), upper, float(upper > 0.3), repeated, float(repeated > 0.3), sum(w.isalnum() for w in words) / m, float(len(words) < 20), math.log(1 + len(dotted))]
+    out += [-sum(p * math.log(p) for p in share), sum(w in (b"|", b"-", b"*") for w in words) / m, min(1.0, 100 * sum(signs[c] for c in "#$%&*") / n)]
+    return out
+
+
+def test_quality_by_brute_force(spark, labelled):
+    """Features, the labels learned from, the cut and every score, remade from the contract."""
+    docs, labels = labelled
+    texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    for _, t in texts:
+        assert Q.features(t) == pytest.approx(slow_features(t), rel=1e-6, abs=1e-9)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    known = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and not held(r.doc_id):
+            known[r.doc_id] = max(known.get(r.doc_id, 0), r.quality)
+    rows = {}
+    for i, t in texts:
+        if i in known:
+            rows[i] = min(rows.get(i, [math.inf]), np.array(slow_features(t), np.float32).tolist())
+    x = np.array([rows[i] for i in sorted(rows)], np.float32).astype(np.float64)
+    label = np.array([known[i] for i in sorted(rows)])
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    standard = lambda v: np.clip((v - mean) / scale, -6, 6)
+    z, draw = standard(x), np.random.default_rng(7)
+    d = z[draw.choice(np.flatnonzero(label == 1), Q.PAIRS)] - z[draw.choice(np.flatnonzero(label == 0), Q.PAIRS)]
+    w = np.zeros(x.shape[1])
+    for _ in range(60):  # the loss falls along Newton's direction until nothing moves
+        p = 1 / (1 + np.exp(d @ w))
+        step = np.linalg.solve((d.T * (p * (1 - p))) @ d / len(d) + 1e-3 * np.eye(len(w)), d.T @ p / len(d) - 1e-3 * w)
+        w += step
+    cut = np.quantile(z @ w, (label == 0).mean())
+    want = []
+    for i, t in texts:
+        s = 1 / (1 + np.exp(-(standard(np.array(slow_features(t), np.float32).astype(np.float64)) @ w - cut + np.log(0.7 / 0.3))))
+        want.append((str(i), held(i), s))
+    got = sorted((str(r.doc_id), r.held_out, r.score) for r in Q.ranked(docs, labels).collect())
+    want.sort()
+    assert [g[:2] for g in got] == [v[:2] for v in want]
+    assert [g[2] for g in got] == pytest.approx([v[2] for v in want], abs=2e-3)
+
+
+def test_toxicity_by_brute_force(spark, labelled):
+    """The strings that are chosen, the grades, and every severity, remade from their definitions."""
+    docs, labels = labelled
+    truth = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic is not None:
+            truth[r.doc_id] = max(truth.get(r.doc_id, 0), r.toxic)
+    texts = {}
+    for r in docs.filter("doc_id is not null").collect():
+        if r.doc_id in truth:
+            texts[r.doc_id] = min(texts.get(r.doc_id, "\uffff"), r.text or "")
+
+    def strings_of(text):
+        plain = T.folded(text.encode())
+        words = plain.split()
+        return {f" {w} "[a : a + n] for w in words for n in T.GRAMS for a in range(len(w) + 3 - n)} | {f" {w} " for w in words if len(w) + 2 > T.GRAMS[-1]}
+
+    have = {i: strings_of(t) for i, t in texts.items()}
+    bad, good = sum(truth[i] > 0 for i in texts), sum(truth[i] == 0 for i in texts)
+    counts = {}
+    for i, found in have.items():
+        for s in found:
+            counts.setdefault(s, [0, 0])[truth[i] > 0] += 1
+    counts = {s: c for s, c in counts.items() if sum(c) >= T.SUPPORT}
+    least, chosen, telling = T.CHANCE * math.log(len(counts)), [], set()
+    for s, (clean, toxic) in sorted(counts.items()):
+        odds = math.log((toxic + 0.5) / (bad + 1)) - math.log((clean + 0.5) / (good + 1))
+        share, n = bad / (bad + good), clean + toxic
+        ratio = 2 * ((toxic * math.log(toxic / (n * share)) if toxic else 0) + (clean * math.log(clean / (n * (1 - share))) if clean else 0))
+        if odds > T.LEAST_ODDS and ratio > least:
+            if odds > T.TELLING:
+                telling.add(len(chosen))
+            chosen.append(s)
+    model = T.learn(docs, labels)
+    assert model.features == chosen and model.telling == telling and len(chosen) > 10
+    plain = {i: T.folded(t.encode()) for i, t in texts.items()}
+
+    def places(text):
+        return [k for k, s in enumerate(chosen) if s in text]
+
+    def told(text):
+        """Words in which a telling string ends."""
+        ends = {a + len(s) - 1 for k, s in enumerate(chosen) if k in telling for a in range(len(text)) if text.startswith(s, a)}
+        return len({text.rfind(" ", 0, e) for e in ends})
+
+    rows = sorted((truth[i], told(plain[i]), places(plain[i])) for i in texts)
+    grade = np.array([r[0] for r in rows])
+    middle = np.median([r[1] for r in rows if r[0] == 1])
+    grade = np.array([2 if g == 1 and r[1] > middle else g for g, r in zip(grade, rows, strict=True)])
+    again = T.Severity(chosen, telling)  # the fit has tests of its own
+    again.fit([r[2] for r in rows], grade)
+    want = {}
+    for r in docs.collect():
+        s = sum(again.weights[k] for k in places(T.folded((r.text or "").encode())))
+        want[str((r.doc_id, r.text))] = sum(1 / (1 + math.exp(t - s)) for t in again.thresholds)
+    got = T.severity(docs.select(F.struct("doc_id", "text").alias("doc_id"), "text"), model).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.severity == pytest.approx(want[str((r.doc_id.doc_id, r.doc_id.text))], abs=1e-6)
