@@ -1,0 +1,138 @@
+"""The data source: what is read of files, what is written and what isn't, and what a stream sees."""
+
+import os
+import time
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pixelloom.image import PACKED, true
+from pixelloom.sources import datasource as D
+from pixelloom.sources.encode import ENCODERS
+from pixelloom.sources.registry import BUILT_IN, Format
+from pixelloom.sources.stream import NotMine
+
+
+@pytest.fixture
+def folder(tmp_path):
+    rng = np.random.default_rng(1)
+    rasters = {f"{k}.{form}": true(rng.integers(0, 256, (3 + k, 5, 3)), gamma=1.0) for k, form in enumerate(ENCODERS)}
+    (tmp_path / "in" / "below").mkdir(parents=True)
+    for k, (name, r) in enumerate(rasters.items()):
+        (tmp_path / "in" / ("below" if k % 2 else ".") / name).write_bytes(ENCODERS[name.split(".")[1]](r))
+    (tmp_path / "in" / "note.txt").write_bytes(b"no image")
+    (tmp_path / "in" / "_hidden").write_bytes(b"P5 1 1 255\n1")
+    return tmp_path, rasters
+
+
+def test_reading(spark, folder):
+    path, rasters = folder
+    D.register(spark)
+    rows = {r.path.rsplit("/", 1)[1]: r for r in spark.read.format("images").load(f"{path}/in").collect()}
+    assert set(rows) == {*rasters, "note.txt"} and rows["note.txt"].status == "unknown" and rows["note.txt"].data is None
+    for name, r in rasters.items():
+        row = rows[name]
+        assert (row.status, row.width, row.height, row.type, row.length) == ("ok", r.width, r.height, "TRUE", os.path.getsize(row.path.removeprefix("file://")))
+        assert bytes(row.data) == r.pixels.tobytes() and name.split(".")[0] + "." in row.told
+    assert spark.read.format("images").option("suffix", ".png").load(f"file://{path}/in").count() == 1
+
+
+def test_only_what_is_asked_for_is_read(spark, folder, monkeypatch):
+    """Columns of headers read no pixels; a filter on the listing opens nothing else; sizes deal files to tasks."""
+    path, rasters = folder
+    for k in range(30):
+        (path / "in" / f"big{k:02}.ppm").write_bytes(b"P6 700 500 255\n" + bytes(700 * 500 * 3))
+    D.register(spark)
+    heads = spark.read.format("images").schema("path string, width int, told string").option("partbytes", 8 << 20).load(f"{path}/in")
+    assert heads.rdd.getNumPartitions() == 5
+    assert heads.filter("width = 700").count() == 30
+    rows = D.Rows(heads.schema, {"path": f"{path}/in"}, BUILT_IN)
+    taken = []
+    plain = D.arrow_reader
+
+    def counted(p):
+        read = plain(p)
+        return lambda at, n: taken.append(n) or read(at, n)
+
+    monkeypatch.setattr(D, "arrow_reader", counted)
+    files = D.listed(f"{path}/in", ".ppm")
+    assert sum(b.num_rows for b in rows.batches(tuple(files))) == 31 and sum(taken) < 31 * 100_000
+    taken.clear()
+    sizes = D.Rows(D.T.StructType.fromDDL("path string, length bigint"), {"path": f"{path}/in"}, BUILT_IN)
+    assert sum(b.num_rows for b in sizes.batches(tuple(files))) == 31 and not taken
+    small = spark.read.format("images").load(f"{path}/in").filter("length < 1000 and path like '%.bmp'")
+    assert [r.path.rsplit("/", 1)[1] for r in small.collect()] == [n for n in rasters if n.endswith(".bmp")]
+    reader = D.Reader(rows)
+    left = list(reader.pushFilters([D.GreaterThan(("length",), 1_000_000), D.StringEndsWith(("path",), "7.ppm"), D.EqualTo(("width",), 3)]))
+    assert len(left) == 1 and sorted(f.path[-9:-4] for p in reader.partitions() for f in p.files) == ["big07", "big17", "big27"]
+
+
+def images(spark, n, bad=None):
+    rows = [(k, f"t{k}", "TRUE", 2, 1, 24, 1.0, None, bytearray([k] * 6)) for k in range(n)]
+    df = spark.createDataFrame(rows, PACKED).repartition(4)
+    return df if bad is None else df.withColumn("height", F.when(F.col("image_id") == bad, 9).otherwise(F.col("height")))
+
+
+def test_round_trip(spark, tmp_path):
+    D.register(spark)
+    for form in ENCODERS:
+        images(spark, 12).write.format("images").option("form", form).mode("append").save(f"{tmp_path}/{form}")
+        assert sorted(os.listdir(tmp_path / form)) == sorted(f"{k}.{form}" for k in range(12))
+        back = spark.read.format("images").load(f"{tmp_path}/{form}").collect()
+        assert sorted((int(r.path.rsplit("/", 1)[1].split(".")[0]), bytes(r.data)) for r in back) == [(k, bytes([k] * 6)) for k in range(12)]
+    images(spark, 3).write.format("images").mode("overwrite").save(f"{tmp_path}/png")
+    assert sorted(os.listdir(tmp_path / "png")) == ["0.png", "1.png", "2.png"]
+    with pytest.raises(Exception, match="isn't one of"):
+        images(spark, 1).write.format("images").option("form", "tiff").mode("append").save(f"{tmp_path}/x")
+
+
+def test_a_failed_task_leaves_nothing(spark, tmp_path):
+    D.register(spark)
+    images(spark, 4).write.format("images").mode("append").save(f"{tmp_path}/out")
+    with pytest.raises(Exception, match="reshape"):
+        images(spark, 40, bad=17).write.format("images").mode("append").save(f"{tmp_path}/out")
+    assert sorted(os.listdir(tmp_path / "out")) == [f"{k}.png" for k in range(4)]
+
+
+def test_streams_by_offsets(spark, folder, monkeypatch):
+    path, rasters = folder
+    D.register(spark)
+    for k, f in enumerate(sorted(p for p in (path / "in").rglob("*") if p.is_file())):
+        os.utime(f, (1000 + k // 2, 1000 + k // 2))  # files of one time come together
+
+    def run():
+        source = spark.readStream.format("images").schema("path string, width int, status string").load(f"{path}/in")
+        query = source.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(f"{path}/out").collect())
+
+    assert run() == sorted([*rasters, "note.txt"]) == run()
+    (path / "in" / "late.ppm").write_bytes(ENCODERS["ppm"](true(np.zeros((1, 1, 3)))))
+    reader = D.StreamReader(D.Rows(D.HEADER, {"path": f"{path}/in"}, BUILT_IN))
+    now = reader.latestOffset()
+    assert now["changed"] < 2000 * 10**9  # the newest is left to the next batch
+    os.utime(path / "in" / "late.ppm", (3000, 3000))
+    later = reader.latestOffset()
+    assert [f.path.rsplit("/", 1)[1] for p in reader.partitions(now, later) for f in p.files] == ["late.ppm"]
+    assert run() == sorted([*rasters, "note.txt", "late.ppm"])
+
+
+def test_own_formats_and_missing_folders(spark, tmp_path):
+    def dots(c, context):
+        if c.take(4) != b"DOTS":
+            raise NotMine
+        return true(np.zeros((1, c.byte(), 3)))
+
+    (tmp_path / "x.dots").write_bytes(b"DOTS\7")
+    D.register(spark, BUILT_IN.with_format(Format("dots", dots, "dots"), 0))
+    assert spark.read.format("images").load(f"{tmp_path}").first().width == 7
+    D.register(spark)
+    with pytest.raises(Exception, match="FileNotFound|nothing"):
+        spark.read.format("images").load(f"{tmp_path}/nothing").count()
+
+
+def test_files_are_dealt_by_size():
+    files = [D.File(f"f{k}", n, 0) for k, n in enumerate((5, 5, 5, 30, 1, 1))]
+    assert [[f.length for f in p.files] for p in D.parted(files, 10)] == [[5, 5], [5], [30], [1, 1]]
+    assert D.parted([], 10) == [] and time.time() > 0
