@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import colour as C
-from ..image import unpack
-from ..operators import large
+from ..image import PACKED, unpack
+from ..operators import carried, large
 from ..operators import pixels as P
 from ..operators import raster as R
 from ..sources import encode, files, stream
@@ -314,6 +314,19 @@ def nearest_of_table(spark: SparkSession, d: str) -> DataFrame:
     return large.nearest_entry(corpora.pixels(spark, d), corpora.palettes(spark, d))
 
 
+def with_gammas(spark: SparkSession, d: str) -> carried.Carried:
+    """The images with gammas of their own: 1, 2.2 or 1.7 by number."""
+    gamma = F.get(F.array(F.lit(1.0), F.lit(2.2), F.lit(1.7)), (F.col("image_id") % 3).cast("int"))
+    about = corpora.images(spark, d).select("image_id", F.lit("").alias("title"), F.lit("TRUE").alias("type"), "width", "height", gamma.alias("gamma"), F.lit(None).cast(PACKED["palette"].dataType).alias("palette"))
+    return carried.Carried(about, corpora.pixels(spark, d).select(*P.PLACE, F.lit(None).cast("int").alias("idx"), *P.COLOURS))
+
+
+def gray_carried(spark: SparkSession, d: str) -> DataFrame:
+    """Grays of images of several gammas, each made linear first, with the gamma that they have then."""
+    found = carried.gray(with_gammas(spark, d))
+    return found.pixels.join(found.images, "image_id").select(*P.PLACE, F.col("r").alias("level"), "gamma")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "pixels": corpora.pixels,
@@ -382,6 +395,7 @@ def queries() -> dict[str, Query]:
         "identify_formats": identify_formats,
         "identify": identify,
         "trailing_options": trailing_options,
+        "gray_carried": gray_carried,
         "smooth_tiled": on_pixels(lambda p: large.smooth_tiled(p, 2, 3)),
         "dither_strips": on_pixels(lambda p: P.expand_bitmap(large.dither(p))),
         "nearest_palette": nearest_of_table,

@@ -247,6 +247,7 @@ ORACLE_SQL |= {
     "pipeline_packed": ORACLE_SQL["pipeline_full"],
     "decode_roundtrip": ORACLE_SQL["pixels"],
     "smooth_tiled": over_c1(smoothed("once"), f", once AS ({smoothed('c1')})"),
+    "gray_carried": over_c1(f"SELECT image_id, x, y, ({LEVEL} // 256)::INT AS level, 1.0::DOUBLE AS gamma FROM (SELECT image_id, x, y, {', '.join(gamma(c, '1 / (1.0::DOUBLE / own::DOUBLE)::FLOAT::DOUBLE') + f' AS {c}' for c in 'rgb')} FROM (SELECT *, ([1.0, 2.2, 1.7])[(image_id % 3 + 1)::INT]::FLOAT AS own FROM c1))"),
     "nearest_palette": over_c1("""SELECT c.image_id, x, y, max_by(idx, idx - 65536::BIGINT * ((r - red // 256) * (r - red // 256) + (g - green // 256) * (g - green // 256) + (b - blue // 256) * (b - blue // 256))) AS idx
       FROM c1 c JOIN pal p ON c.image_id = p.image_id GROUP BY c.image_id, x, y"""),
     "decode_formats": over_c1(shown_files()),

@@ -215,6 +215,27 @@ def explode_pixels(images: DataFrame) -> DataFrame:
     return images.select(*PACKED.names).mapInArrow(run, "image_id bigint, x int, y int, r int, g int, b int")
 
 
+def explode_indices(images: DataFrame) -> DataFrame:
+    """image_id, x, y, and idx of bitmaps and palette images or r, g, b of true colour ones."""
+    names = ("image_id", "x", "y", "idx", "r", "g", "b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                if row["data"] is None:
+                    continue
+                r = unpack(row)
+                n, none = r.width * r.height, pa.nulls(r.width * r.height, pa.int32())
+                at = np.arange(n, dtype=np.int32)
+                values = [none, *map(pa.array, np.ascontiguousarray(r.pixels.reshape(-1, 3).astype(np.int32).T))] if r.type == "TRUE" else [pa.array(r.pixels.ravel().astype(np.int32)), none, none, none]
+                whole = pa.RecordBatch.from_arrays([pa.array(np.full(n, row["image_id"], np.int64)), pa.array(at % r.width), pa.array(at // r.width), *values], names)
+                for k in range(0, n, 1 << 16):
+                    yield whole.slice(k, 1 << 16)
+
+    return images.mapInArrow(run, "image_id bigint, x int, y int, idx int, r int, g int, b int")
+
+
 def pack_pixels(pixels: DataFrame) -> DataFrame:
     """Packed true colour images of exploded ones: one shuffle by image; an image is a group."""
     ordered = F.array_sort(F.collect_list(F.struct("y", "x", F.concat(*[F.unhex(F.lpad(F.hex(c), 2, "0")) for c in ("r", "g", "b")]).alias("p"))))
