@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 #: Keys with more than this share of a table's rows, and more rows than LEAST_HOT, are joined apart; there can't be more than HOT_KEYS of them.
 HOT_KEYS, LEAST_HOT = 1000, 200
+#: Bytes of rows that may be wide and are broadcast all the same; more of them are sent to SALTS places each.
+HOT_BYTES, SALTS = 64 << 20, 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,13 +90,22 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return name
 
 
-def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str) -> DataFrame:
+    """The same join with each row of ``small`` in SALTS places and the rows of ``big`` dealt to these."""
+    salt = unused("salt", [*big.columns, *small.columns])
+    left = big.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return left.join(right.hint("merge"), [key, salt], how).drop(salt)
+
+
+def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", rows: int | None = None, wide: bool = False) -> DataFrame:
     """``big`` joined with ``small``, which has one row a key, with no key's rows in one task.
 
     Keys that hold more than one in HOT_KEYS of the rows of ``big`` meet their HOT_KEYS rows
     or fewer of ``small`` by broadcast, the others by shuffle; in a left join, rows with a
     null key go to neither. ``big`` is read several times, so it should be a saved step.
-    rows: how many ``big`` has, if that is known.
+    rows: how many ``big`` has, if that is known. wide: rows of ``small`` may be of any size,
+    so those that are to be broadcast are added up first.
     """
     there = big.filter(F.col(key).isNotNull())
     rows = there.count() if rows is None else rows
@@ -105,7 +116,9 @@ def even_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", ro
     if hot is None:
         found = there.join(small.hint("merge"), key, how)
     else:
-        apart = there.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key, how)
+        many, few = there.join(hot, key, "left_semi"), small.join(hot, key, "left_semi")
+        size = few.agg(F.sum(F.octet_length(F.to_json(F.struct(*few.columns))))).first()[0] if wide else 0
+        apart = many.join(F.broadcast(few), key, how) if (size or 0) <= HOT_BYTES else salted_join(many, few, key, how)
         found = there.join(hot, key, "left_anti").join(small.hint("merge"), key, how).unionByName(apart)
     return found.unionByName(big.filter(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else found
 

@@ -193,7 +193,7 @@ def sequences(pages: DataFrame, media: DataFrame, key: str = "doc_id") -> DataFr
     names = [c for c in media.columns if c != "digest"]
     references = rows.select("row", F.explode(F.filter("parts", lambda p: p["kind"] == "media")).alias("p")).select("row", "p.pos", "p.digest")
     packed = media.select("digest", F.struct(F.lit(0).alias(unused("_", names)), *names).alias("found"))
-    found = even_join(references, packed, "digest", "left").select("row", F.struct("pos", "found").alias("m"))
+    found = even_join(references, packed, "digest", "left", wide=True).select("row", F.struct("pos", "found").alias("m"))
     gathered = found.groupBy("row").agg(F.array_sort(F.collect_list("m")).alias("media"))
     whole = rows.join(gathered, "row", "left")
     # the n-th media part meets the n-th of the gathered ones: both are in order of their places

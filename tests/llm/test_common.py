@@ -23,6 +23,23 @@ def test_hot_keys_go_by_broadcast(spark, monkeypatch):
     assert plan.count("BroadcastHashJoin") >= 3 and plan.count("SortMergeJoin") == 1
 
 
+def test_wide_hot_rows_are_salted(spark, monkeypatch):
+    """Rows of many bytes aren't broadcast however few there are; the join is the same."""
+    monkeypatch.setattr(C, "LEAST_HOT", 50)
+    big = spark.createDataFrame([(k, 0 if k < 300 else None if k % 7 == 0 else k) for k in range(400)], "n int, key int")
+    small = spark.createDataFrame([(k, "v" * 100, k) for k in range(0, 400, 2)], "key int, v string, salt int")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "key", how).collect()))
+        for most in (C.HOT_BYTES, 50):
+            monkeypatch.setattr(C, "HOT_BYTES", most)
+            got = C.even_join(big, small, "key", how, wide=True)
+            assert sorted(map(str, got.select("key", "n", "v", "salt").collect())) == want
+            plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert (plan.count("SortMergeJoin") == 2) == (most == 50)
+        monkeypatch.undo()
+        monkeypatch.setattr(C, "LEAST_HOT", 50)
+
+
 def test_unused_names():
     assert C.unused("a", ["b"]) == "a" and C.unused("a", ["A", "a_"]) == "a__"
 
