@@ -131,3 +131,19 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, DATA).count() == 0
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark", "labels benchmark"])
+def test_run_over_empty_tables(spark, tmp_path, empty):
+    """No documents: no records. No labels: nothing is toxic. No benchmark: nothing is contaminated."""
+    for name in TABLES:
+        table = spark.read.parquet(f"{DATA}/{name}.parquet")
+        table = table.limit(0) if name in empty else table.filter("doc_id < 60") if name == "documents" else table
+        table.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    rows = P.run(spark, f"file://{tmp_path}").collect()
+    assert len(rows) == 0 if empty == "documents" else len(rows) > 30
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    if "labels" in empty:
+        assert P.drop_toxic(spark, docs, f"file://{tmp_path}").count() == docs.count()
+    if "benchmark" in empty:
+        assert P.drop_contaminated(spark, docs, f"file://{tmp_path}").count() == docs.count()
