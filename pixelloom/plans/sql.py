@@ -31,6 +31,36 @@ def over_c1(select: str, more: str = "") -> str:
     return C1 + more + select
 
 
+def share(k: int) -> str:
+    """k sixteenths of an error, cut towards 0."""
+    return f"trunc(e * {k} / 16.0::DOUBLE)::INT"
+
+
+def added(row: str, *parts: tuple[str, str]) -> str:
+    """A row of eight errors with more at some places."""
+    more = "".join(f" + CASE WHEN j = {at} THEN {v} ELSE 0 END" for at, v in parts)
+    return f"list_transform(range(8), lambda j: {row}[j + 1]{more})"
+
+
+#: Error diffusion, a pixel a step: cur and nxt are the rows of levels with the errors so far; odd rows run backwards.
+DITHERED = f""", lv AS (
+  SELECT image_id, list({LEVEL} ORDER BY y, x) AS l FROM c1 GROUP BY image_id
+), d AS (
+  SELECT image_id, l, 0 AS s, l[1:8] AS cur, list_transform(range(8), lambda j: 0) AS nxt, 0 AS x, 0 AS y, 0 AS black FROM lv
+  UNION ALL
+  SELECT image_id, l, s + 1,
+    CASE WHEN s % 8 = 7 THEN list_transform(range(8), lambda j: coalesce(l[s + 2 + j], 0) + moved[j + 1]) ELSE {added("cur", ("px + way", share(7)))} END,
+    CASE WHEN s % 8 = 7 THEN list_transform(range(8), lambda j: 0) ELSE moved END, px, s // 8, (NOT white)::INT
+  FROM (
+    SELECT *, {added("nxt", ("px", share(5)), ("px + way", share(1)), ("px - way", share(3)))} AS moved
+    FROM (SELECT *, cur[px + 1] > 32640 AS white, cur[px + 1] - CASE WHEN cur[px + 1] > 32640 THEN 65280 ELSE 0 END AS e
+      FROM (SELECT image_id, l, s, cur, nxt, CASE WHEN s // 8 % 2 = 0 THEN s % 8 ELSE 7 - s % 8 END AS px, CASE WHEN s // 8 % 2 = 0 THEN 1 ELSE -1 END AS way FROM d WHERE s < 64))
+  )
+)
+"""
+BLACK_AND_WHITE = C1.replace("WITH c1", "WITH RECURSIVE c1", 1) + DITHERED + "SELECT image_id, x::INT AS x, y::INT AS y, " + ", ".join(f"255 * (1 - black) AS {c}" for c in "rgb") + " FROM d WHERE s > 0"
+
+
 def every(value: str) -> str:
     """A number below 256 for each pixel, in order, as digits."""
     return f"string_agg(lpad(lower(hex({value})), 2, '0'), '' ORDER BY y, x)"
@@ -248,6 +278,8 @@ ORACLE_SQL |= {
     "decode_roundtrip": ORACLE_SQL["pixels"],
     "smooth_tiled": over_c1(smoothed("once"), f", once AS ({smoothed('c1')})"),
     "gray_carried": over_c1(f"SELECT image_id, x, y, ({LEVEL} // 256)::INT AS level, 1.0::DOUBLE AS gamma FROM (SELECT image_id, x, y, {', '.join(gamma(c, '1 / (1.0::DOUBLE / own::DOUBLE)::FLOAT::DOUBLE') + f' AS {c}' for c in 'rgb')} FROM (SELECT *, ([1.0, 2.2, 1.7])[(image_id % 3 + 1)::INT]::FLOAT AS own FROM c1))"),
+    "dither_fs": BLACK_AND_WHITE,
+    "dither_strips": BLACK_AND_WHITE,
     "nearest_palette": over_c1("""SELECT c.image_id, x, y, max_by(idx, idx - 65536::BIGINT * ((r - red // 256) * (r - red // 256) + (g - green // 256) * (g - green // 256) + (b - blue // 256) * (b - blue // 256))) AS idx
       FROM c1 c JOIN pal p ON c.image_id = p.image_id GROUP BY c.image_id, x, y"""),
     "decode_formats": over_c1(shown_files()),
