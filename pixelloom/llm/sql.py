@@ -87,6 +87,97 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NULL OR top = pa
 FROM p
 """
 
+# XXH64, whose constants are fixed values; numbers of 64 bits are multiplied in 128
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+WORD, SEED = 1 << 64, 42
+
+
+def number(v: int) -> str:
+    return f"{v}::UHUGEINT"
+
+
+def modulo(v: str) -> str:
+    return f"(({v}) % {number(WORD)})"
+
+
+def turned(v: str, bits: int) -> str:
+    """A number of 64 bits, turned to the left."""
+    return f"({modulo(f'({v}) * {number(1 << bits)}')} + ({v}) // {number(1 << 64 - bits)})"
+
+
+def xored(a: str, b: str) -> str:
+    return f"xor(({a})::UBIGINT, ({b})::UBIGINT)::UHUGEINT"
+
+
+def mixed_in(acc: str, lane: str) -> str:
+    return modulo(f"{turned(modulo(f'({acc}) + ({lane}) * {number(P2)}'), 31)} * {number(P1)}")
+
+
+def little(begin: str, n: int) -> str:
+    """n bytes from a place on (of the digits h), the last one first, as a number."""
+    return "('0x' || " + " || ".join(f"substr(h, 2 * ({begin}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+
+
+def folded(first: str, rest: str, step: str) -> str:
+    """``rest`` folded into a number, from ``first`` on; a: so far, x: the next."""
+    return f"list_reduce(list_prepend({first}, {rest}), lambda a, x: {step})"
+
+
+def stripe(k: int, first: int) -> str:
+    return folded(number(first % WORD), f"list_transform(range(n // 32), lambda i: lanes[4 * i + {k + 1}])", mixed_in("a", "x"))
+
+
+def merged_in(acc: str, v: str) -> str:
+    return modulo(f"{xored(acc, mixed_in('0', v))} * {number(P1)} + {number(P4)}")
+
+
+def shifted(v: str, bits: int, factor: int | None) -> str:
+    both = xored(v, f"({v}) // {number(1 << bits)}")
+    return modulo(f"{both} * {number(factor)}") if factor else both
+
+
+OP7 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), g AS (
+  SELECT k, gram, count(*) AS many FROM (SELECT k, array_to_string(w[i : i + least(len(w), 4) - 1], ' ') AS gram FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)) GROUP BY k, gram
+), s0 AS MATERIALIZED (
+  SELECT gram, hex(encode(gram)) AS h, strlen(gram)::BIGINT AS n FROM (SELECT DISTINCT gram FROM g)
+), s1 AS MATERIALIZED (
+  SELECT *, list_transform(range(n // 8), lambda i: {little("8 * i", 8)}) AS lanes FROM s0
+), s2 AS MATERIALIZED (
+  SELECT *, {stripe(0, SEED + P1 + P2)} AS v1, {stripe(1, SEED + P2)} AS v2, {stripe(2, SEED)} AS v3, {stripe(3, SEED - P1)} AS v4 FROM s1
+), s3 AS MATERIALIZED (
+  SELECT *, CASE WHEN n < 32 THEN {number(SEED + P5)} ELSE {modulo(f"{turned('v1', 1)} + {turned('v2', 7)} + {turned('v3', 12)} + {turned('v4', 18)}")} END AS acc FROM s2
+), s4 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n < 32 THEN acc ELSE {merged_in("acc", "v1")} END AS acc) FROM s3
+), s5 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n < 32 THEN acc ELSE {merged_in("acc", "v2")} END AS acc) FROM s4
+), s6 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n < 32 THEN acc ELSE {merged_in("acc", "v3")} END AS acc) FROM s5
+), s7 AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n < 32 THEN acc ELSE {merged_in("acc", "v4")} END AS acc) FROM s6
+), s8 AS MATERIALIZED (
+  SELECT * REPLACE ({folded(modulo("acc + n::UHUGEINT"), "lanes[4 * (n // 32) + 1 : n // 8]", modulo(f"{turned(xored('a', mixed_in('0', 'x')), 27)} * {number(P1)} + {number(P4)}"))} AS acc) FROM s7
+), s9 AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN n % 8 >= 4 THEN {modulo(f"{turned(xored('acc', modulo(f'{little("n // 8 * 8", 4)} * {number(P1)}')), 23)} * {number(P2)} + {number(P3)}")} ELSE acc END AS acc) FROM s8
+), s10 AS MATERIALIZED (
+  SELECT gram, {folded("acc", f"list_transform(range(n // 4 * 4, n), lambda i: {little('i', 1)})", modulo(f"{turned(xored('a', modulo(f'x * {number(P5)}')), 11)} * {number(P1)}"))} AS acc FROM s9
+), s11 AS MATERIALIZED (SELECT gram, {shifted("acc", 33, P2)} AS acc FROM s10
+), s12 AS MATERIALIZED (SELECT gram, {shifted("acc", 29, P3)} AS acc FROM s11
+), s13 AS MATERIALIZED (SELECT gram, ({shifted("acc", 32, None)})::UBIGINT AS hash FROM s12
+), b AS (
+  SELECT k, bit, sum(many * ((hash >> bit) & 1::UBIGINT)::BIGINT) AS ones, sum(many) AS every FROM g JOIN s13 USING (gram), (SELECT unnest(range(64))::UBIGINT AS bit) GROUP BY k, bit
+), f AS MATERIALIZED (
+  SELECT d.k, doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN (SELECT k, bit_or(CASE WHEN 2 * ones > every THEN 1::UBIGINT << bit ELSE 0::UBIGINT END) AS fp FROM b GROUP BY k) USING (k)
+), u AS MATERIALIZED (
+  SELECT fp, min(doc_id) AS least FROM f GROUP BY fp
+), l AS MATERIALIZED (
+  SELECT a.fp AS a, c.fp AS c FROM u a JOIN u c ON bit_count(xor(a.fp, c.fp)) <= 4
+), r AS (
+  SELECT fp AS a, fp AS c FROM u UNION SELECT r.a, l.c FROM r JOIN l ON r.c = l.a
+), m AS (
+  SELECT r.a AS fp, min(least) AS component_id FROM r JOIN u ON r.c = u.fp GROUP BY r.a
+)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM f JOIN m USING (fp)
+"""
+
 OP11 = r"""
 WITH t AS (
   SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents
@@ -217,6 +308,7 @@ ORACLE_SQL = {
     "op1_mix_sources": OP1,
     "op2_line_dedup": OP2,
     "op4_warc": OP4,
+    "op7_simhash_near_dedup": OP7,
     "op8_decontaminate": OP8,
     "op11_secret_scan": OP11,
     "op12_merkle_manifest": OP12,
