@@ -231,36 +231,51 @@ def png(c: Cursor, background: tuple[int, int, int] | None = None) -> Raster:
     return true(rgb, gamma=gamma, title=title)
 
 
+#: A Huffman code's length and value, by the next 16 bits; length 0 where there is none.
+Codes = list[tuple[int, int]]
+
+
+def looked_up(counts: bytes, values: bytes) -> Codes:
+    """The table of a JPEG file: how many codes there are of each length, and what they stand for."""
+    found, code, k = [(0, 0)] * (1 << 16), 0, 0
+    for length, many in enumerate(counts, 1):
+        left = 16 - length
+        for _ in range(many):
+            found[code << left : code + 1 << left] = [(length, values[k])] * (1 << left)
+            code, k = code + 1, k + 1
+        code <<= 1
+    return found
+
+
 class Bits:
-    """Bits of JPEG scans, marker by marker."""
+    """Bits of JPEG scans, marker by marker; what is taken beyond their end is zeros, and noted."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.count, self.short = data, 0, 0, 0, False
+        self.data, self.at, self.end, self.short = data, 0, 8 * len(data), False
+        self.window, self.top = 0, 0  # the bits before ``top`` are in the window
 
-    def fill(self, n: int) -> None:
-        while self.count < n:
-            if self.at < len(self.data):
-                b = self.data[self.at]
-                self.at += 1
-            else:
-                b, self.short = 0, True
-            self.held = (self.held << 8 | b) & 0xFFFFFFFF
-            self.count += 8
+    def _next(self, n: int) -> int:
+        """The next n bits, at most 16, which aren't taken yet."""
+        if self.top - self.at < n:
+            byte = self.at >> 3
+            self.window, self.top = int.from_bytes(self.data[byte : byte + 8].ljust(8, b"\0")), 8 * byte + 64
+        return self.window >> self.top - self.at - n & (1 << n) - 1
 
     def take(self, n: int) -> int:
         if not n:
             return 0
-        self.fill(n)
-        self.count -= n
-        return self.held >> self.count & (1 << n) - 1
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in codes:
-                return codes[n, code]
-        raise Broken("a code that no table has")
+        value = self._next(n)
+        self.at += n
+        self.short |= self.at > self.end
+        return value
+
+    def symbol(self, codes: Codes) -> int:
+        length, value = codes[self._next(16)]
+        if not length:
+            raise Broken("a code that no table has")
+        self.at += length
+        self.short |= self.at > self.end
+        return value
 
     def signed(self, n: int) -> int:
         v = self.take(n)
@@ -294,7 +309,7 @@ class Component:
 class Scan:
     """One scan: which components, which coefficients (first to last), and which of their bits."""
 
-    def __init__(self, parts: list[Component], tables: list[tuple[dict, dict]], first: int, last: int, before: int, bit: int, progressive: bool):
+    def __init__(self, parts: list[Component], tables: list[tuple[Codes, Codes]], first: int, last: int, before: int, bit: int, progressive: bool):
         self.parts, self.tables, self.first, self.last, self.bit, self.run = parts, tables, first, last, bit, 0
         self.block = self.whole if not progressive else (self.dc if not before else self.dc_again) if not first else (self.ac if not before else self.ac_again)
 
@@ -328,14 +343,14 @@ class Scan:
                 return False
         return True
 
-    def dc(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+    def dc(self, source: Bits, p: Component, dc: Codes, ac: Codes, block: np.ndarray) -> None:
         p.last += source.signed(source.symbol(dc))
         block[0] = p.last << self.bit
 
-    def dc_again(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+    def dc_again(self, source: Bits, p: Component, dc: Codes, ac: Codes, block: np.ndarray) -> None:
         block[0] |= source.take(1) << self.bit
 
-    def whole(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+    def whole(self, source: Bits, p: Component, dc: Codes, ac: Codes, block: np.ndarray) -> None:
         self.dc(source, p, dc, ac, block)
         k = 1
         while k < 64:
@@ -347,7 +362,7 @@ class Scan:
                 block[k] = source.signed(size)
             k += 1
 
-    def ac(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+    def ac(self, source: Bits, p: Component, dc: Codes, ac: Codes, block: np.ndarray) -> None:
         """New coefficients; a run of blocks without any is counted down."""
         if self.run:
             self.run -= 1
@@ -363,7 +378,7 @@ class Scan:
                 block[k] = source.signed(size) << self.bit
             k += 1
 
-    def ac_again(self, source: Bits, p: Component, dc: dict, ac: dict, block: np.ndarray) -> None:
+    def ac_again(self, source: Bits, p: Component, dc: Codes, ac: Codes, block: np.ndarray) -> None:
         """One more bit of what isn't 0 so far, with new coefficients of one bit between."""
         k, one = self.first, 1 << self.bit
 
@@ -427,14 +442,8 @@ def jpeg(c: Cursor, scale: int = 0) -> Raster:
                 body = body[1 + size :]
         elif mark == 0xC4:
             while len(body) > 17:
-                counts, values, code, codes = body[1:17], body[17 : 17 + sum(body[1:17])], 0, {}
-                k = 0
-                for bits_, many in enumerate(counts, 1):
-                    for _ in range(many):
-                        codes[bits_, code] = values[k]
-                        code, k = code + 1, k + 1
-                    code <<= 1
-                tables[body[0]] = codes
+                counts = body[1:17]
+                tables[body[0]] = looked_up(counts, body[17 : 17 + sum(counts)])
                 body = body[17 + sum(counts) :]
         elif mark in (0xC0, 0xC1, 0xC2):
             depth, h, w, parts = struct.unpack_from(">BHHB", body)
@@ -463,7 +472,7 @@ def jpeg(c: Cursor, scale: int = 0) -> Raster:
             try:
                 chosen = [(next(p for p in frame if p.ident == body[1 + 2 * k]), body[2 + 2 * k]) for k in range(body[0])]
                 first, last, bits_ = body[1 + 2 * body[0] : 4 + 2 * body[0]] if progressive else (0, 63, 0)
-                known = [(tables.get(t >> 4, {}), tables.get(16 | t & 15, {})) for _, t in chosen]
+                known = [(tables.get(t >> 4, []), tables.get(16 | t & 15, [])) for _, t in chosen]
                 whole = Scan([p for p, _ in chosen], known, first, min(last, 63), bits_ >> 4, bits_ & 15, progressive).read(segments, restart)
             except (Broken, StopIteration, ValueError, IndexError):
                 whole = False
