@@ -127,7 +127,7 @@ def identify_at(spark: SparkSession, path: str, context: Context = Context(), pa
     def one(row: dict) -> tuple:
         try:
             return header_row(row["path"], opened(row["path"]), context, formats)
-        except OSError as e:
+        except (OSError, ValueError) as e:  # it has gone, or Arrow doesn't know the file system
             return (row["path"], None, "error", f"{type(e).__name__}: {e}", *[None] * 4, f"{row['path']}: unknown or unsupported image type", None, 0)
 
     return each(reader.load(path).select("path"), one, IDENTIFIED)

@@ -142,3 +142,5 @@ def test_files_that_go_are_errors(spark, tmp_path):
 
     row = files.identify_at(spark, f"file://{tmp_path}", opened=gone).first()
     assert row.status == "error" and "gone" in row.error
+    row = files.identify_at(spark, f"file://{tmp_path}", opened=lambda path: files.arrow_reader("nosuch://x/y")).first()
+    assert row.status == "error" and row.width is None
