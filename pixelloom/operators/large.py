@@ -127,8 +127,8 @@ def dither(pixels: DataFrame) -> DataFrame:
         for (image, y), rgb in in_order(batches, ("image_id", "y"), COLOURS):
             if image != last:
                 last, carried = image, None
-            black, carried = R.dither_row(R.intensity(rgb << 8), carried, y % 2 == 0)
-            yield row_batch(image, y, black)
+            black, carried = R.dither_row(R.intensity(rgb << 8).tolist(), carried, y % 2 == 0)
+            yield row_batch(image, y, np.array(black))
 
     return sorted_rows(pixels).mapInArrow(lambda batches: together(run(batches)), INDEX)
 
