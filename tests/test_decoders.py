@@ -448,6 +448,29 @@ def test_fax_in_odd_places():
         assert d.format == "g3" and d.raster.height >= 4
 
 
+@pytest.mark.parametrize("rows", ["d0d2c038e9429fe2", "94ecc60cdeed84a8", "eca99833c9f59a92", "d7d2e63e344d043b"])
+def test_gem_files_are_no_faxes(rows):
+    """The zeros of a GEM header look like ends of lines, and after them these rows like three rows of a fax."""
+    data = struct.pack(">8H", 1, 8, 1, 2, 85, 85, 8, 8) + b"".join(b"\x80\1" + bytes([b]) for b in bytes.fromhex(rows))
+    r = ok(data, kind="img")
+    assert np.packbits(r.pixels).tobytes() == bytes.fromhex(rows)
+    assert told_of(Head("x", lambda at, n: data[at : at + n]))[1].name == "img"
+
+
+def test_fax_begins_with_whole_rows():
+    """No three whole rows of one width at the beginning, right after their marks: no fax."""
+    row, mark = fax_bits([3, 5, 8]), "0" * 11 + "1"
+
+    def packed(stream):
+        return np.packbits(np.pad([int(b) for b in stream], (0, -len(stream) % 8))).tobytes()
+
+    whole = mark + mark.join([row] * 5) + mark * 6
+    assert decoded("x", packed(whole)).format == "g3"
+    bad = row + "0" * 9 + "1"
+    for stream in (mark + whole, mark + mark.join([row, bad, *[row] * 4]) + mark * 6):
+        assert decoded("x", packed(stream)).format != "g3"
+
+
 def test_large_fax_in_seconds():
     """3300 rows of single pixels, 4 MB and more: no bit is a character."""
     row = fax_bits([1] * 2550)
