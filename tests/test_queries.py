@@ -43,6 +43,19 @@ def test_query_without_sql_runs(spark, small, name):
     assert queries()[name](spark, small[0]).count() > 0
 
 
+@pytest.mark.parametrize("name", ["decode_formats", "identify_formats"])
+def test_gem_files_with_rows_like_a_fax(spark, tmp_path, name):
+    """Images of 0.1 GB of tables whose GEM files were once taken for faxes."""
+    rows = {491: "d0d2c038e9429fe2", 5186: "94ecc60cdeed84a8", 6236: "eca99833c9f59a92", 6701: "d7d2e63e344d043b"}
+    images = [(k, [-0.4 if b == "1" else 0.4 for b in f"{int(v, 16):064b}"]) for k, v in rows.items()]
+    spark.createDataFrame(images, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.sql(ORACLE_SQL[name])
+    got = queries()[name](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
 def test_known_files_of_every_format(spark, small):
     """Small files of every format and wrapper, encoded by hand, as pixels written by hand."""
     given = spark.createDataFrame([(k, name, bytearray.fromhex(content)) for k, (name, content) in enumerate(KNOWN_FILES)], "image_id bigint, path string, content binary")
