@@ -203,6 +203,28 @@ def nearest_entry(pixels: DataFrame, palettes: DataFrame) -> DataFrame:
 # reduction over relations
 
 
+def whole_images(batches: Iterable[pa.RecordBatch], columns: tuple[str, ...], images: int = 512, rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of rows sorted by the first of them, some images at a time, none in two parts; images of ``rows`` rows or so are held."""
+
+    def dealt(held: list[list[np.ndarray]], last: bool) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+        """Groups of images that are whole, and what may go on."""
+        parts = [np.concatenate(v) for v in zip(*held, strict=True)]
+        starts = np.concatenate(([0], np.flatnonzero(np.diff(parts[0])) + 1, [len(parts[0])]))
+        ends = starts if last else starts[:-1]
+        marks = [*ends[:-1:images].tolist(), int(ends[-1])]
+        return [[v[a:b] for v in parts] for a, b in zip(marks[:-1], marks[1:], strict=True)], [[v[ends[-1] :] for v in parts]]
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(c).to_numpy() for c in columns])
+        if sum(len(v[0]) for v in held) >= rows:
+            groups, held = dealt(held, False)
+            yield from groups
+    if held:
+        yield from dealt(held, True)[0]
+
+
 def reduction(pixels: DataFrame, colours: int) -> DataFrame:
     """image_id, cell, idx, red, green, blue: the box of each 5-bit cell that an image uses, and the box's colour (16 bits).
 
@@ -210,17 +232,18 @@ def reduction(pixels: DataFrame, colours: int) -> DataFrame:
     boxes are cut. pixels: as a display of gamma 2.2 shows them.
     """
 
-    def boxes(key: tuple, group: pa.Table) -> pa.Table:
-        counts = np.zeros(32768, np.int64)
-        counts[group.column("cell").to_numpy()] = group.column("n").to_numpy()
-        rows = []
-        for k, box in enumerate(R.boxes_of(counts, min(colours, R.MAX_COLOURS))):
-            colour = [int(m + np.float32(0.5)) << 11 for m in box.mean]
-            rows += [(key[0].as_py(), int(c[0]) << 10 | int(c[1]) << 5 | int(c[2]), k, *colour) for c in box.cells]
-        names = ["image_id", "cell", "idx", "red", "green", "blue"]
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], pa.int64() if not i else pa.int32()) for i in range(len(names))], names)
-
-    return histogram(pixels).groupBy("image_id").applyInArrow(boxes, "image_id bigint, cell int, idx int, red int, green int, blue int")
+    names = ["image_id", "cell", "idx", "red", "green", "blue"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for image, cell, n in whole_images(batches, ("image_id", "cell", "n")):
+            number = np.concatenate(([0], np.cumsum(np.diff(image) != 0)))
+            box, begins, means = R.boxed(number, cell, n, int(number[-1]) + 1, min(colours, R.MAX_COLOURS))
+            colour = (means[box] + np.float32(0.5)).astype(np.int32) << 11
+            rows = [cell.astype(np.int32), (box - begins[number]).astype(np.int32), *map(np.ascontiguousarray, colour.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(image), *map(pa.array, rows)], names)
+
+    counts = histogram(pixels.filter("image_id is not null")).repartition("image_id").sortWithinPartitions("image_id")
+    return counts.mapInArrow(run, "image_id bigint, cell int, idx int, red int, green int, blue int")
 
 
 def reduce(pixels: DataFrame, colours: int, gamma: float = 1.0) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,30 @@ def test_reduction_over_relations(spark, rasters, colours, gamma):
             assert (got[k] == want.colours16() >> 8).all(), (k, diffuse)
 
 
+@pytest.mark.parametrize("colours", [1, 2, 16, 256])
+def test_boxes_of_many_images_at_once(colours):
+    """The same boxes as one image after another has, whatever batches the images come in."""
+    rng = np.random.default_rng(colours)
+    drawn = [rng.integers(0, 32768, 64), np.full(9, 77), rng.integers(0, 8, 40), rng.integers(0, 32768, 20000), np.array([5])] + [(rng.normal(16, 4, (k, 3)).clip(0, 31).astype(int) * (1024, 32, 1)).sum(1) for k in rng.integers(1, 900, 60)]
+    counts = [np.bincount(cells, minlength=32768) for cells in drawn]
+    want = {(3 * i, int(c[0]) << 10 | int(c[1]) << 5 | int(c[2])): (k, b.mean.tolist()) for i, n in enumerate(counts) for k, b in enumerate(R.boxes_of(n, colours)) for c in b.cells}
+    rows = np.concatenate([np.stack([np.full((n > 0).sum(), 3 * i), np.flatnonzero(n), n[n > 0]]) for i, n in enumerate(counts)], axis=1)
+    for size, images, held in ((1000, 7, 3000), (37, 1, 1), (100_000, 512, 1 << 16)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(v) for v in rows[:, a : a + size]], ["image_id", "cell", "n"]) for a in range(0, rows.shape[1], size)]
+        got = {}
+        for image, cell, n in L.whole_images(iter(batches), ("image_id", "cell", "n"), images, held):
+            number = np.unique(image, return_inverse=True)[1]
+            box, begins, means = R.boxed(number, cell, n, number.max() + 1, colours)
+            assert number.max() < images and not set(image.tolist()) & {i for i, _ in got}
+            got |= {(i, c): (k, m) for i, c, k, m in zip(image.tolist(), cell.tolist(), (box - begins[number]).tolist(), means[box].tolist(), strict=True)}
+        assert got == want
+
+
+def test_reduction_calls_nothing_an_image(spark, rasters):
+    plan = L.reduction(exploded(spark, rasters), 16)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 def slow_nearest(pixel, palette):
     return min(((sum((a - b) ** 2 for a, b in zip(pixel, c, strict=True)), -i) for i, c in palette))[1] * -1
 
