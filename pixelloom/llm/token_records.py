@@ -39,7 +39,9 @@ import re
 import struct
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -54,15 +56,21 @@ if TYPE_CHECKING:
     from tokenizers import Tokenizer
 
 END_ID = 0
-#: Pieces that a worker remembers at most.
-CACHE = 200_000
+#: Pieces that a worker remembers from one turn to the next, and of the turn before.
+CACHE = 150_000
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
 #: Files whose sizes are added up by one task.
 RUN = 4096
 DELTA = 0xA282EAD8
-#: A newline or none, letters, a mark or none: the pattern cuts between these parts.
-PARTS = re.compile("(\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,!?;:]?)")
+#: The last of the characters whose kind is known here, and the letters among them.
+TOP = "\u024f"
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+#: Pieces of such letters and of ASCII, and where the pattern cuts them.
+PLAIN = re.compile(f"\n?[!-~{LETTERS}]+")
+CUT = re.compile(f"\n|'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^ \n0-9{LETTERS}]+")
+#: White space but single spaces and newlines, as str.split has it.
+ODD_SPACES = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def masked(data: bytes) -> int:
@@ -96,17 +104,35 @@ def opened(payload: memoryview) -> tuple[str | None, np.ndarray]:
     return bytes(payload[5 : 5 + n]).decode() if n else None, np.frombuffer(payload[5 + n :], f"<u{width}")
 
 
+def lettered(piece: str) -> bool:
+    return piece.isalpha() and (piece.isascii() or max(piece) <= TOP)
+
+
 class Pieces(dict):
-    """The ids of pieces, made when they are first asked for."""
+    """The ids of pieces, made when they are first asked for. At a turn, those not asked for since the last one are forgotten.
+
+    A word with a mark after it takes room only once the word alone has been seen.
+    """
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], marks: dict[str, bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.marks, self.older = make, marks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.make(piece)
+        mark = self.marks.get(piece[-1:])
+        if mark and lettered(piece[:-1]):
+            ids = self.get(piece[:-1])
+            if ids is None:
+                return self[piece[:-1]] + mark
+            ids = self[piece] = ids + mark
+            return ids
+        ids = self[piece] = self.older.get(piece) or self.make(piece)
         return ids
 
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 class Encoder:
     """The library's ids of a text as bytes of ``width`` each."""
@@ -118,12 +144,12 @@ class Encoder:
         self.tokenizer: Tokenizer = Tokenizer.from_file(tokenizer_file)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
-        self.known = Pieces(self.piece)
         # the byte-level alphabet: printable bytes stand for themselves, others follow from 256 on
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
-        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        self.space = chr(self.alphabet[32])
+        codes = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        self.alphabet = "".join(chr(codes[b]) for b in range(256))
+        self.space = self.alphabet[32]
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = type(self.tokenizer.pre_tokenizer).__name__
         model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
@@ -131,7 +157,8 @@ class Encoder:
         whole = self.tokenizer.normalizer is None and self.tokenizer.truncation is None and self.tokenizer.padding is None
         self.by_piece = plain and whole and not any(getattr(model, n, None) for n in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk", "ignore_merges"))
         self.ids = self.tokenizer.model.tokenize
-        self.marks = {m: self.whole(m) for m in ".,!?;:"}
+        self.sign = lru_cache(10_000)(self.coded)
+        self.known = Pieces(self.piece, {m: self.whole(m) for m in ".,!?;:"})
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -139,29 +166,33 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def coded(self, part: str) -> bytes:
+        """Of what the pattern doesn't cut."""
+        return self.pack([t.id for t in self.ids(charmap_decode(part.encode(), "strict", self.alphabet)[0])])
+
+    def part(self, part: str) -> bytes:
+        if part[0] == " " and part[1:].isalpha():
+            return self.known[part[1:]]
+        return self.coded(part) if part.isalpha() else self.sign(part)
+
     def piece(self, piece: str) -> bytes:
         """A piece that has lost its space; one that begins with a newline never had one."""
-        if piece.isascii():
-            if piece.isalpha():  # the commonest: letters are their own alphabet
+        if piece.isalpha():
+            if piece.isascii():  # the commonest: letters are their own alphabet
                 return self.pack([t.id for t in self.ids(self.space + piece)])
-            if piece[-1:] in self.marks and piece[:-1].isalpha():
-                return self.known[piece[:-1]] + self.marks[piece[-1]]
-        space = "" if piece.startswith("\n") else " "
-        parts = PARTS.fullmatch(piece)
-        if not parts:
-            return self.whole(space + piece)
-        line, word, mark = parts.groups()
-        bytelike = [p.encode().decode("latin-1").translate(self.alphabet) for p in (line, space + word, mark) if p]
-        return self.pack([t.id for p in bytelike for t in self.ids(p)])
+            if max(piece) <= TOP:
+                return self.coded(" " + piece)
+        spaced = piece if piece[0] == "\n" else " " + piece
+        return b"".join(map(self.part, CUT.findall(spaced))) if PLAIN.fullmatch(piece) else self.whole(spaced)
 
     def encode(self, text: str) -> bytes:
         """All ids of a text."""
         flat = text.replace("\n", " ")
         # any white space but single spaces and newlines inside the text, and the library gets it whole
-        if not self.by_piece or " ".join(text.split()) != flat or any(s in text for s in self.specials):
+        if not self.by_piece or "  " in flat or flat[:1] == " " or flat[-1:] == " " or any(s in text for s in ODD_SPACES) or any(s in text for s in self.specials):
             return self.whole(text)
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known.turn()
         first, *rest = (text if "\n" not in text else text.replace("\n", " \n")).split(" ")
         return b"".join((self.whole(first), *map(self.known.__getitem__, rest)))
 

@@ -23,6 +23,35 @@ def test_encoder_agrees_with_the_library(spark):
     assert own.by_piece
 
 
+def test_drawn_texts_agree_with_the_library():
+    """Words of letters, digits, marks and what no piece is known of, drawn at random, with few pieces remembered."""
+    library, own, rng = Tokenizer.from_file(FILE), R.Encoder(FILE), np.random.default_rng(10)
+    signs = ["a", "the", "S", "é", "ß", "ɏ", "ɐ", "µ", "×", "²", "٣", "日", "'s", "'", "'LL", "'ve", "’", "-", "_", "|", "12", "0", ".", ",", "?!", ":", "<", "\x7f", "\x00", "\u0301", "🙂", "\n", "\n'd"]
+    for _ in range(400):
+        words = ["".join(rng.choice(signs, rng.integers(1, 5))) for _ in range(rng.integers(1, 30))]
+        text = " ".join(words)
+        assert np.frombuffer(own.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_all_white_space_but_spaces_and_newlines_is_odd():
+    assert {chr(k) for k in range(0x110000) if chr(k).isspace()} == set(R.ODD_SPACES) | {" ", "\n"}
+
+
+def test_pieces_in_use_are_made_once(monkeypatch):
+    """New words push out words that aren't used, and of a new word with a mark only the word takes room."""
+    monkeypatch.setattr(R, "CACHE", 50)
+    own, made = R.Encoder(FILE), []
+    make = own.known.make
+    own.known.make = lambda piece: made.append(piece) or make(piece)
+    for k in range(100):
+        new = "".join(chr(97 + int(d)) for d in str(k))
+        for text in (f"x often, used é! q{new}w z{new}. v{new}é? q{new}w. often",):
+            own.encode(text)
+        assert len(own.known) <= 60 and len(own.known.older) <= 60
+    assert len(made) == len(set(made)) == 3 + 3 * 100
+    assert not any(piece[-1] in ".,!?" for piece in made)
+
+
 def test_frames_round_trip_and_show_damage():
     payloads = [b"", b"\n", b"abc\n\n", bytes(range(256)) * 3]
     data = b"".join(R.framed(p) + b"\n" for p in payloads)
