@@ -16,9 +16,10 @@ equal ids by the hash of their texts). The index, a Parquet table beside the fil
 Encoding: the ids are the tokenizers library's own. A text is cut before each white-space
 character where its pattern cuts in any case (single spaces and newlines inside the text
 and no other white space), its distinct pieces go to the library's model once, and are
-looked up after that; all other texts go to the library whole, and so do all texts where
-the file asks for anything else than plain byte-level pieces (a normalizer, another
-pattern, a prefix space, truncation, padding, dropout, marks of words).
+looked up after that, once for all texts that are encoded together; all other texts go to
+the library whole, and so do all texts where the file asks for anything else than plain
+byte-level pieces (a normalizer, another pattern, a prefix space, truncation, padding,
+dropout, marks of words).
 
 Defined cases. Null and empty texts are the end id alone. Texts of any length are encoded
 whole, one record each. Repeated rows are repeated records. A null id is an empty key, read
@@ -46,6 +47,7 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +59,11 @@ if TYPE_CHECKING:
 
 END_ID = 0
 #: Pieces that a worker remembers from one turn to the next, and of the turn before.
-CACHE = 150_000
+CACHE = 300_000
+#: Pieces that are looked up between two looks at how many there are.
+TURN_BY = 4096
+#: Bytes of text that are encoded together, about.
+TOGETHER = 4 << 20
 #: Bytes of text in a file, about.
 FILE_BYTES = 64 << 20
 #: Files whose sizes are added up by one task.
@@ -185,16 +191,34 @@ class Encoder:
         spaced = piece if piece[0] == "\n" else " " + piece
         return b"".join(map(self.part, CUT.findall(spaced))) if PLAIN.fullmatch(piece) else self.whole(spaced)
 
-    def encode(self, text: str) -> bytes:
-        """All ids of a text."""
+    def parted(self, text: str) -> tuple[str, str | None]:
+        """What the library gets whole, and what follows in pieces with a space between, if anything."""
         flat = text.replace("\n", " ")
         # any white space but single spaces and newlines inside the text, and the library gets it whole
         if not self.by_piece or "  " in flat or flat[:1] == " " or flat[-1:] == " " or any(s in text for s in ODD_SPACES) or any(s in text for s in self.specials):
-            return self.whole(text)
-        if len(self.known) > CACHE:
-            self.known.turn()
-        first, *rest = (text if "\n" not in text else text.replace("\n", " \n")).split(" ")
-        return b"".join((self.whole(first), *map(self.known.__getitem__, rest)))
+            return text, None
+        first, space, rest = (text if "\n" not in text else text.replace("\n", " \n")).partition(" ")
+        return first, rest if space else None
+
+    def encode(self, text: str) -> bytes:
+        """All ids of a text."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """All ids of each text: its pieces are numbered and put together by Arrow, so each is looked up once however often these texts have it."""
+        parts = list(map(self.parted, texts))
+        cut = pc.split_pattern(pa.array([rest for _, rest in parts], pa.large_string()), " ")
+        numbered = cut.flatten().dictionary_encode()
+        pieces, ids = numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), []
+        for k in range(0, len(pieces), TURN_BY):
+            if len(self.known) > CACHE:
+                self.known.turn()
+            ids += map(self.known.__getitem__, pieces[k : k + TURN_BY])
+        found = pa.array(ids, pa.large_binary()).take(numbered.indices)
+        places = np.append(0, np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64))
+        ends = places[np.cumsum([0, *pc.list_value_length(cut).fill_null(0).to_pylist()])].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [b"".join((self.whole(first), data[a:b])) for (first, _), a, b in zip(parts, ends, ends[1:], strict=False)]
 
 
 def encoder(tokenizer_file: str) -> Encoder:
@@ -213,10 +237,9 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     def frames(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_file)
         end = own.pack([end_id])
-        for keys, texts in blocks(batches):
+        for keys, texts in blocks(batches, TOGETHER):
             out = []
-            for key, text in zip(keys.to_pylist(), texts, strict=True):
-                ids = own.encode(text.decode("utf-8", "replace"))
+            for key, ids in zip(keys.to_pylist(), own.encode_all([t.decode("utf-8", "replace") for t in texts]), strict=True):
                 name = b"" if key is None else key.encode()
                 out.append(framed(struct.pack("<BI", own.width, len(name)) + name + ids + end))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])

@@ -52,6 +52,31 @@ def test_pieces_in_use_are_made_once(monkeypatch):
     assert not any(piece[-1] in ".,!?" for piece in made)
 
 
+def test_texts_that_are_encoded_together_share_their_pieces(monkeypatch):
+    """A piece is looked up once however often the texts have it, and any turns between leave the ids right."""
+    library, own, asked = Tokenizer.from_file(FILE), R.Encoder(FILE), []
+
+    class Watched(R.Pieces):
+        def __getitem__(self, piece):
+            asked.append(piece)
+            return super().__getitem__(piece)
+
+    own.known = Watched(own.known.make, own.known.marks)
+    texts = [*TRICKY, *["again, some words and more\nand again"] * 50, *[f"Zq{k}x v{'a' * k}é, {k}." for k in range(40)], *TRICKY]
+
+    def agree():
+        got = own.encode_all(texts)
+        assert [np.frombuffer(ids, "<u2").tolist() for ids in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    agree()
+    assert {piece: asked.count(piece) for piece in ("some", "words", "more", "again")} == dict.fromkeys(("some", "words", "more", "again"), 1)
+    monkeypatch.setattr(R, "CACHE", 9)
+    monkeypatch.setattr(R, "TURN_BY", 2)
+    agree()
+    assert len(own.known) < 20
+    assert own.encode_all([]) == [] and own.encode_all(["", "word"]) == [b"", own.whole("word")]
+
+
 def test_frames_round_trip_and_show_damage():
     payloads = [b"", b"\n", b"abc\n\n", bytes(range(256)) * 3]
     data = b"".join(R.framed(p) + b"\n" for p in payloads)
